@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, sharding, url_filter
+from tessera.llm import chat, packing, quality, sharding, url_filter
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -42,6 +42,26 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 )
 
 
+#: The tokenizer of op3, by its name among the public vocabulary files.
+PACKING_VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -94,6 +114,8 @@ FROM placed"""
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_url_filter": (op2_url_filter, OP2_SQL),
+    "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op5_quality": (op5_quality, None),
     "op6_chat_rotation": (op6_chat_rotation, OP6_SQL),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
 }
