@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, packing, quality, sharding, url_filter
+from tessera.llm import chat, packing, quality, sharding, suffix_dedup, url_filter
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -21,6 +21,10 @@ def url_rules(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFra
     return spark.range(1).select(F.inline(rows))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_rules(spark, URL_RULES))
 
@@ -113,6 +117,7 @@ SELECT doc_id, size, text_crc32, law, shard,
 FROM placed"""
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op5_quality": (op5_quality, None),
