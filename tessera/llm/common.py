@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import struct
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
+#: Fixed odd multipliers of the hashes.
+ODD, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,19 +56,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of known types as one byte string."""
-    return b"".join(struct.pack("<q", len(a)) + np.ascontiguousarray(a).tobytes() for a in arrays)
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block."""
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
 
 
-def unpack(data: bytes, *dtypes: str) -> list[np.ndarray]:
-    """The arrays that :func:`pack` joined."""
-    out, at = [], 0
-    for t in dtypes:
-        (n,) = struct.unpack_from("<q", data, at)
-        out.append(np.frombuffer(data, t, n, at + 8))
-        at += 8 + n * np.dtype(t).itemsize
-    return out
+def expand(data: bytes) -> tuple[np.ndarray, ...]:
+    """The arrays of a block."""
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
 def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,3 +100,80 @@ def split_by_part(part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal parts together, and the bounds of each part in it."""
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(n + 1))
+
+
+def byte_codes(seed: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
+
+
+class RollingHash:
+    """Hashes of slices from one running sum; good for texts up to the length given."""
+
+    def __init__(self, length: int, odd: np.uint64, seed: int):
+        self.codes, self.length = byte_codes(seed), length
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, odd)]))
+        self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, np.uint64(pow(int(odd), -1, 1 << 64)))]))
+
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        return np.concatenate([[np.uint64(0)], np.cumsum(self.codes[raw] * self.power[: len(raw)])])
+
+    def slices(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((sums[b] - sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * ODD2)
+
+
+def with_row(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """doc, row (a number of its own for each stored row), text and carried columns (as strings)."""
+    return docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{text_col}`").alias("text"),
+        *[F.col(f"`{c}`").cast("string").alias(f"carry_{k}") for k, c in enumerate(carry)],
+    )
+
+
+def by_row(n: int):
+    """The part, of ``n``, that a row's number falls in."""
+    return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("dpart")
+
+
+def row_frames(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of :func:`with_row`, compressed many together and dealt into ``n`` parts by row number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, starts, ends = text_column(batch.column(3))
+            missing = np.asarray(batch.column(3).is_null())
+            order, bounds = split_by_part(batch.column(0).to_numpy(), n)
+            plain = [batch.column(k).to_pylist() for k in (1, *range(4, batch.num_columns))]
+            row = batch.column(2).to_numpy()
+            press = zstandard.ZstdCompressor(level=3)
+            part, data = [], []
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                o = order[bounds[p] : bounds[p + 1]]
+                body = press.compress(b"".join(buf[starts[i] : ends[i]].tobytes() for i in o))
+                part.append(p)
+                data.append(pickle.dumps((row[o], ends[o] - starts[o], missing[o], body, [[c[i] for i in o] for c in plain]), 5))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["dpart", "data"])
+
+    first = ["row", "text"]
+    others = [c for c in rows.columns if c not in ("doc", *first)]
+    return rows.select(by_row(n), "doc", *first, *others).mapInArrow(run, "dpart int, data binary")
+
+
+def frame_rows(frame: bytes) -> Iterator[tuple[int, bytes | None, list]]:
+    """(row, text or None, doc and carried values) of a frame."""
+    row, size, missing, body, plain = pickle.loads(frame)
+    raw, stop = zstandard.ZstdDecompressor().decompress(body), 0
+    for i in range(len(row)):
+        begin, stop = stop, stop + int(size[i])
+        yield int(row[i]), None if missing[i] else raw[begin:stop], [c[i] for c in plain]
+
+
+def per_row(docs: DataFrame, asked: DataFrame, f: Callable[[Iterator[tuple[int, bytes | None, list]], pd.DataFrame], pd.DataFrame], schema: str, n: int) -> DataFrame:
+    """``f`` over the frames of ``docs`` (from :func:`with_row`) and the rows of ``asked`` (has ``row``) of each part."""
+
+    def run(frames: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return f((x for data in frames["data"] for x in frame_rows(data)), own)
+
+    asked = asked.select(by_row(n), *asked.columns)
+    return row_frames(docs, n).groupBy("dpart").cogroup(asked.groupBy("dpart")).applyInPandas(run, schema)

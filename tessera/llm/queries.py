@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, packing, quality, sharding, suffix_dedup, url_filter
+from tessera.llm import chat, jaccard, packing, quality, sharding, suffix_dedup, url_filter
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -91,6 +91,10 @@ SELECT conv_id, perspective, CAST(n - 1 AS INTEGER) AS segment, CAST(turn AS BIG
 FROM placed"""
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
 
@@ -122,6 +126,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op5_quality": (op5_quality, None),
     "op6_chat_rotation": (op6_chat_rotation, OP6_SQL),
+    "op8_jaccard": (op8_jaccard, None),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
 }
 

@@ -38,7 +38,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, mix, parts, split_by_part, text_column
+from tessera.llm.common import ODD as _ODD
+from tessera.llm.common import ODD2 as _ODD2
+from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, mix, parts, split_by_part, squeeze, text_column
 
 GRAM = 32
 STEP = 5
@@ -49,32 +51,11 @@ HOT_PIECES = 50_000
 _CHUNK = 1 << 18
 _LONG = 1 << 21
 _NULL_ID = -(1 << 63)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD2 = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _byte_codes(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
-
-
-class RollingHash:
-    """Hashes of slices from one running sum; good for texts up to the length given."""
-
-    def __init__(self, length: int, odd: np.uint64, seed: int):
-        self.codes, self.length = _byte_codes(seed), length
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, odd)]))
-        self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, np.uint64(pow(int(odd), -1, 1 << 64)))]))
-
-    def sums(self, raw: np.ndarray) -> np.ndarray:
-        return np.concatenate([[np.uint64(0)], np.cumsum(self.codes[raw] * self.power[: len(raw)])])
-
-    def slices(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((sums[b] - sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * _ODD2)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """Hashes of all ``GRAM``-byte strings of a text, doubled up from single bytes."""
-    h, odd, n = _byte_codes(3)[raw], int(_ODD), 1
+    h, odd, n = byte_codes(3)[raw], int(_ODD), 1
     while n < GRAM:
         h = h[:-n] * np.uint64(odd) + h[n:]
         odd, n = odd * odd % (1 << 64), n * 2
@@ -144,14 +125,6 @@ def _ids(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ())
     )
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
-
-
-def _expand(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-
-
 def _run_blocks(ids: DataFrame, n: int, width: int) -> DataFrame:
     """Every document's runs as hashes, dealt into ``n`` parts by bucket."""
 
@@ -181,7 +154,7 @@ def _run_blocks(ids: DataFrame, n: int, width: int) -> DataFrame:
                 o = order[bounds[p] : bounds[p + 1]]
                 used, local = np.unique(r[o], return_inverse=True)
                 part.append(p)
-                data.append(pickle.dumps((h[o].tobytes() + text[o].tobytes(), _squeeze(doc[used], row[used], local.astype(np.int32), at[o], length[o], twice[o])), 5))
+                data.append(pickle.dumps((h[o].tobytes() + text[o].tobytes(), squeeze(doc[used], row[used], local.astype(np.int32), at[o], length[o], twice[o])), 5))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
     return ids.select("doc", "row", "text").mapInArrow(run, "part int, data binary")
@@ -190,7 +163,7 @@ def _run_blocks(ids: DataFrame, n: int, width: int) -> DataFrame:
 def _deal(columns: Sequence[np.ndarray], doc: np.ndarray, row: np.ndarray, n: int, kind: int) -> list[tuple[int, int, bytes]]:
     """(document part, kind, block) of rows, dealt by their documents."""
     order, bounds = split_by_part(_doc_part(doc, row, n), n)
-    return [(p, kind, _squeeze(*[c[order[bounds[p] : bounds[p + 1]]] for c in (doc, row, *columns)])) for p in np.flatnonzero(np.diff(bounds)).tolist()]
+    return [(p, kind, squeeze(*[c[order[bounds[p] : bounds[p + 1]]] for c in (doc, row, *columns)])) for p in np.flatnonzero(np.diff(bounds)).tolist()]
 
 
 def _doc_part(doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -213,7 +186,7 @@ def _collapse(n: int, hot: int):
         for data in pdf["data"]:
             raw, rest = pickle.loads(data)
             hashes = np.frombuffer(raw, np.uint64).reshape(2, -1)
-            doc, row, local, at, length, twice = _expand(rest)
+            doc, row, local, at, length, twice = expand(rest)
             blocks.append((hashes[0], hashes[1], doc[local], row[local], at, length, twice))
         h, text, doc, row, at, length, twice = (np.concatenate(x) for x in zip(*blocks))
         order = np.argsort(h, kind="stable")
@@ -266,7 +239,7 @@ def _requests(found: pd.DataFrame, kinds: Sequence[int]) -> dict[tuple[int, int]
     for kind, data in zip(found["kind"], found["data"]):
         if kind not in kinds:
             continue
-        doc, row, *rest = _expand(data)
+        doc, row, *rest = expand(data)
         order = np.lexsort((row, doc))
         cuts = np.flatnonzero(np.append(True, (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1]))) if len(order) else []
         for a, b in zip(cuts, np.append(cuts[1:], len(order))):
@@ -309,7 +282,7 @@ def _fetch(n: int, width: int):
             order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 o = order[bounds[p] : bounds[p + 1]]
-                out.append((p, PIECE, pickle.dumps((h[o], _squeeze(doc[o], row[o], at[o], length[o]), zstandard.ZstdCompressor(level=3).compress(b"".join(body[i] for i in o))), 5)))
+                out.append((p, PIECE, pickle.dumps((h[o], squeeze(doc[o], row[o], at[o], length[o]), zstandard.ZstdCompressor(level=3).compress(b"".join(body[i] for i in o))), 5)))
         if hot:
             h, g, doc, row, at = _first_windows(hot, out, n)
             order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
@@ -433,7 +406,7 @@ def _compare(n: int, width: int):
                 hot.append(pickle.loads(data))
                 continue
             h, rest, packed = pickle.loads(data)
-            blocks.append((h, *_expand(rest)))
+            blocks.append((h, *expand(rest)))
             raw = zstandard.ZstdDecompressor().decompress(packed)
             stop = np.cumsum(blocks[-1][4].astype(np.int64) + width - 1)
             body += [raw[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
