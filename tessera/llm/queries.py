@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, jaccard, packing, quality, sharding, suffix_dedup, url_filter
+from tessera.llm import ann, chat, jaccard, packing, quality, sharding, suffix_dedup, url_filter, vector_dedup
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -61,6 +61,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -91,6 +95,10 @@ SELECT conv_id, perspective, CAST(n - 1 AS INTEGER) AS segment, CAST(turn AS BIG
 FROM placed"""
 
 
+def op7_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -124,8 +132,10 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op4_posting_lists": (op4_posting_lists, None),
     "op5_quality": (op5_quality, None),
     "op6_chat_rotation": (op6_chat_rotation, OP6_SQL),
+    "op7_subspace_join": (op7_subspace_join, None),
     "op8_jaccard": (op8_jaccard, None),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
 }
