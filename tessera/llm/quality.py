@@ -245,3 +245,19 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
     key = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _class_table()
+        for batch in batches:
+            if isinstance(model, float):
+                good = np.full(batch.num_rows, model >= THRESHOLD)
+            else:
+                buf, starts, ends = text_column(batch.column(batch.schema.names.index(text_col)))
+                good = np.concatenate([model.score(featurize(buf, starts[i : i + 512], ends[i : i + 512], table)) >= THRESHOLD for i in range(0, len(starts), 512)] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
