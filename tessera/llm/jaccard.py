@@ -2,16 +2,16 @@
 
 A document's set holds its distinct ``words``-word shingles; two documents link when the Jaccard similarity of their
 sets is at least ``percent`` hundredths. In any fixed order of the shingles, two such sets share one in their first
-``n - ceil(percent * n / 100) + 1``. The order puts frequent shingles last: those that over ``RARE`` documents hold
-near their front, at most ``MOST_FREQUENT`` of them (which ones are in that table changes the cost, never the
-result).
+``n - ceil(percent * n / 100) + 1``. The order puts frequent shingles last: those that over ``RARE`` documents hold,
+at most ``MOST_FREQUENT`` of them (which ones are in that table changes the cost, never the result).
 
 Documents with one prefix and size are one group, and documents with one set are one member of it, so copies cost
 nothing. Groups that share a prefix shingle form lists; identical lists are one. Pairs within a list or group pass a
 filter on sizes and one on parity bitmaps (the symmetric difference of two sets is at least the number of bits in
-which their bitmaps differ) before whole sets are compared. First each list is only chained, in three orders, and
-each group starred: that links what is alike with few pairs. Then the pairs of lists and groups whose ends are in
-different components are compared, all of them; pairs within a component cannot change it.
+which their bitmaps differ) before whole sets are compared. First each list is only chained by size and starred
+around its most common document, and each group starred: that links what is alike with few pairs. Then the pairs of
+lists and groups whose ends are in different components are filtered, all of them, in blocks of ``BLOCK`` rows a side;
+pairs within a component cannot change it.
 
 Defined cases: fewer words than a shingle has make the whole sequence the only element; a null or empty text, or one
 of white space, has an empty set, size 0, and links with nothing; a null doc_id takes part, and a component's id is
@@ -34,6 +34,8 @@ from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, by_row, expand,
 from tessera.llm.components import components
 
 RARE = 8
+BLOCK = 2048
+_SMALL = 48
 MOST_FREQUENT = 1 << 20
 _CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,10 +85,10 @@ class Shingler:
                 s = np.sort(h[a : b - k + 1])
                 yield s[np.append(True, s[1:] != s[:-1])]
             elif b > a:
-                whole = np.uint64(b - a)
+                whole = np.array([b - a], np.uint64)
                 for w in word[a:b]:
-                    whole = mix(np.array([whole]) * ODD + w)[0]
-                yield np.array([whole], np.uint64)
+                    whole = mix(whole * ODD + w)
+                yield whole
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -100,13 +102,13 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens * ODD2) >> np.uint64(32)).astype(np.uint32)
 
 
-def _front_counts(words: int, percent: int, n: int):
-    """Counts of the shingles near the front of each set (by hash), dealt by cell."""
+def _token_counts(words: int, n: int):
+    """How many sets hold each shingle, dealt by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            cells = [_slot(s[: prefix_size(len(s), percent) * 3 // 2]) for s in shingler.sets(*text_column(batch.column(0))) if len(s)]
+            cells = [_slot(s) for s in shingler.sets(*text_column(batch.column(0))) if len(s)]
             if not cells:
                 continue
             cell, count = np.unique(np.concatenate(cells), return_counts=True)
@@ -134,9 +136,9 @@ def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell": cell[often], "count": total[often]})
 
 
-def frequent_cells(rows: DataFrame, scratch: Scratch, words: int, percent: int, n: int) -> np.ndarray:
+def frequent_cells(rows: DataFrame, scratch: Scratch, words: int, n: int) -> np.ndarray:
     """Cells of the most frequent shingles: over ``RARE`` documents, and at most ``MOST_FREQUENT`` (4 MB) of them."""
-    counted = rows.select("text").mapInArrow(_front_counts(words, percent, n), "part int, data binary")
+    counted = rows.select("text").mapInArrow(_token_counts(words, n), "part int, data binary")
     table = scratch.save(counted.groupBy("part").applyInPandas(_sum_counts, "cell long, count long"), "frequent")
     classes = table.groupBy(F.floor(F.log2("count")).alias("c")).count().collect()  # at most 64 rows
     least, total = 64, 0
@@ -158,7 +160,7 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def differing_bits(a: bytes, b: bytes) -> int:
+def differing_bits(a: bytes | np.ndarray, b: bytes | np.ndarray) -> int:
     """A lower bound of the symmetric difference of two sets, from their bitmaps; the longer one is folded."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) > len(y):
@@ -168,7 +170,88 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_SIGNED = "part int, doc long, row long, n long, gid long, f1 long, f2 long, bits binary, data binary"
+def _most_apart(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of sets of these sizes that are as similar as asked; negative if their sizes differ too much."""
+    total = x + y
+    most = total + 2 * (-percent * total // (100 + percent))
+    return np.where(np.minimum(x, y) * 100 >= percent * np.maximum(x, y), most, -1)
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _matrix_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of ``left`` and ``right`` rows in different components, those whose sizes and bitmaps allow the similarity."""
+    found_a, found_b = [], []
+    width = np.array([len(b) for b in bits])
+    for wa in np.unique(width[left]):
+        a = left[width[left] == wa]
+        for wb in np.unique(width[right]):
+            b = right[width[right] == wb]
+            if max(wa, wb) > 2 * min(wa, wb):
+                continue  # sizes differ too much
+            w = min(wa, wb)
+            x, y = (_fold(np.stack([bits[i] for i in s]), w) for s in (a, b))
+            step = max(1, (1 << 21) // (len(b) * w))
+            for at in range(0, len(a), step):
+                s = a[at : at + step]
+                most = _most_apart(n[s][:, None], n[b][None, :], percent)
+                apart = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                i, j = np.nonzero((apart <= most) & (part[s][:, None] != part[b][None, :]))
+                found_a.append(s[i])
+                found_b.append(b[j])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (empty, empty)
+
+
+def _cross(percent: int):
+    """Per task: the pairs of its lists' blocks that lie in different components and pass the filters."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["list_id", "i", "j"], kind="stable").reset_index(drop=True)
+        node, n, part = (pdf[c].to_numpy() for c in ("node", "n", "part"))
+        own, i, j, list_id = (pdf[c].to_numpy() for c in ("own", "i", "j", "list_id"))
+        bits = [np.frombuffer(b, np.uint64) for b in pdf["bits"]]
+        cut = np.flatnonzero(np.append(True, (list_id[1:] != list_id[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        stop = np.append(cut[1:], len(pdf))
+        a, b = [], []
+        size = stop - cut
+        for m in np.unique(size[size <= _SMALL]).tolist():  # lists of one size together
+            first, second = np.triu_indices(m, 1)
+            base = cut[size == m][:, None]
+            x, y = (base + first).ravel(), (base + second).ravel()
+            # rows of one block meet in the task of that block alone
+            ok = (part[x] != part[y]) & ((own[x] != own[y]) | (i[x] == j[x])) & (_most_apart(n[x], n[y], percent) >= 0)
+            x, y = x[ok], y[ok]
+            low, high = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            _, once = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+            x, y = x[once], y[once]
+            most = _most_apart(n[x], n[y], percent)
+            keep = [differing_bits(bits[p], bits[q]) <= k for p, q, k in zip(x.tolist(), y.tolist(), most.tolist())]
+            a.append(x[keep])
+            b.append(y[keep])
+        for s, e in zip(cut[size > _SMALL].tolist(), stop[size > _SMALL].tolist()):
+            rows = np.arange(s, e)
+            left, right = (rows, rows) if i[s] == j[s] else (rows[own[rows] == i[s]], rows[own[rows] == j[s]])
+            common, count = np.unique(part[rows], return_counts=True)
+            major = common[count.argmax()]  # its members need not meet each other
+            for x, y in ((left[part[left] != major], right), (left[part[left] == major], right[part[right] != major])):
+                if len(x) and len(y):
+                    p, q = _matrix_pairs(x, y, n, part, bits, percent)
+                    a.append(p)
+                    b.append(q)
+        x, y = (node[np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (a, b))
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+_SIGNED = "part int, doc long, row long, n long, common long, gid long, f1 long, f2 long, bits binary, data binary"
 
 
 def _sign(words: int, percent: int, n: int, frequent: np.ndarray):
@@ -178,7 +261,7 @@ def _sign(words: int, percent: int, n: int, frequent: np.ndarray):
         shingler = Shingler(words)
         for batch in batches:
             m = batch.num_rows
-            size, gid, f1, f2 = np.zeros(m, np.int64), *(np.zeros(m, np.uint64) for _ in range(3))
+            size, common, gid, f1, f2 = np.zeros(m, np.int64), np.zeros(m, np.int64), *(np.zeros(m, np.uint64) for _ in range(3))
             bits: list[bytes] = []
             seen: dict[int, int] = {}
             prefix, owner, group_size = [], [], []
@@ -190,9 +273,10 @@ def _sign(words: int, percent: int, n: int, frequent: np.ndarray):
                 cell = _slot(s)
                 at = np.minimum(np.searchsorted(frequent, cell), max(len(frequent) - 1, 0))
                 often = frequent[at] == cell if len(frequent) else np.zeros(len(s), bool)
+                common[i] = often.sum()
                 front = np.concatenate([s[~often], s[often]])[: prefix_size(len(s), percent)]
                 f1[i], f2[i] = mix(s * ODD).sum(), mix(s + ODD2).sum()
-                gid[i] = mix(np.array([mix(front).sum() + np.uint64(len(s)) * ODD2]))[0]
+                gid[i] = mix(mix(front).sum(keepdims=True) + np.array([len(s)], np.uint64) * ODD2)[0]
                 bits.append(bitmap(s))
                 key = int(gid[i])
                 if key not in seen:
@@ -202,7 +286,7 @@ def _sign(words: int, percent: int, n: int, frequent: np.ndarray):
                     owner.append(np.full(len(front), seen[key], np.int32))
             none = pa.nulls(m, pa.binary())
             signed = lambda x: pa.array(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0), batch.column(1), pa.array(size), signed(gid), signed(f1), signed(f2), pa.array(bits, pa.binary()), none], names=[x.split()[0] for x in _SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0), batch.column(1), pa.array(size), pa.array(common), signed(gid), signed(f1), signed(f2), pa.array(bits, pa.binary()), none], names=[x.split()[0] for x in _SIGNED.split(", ")])
             if not prefix:
                 continue
             token, own = np.concatenate(prefix), np.concatenate(owner)
@@ -216,7 +300,7 @@ def _sign(words: int, percent: int, n: int, frequent: np.ndarray):
                 data.append(pickle.dumps((token[o].tobytes(), ids[used].tobytes(), squeeze(sizes[used], local.astype(np.int32))), 5))
             k = len(part)
             empty = lambda t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[empty(pa.int64()) for _ in range(6)], empty(pa.binary()), pa.array(data, pa.binary())], names=[x.split()[0] for x in _SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[empty(pa.int64()) for _ in range(7)], empty(pa.binary()), pa.array(data, pa.binary())], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
     return run
 
@@ -318,21 +402,21 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "jaccard"), parts(spark)
     rows = with_row(docs, id_col, text_col)
-    frequent = frequent_cells(rows, scratch, words, percent, n)
+    frequent = frequent_cells(rows, scratch, words, n)
     signed = scratch.save(rows.mapInArrow(_sign(words, percent, n, frequent), _SIGNED), "signed")
-    members = signed.where("part < 0").select("doc", "row", "n", "gid", "f1", "f2", "bits")
+    members = signed.where("part < 0").select("doc", "row", "n", "common", "gid", "f1", "f2", "bits")
     key = ["n", "f1", "f2"]
-    nodes = members.where("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("gid").alias("gid"), F.min("bits").alias("bits"), F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row")).alias("best"))
+    nodes = members.where("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("gid").alias("gid"), F.min("common").alias("common"), F.min("bits").alias("bits"), F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row")).alias("best"))
     nodes = scratch.save(nodes, "nodes")
     entries = signed.where("part >= 0").select("part", "data").groupBy("part").applyInPandas(_lists, "list_id long, gid long, n long")
     entries = scratch.save(entries.distinct(), "entries")
-    leaders = nodes.groupBy("gid").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
+    leaders = nodes.groupBy("gid").agg(F.min("node").alias("leader"), F.max("common").alias("common"), F.count(F.lit(1)).alias("size"))
     led = entries.join(leaders, "gid")
-    pairs = None
-    for order in (["n", "gid"], [F.xxhash64("gid", F.lit(1))], [F.xxhash64("gid", F.lit(2))]):
-        w = Window.partitionBy("list_id").orderBy(*order)
-        chain = led.select(F.col("leader").alias("x"), F.lag("leader").over(w).alias("y"), F.col("n"), F.lag("n").over(w).alias("m")).where("y is not null").where(_alike(percent, "n", "m")).select("x", "y")
-        pairs = chain if pairs is None else pairs.unionByName(chain)
+    by_size = Window.partitionBy("list_id").orderBy("n", "gid")
+    by_rank = Window.partitionBy("list_id").orderBy((F.col("common") / F.col("n")).desc(), "gid")
+    led = led.select(F.col("leader").alias("x"), "n", *[f(c).over(w).alias(v) for f, w, c, v in ((F.lag, by_size, "leader", "before"), (F.lag, by_size, "n", "before_n"), (F.first, by_rank, "leader", "centre"), (F.first, by_rank, "n", "centre_n"))])
+    pairs = led.where("before is not null").where(_alike(percent, "n", "before_n")).select("x", F.col("before").alias("y"))
+    pairs = pairs.unionByName(led.where(_alike(percent, "n", "centre_n")).select("x", F.col("centre").alias("y")))
     star = nodes.join(leaders.where("size > 1"), "gid").where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y"))
     ordered = lambda p: p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
     links = _verify(ordered(pairs.unionByName(star)), nodes, rows, scratch, words, percent, n, "chained")
@@ -343,18 +427,18 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     spread = at.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     seen = entries.join(spread, "gid")
     mixed = seen.groupBy("list_id").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("list_id")
-    open_lists = scratch.save(seen.join(mixed, "list_id", "left_semi"), "open")
-    x = open_lists.select("list_id", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "low", "high")])
-    y = open_lists.select("list_id", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "low", "high")])
-    apart = ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low")))
-    groups = x.join(y, "list_id").where((F.col("x_gid") < F.col("y_gid")) & apart & _alike(percent, "x_n", "y_n")).select("x_gid", "y_gid").distinct()
-    left = at.select(F.col("gid").alias("x_gid"), F.col("node").alias("x"), F.col("part").alias("px"))
-    right = at.select(F.col("gid").alias("y_gid"), F.col("node").alias("y"), F.col("part").alias("py"))
-    across = groups.join(left, "x_gid").join(right, "y_gid").where("px <> py").select("x", "y")
     split = spread.where("low <> high").select("gid")
-    own = at.join(split, "gid", "left_semi")
-    within = own.select("gid", F.col("node").alias("x"), F.col("part").alias("px")).join(own.select("gid", F.col("node").alias("y"), F.col("part").alias("py")), "gid").where("x < y and px <> py").select("x", "y")
-    more = _verify(ordered(across.unionByName(within)), nodes, rows, scratch, words, percent, n, "crossed")
+    placed = at.join(nodes.select("node", "bits"), "node").select("gid", "node", "n", "part", "bits")
+    across = seen.join(mixed, "list_id", "left_semi").select("list_id", "gid").join(placed, "gid").drop("gid")
+    within = placed.join(split, "gid", "left_semi").withColumn("list_id", F.xxhash64("gid", F.lit(7))).drop("gid")
+    open_lists = scratch.save(across.unionByName(within), "open")
+    pieces = open_lists.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces"))
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    dealt = open_lists.join(pieces, "list_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "pieces")
+    met = dealt.withColumn("task", F.pmod(F.xxhash64("list_id", "i", "j"), F.lit(8 * n)).cast("int"))
+    crossed = met.groupBy("task").applyInPandas(_cross(percent), "a long, b long").distinct()
+    more = _verify(crossed, nodes, rows, scratch, words, percent, n, "crossed")
     final = linked if more.isEmpty() else components(linked.unionByName(more), scratch, "last")
 
     rooted = nodes.join(final.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left").withColumn("root", F.coalesce("up", "node"))

@@ -63,6 +63,8 @@ def test_equals_brute_force(spark):
 
 def test_equals_brute_force_where_all_is_frequent(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RARE", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "_SMALL", 4)
     check(spark, corpus(2))
 
 
