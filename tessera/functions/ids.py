@@ -39,7 +39,7 @@ def stable_id(kind: str, *parts: Column, prefix: str, namespace: str = "tessera"
     """SHA-256 over a name and length-framed parts, in URL-safe base 64, with a kind prefix."""
     head = F.lit(f"{namespace}\x00{version}\x00{kind}".encode())
     digest = F.unhex(F.sha2(F.concat(head, *map(_framed, parts)), 256))
-    return F.concat(F.lit(prefix), F.rtrim(F.lit("="), F.translate(F.base64(digest), "+/", "-_")))
+    return F.concat(F.lit(prefix), F.rtrim(F.translate(F.base64(digest), "+/", "-_"), F.lit("=")))
 
 
 def source_id(name: Column) -> Column:

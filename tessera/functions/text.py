@@ -46,10 +46,19 @@ def normalize(c: Column, compat: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ngrams(a: Column, n: int, glue: str = "") -> Column:
     """All runs of ``n`` neighbouring elements of an array, joined."""
-    at = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - (n - 1)))
-    return F.coalesce(F.transform(at, lambda i: F.array_join(F.slice(a, i, n), glue)), F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1)))
+        return F.coalesce(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), glue)), F.array().cast("array<string>"))
+
+    return let(a, runs)
 
 
 def tokens(c: Column, compat: bool = False, cjk: bool = True) -> Column:
@@ -101,8 +110,11 @@ def graph_tokens(c: Column, generic: list[str] | None = None, compat: bool = Fal
 
 def shingles(words: Column, width: int = 3, glue: str = "\x01") -> Column:
     """Distinct runs of ``width`` words; at most ``width`` words are one run."""
-    few = F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(words, glue)))
-    return F.when(F.size(words) <= width, few).otherwise(F.array_distinct(ngrams(words, width, glue)))
+    def runs(w: Column) -> Column:
+        few = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(w, glue)))
+        return F.when(F.size(w) <= width, few).otherwise(F.array_distinct(ngrams(w, width, glue)))
+
+    return let(words, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,0 +1,259 @@
+"""Queries over notes made from documents: policy, duplicates, catalog upkeep, chunks, topics and secrets."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tessera.functions import ids, numeric, policy, text
+from tessera.operators import catalog, dedup, postings
+from tessera.plans.inputs import RECORDS_SQL, TOKENS_SQL, records
+from tessera.plans.registry import query
+from tessera.session import table
+from tessera.sources import manifest, markdown, secrets
+
+PATHS = ["projects/a.md", "research/a.md", "50-ai/outputs/a.md", "30-shared-knowledge/a.md", "lib/dist/a.md", "99-attachments/a.md", "50-ai/codex-context/a.md", "x/ai-history/a.md", "40-archive/a.md", "other/._a.md"]
+
+
+def notes(spark, sf_dir):
+    """Documents as notes whose path and frontmatter follow from doc_id and the labels."""
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    i = F.col("doc_id")
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (i % len(PATHS) + 1).cast("int"))
+    entry = lambda k, test, v: F.when(test, F.struct(F.lit(k).alias("key"), F.array(F.lit(v)).alias("value")))
+    pairs = F.array(
+        entry("sensitivity", F.col("toxic") == 1, "private"), entry("type", i % 3 == 0, "knowledge-card"), entry("status", i % 19 == 0, "draft"),
+        entry("retrieval_scope", i % 17 == 0, "never"), entry("retrieval_scope", (i % 17 > 0) & (i % 7 == 0), "Historical"), entry("retrieval_scope", (i % 17 > 0) & (i % 7 > 0) & (i % 5 == 0), "core"),
+        entry("corpus", i % 23 == 0, "reference"), entry("corpus", (i % 23 > 0) & (i % 29 == 0), "nonsense"), entry("archived", i % 31 == 0, "yes"),
+    )
+    front = F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
+    return d.join(labels, "doc_id", "left").select(i.alias("id"), path.alias("path"), front.alias("front"), F.coalesce("text", F.lit("")).alias("body"), F.lit("Note").alias("title"), F.array("lang").alias("tags"))
+
+
+_FACTS = f"""facts AS (
+  SELECT d.doc_id AS id, coalesce(text, '') AS body, (list_value({", ".join(f"'{p}'" for p in PATHS)}))[d.doc_id % 10 + 1] AS path, coalesce(toxic, 0) = 1 AS private, d.doc_id % 3 = 0 AS card,
+    d.doc_id % 19 = 0 AS draft, CASE WHEN d.doc_id % 17 = 0 THEN 'never' WHEN d.doc_id % 7 = 0 THEN 'history' WHEN d.doc_id % 5 = 0 THEN 'default' END AS scope,
+    CASE WHEN d.doc_id % 23 = 0 THEN 'reference' END AS corpus, d.doc_id % 23 > 0 AND d.doc_id % 29 = 0 AS bad, d.doc_id % 31 = 0 AS archived
+  FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)),
+based AS (
+  SELECT *, CASE
+    WHEN path = 'other/._a.md' THEN ['control', 'never', 'AppleDouble metadata'] WHEN path = 'lib/dist/a.md' THEN ['control', 'never', 'control or system path']
+    WHEN private THEN ['control', 'never', 'restricted sensitivity: private'] WHEN path = '99-attachments/a.md' THEN ['generated', 'never', 'attachment storage path']
+    WHEN bad THEN ['control', 'never', 'invalid policy field: corpus'] WHEN scope = 'never' THEN ['control', 'never', 'frontmatter retrieval_scope']
+    WHEN length(regexp_replace(body, '[^0-9A-Za-z㐀-鿿]+', '', 'g')) = 0 THEN ['generated', 'never', 'empty body'] END AS deny,
+    CASE WHEN archived THEN ['history', 'history', 'historical status'] WHEN path = 'x/ai-history/a.md' THEN ['history', 'history', 'AI conversation history path']
+    WHEN path IN ('40-archive/a.md', '50-ai/outputs/a.md') THEN ['history', 'history', 'historical path']
+    WHEN path = '30-shared-knowledge/a.md' AND card AND NOT draft THEN ['core', 'default', 'active shared knowledge card'] WHEN path = '30-shared-knowledge/a.md' THEN ['reference', 'reference', 'shared guide or source note']
+    WHEN path = '50-ai/codex-context/a.md' THEN ['core', 'default', 'explicit model context'] WHEN path = 'projects/a.md' THEN ['project', 'project', 'active project path']
+    WHEN path = 'research/a.md' THEN ['reference', 'reference', 'reference or source path'] ELSE ['reference', 'reference', 'unclassified path defaults to reference'] END AS base
+  FROM facts),
+prio(name, p) AS (VALUES ('default', 0), ('project', 1), ('reference', 2), ('history', 3)),
+asked AS (
+  SELECT b.*, CASE WHEN scope IS NULL THEN corpus WHEN corpus IS NULL THEN scope WHEN ps.p >= 2 THEN scope ELSE corpus END AS want FROM based b LEFT JOIN prio ps ON ps.name = scope),
+decided AS (
+  SELECT a.id, coalesce(deny, CASE WHEN want IS NULL THEN base WHEN pw.p < pb.p THEN [base[1], base[2], base[3] || '; ignored untrusted frontmatter promotion']
+    ELSE [CASE want WHEN 'default' THEN 'core' ELSE want END, want, 'restrictive frontmatter policy'] END) AS d
+  FROM asked a LEFT JOIN prio pw ON pw.name = want LEFT JOIN prio pb ON pb.name = base[2])"""
+
+
+def _decided(spark, sf_dir):
+    d = policy.classify(F.col("path"), F.col("front"), F.col("body"), F.col("title"), F.col("tags"))
+    return notes(spark, sf_dir).select("id", d.alias("d")).select("id", "d.corpus", "d.scope", "d.reason")
+
+
+@query("policy_classify", f"WITH {_FACTS} SELECT id, d[1] AS corpus, d[2] AS scope, d[3] AS reason FROM decided")
+def policy_classify(spark, sf_dir):
+    return _decided(spark, sf_dir)
+
+
+@query("stats_grouping_sets", f"""WITH {_FACTS}, r AS (SELECT d[1] AS corpus, d[2] AS scope, CASE WHEN d[2] = 'never' THEN split_part(d[3], ': ', 1) END AS reason FROM decided)
+SELECT corpus, scope, reason, count(*) AS notes FROM r GROUP BY GROUPING SETS ((corpus), (scope), (reason), ())""")
+def stats_grouping_sets(spark, sf_dir):
+    r = _decided(spark, sf_dir).select("corpus", "scope", F.when(F.col("scope") == "never", policy.reason_bucket(F.col("reason"))).alias("reason"))
+    return r.groupingSets([["corpus"], ["scope"], ["reason"], []], "corpus", "scope", "reason").agg(F.count(F.lit(1)).alias("notes"))
+
+
+@query("source_scope", f"WITH {_FACTS} SELECT id, CASE WHEN d[2] IN ('never', 'reference') THEN d[2] ELSE 'never' END AS scope FROM decided")
+def source_scope(spark, sf_dir):
+    return _decided(spark, sf_dir).select("id", policy.source_decision(F.col("scope"), F.lit("reference")).alias("scope"))
+
+
+@query("link_list_test", r"""WITH b AS (SELECT page_id, html AS body FROM pages),
+c AS (SELECT page_id, len(regexp_extract_all(body, '(?i)https?://\S+')) AS links, length(regexp_replace(body, '[^0-9A-Za-z㐀-鿿]+', '', 'g')) AS whole,
+  length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', ' ', 'g'), '(?s)```.*?```', ' ', 'g'), '(?m)^#{1,6}\s+.*$', ' ', 'g'),
+    '!?\[\[[^\]]+\]\]', ' ', 'g'), '!?\[[^\]]*\]\([^)]+\)', ' ', 'g'), '(?i)https?://\S+', ' ', 'g'), '(?m)^\s*\|.*\|\s*$', ' ', 'g'), '(?m)^\s*[-*+]\s*', ' ', 'g'), '[^0-9A-Za-z㐀-鿿]+', '', 'g')) AS prose FROM b)
+SELECT page_id, links > 0 AND (prose < 16 OR (links >= 3 AND (prose < 180 OR prose / greatest(whole, 1) < 0.16))) AS link_list FROM c""")
+def link_list_test(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", policy.is_link_list(F.col("html")).alias("link_list"))
+
+
+@query("exact_duplicates", f"WITH {RECORDS_SQL}, f AS (SELECT id, min(id) OVER (PARTITION BY content) AS first FROM records) SELECT id, CASE WHEN first <> id THEN first END AS duplicate_of FROM f")
+def exact_duplicates(spark, sf_dir):
+    return dedup.duplicates(records(spark, sf_dir), F.sha2("content", 256), [], "id")
+
+
+_PRIO = "CASE retrieval_scope WHEN 'default' THEN 0 WHEN 'project' THEN 1 WHEN 'reference' THEN 2 ELSE 3 END"
+
+
+@query("dedup_keep_best", f"""WITH {RECORDS_SQL}, f AS (SELECT id, first_value(id) OVER (PARTITION BY regexp_replace(lower(content), '\\s+', ' ', 'g') ORDER BY {_PRIO}, path, id) AS first FROM records)
+SELECT id, CASE WHEN first <> id THEN first END AS duplicate_of FROM f""")
+def dedup_keep_best(spark, sf_dir):
+    key = ids.body_hash(F.regexp_replace(F.lower("content"), r"\s+", " "))
+    return dedup.duplicates(records(spark, sf_dir), key, [policy.priority(F.col("retrieval_scope")), "path"], "id")
+
+
+@query("quarantine_antijoin", """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS whole, sha256(substr(coalesce(text, ''), 1, 4096)) AS start FROM documents)
+SELECT doc_id FROM h WHERE doc_id % 5 > 0 AND whole NOT IN (SELECT whole FROM h WHERE doc_id % 5 = 0) AND start NOT IN (SELECT start FROM h WHERE doc_id % 5 = 0)""")
+def quarantine_antijoin(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    h = table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("whole"), F.sha2(F.substring(t, 1, 4096), 256).alias("start"))
+    return dedup.quarantine(h.where("doc_id % 5 > 0"), h.where("doc_id % 5 = 0"), ["whole", "start"]).select("doc_id")
+
+
+@query("close_records", f"""WITH {RECORDS_SQL}, t AS (SELECT id, {TOKENS_SQL.format('content')} AS t FROM records),
+s AS (SELECT id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) <= 3 THEN [array_to_string(t, chr(1))] ELSE list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2]))) END AS s FROM t),
+c AS (SELECT s, min(id) AS id FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT id, unnest(s) AS g FROM c),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, round(n / (len(ca.s) + len(cb.s) - n), 6) AS similarity FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE n / (len(ca.s) + len(cb.s) - n) >= 0.92
+UNION ALL SELECT c.id, s.id, 1.0 FROM s JOIN c ON s.s = c.s WHERE s.id <> c.id""")
+def close_records(spark, sf_dir):
+    found = dedup.close_pairs(records(spark, sf_dir), "id", text.tokens(F.col("content"), cjk=False))
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("secret_scan")
+def secret_scan(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", secrets.finding(F.col("text")).alias("finding"))
+
+
+@query("fnv_hashes", """WITH w AS (SELECT DISTINCT c_name AS v FROM customer)
+SELECT v, list_reduce(list_transform(string_split(v, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS h FROM w""")
+def fnv_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("v")).distinct().withColumn("h", ids.fnv1a(F.col("v")))
+
+
+@query("stable_ids", r"""SELECT p_partkey, 'doc_' || rtrim(translate(to_base64(unhex(sha256(concat(encode('tessera'), '\x00'::BLOB, encode('1'), '\x00'::BLOB, encode('document'),
+  unhex(lpad(to_hex(octet_length(encode(p_brand))), 8, '0')), encode(p_brand), unhex(lpad(to_hex(octet_length(encode(p_name))), 8, '0')), encode(p_name))))), '+/', '-_'), '=') AS id FROM part""")
+def stable_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", ids.document_id(F.col("p_brand"), F.col("p_name")).alias("id"))
+
+
+@query("cdc_changes", """WITH p AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 10 > 0),
+c AS (SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 7 > 0)
+SELECT CAST(coalesce(p.doc_id, c.doc_id) AS VARCHAR) AS path, CASE WHEN p.h IS NULL THEN 'insert' WHEN c.h IS NULL THEN 'tombstone' WHEN p.h = c.h THEN 'reuse' ELSE 'update' END AS change FROM p FULL JOIN c ON p.doc_id = c.doc_id""")
+def cdc_changes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    old = d.where("doc_id % 10 > 0").select("path", F.sha2("t", 256).alias("content_sha256"))
+    new = d.where("doc_id % 7 > 0").select("path", F.sha2(F.concat("t", F.when(F.col("doc_id") % 4 == 0, "!").otherwise("")), 256).alias("content_sha256"))
+    return dedup.changes(old, new)
+
+
+@query("stable_ordinals", """WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id * 2 AS ordinal FROM documents WHERE doc_id % 3 = 0),
+n AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 3 = 1)
+SELECT path, (SELECT max(ordinal) FROM p) + row_number() OVER (ORDER BY path) AS ordinal FROM n UNION ALL SELECT path, ordinal FROM p WHERE CAST(path AS BIGINT) % 2 = 0""")
+def stable_ordinals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    old = d.where("doc_id % 3 = 0").select("path", (F.col("doc_id") * 2).alias("ordinal"))
+    return dedup.stable_ordinals(d.where("doc_id % 3 = 1 or (doc_id % 3 = 0 and doc_id % 2 = 0)").select("path"), old)
+
+
+@query("hash_chain_verify", """WITH c AS (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS own, CASE WHEN o_orderkey % 50 = 0 THEN 'broken' ELSE coalesce(lag(md5(CAST(o_orderkey AS VARCHAR))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '') END AS previous, o_custkey FROM orders)
+SELECT o_orderkey FROM (SELECT *, coalesce(lag(own) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '') AS want FROM c) WHERE previous <> want""")
+def hash_chain_verify(spark, sf_dir):
+    from pyspark.sql import Window
+
+    own = F.md5(F.col("o_orderkey").cast("string"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", own.alias("own")).withColumn("previous", F.when(F.col("o_orderkey") % 50 == 0, "broken").otherwise(F.coalesce(F.lag("own").over(w), F.lit(""))))
+    return dedup.broken_links(rows, "o_orderkey", "previous", "own", "o_custkey").select("o_orderkey")
+
+
+@query("postings_delta", """WITH p AS (SELECT l_orderkey AS id, l_returnflag || l_linestatus AS term, CAST(count(*) AS INTEGER) AS tf FROM lineitem GROUP BY 1, 2)
+SELECT id, term, tf FROM p WHERE id % 9 > 0 UNION ALL SELECT id, term, CAST(tf + 1 AS INTEGER) FROM p WHERE id % 18 = 0""")
+def postings_delta(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("term")).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return postings.merge_delta(p, p.where("id % 18 = 0").withColumn("tf", F.col("tf") + 1), p.where("id % 9 = 0").select("id").distinct())
+
+
+@query("artifact_faults", """WITH a AS (SELECT vec_id AS record_id, CASE WHEN vec_id % 40 = 0 THEN 'old' ELSE 'new' END AS v FROM embeddings WHERE vec_id % 13 > 0 UNION ALL SELECT vec_id, 'new' FROM embeddings WHERE vec_id % 100 = 1),
+r AS (SELECT vec_id AS record_id FROM embeddings WHERE vec_id % 17 > 0)
+SELECT 'duplicate' AS fault, record_id FROM a GROUP BY record_id HAVING count(*) > 1 UNION ALL SELECT 'stale', record_id FROM a JOIN r USING (record_id) WHERE v <> 'new'
+UNION ALL SELECT 'missing', record_id FROM r WHERE record_id NOT IN (SELECT record_id FROM a) UNION ALL SELECT 'extra', record_id FROM a WHERE record_id NOT IN (SELECT record_id FROM r)""")
+def artifact_faults(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"))
+    a = e.where("record_id % 13 > 0").withColumn("version_id", F.when(F.col("record_id") % 40 == 0, "old").otherwise("new")).unionByName(e.where("record_id % 100 = 1").withColumn("version_id", F.lit("new")))
+    return postings.binding_faults(a, e.where("record_id % 17 > 0").withColumn("version_id", F.lit("new")))
+
+
+@query("chunk_documents")
+def chunk_documents(spark, sf_dir):
+    return markdown.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("asof_heading", """WITH spots AS (SELECT o_custkey AS id, o_orderkey AS spot FROM orders), marks AS (SELECT o_custkey AS id, o_orderkey AS line, CAST(o_orderkey % 3 + 1 AS INTEGER) AS level, o_orderpriority AS text FROM orders WHERE o_orderkey % 2 = 0),
+last AS (SELECT s.id, s.spot, m.level, max(m.line) AS line, arg_max(m.text, m.line) AS text FROM spots s JOIN marks m ON m.id = s.id AND m.line <= s.spot GROUP BY 1, 2, 3)
+SELECT s.id, s.spot, p.path FROM spots s LEFT JOIN (SELECT id, spot, string_agg(text, ' › ' ORDER BY level) AS path FROM last l WHERE NOT EXISTS (SELECT 1 FROM last h WHERE h.id = l.id AND h.spot = l.spot AND h.level < l.level AND h.line > l.line) GROUP BY 1, 2) p ON p.id = s.id AND p.spot = s.spot""")
+def asof_heading(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    marks = o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("line"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("level"), F.col("o_orderpriority").alias("text"))
+    return markdown.active_heading(marks, o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("spot")))
+
+
+@query("topic_assignment")
+def topic_assignment(spark, sf_dir):
+    topics, _ = manifest.topics_table(spark, None)
+    return manifest.assign_topics(records(spark, sf_dir), topics)
+
+
+@query("dominant_values", """WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey, v AS o_orderpriority, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, v) AS r FROM c) WHERE r = 1""")
+def dominant_values(spark, sf_dir):
+    return dedup.mode_value(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("strict_majority", """WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey, v AS o_orderpriority, n FROM (SELECT *, sum(n) OVER (PARTITION BY o_custkey) AS t FROM c) WHERE n * 2 > t""")
+def strict_majority(spark, sf_dir):
+    return dedup.mode_value(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", strict=True)
+
+
+@query("percentiles_by_kind", """SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, min(value) AS low, max(value) AS high FROM events GROUP BY 1""")
+def percentiles_by_kind(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    p = lambda q: F.percentile("value", q)
+    return e.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query("compiled_catalog", """WITH u AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id, sha256(coalesce(text, '')) AS h, CASE WHEN doc_id % 9 = 0 THEN 'never' ELSE 'reference' END AS s FROM documents WHERE doc_id % 6 > 0),
+p AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id AS ordinal FROM documents WHERE doc_id % 2 = 0),
+f AS (SELECT h, arg_min('d' || doc_id, path) AS first FROM u WHERE s <> 'never' GROUP BY h),
+n AS (SELECT path, (SELECT max(ordinal) FROM p) + row_number() OVER (ORDER BY path) AS ordinal FROM u WHERE path NOT IN (SELECT path FROM p))
+SELECT u.path, coalesce(p.ordinal, n.ordinal) AS ordinal, CASE WHEN s <> 'never' AND first <> 'd' || u.doc_id THEN first END AS duplicate_of, false AS tombstone, p.path IS NOT NULL AS seen_before FROM u LEFT JOIN p USING (path) LEFT JOIN n USING (path) LEFT JOIN f USING (h)
+UNION ALL SELECT path, ordinal, NULL, true, true FROM p WHERE path NOT IN (SELECT path FROM u)""")
+def compiled_catalog(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    i, stamp = F.col("doc_id"), F.lit(datetime(2024, 1, 1)).cast("timestamp")
+    path, doc = i.cast("string").alias("path"), F.concat(F.lit("d"), i.cast("string")).alias("document_id")
+    h = F.sha2(F.coalesce("text", F.lit("")), 256)
+    units = d.where("doc_id % 6 > 0").select(path, doc, h.alias("content_sha256"), h.alias("norm_sha256"), F.length("text").cast("long").alias("byte_length"), stamp.alias("mtime"), F.lit("reference").alias("corpus"), F.when(i % 9 == 0, "never").otherwise("reference").alias("retrieval_scope"))
+    old = d.where("doc_id % 2 = 0").select(path, doc, i.alias("ordinal"), h.alias("content_sha256"), h.alias("norm_sha256"), F.length("text").cast("long").alias("byte_length"), stamp.alias("mtime"), stamp.alias("first_seen"), stamp.alias("last_seen"), F.lit(None).cast("timestamp").alias("tombstone_at"), F.lit(None).cast("string").alias("duplicate_of"), F.lit("reference").alias("corpus"), F.lit("reference").alias("retrieval_scope"))
+    got = catalog.next_catalog(units, old, datetime(2025, 1, 1))
+    return got.select("path", "ordinal", "duplicate_of", F.col("tombstone_at").isNotNull().alias("tombstone"), (F.col("first_seen") == stamp).alias("seen_before"))
+
+
+@query("color_blend", r"""WITH c AS (SELECT n_nationkey AS k, (n_nationkey * 40503) % 16777216 AS v FROM nation), rgb AS (SELECT k, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b FROM c),
+l AS (SELECT k, list_transform([r, g, b], lambda x: CASE WHEN x / 255.0 <= 0.04045 THEN x / 255.0 / 12.92 ELSE pow((x / 255.0 + 0.055) / 1.055, 2.4) END) AS l FROM rgb)
+SELECT k, CAST(round(255 * list_transform(l, lambda y: CASE WHEN y * 0.5 <= 0.0031308 THEN y * 0.5 * 12.92 ELSE 1.055 * pow(y * 0.5, 1 / 2.4) - 0.055 END)[1]) AS INTEGER) AS r,
+  CAST(round(255 * list_transform(l, lambda y: CASE WHEN y * 0.5 <= 0.0031308 THEN y * 0.5 * 12.92 ELSE 1.055 * pow(y * 0.5, 1 / 2.4) - 0.055 END)[2]) AS INTEGER) AS g,
+  CAST(round(255 * list_transform(l, lambda y: CASE WHEN y * 0.5 <= 0.0031308 THEN y * 0.5 * 12.92 ELSE 1.055 * pow(y * 0.5, 1 / 2.4) - 0.055 END)[3]) AS INTEGER) AS b FROM l""")
+def color_blend(spark, sf_dir):
+    """Nation colours at half their light."""
+    v = (F.col("n_nationkey").cast("long") * 40503) % 16777216
+    c = F.concat(F.lit("#"), F.lpad(F.hex(v), 6, "0"))
+    rgb = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), numeric.rgb(c).alias("c"))
+    half = lambda x: numeric.from_linear(numeric.to_linear(F.col(f"c.{x}")) * 0.5).cast("int").alias(x)
+    return rgb.select("k", half("r"), half("g"), half("b"))

@@ -1,0 +1,40 @@
+"""First sensitive finding in a text: local paths, strong credentials, then assignments of secrets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# fixed values: detectors in order; RE2 and Java read them alike
+DETECTORS = [
+    ("macOS user path", r"(?i)/Users/[^\s'\"`/]+"),
+    ("macOS volume path", r"(?i)/Volumes/[^\s'\"`/]+"),
+    ("Linux user path", r"(?i)/home/[^\s'\"`/]+"),
+    ("temporary local path", r"(?i)/tmp/[^\s'\"`]*"),
+    ("macOS private temporary path", r"(?i)/private/var/[^\s'\"`]*"),
+    ("Windows user path", r"(?i)[A-Z]:[\\/]{1,2}Users[\\/]{1,2}[^\s'\"`\\/]+"),
+    ("private key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    ("GitHub token", r"\b(?:github_pat_[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{20,})\b"),
+    ("GitLab token", r"\bglpat-[A-Za-z0-9_-]{20,}\b"),
+    ("Hugging Face token", r"\bhf_[A-Za-z0-9]{30,}\b"),
+    ("AWS access key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
+    ("Google API key", r"\bAIza[A-Za-z0-9_-]{30,}\b"),
+    ("Slack token", r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b"),
+    ("live Stripe secret", r"\bsk_live_[A-Za-z0-9]{16,}\b"),
+    ("OpenAI-style secret", r"\bsk-[A-Za-z0-9_-]{32,}\b"),
+    ("JWT", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"),
+    ("Bearer credential", r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{24,}\b"),
+    ("Basic credential", r"(?i)\bBasic\s+[A-Za-z0-9+/]{24,}={0,2}"),
+    ("credential-bearing URL", r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@"),
+]
+ASSIGNMENT = r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)\b\s*[:=]\s*['\"`]?([A-Za-z0-9+/_=.-]{20,})"
+PLACEHOLDER = r"(?i)change[-_ ]?me|dummy|example|placeholder|replace[-_ ]?with|sample|synthetic|test[-_]|your[-_ ]"
+
+
+def finding(content: Column) -> Column:
+    """Name of the first detector that matches; null if none does."""
+    values = F.regexp_extract_all(content, F.lit(ASSIGNMENT), 1)
+    out = F.when(F.exists(values, lambda v: ~v.rlike(PLACEHOLDER)), "credential-like assignment")
+    for name, pattern in reversed(DETECTORS):
+        out = F.when(content.rlike(pattern), name).otherwise(out)
+    return out
