@@ -136,8 +136,8 @@ def fnv_hashes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_name").alias("v")).distinct().withColumn("h", ids.fnv1a(F.col("v")))
 
 
-@query("stable_ids", r"""SELECT p_partkey, 'doc_' || rtrim(translate(to_base64(unhex(sha256(concat(encode('tessera'), '\x00'::BLOB, encode('1'), '\x00'::BLOB, encode('document'),
-  unhex(lpad(to_hex(octet_length(encode(p_brand))), 8, '0')), encode(p_brand), unhex(lpad(to_hex(octet_length(encode(p_name))), 8, '0')), encode(p_name))))), '+/', '-_'), '=') AS id FROM part""")
+@query("stable_ids", r"""SELECT p_partkey, 'doc_' || rtrim(translate(to_base64(unhex(sha256(encode('tessera') || '\x00'::BLOB || encode('1') || '\x00'::BLOB || encode('document')
+  || unhex(lpad(hex(octet_length(encode(p_brand))), 8, '0')) || encode(p_brand) || unhex(lpad(hex(octet_length(encode(p_name))), 8, '0')) || encode(p_name)))), '+/', '-_'), '=') AS id FROM part""")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ids.document_id(F.col("p_brand"), F.col("p_name")).alias("id"))
 
