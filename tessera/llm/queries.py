@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, jaccard, packing, quality, sharding, suffix_dedup, url_filter, vector_dedup
+from tessera.llm import ann, chat, jaccard, packing, pieces, quality, sharding, suffix_dedup, url_filter, vector_dedup
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -48,6 +48,8 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 
 #: The tokenizer of op3, by its name among the public vocabulary files.
 PACKING_VOCABULARY = "word_bpe_49k.json"
+#: The vocabulary of op10.
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -107,6 +109,10 @@ def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(vocabulary(PIECE_VOCABULARY)))
+
+
 OP9_SQL = f"""
 WITH bits AS (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
@@ -138,6 +144,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_subspace_join": (op7_subspace_join, None),
     "op8_jaccard": (op8_jaccard, None),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
+    "op10_sentencepiece": (op10_sentencepiece, None),
 }
 
 
