@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import text_column
 
 #: At most so many rows of each kind (trusted positives, unlabelled, calibration) fit the model.
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 FOLDS = 5
 THRESHOLD = 0.3
 _CLASSES = 48
@@ -131,17 +131,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 100, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with the logistic-like sigmoid loss."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(positive.shape[1]), 0.0
+    scale = 4.0  # features are root frequencies, most of them small
     m1, m2, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     size = 256
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
         for at in range(0, len(order), size):
-            u = unlabelled[order[at : at + size]]
-            p = positive[rng.integers(0, len(positive), min(size, len(positive)))]
+            u = unlabelled[order[at : at + size]].astype(np.float32) * scale
+            p = positive[rng.integers(0, len(positive), min(size, len(positive)))].astype(np.float32) * scale
             zp, zu = p @ w + b, u @ w + b
             sp, su = _sigmoid(zp), _sigmoid(zu)
             # logistic loss: log(1 + e^-z) for the positive class, log(1 + e^z) for the negative one
@@ -158,7 +159,11 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: i
             move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
             w -= move[:-1]
             b -= move[-1]
-    return w, float(b)
+    return w * scale, float(b)
+
+
+def margins(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    return np.concatenate([x[i : i + 1024].astype(np.float32) @ w + b for i in range(0, len(x), 1024)])
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -214,15 +219,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = known.where(F.when(F.col("_q") == 1, spot(1) < rows / n_pos).otherwise(spot(1) < rows / n_neg))
     labelled = base.join(F.broadcast(wanted), "_id").select(F.col("_q").alias("kind"), "text")  # at most about 2 * rows ids
     free = base.where(spot(2) < rows / max(n_docs, 1)).select(F.lit(2).alias("kind"), "text")
-    got = _features(labelled.unionByName(free)).toPandas()  # about 3 * rows feature rows
-    x = {k: np.frombuffer(b"".join(g["x"]), np.float16).reshape(-1, N_FEATURES).astype(np.float32) for k, g in got.groupby("kind")}
-    if 1 not in x or 0 not in x or 2 not in x:
+    table = _features(labelled.unionByName(free)).toArrow()  # about 3 * rows feature rows
+    kind = table.column("kind").to_numpy()
+    flat = table.column("x").combine_chunks()
+    # rows of one width lie end to end in the column's buffer; they stay in half precision until used
+    every = np.frombuffer(flat.buffers()[2], np.float16, len(kind) * N_FEATURES).reshape(-1, N_FEATURES) if len(kind) else np.zeros((0, N_FEATURES), np.float16)
+    x = {k: every[kind == k] for k in (0, 1, 2)}
+    if not all(map(len, x.values())):
         return float(n_pos / (n_pos + n_neg))
     prior = min(0.98, max(0.02, n_pos / (n_pos + n_neg)))
-    scale = 4.0
-    w, b = fit_pu(x[1] * scale, x[2] * scale, prior)
-    w *= scale
-    m1, m0 = x[1] @ w + b, x[0] @ w + b
+    w, b = fit_pu(x[1], x[2], prior)
+    m1, m0 = margins(x[1], w, b), margins(x[0], w, b)
     shares = np.concatenate([np.full(len(m1), prior / len(m1)), np.full(len(m0), (1 - prior) / len(m0))]) * (len(m1) + len(m0))
     a, c = calibrate(np.concatenate([m1, m0]), np.concatenate([np.ones(len(m1)), np.zeros(len(m0))]), shares)
     return Model(w.astype(np.float32), b, a, c)
