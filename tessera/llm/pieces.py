@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts become words: a run of spaces (written ``▁``) with what follows it. No piece spans a word's end, which is checked
-against the vocabulary, nor the place before a mark that no piece has after a letter, so words are encoded on their
-own, each distinct word once. Substrings of bounded length are exploded and equi-joined to the piece table (bounded by
+against the vocabulary, so words are encoded on their own, each distinct word once. Substrings of bounded length are exploded and equi-joined to the piece table (bounded by
 the vocabulary); a word's edges are grouped, and a higher-order ``aggregate`` folds them:
 
 * for vocabularies with unigram scores, Viterbi: the best-scored path to each place;
@@ -25,7 +24,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +48,6 @@ class Vocabulary:
     scores: Sequence[float]
     byte_base: int | None
     merges: bool
-    cut_before: str = field(default="")
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -69,10 +67,7 @@ class Vocabulary:
             raise ValueError("a piece spans words")
         if max(map(len, pieces), default=0) >= _KEY or len(pieces) > 1 << 20:
             raise ValueError("the vocabulary is too large to broadcast")
-        after_letter = {p[k] for p in pieces for k in range(1, len(p)) if p[k - 1].isalpha()}
-        inside = {c for p in pieces if len(p) > 1 for c in p}
-        cut = "".join(c for c in ".,;:!?\n" if c not in after_letter)
-        return cls(pieces, ids, scores, byte_base, merges, cut + "".join(c for c in "\n\t" if c not in inside and c not in cut))
+        return cls(pieces, ids, scores, byte_base, merges)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame({"piece": self.pieces, "id": self.ids, "score": self.scores}), "piece string, id int, score double")
@@ -82,16 +77,14 @@ class Vocabulary:
         return max(map(len, self.pieces), default=1)
 
 
-def words(text: Column, vocabulary: Vocabulary) -> Column:
-    """The words of a text, in order."""
+def words(text: Column) -> Column:
+    """The words of a text, in order: spaces and what follows them; a text starts with a space of its own."""
     spaced = F.translate(F.concat(F.lit(" "), text), " ", SPACE)
-    cut = "".join("\\n" if c == "\n" else "\\t" if c == "\t" else "\\" + c for c in vocabulary.cut_before)
-    if cut:
-        # letters up to a mark that no piece has after a letter; else everything up to a space
-        pattern = f"({SPACE}*[^{SPACE}]+?(?<=\\p{{L}})(?=[{cut}])|{SPACE}*[^{SPACE}]+|{SPACE}+)"
-    else:
-        pattern = f"({SPACE}*[^{SPACE}]+|{SPACE}+)"
-    return F.when(F.length(text) > 0, F.regexp_extract_all(spaced, F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
+    general = F.regexp_extract_all(spaced, F.lit(f"({SPACE}*[^{SPACE}]+|{SPACE}+)"), 1)
+    # most texts have single spaces only, and are split without a pattern
+    single = ~(text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.contains(SPACE))
+    plain = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(SPACE), w))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(single, plain).otherwise(general)
 
 
 def _let(value: Column, f) -> Column:
@@ -187,40 +180,37 @@ def merge_word(word: str, rank: dict[str, tuple[float, int]], byte_base: int | N
 
 def encode_words(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds ``ids`` to a table of distinct words (column ``word``); work stays in the partitions of the words."""
-    table = vocabulary.table(distinct.sparkSession)
+    spark = distinct.sparkSession
+    # every word meets the empty piece, so a word without any other edge keeps its row
+    table = vocabulary.table(spark).unionByName(spark.range(1).select(F.lit("").alias("piece"), F.lit(-1).alias("id"), F.lit(_WORSE).alias("score")))
     others = [c for c in distinct.columns if c != "word"]
     n = F.length("word")
-    if vocabulary.merges:
-        short = distinct.where(n <= LONG_WORD)
-    else:
-        short = distinct
-    spots = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(vocabulary.longest))), lambda k: F.struct((s * _KEY + k).alias("key"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
-    edges = short.select("word", *others, F.inline(spots)).join(F.broadcast(table), "piece", "left")
-    # one row per word without edges, too: every word has at least one substring
-    entry = F.when(F.col("id").isNotNull(), F.struct("key", F.struct("score", "id").alias("value")))
-    grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), *[F.first(c).alias(c) for c in others])
-    if vocabulary.merges:
-        bounds = fold_merges(F.length("word"), F.col("m"))
-    else:
-        bounds = fold_viterbi(F.length("word"), F.col("m"), vocabulary.longest, min(vocabulary.scores, default=0.0) - 10.0)
-    done = grouped.select("word", *others, _ids(F.col("word"), bounds, F.col("m"), vocabulary.byte_base).alias("ids"))
+    folded = n <= LONG_WORD if vocabulary.merges else F.lit(True)
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(vocabulary.longest))), lambda k: F.struct((s * _KEY + k).alias("key"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
+    nothing = F.array(F.struct(F.lit(0).alias("key"), F.lit("").alias("piece")))
+    spots = F.when(folded, F.concat(nothing, inner)).otherwise(nothing)
+    edges = distinct.select("word", *others, F.inline(spots)).join(F.broadcast(table), "piece")
+    grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("score", "id").alias("value")))).alias("m"), *[F.first(c).alias(c) for c in others])
     if not vocabulary.merges:
-        return done
+        bounds = fold_viterbi(n, F.col("m"), vocabulary.longest, min(vocabulary.scores, default=0.0) - 10.0)
+        return grouped.select("word", *others, _ids(F.col("word"), bounds, F.col("m"), vocabulary.byte_base).alias("ids"))
     rank = {p: (s, i) for p, i, s in zip(vocabulary.pieces, vocabulary.ids, vocabulary.scores)}
     base = vocabulary.byte_base
 
     @F.pandas_udf("array<int>")
     def merged(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: merge_word(x, rank, base))
+        return w.map(lambda x: merge_word(x, rank, base), na_action="ignore")
 
-    return done.unionByName(distinct.where(n > LONG_WORD).select("word", *others, merged("word").alias("ids")))
+    long = merged(F.when(~folded, F.col("word")))
+    short = F.when(folded, _ids(F.col("word"), fold_merges(n, F.col("m")), F.col("m"), base))
+    return grouped.withColumn("_long", long).select("word", *others, F.coalesce("_long", short).alias("ids"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, word_no, ids) of every word of every text, as two tables: frequent words and the rest."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), vocabulary).alias("w"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("w"))
     counted = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     coded = scratch.save(encode_words(counted, vocabulary), "words")
     classes = coded.groupBy(F.floor(F.log2("n")).alias("c")).count().collect()  # at most 64 rows
