@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 # fixed values: names that the rules know
 CONTROL_SEGMENTS = [".agents", ".codex", ".git", ".github", ".obsidian", ".trash", "__pycache__", "build", "dist", "node_modules"]
 GENERATED_TYPES = ["generated", "knowledge-index", "knowledge-point-index", "rag-index", "rag-document-map"]
@@ -87,9 +89,9 @@ def prose_length(body: Column) -> Column:
 
 def is_link_list(body: Column) -> Column:
     """Links with hardly any prose."""
-    links, prose = link_count(body), prose_length(body)
-    whole = F.greatest(F.length(F.regexp_replace(body, _KEPT, "")), F.lit(1))
-    return (links > 0) & ((prose < 16) | ((links >= 3) & ((prose < 180) | (prose / whole < 0.16))))
+    facts = F.struct(link_count(body).alias("links"), prose_length(body).alias("prose"), F.greatest(F.length(F.regexp_replace(body, _KEPT, "")), F.lit(1)).alias("whole"))
+    few = lambda x: (x["prose"] < 16) | ((x["links"] >= 3) & ((x["prose"] < 180) | (x["prose"] / x["whole"] < 0.16)))
+    return let(facts, lambda x: (x["links"] > 0) & few(x))
 
 
 def is_navigation(path: Column, title: Column, tags: Column, kind: Column, body: Column) -> Column:
@@ -99,15 +101,28 @@ def is_navigation(path: Column, title: Column, tags: Column, kind: Column, body:
 
 
 def classify(path: Column, front: Column, body: Column, title: Column, tags: Column) -> Column:
-    """STRUCT<corpus, scope, reason> by the first rule that holds, then narrowed by frontmatter."""
+    """STRUCT<corpus, scope, reason> by the first rule that holds, then narrowed by frontmatter.
+
+    Each value that several rules use is bound once, so the expression grows with the rules and not with their product.
+    """
     low = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", ""), "/{2,}", "/"))
-    parts = F.split(low, "/")
-    name, head = F.element_at(parts, -1), F.element_at(parts, 1)
-    kind, status, secrecy = (scalar(front, k) for k in ("type", "status", "sensitivity"))
-    role = F.when(scalar(front, "record_role") != "", scalar(front, "record_role")).otherwise(scalar(front, "role"))
     scope, bad_scope = field(front, "retrieval_scope", SCOPE_WORDS, True)
     corpus, bad_corpus = field(front, "corpus", CORPUS_WORDS, False)
-    hidden, graph_reason = truthy(front, "graph_exclude"), scalar(front, "graph_exclude_reason")
+    facts = F.struct(
+        low.alias("low"), *[scalar(front, k).alias(k) for k in ("type", "status", "sensitivity", "record_role", "role", "graph_exclude_reason")],
+        *[truthy(front, k).alias(k) for k in ("graph_exclude", "archived", "generated", "__policy_parse_error")],
+        scope.alias("scope"), bad_scope.alias("bad_scope"), corpus.alias("corpus"), bad_corpus.alias("bad_corpus"),
+    )
+    return let(facts, lambda x: _decide(x, body, title, tags))
+
+
+def _decide(x: Column, body: Column, title: Column, tags: Column) -> Column:
+    low, kind, status, secrecy = x["low"], x["type"], x["status"], x["sensitivity"]
+    parts = F.split(low, "/")
+    name, head = F.element_at(parts, -1), F.element_at(parts, 1)
+    role = F.when(x["record_role"] != "", x["record_role"]).otherwise(x["role"])
+    scope, bad_scope, corpus, bad_corpus = x["scope"], x["bad_scope"], x["corpus"], x["bad_corpus"]
+    hidden, graph_reason = x["graph_exclude"], x["graph_exclude_reason"]
     under = lambda *p: low.rlike("^(?:" + "|".join(x.replace("-", r"\-") for x in p) + ")")
     decision = lambda *parts: [p if isinstance(p, Column) else F.lit(p) for p in parts]
     never = lambda c, r: decision(c, "never", r)
@@ -117,13 +132,13 @@ def classify(path: Column, front: Column, body: Column, title: Column, tags: Col
         (name.startswith("._"), never("control", "AppleDouble metadata")),
         (F.arrays_overlap(parts, F.array(*map(F.lit, CONTROL_SEGMENTS))), never("control", "control or system path")),
         (name.isin("agents.md", "agent.md"), never("control", "agent instruction document")),
-        (truthy(front, "__policy_parse_error"), never("control", "invalid frontmatter policy syntax")),
+        (x["__policy_parse_error"], never("control", "invalid frontmatter policy syntax")),
         (sensitive, never("control", F.concat(F.lit("restricted sensitivity: "), secrecy))),
         ((secrecy != "") & ~secrecy.isin(OPEN), never("control", "unrecognized sensitivity policy")),
         ((head == "80-knowledge-index") | F.array_contains(parts, "_generated"), never("generated", "generated knowledge index")),
         (head == "99-attachments", never("generated", "attachment storage path")),
         (bad_scope | bad_corpus, never("control", invalid)),
-        (kind.isin(GENERATED_TYPES) | truthy(front, "generated"), never("generated", F.concat(F.lit("generated type: "), kind))),
+        (kind.isin(GENERATED_TYPES) | x["generated"], never("generated", F.concat(F.lit("generated type: "), kind))),
         (corpus.isin("control", "generated"), never(corpus, F.concat(F.lit("frontmatter corpus: "), corpus))),
         (scope == "never", never("control", "frontmatter retrieval_scope")),
         (~has_body(body), never("generated", "empty body")),
@@ -133,7 +148,7 @@ def classify(path: Column, front: Column, body: Column, title: Column, tags: Col
     history = lambda r: decision("history", "history", r)
     base = [
         (under("50-ai/prompts/legacy/"), history("legacy instruction reference")),
-        (truthy(front, "archived") | status.rlike("^(?:archived|historical|superseded)"), history("historical status")),
+        (x["archived"] | status.rlike("^(?:archived|historical|superseded)"), history("historical status")),
         (role.isin(HISTORY_ROLES), history(F.concat(F.lit("historical role: "), role))),
         (F.exists(tags, lambda t: t.rlike(r"(?i)^(?:archive|status/imported-archive)(?:/|$)")), history("archive tag")),
         (hidden, history("frontmatter graph_exclude")),
@@ -154,18 +169,18 @@ def classify(path: Column, front: Column, body: Column, title: Column, tags: Col
         return out
 
     plain = F.struct(F.lit("reference").alias("corpus"), F.lit("reference").alias("scope"), F.lit("unclassified path defaults to reference").alias("reason"))
-    start = cascade(base, plain)
     corpus_scope = F.when(corpus == "core", "default").when(corpus.isin("project", "reference", "history"), corpus)
-    asked = F.when(F.coalesce(priority(scope), F.lit(-1)) >= F.coalesce(F.when(corpus_scope.isNotNull(), priority(corpus_scope)), F.lit(-1)), scope).otherwise(corpus_scope)
-    asked = F.when(scope.isNull(), corpus_scope).otherwise(asked)
-    asked_corpus = F.when(corpus_scope == asked, corpus).when(asked == "default", "core").otherwise(asked)
-    promoted = priority(asked) < priority(start["scope"])
-    narrowed = (
-        F.when(asked.isNull(), start)
-        .when(promoted, F.struct(start["corpus"].alias("corpus"), start["scope"].alias("scope"), F.concat(start["reason"], F.lit("; ignored untrusted frontmatter promotion")).alias("reason")))
-        .otherwise(F.struct(asked_corpus.alias("corpus"), asked.alias("scope"), F.lit("restrictive frontmatter policy").alias("reason")))
-    )
-    return cascade(deny, narrowed)
+    stricter = F.when(corpus_scope.isNull() | (priority(scope) >= priority(corpus_scope)), scope).otherwise(corpus_scope)
+    wish = F.struct(F.when(scope.isNull(), corpus_scope).otherwise(stricter).alias("scope"), corpus_scope.alias("by_corpus"))
+
+    def narrow(both: Column) -> Column:
+        start, asked = both["start"], both["wish"]["scope"]
+        asked_corpus = F.when(both["wish"]["by_corpus"] == asked, corpus).when(asked == "default", "core").otherwise(asked)
+        kept = F.struct(start["corpus"].alias("corpus"), start["scope"].alias("scope"), F.concat(start["reason"], F.lit("; ignored untrusted frontmatter promotion")).alias("reason"))
+        taken = F.struct(asked_corpus.alias("corpus"), asked.alias("scope"), F.lit("restrictive frontmatter policy").alias("reason"))
+        return F.when(asked.isNull(), start).when(priority(asked) < priority(start["scope"]), kept).otherwise(taken)
+
+    return cascade(deny, let(F.struct(cascade(base, plain).alias("start"), wish.alias("wish")), narrow))
 
 
 def source_decision(path_scope: Column, source_scope: Column) -> Column:

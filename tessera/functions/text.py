@@ -152,7 +152,7 @@ def term_weight(text: Column, term: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Trimmed sentences, without empty ones."""
     parts = F.regexp_extract_all(c, F.lit("([^.!?。！？\\n]+[.!?。！？]?)"), 1)
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def humanize(c: Column) -> Column:
