@@ -4,8 +4,9 @@ Centroids are fitted by balanced k-means on at most ``SAMPLE`` vectors; every ve
 lists of its nearest centroid and, near a boundary, of up to ``COPIES`` centroids whose distance is within
 ``1 + CLOSURE`` of the least, unless a chosen centroid lies nearer to that centroid than the vector does. Centroids
 are found by best-first search over an in-memory neighbour graph of at most ``MOST_LISTS`` centroids, the only thing
-that is sent to all tasks. A query reads the lists whose centroid lies within ``1 + PROBE`` of its least distance;
-if these hold fewer than ``LEAST`` vectors, further lists are read in order of distance, to the last one if need be,
+that is sent to all tasks. A query reads the lists whose centroid lies within a ratio of its least distance. The ratio
+is fitted on the sample: it reaches a list of ``TARGET`` of the true neighbours of ``PROBED`` sample vectors among
+the sample. If the lists read hold fewer than ``LEAST`` vectors, further lists are read in order of distance, to the last one if need be,
 so that a query gets ``k`` neighbours wherever there are so many.
 
 Lists are cut into pieces of at most ``PIECE_ROWS`` vectors, so that neither a common vector nor a dense region is one
@@ -37,7 +38,8 @@ LIST_ROWS = 256
 MOST_LISTS = 4096
 COPIES = 8
 CLOSURE = 0.1
-PROBE = 0.09
+TARGET = 0.99
+PROBED = 256
 LEAST = 100
 PIECE_ROWS = 4096
 QUERY_ROWS = 1024
@@ -126,6 +128,39 @@ class CentroidGraph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
+def lists_of(graph: CentroidGraph, apart: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its nearest centroids, and which of them it joins."""
+    ids, dist = graph.search(x, 2 * COPIES)
+    joined = np.zeros(ids.shape, bool)
+    joined[:, 0] = True
+    for j in range(1, ids.shape[1]):
+        ok = (ids[:, j] >= 0) & (dist[:, j] <= (1 + CLOSURE) * dist[:, 0]) & (joined.sum(1) < COPIES)
+        for i in range(j):
+            ok &= ~joined[:, i] | (apart[ids[:, j], ids[:, i]] >= dist[:, j])
+        joined[:, j] = ok
+    return ids, joined
+
+
+def fit_ratio(graph: CentroidGraph, x: np.ndarray, k: int, seed: int = 5) -> float:
+    """The distance ratio within which ``TARGET`` of the true neighbours of some sample vectors have a list."""
+    if len(x) < 2 or len(graph.centroids) < 2:
+        return 1.0
+    chosen = np.random.default_rng(seed).choice(len(x), min(PROBED, len(x)), replace=False)
+    apart = distances(graph.centroids, graph.centroids)
+    parts = [lists_of(graph, apart, x[i : i + 2048]) for i in range(0, len(x), 2048)]
+    ids, joined = (np.concatenate(p) for p in zip(*parts))
+    need = []
+    for q in chosen.tolist():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        near = np.argpartition(d, min(k, len(d) - 1) - 1)[:k]
+        near = near[np.isfinite(d[near])]
+        to = distances(x[q : q + 1], graph.centroids)[0]
+        reach = np.where(joined[near], to[ids[near]], np.inf).min(1)
+        need.append(reach / max(to.min(), 1e-12))
+    return float(np.quantile(np.concatenate(need), TARGET))
+
+
 def _assign(graph: CentroidGraph):
     """(list, vec_id, row, v) for each list that a vector joins; ``first`` marks its nearest."""
 
@@ -135,14 +170,7 @@ def _assign(graph: CentroidGraph):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = matrix(part.column(2))
-                ids, dist = graph.search(x, 2 * COPIES)
-                joined = np.zeros(ids.shape, bool)
-                joined[:, 0] = True
-                for j in range(1, ids.shape[1]):
-                    ok = (ids[:, j] >= 0) & (dist[:, j] <= (1 + CLOSURE) * dist[:, 0]) & (joined.sum(1) < COPIES)
-                    for i in range(j):
-                        ok &= ~joined[:, i] | (apart[ids[:, j], ids[:, i]] >= dist[:, j])
-                    joined[:, j] = ok
+                ids, joined = lists_of(graph, apart, x)
                 r, j = np.nonzero(joined)
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), pa.array(j == 0), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], names=["list", "first", "vec_id", "row", "v"])
@@ -150,7 +178,7 @@ def _assign(graph: CentroidGraph):
     return run
 
 
-def _probe(graph: CentroidGraph, held: np.ndarray):
+def _probe(graph: CentroidGraph, held: np.ndarray, ratio: float):
     """(list, query_id, query_row, q) for each list that a query reads; ``held`` counts the vectors at home in a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +189,7 @@ def _probe(graph: CentroidGraph, held: np.ndarray):
                 ids, dist = graph.search(x, len(graph.centroids))
                 reached = np.cumsum(np.where(ids >= 0, held[ids], 0), 1)
                 before = np.concatenate([np.zeros((len(x), 1), np.int64), reached[:, :-1]], 1)
-                read = (ids >= 0) & ((dist <= (1 + PROBE) * dist[:, :1]) | (before < LEAST)) & (held[ids] >= 0)
+                read = (ids >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (before < LEAST)) & (held[ids] >= 0)
                 r, j = np.nonzero(read)
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], names=["list", "query_id", "query_row", "q"])
@@ -211,7 +239,7 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     for r in count.collect():  # at most MOST_LISTS rows
         held[r["list"]] = r["home"]
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "row", "v")
-    probes = scratch.save(queries.mapInArrow(_probe(graph, held), f"list int, query_id long, query_row long, q {df.schema[vec_col].dataType.simpleString()}"), "probes")
+    probes = scratch.save(queries.mapInArrow(_probe(graph, held, fit_ratio(graph, x, k)), f"list int, query_id long, query_row long, q {df.schema[vec_col].dataType.simpleString()}"), "probes")
     pieces = count.select("list", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
     asked = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("groups"))
     plan = pieces.join(asked, "list")
