@@ -124,7 +124,14 @@ def close_records(spark, sf_dir):
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("secret_scan")
+def _secret_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN regexp_matches(text, {quote(p)}) THEN {quote(n)}" for n, p in secrets.DETECTORS)
+    values = f"list_filter(regexp_extract_all(text, {quote(secrets.ASSIGNMENT)}, 1), lambda v: NOT regexp_matches(v, {quote(secrets.PLACEHOLDER)}))"
+    return f"SELECT doc_id, CASE {cases} WHEN len({values}) > 0 THEN 'credential-like assignment' END AS finding FROM documents"
+
+
+@query("secret_scan", _secret_sql())
 def secret_scan(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", secrets.finding(F.col("text")).alias("finding"))
