@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,13 +43,16 @@ def close_pairs(df: DataFrame, id_col: str, tokens: Column, at_least: float = 0.
     copies = sets.join(classes.withColumnRenamed("id", "first"), "s").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     n = F.size("s")
     front = classes.select("id", n.alias("n"), "s", F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(F.lit(at_least) * n) + 1).cast("int"))).alias("pos", "h"))
-    slim = front.select("id", "n", "pos", "h")
+    # sizes of close sets lie in neighbouring bands, so a frequent hash is shared by a band's records at most
+    band = F.floor(F.log("n") / F.lit(-math.log(at_least) if at_least < 1 else 1e-9)).cast("long")
+    slim = front.select("id", "n", "pos", "h", band.alias("band"))
     x, y = (slim.select(*[F.col(c).alias(f"{p}_{c}") for c in slim.columns]) for p in "xy")
+    y = y.withColumn("y_band", F.explode(F.array(F.col("y_band") - 1, F.col("y_band"), F.col("y_band") + 1)))
     overlap = F.lit(at_least / (1 + at_least)) * (F.col("x_n") + F.col("y_n"))
     room = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
     near = (F.col("x_id") < F.col("y_id")) & (F.least("x_n", "y_n") >= at_least * F.greatest("x_n", "y_n") - 1e-9)
     # a pair is counted at every shared front hash; the first one bounds what the sets can share
-    pairs = x.join(y, (F.col("x_h") == F.col("y_h")) & near).groupBy("x_id", "y_id").agg(F.max(room).alias("room"), F.min(overlap).alias("need"), F.count(F.lit(1)).alias("shared"))
+    pairs = x.join(y, (F.col("x_h") == F.col("y_h")) & (F.col("x_band") == F.col("y_band")) & near).groupBy("x_id", "y_id").agg(F.max(room).alias("room"), F.min(overlap).alias("need"), F.count(F.lit(1)).alias("shared"))
     pairs = pairs.where(F.col("room") + 1e-9 >= F.col("need")).select("x_id", "y_id")
     full = lambda c: classes.select(F.col("id").alias(f"{c}_id"), F.col("s").alias(f"{c}_s"))
     both = pairs.join(full("x"), "x_id").join(full("y"), "y_id")
