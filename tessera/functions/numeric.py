@@ -69,11 +69,9 @@ def from_linear(light: Column) -> Column:
 
 def hsl_to_rgb(h: Column, s: Column, light: Column) -> Column:
     """Red, green and blue (0-255) of a hue in degrees and saturation and lightness in [0, 1]."""
-    c = (1 - F.abs(2 * light - 1)) * s
     k = lambda n: (F.lit(float(n)) + h / 30.0) % 12
     a = s * F.least(light, 1 - light)
     f = lambda n: F.round(255 * (light - a * F.greatest(F.lit(-1.0), F.least(k(n) - 3, 9 - k(n), F.lit(1.0)))))
-    del c
     return F.struct(f(0).alias("r"), f(8).alias("g"), f(4).alias("b"))
 
 

@@ -33,7 +33,12 @@ CORPUS_WORDS = {
     "control": ["control", "system", "instruction"],
     "generated": ["generated", "derived-index"],
 }
-SCOPE_CORPUS = {"default": "core", "project": "project", "reference": "reference", "history": "history"}
+LEGACY_PROMPTS = ["50-ai/prompts/legacy/"]
+HISTORY_FOLDERS = ["40_archive/", "40-archive/", "90-reports/", "01-daily/", "05-daily/", "50-ai/outputs/"]
+SHARED_FOLDERS = ["30-shared-knowledge/"]
+CONTEXT_FOLDERS = ["50-ai/codex-context/"]
+PROJECT_FOLDERS = ["10-work/", "20-competition/", "00-inbox/", "projects/"]
+REFERENCE_FOLDERS = ["40-resources/", "60-file-index/", "research/", "sources/"]
 PRIORITY = {"default": 0, "project": 1, "reference": 2, "history": 3, "never": 4}
 _GRAPH_REASON = r"(?i)generated|system|duplicate|navigation|empty|index|自动生成|生成|系统|重复|副本|导航|空|索引"
 _NAV_NAME = r"(?i)readme|index|dashboard|homepage|overview|contents|目录|索引|导航|首页|总览|概览"
@@ -147,18 +152,18 @@ def _decide(x: Column, body: Column, title: Column, tags: Column) -> Column:
     ]
     history = lambda r: decision("history", "history", r)
     base = [
-        (under("50-ai/prompts/legacy/"), history("legacy instruction reference")),
+        (under(*LEGACY_PROMPTS), history("legacy instruction reference")),
         (x["archived"] | status.rlike("^(?:archived|historical|superseded)"), history("historical status")),
         (role.isin(HISTORY_ROLES), history(F.concat(F.lit("historical role: "), role))),
         (F.exists(tags, lambda t: t.rlike(r"(?i)^(?:archive|status/imported-archive)(?:/|$)")), history("archive tag")),
         (hidden, history("frontmatter graph_exclude")),
         (low.contains("/ai历史记录/") | low.contains("/ai-history/"), history("AI conversation history path")),
-        (under("40_archive/", "40-archive/", "90-reports/", "01-daily/", "05-daily/", "50-ai/outputs/"), history("historical path")),
-        (under("30-shared-knowledge/") & (kind == "knowledge-card") & ~status.rlike("filed|draft|pending|superseded"), decision("core", "default", "active shared knowledge card")),
-        (under("30-shared-knowledge/"), decision("reference", "reference", "shared guide or source note")),
-        (under("50-ai/codex-context/"), decision("core", "default", "explicit model context")),
-        (under("10-work/", "20-competition/", "00-inbox/", "projects/"), decision("project", "project", "active project path")),
-        (under("40-resources/", "60-file-index/", "research/", "sources/"), decision("reference", "reference", "reference or source path")),
+        (under(*HISTORY_FOLDERS), history("historical path")),
+        (under(*SHARED_FOLDERS) & (kind == "knowledge-card") & ~status.rlike("filed|draft|pending|superseded"), decision("core", "default", "active shared knowledge card")),
+        (under(*SHARED_FOLDERS), decision("reference", "reference", "shared guide or source note")),
+        (under(*CONTEXT_FOLDERS), decision("core", "default", "explicit model context")),
+        (under(*PROJECT_FOLDERS), decision("project", "project", "active project path")),
+        (under(*REFERENCE_FOLDERS), decision("reference", "reference", "reference or source path")),
     ]
 
     def cascade(rules: list[tuple[Column, list[Column]]], otherwise: Column) -> Column:

@@ -28,7 +28,6 @@ def next_catalog(units: DataFrame, previous: DataFrame, now: datetime) -> DataFr
 
     A copy points to the first path with the same text, scope and corpus; hidden notes are no copies.
     """
-    spark = units.sparkSession
     live = units.select("path", "document_id", "content_sha256", "norm_sha256", "byte_length", "mtime", "corpus", "retrieval_scope")
     ordinals = dedup.stable_ordinals(live, previous)
     shown = live.where("retrieval_scope <> 'never'")
@@ -40,7 +39,6 @@ def next_catalog(units: DataFrame, previous: DataFrame, now: datetime) -> DataFr
     current = live.join(ordinals, "path").join(copies, "path", "left").join(seen, "path", "left")
     current = current.select("path", "document_id", "ordinal", "content_sha256", "norm_sha256", "byte_length", "mtime", F.coalesce("first_seen", stamp).alias("first_seen"), stamp.alias("last_seen"), F.lit(None).cast("timestamp").alias("tombstone_at"), "duplicate_of", "corpus", "retrieval_scope")
     gone = previous.join(live.select("path"), "path", "left_anti").withColumn("tombstone_at", F.coalesce("tombstone_at", stamp)).withColumn("duplicate_of", F.lit(None).cast("string"))
-    del spark
     return current.unionByName(gone.select(*current.columns))
 
 

@@ -62,9 +62,10 @@ def rate_windows(requests: DataFrame, seconds: int = 60, most: int = 60, ts: str
     kind = "array<struct<start:bigint,n:bigint>>"
 
     def fold(acc: Column, x: Column) -> Column:
-        fresh = (F.size(acc) == 0) | (x["s"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["start"], F.lit(0)) + seconds)
+        last = F.try_element_at(acc, F.lit(-1))
+        fresh = (F.size(acc) == 0) | (x["s"] >= F.coalesce(last["start"], F.lit(0)) + seconds)
         new = F.struct(x["s"].alias("start"), x["n"].alias("n"))
-        more = F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), (F.try_element_at(acc, F.lit(-1))["n"] + x["n"]).alias("n"))
+        more = F.struct(last["start"].alias("start"), (last["n"] + x["n"]).alias("n"))
         kept = F.when(fresh, acc).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         return F.concat(kept, F.array(F.when(fresh, new).otherwise(more)))
 
