@@ -70,14 +70,18 @@ def mode_value(df: DataFrame, group: str, value: str, strict: bool = False) -> D
 def stable_ordinals(current: DataFrame, previous: DataFrame, path: str = "path") -> DataFrame:
     """(path, ordinal): earlier ordinals stay, new paths follow in their order.
 
-    New paths are numbered within ranges of the sorted paths, so no task holds them all.
+    New paths are numbered within ranges whose bounds are some 256 of the paths, chosen by hash, so that no task holds
+    them all and a repeated task finds the same ranges.
     """
     kept = current.select(path).join(previous.select(path, "ordinal"), path, "left")
     new = kept.where(F.col("ordinal").isNull()).select(path)
+    every = max(1, new.count() // 256)
+    bounds = sorted(r[0] for r in new.where((F.pmod(F.xxhash64(path), F.lit(every)) == 0) & F.col(path).isNotNull()).distinct().limit(4096).collect())
+    held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")
+    ranged = new.withColumn("_p", F.size(F.filter(held, lambda b: b <= F.col(path))))
     start = previous.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("_start"))
-    ranged = new.repartitionByRange(F.col(path)).withColumn("_p", F.spark_partition_id())
     counts = ranged.groupBy("_p").count()
-    before = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row per partition
+    before = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row per range
     numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(path))).join(F.broadcast(before), "_p").crossJoin(F.broadcast(start))
     numbered = numbered.select(path, (F.col("_start") + F.col("_before") + F.col("_n") - 1).cast("long").alias("ordinal"))
     return kept.where(F.col("ordinal").isNotNull()).select(path, F.col("ordinal").cast("long").alias("ordinal")).unionByName(numbered)
