@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, by_row, expand, mix, parts, per_row, split_by_part, squeeze, text_column, with_row
+from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, mix, parts, per_row, split_by_part, squeeze, text_column, with_row
 from tessera.llm.components import components
 
 RARE = 8

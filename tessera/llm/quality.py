@@ -24,38 +24,42 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import text_column
 
-#: At most so many rows of each kind (trusted positives, unlabelled, calibration) fit the model.
+#: About so many labelled rows of each class, at most, fit the model.
 FIT_ROWS = 4_000
+#: And so many times as many unlabelled ones, as few of them are negatives.
+UNLABELLED = 4
 FOLDS = 5
 THRESHOLD = 0.3
-_CLASSES = 48
+_CLASSES = 38
 _EXTRA = 16
+#: Frequencies in texts of about so many bytes count half: a short text says little.
+_DAMP = 40
 #: Odd multipliers by place in a word.
 _PLACE = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 N_FEATURES = _CLASSES * _CLASSES + _CLASSES + _EXTRA
 
 
 def _class_table() -> np.ndarray:
-    """Classes of bytes: each small letter, capitals, digits, space, line end, 15 groups of marks, two kinds beyond ASCII."""
+    """Classes of bytes: 8 groups of small letters, capitals, digits, space, line end, two kinds beyond ASCII, points, 23 groups of marks."""
     t = np.zeros(256, np.uint8)
     for b in range(256):
         ch = chr(b)
         if "a" <= ch <= "z":
-            t[b] = b - 97
+            t[b] = b % 8
         elif "A" <= ch <= "Z":
-            t[b] = 26
+            t[b] = 8
         elif "0" <= ch <= "9":
-            t[b] = 27
+            t[b] = 9
         elif ch in " \t":
-            t[b] = 28
+            t[b] = 10
         elif b < 32:
-            t[b] = 29
+            t[b] = 11
         elif b >= 128:
-            t[b] = 30 if b >= 192 else 31
+            t[b] = 12 if b >= 192 else 13
         elif ch in ".,":
-            t[b] = 32
+            t[b] = 14
         else:
-            t[b] = 33 + b % 15
+            t[b] = 15 + b % 23
     return t
 
 
@@ -74,6 +78,7 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
         if n > 1:
             code = c[:-1].astype(np.int32) * _CLASSES + c[1:]
             row[:pairs] = np.sqrt(np.bincount(code, minlength=pairs) / (n - 1))
+        row[: pairs + _CLASSES] *= n / (n + _DAMP)
         x = row[pairs + _CLASSES :]
         x[0] = np.log1p(n) / 10
         if n >= 8:
@@ -82,15 +87,15 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
                 grams = grams * np.uint64(0x9E3779B97F4A7C15) + raw[k : n - 7 + k]
             seen = np.sort(grams)
             x[1] = np.count_nonzero(seen[1:] != seen[:-1]) / len(seen)  # distinct eight-byte strings
-        spaces = np.count_nonzero(c == 28) + np.count_nonzero(c == 29)
+        spaces = np.count_nonzero(c == 10) + np.count_nonzero(c == 11)
         x[2] = np.log1p(n / (spaces + 1)) / 5
-        letters = np.count_nonzero(c < 27)
-        x[3] = np.count_nonzero(c == 26) / (letters + 1)
-        x[4] = np.count_nonzero(c >= 33) / n
+        letters = np.count_nonzero(c <= 8)
+        x[3] = np.count_nonzero(c == 8) / (letters + 1)
+        x[4] = np.count_nonzero(c >= 15) / n
         x[5] = n < 40
         x[6] = n < 120
         x[7] = 1
-        gap = np.flatnonzero((c == 28) | (c == 29))
+        gap = np.flatnonzero((c == 10) | (c == 11))
         begin = np.concatenate([[0], gap + 1])
         stop = np.concatenate([gap, [n]])
         keep = stop > begin
@@ -98,7 +103,7 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
         if len(begin) > 3:
             at = np.arange(n) - np.repeat(np.concatenate([[0], begin[1:]]), np.diff(np.concatenate([[0], begin[1:], [n]])))
             # a weight by byte and place; white space weighs nothing
-            value = (table.astype(np.uint64) + np.uint64(1))[raw] * _PLACE[np.minimum(at, 63)]
+            value = (raw.astype(np.uint64) + np.uint64(1)) * _PLACE[np.minimum(at, 63)]
             value[gap] = 0
             word = np.add.reduceat(value, begin)
             x[8] = np.count_nonzero(word[1:] == word[:-1]) / len(word)
@@ -131,7 +136,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 100, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with the logistic-like sigmoid loss."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(positive.shape[1]), 0.0
@@ -218,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spot = lambda salt: (F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30))
     wanted = known.where(F.when(F.col("_q") == 1, spot(1) < rows / n_pos).otherwise(spot(1) < rows / n_neg))
     labelled = base.join(F.broadcast(wanted), "_id").select(F.col("_q").alias("kind"), "text")  # at most about 2 * rows ids
-    free = base.where(spot(2) < rows / max(n_docs, 1)).select(F.lit(2).alias("kind"), "text")
-    table = _features(labelled.unionByName(free)).toArrow()  # about 3 * rows feature rows
+    free = base.where(spot(2) < UNLABELLED * rows / max(n_docs, 1)).select(F.lit(2).alias("kind"), "text")
+    table = _features(labelled.unionByName(free)).toArrow()  # about (2 + UNLABELLED) * rows feature rows, some 3 kB each
     kind = table.column("kind").to_numpy()
     flat = table.column("x").combine_chunks()
     # rows of one width lie end to end in the column's buffer; they stay in half precision until used

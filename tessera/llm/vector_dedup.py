@@ -139,7 +139,8 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         raise ValueError("threshold must lie in (0, 1]")
     spark = df.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = numbered(df.withColumnRenamed(label_col, "label") if label_col != "label" else df, id_col, vec_col, "label")
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("vector"), F.col(f"`{label_col}`").alias("label"))
+    rows = numbered(own, "id", "vector", "label")
     linked = F.col("v").isNotNull() & F.col("label").isNotNull()
     digest = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
     rows = rows.withColumn("digest", F.when(linked, digest)).withColumn("label", F.col("label").cast("long"))
