@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        made = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _FALLBACK.append("file://" + made)
     return _FALLBACK[0]
 
 
