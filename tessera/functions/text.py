@@ -83,14 +83,20 @@ def lexical_tokens(c: Column, compat: bool = False) -> Column:
     return F.concat(kept, pairs)
 
 
-def query_tokens(text: str) -> list[str]:
-    """Lexical tokens of a query without courtesy and filler words, unless nothing would be left."""
+def plain_tokens(text: str) -> list[str]:
+    """Lexical tokens of a single text."""
     import re
 
     base = re.sub(r"[-._/\\]+", " ", unicodedata.normalize("NFKC", text).lower())
     out = [w for w in re.findall(r"[a-z0-9][a-z0-9+]*(?:'[a-z0-9]+)?", base) if (len(w) > 1 or w.isdigit()) and w not in STOP_WORDS]
     for run in re.findall("[㐀-鿿]+", base):
         out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
+
+
+def query_tokens(text: str) -> list[str]:
+    """Lexical tokens of a query without courtesy and filler words, unless nothing would be left."""
+    out = plain_tokens(text)
     polite = [w for w in out if w != "please"]
     plain = [w for w in polite if w not in QUERY_FILLERS]
     return plain or polite or out

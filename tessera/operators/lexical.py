@@ -73,6 +73,20 @@ def search(notes: DataFrame, chunks: DataFrame, query: str, terms: Sequence[str]
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def search_or_metadata(notes: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
+    """The search; if it finds nothing, notes whose title, alias or tag holds a word that was dropped as a filler."""
+    found = search(notes, chunks, query)
+    terms = text.query_tokens(query)
+    dropped = [w for w in text.plain_tokens(query) if w not in terms and w not in text.SHELL_WORDS]
+    if not dropped or not found.isEmpty():
+        return found
+    wanted, kinds = F.array(*map(F.lit, dropped)), dict(notes.dtypes)
+    named = F.lit(False)
+    for f in STRONG:
+        named = named | (F.size(F.array_intersect(_words(f, kinds[f].startswith("array")), wanted)) > 0)
+    return search(notes.where(named), chunks, " ".join(dropped), dropped, selective=False)
+
+
 def resolve_links(notes: DataFrame, raw: DataFrame) -> DataFrame:
     """(src, dst) of link targets: the path next to the note, then from the root, then a unique file name.
 

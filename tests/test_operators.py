@@ -107,6 +107,8 @@ def test_lexical_search_and_links(spark):
     assert {r["id"]: r["distance"] for r in lexical.related(links, 1).collect()} == {2: 1, 3: 1}
     top = lexical.rerank(lexical.search(notes, chunks, "database design"), notes, links, [1]).collect()
     assert top[0]["id"] == 1 and 0 < top[0]["confidence"] <= 100
+    more = notes.unionByName(spark.createDataFrame([(4, "c/four.md", "Search notes", [], [], [])], notes.schema))
+    assert [r["id"] for r in lexical.search_or_metadata(more, chunks.unionByName(spark.createDataFrame([(4, 0, "x")], chunks.schema)), "please find notes zzz").collect()] == [4]
     cut = spark.createDataFrame([("l1\nl2\nfind database\nl4\nl5\nl6\nl7",)], "c string").select(lexical.snippet(F.col("c"), ["database"]).alias("s")).first()["s"]
     assert cut == "l2 find database l4 l5 l6"
 
