@@ -87,12 +87,13 @@ def find_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int)
     change[starts[starts < count]] = True
     first = np.flatnonzero(change)
     length = np.diff(np.append(first, count))
-    # a run may repeat itself only if its least string occurs in it twice
+    # a run may repeat itself only if its least string occurs in it twice; two next ones are ``span`` apart at most, where
+    # one window begins with the first and the window after it ends with the second
     own = np.flatnonzero((h[:count] == m) & valid)
     twice = np.zeros(len(first), bool)
     for at in range(0, len(own), 1 << 15):
         q = own[at : at + (1 << 15)]
-        near = h[q[:, None] + np.arange(1, span)]
+        near = h[np.minimum(q[:, None] + np.arange(1, span + 1), len(h) - 1)]
         tied = q[(near == h[q][:, None]).any(1)]
         twice[np.searchsorted(first, tied, "right") - 1] = True
     keep = valid[first]

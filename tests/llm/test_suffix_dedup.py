@@ -59,6 +59,14 @@ def test_equals_brute_force(spark, hot):
     assert sorted((tuple(r) for r in got), key=key) == brute(rows)
 
 
+def test_texts_of_every_period(spark):
+    rng = np.random.default_rng(8)
+    rows = [(n, bytes(rng.integers(33, 127, n, dtype=np.uint8)).decode() * (300 // n + 3)) for n in range(1, 101)]
+    rows += [(200 + n, t) for n, t in rows if n in (68, 69, 70)]  # copies collapse to one piece
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == brute(rows)
+
+
 def test_long_text_is_cut_into_overlapping_parts(spark, monkeypatch):
     rows = corpus(3, 20)
     monkeypatch.setattr(suffix_dedup, "_LONG", 150)
