@@ -49,7 +49,7 @@ def blocks(dims: int) -> list[tuple[int, int]]:
     return [(a, min(a + BLOCK_DIMS, dims)) for a in range(0, dims, BLOCK_DIMS)]
 
 
-_PLACED = "cell long, home boolean, node long, part binary"
+_PLACED = "cell long, home boolean, node long, dims int, part binary"
 
 
 def _place(threshold: float):
@@ -89,7 +89,7 @@ def _place(threshold: float):
                 body = [x for o in out for x in o[3]]
                 for at in range(0, len(cells), 50_000):
                     s = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[s]), pa.array(home[s]), pa.array(nodes[s]), pa.array(body[s], pa.binary())], names=["cell", "home", "node", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[s]), pa.array(home[s]), pa.array(nodes[s]), pa.array(np.full(len(cells[s]), dims, np.int32)), pa.array(body[s], pa.binary())], names=["cell", "home", "node", "dims", "part"])
 
     return run
 
@@ -100,7 +100,7 @@ def _near(threshold: float):
     def run(homes: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(homes) and len(visits):
-            for size, own in homes.groupby(homes["part"].str.len()):
+            for (dims, size), own in homes.groupby([homes["dims"], homes["part"].str.len()]):
                 others = visits[visits["part"].str.len() == size]
                 if not len(others):
                     continue
@@ -108,7 +108,7 @@ def _near(threshold: float):
                 y = np.frombuffer(b"".join(others["part"]), np.float32).reshape(len(others), -1).astype(np.float64)
                 a, b = own["node"].to_numpy(), others["node"].to_numpy()
                 yy = (y**2).sum(1)
-                budget = (2 - 2 * threshold) * own["share"].iloc[0] + SLACK
+                budget = (2 - 2 * threshold) * x.shape[1] / dims + SLACK
                 for at in range(0, len(x), 512):
                     some = x[at : at + 512]
                     d = (some**2).sum(1)[:, None] + yy - 2 * some @ y.T
@@ -124,9 +124,11 @@ def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            if batch.num_rows:
-                x, y = matrix(batch.column(2)), matrix(batch.column(3))
-                keep = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= threshold
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == dims)
+                x, y = (matrix(batch.column(c).take(pa.array(own))) for c in (2, 3))
+                keep[own] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= threshold
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -152,11 +154,8 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     counts = counts.where("rows > 0 and all > 1").select("cell", pieces.alias("home_pieces"), F.ceil(F.col("all") / CELL_ROWS).cast("int").alias("visit_pieces"))
     dealt = placed.join(counts, "cell")
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    dims = F.octet_length("part") / F.lit(4)
-    all_dims = nodes.agg(F.max(F.size("v"))).first()[0] or 1
-    share = dims / F.lit(float(all_dims))
     again = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  columns of their own for each side
-    homes = dealt.where("home").select(*again("cell", "node", "part"), spot("home_pieces").alias("h"), F.explode(F.sequence(F.lit(0), F.col("visit_pieces") - 1)).alias("w"), share.alias("share"))
+    homes = dealt.where("home").select(*again("cell", "node", "dims", "part"), spot("home_pieces").alias("h"), F.explode(F.sequence(F.lit(0), F.col("visit_pieces") - 1)).alias("w"))
     visits = dealt.select(*again("cell", "node", "part"), F.explode(F.sequence(F.lit(0), F.col("home_pieces") - 1)).alias("h"), spot("visit_pieces").alias("w"))
     key = ["cell", "h", "w"]
     pairs = homes.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_near(threshold), "a long, b long").distinct()

@@ -53,6 +53,13 @@ def test_links_equal_brute_force(spark, monkeypatch, rows_a_cell):
     assert vector_dedup.link_vectors(df.limit(0)).collect() == []
 
 
+def test_each_length_has_its_own_budget(spark):
+    rows = vectors(3, 120, 20) + [(None if i is None else i + 20_000, v, l) for i, v, l in vectors(4, 120, 64)] + [(50_000, [1.0] * 1000, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = vector_dedup.link_vectors(df).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == link_brute(rows)
+
+
 def near_brute(rows, k, every):
     dims = 20
     use = [(i, v) for i, v in rows if v is not None and len(v) == dims and all(x is not None and np.isfinite(x) for x in v) and any(v)]
