@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ FEATURE_WEIGHTS = {"title": 1.5, "aliases": 1.8, "tags": 4.2, "headings": 1.6}
 LINK_WEIGHT, NAVIGATION_PENALTY, RING_WEIGHT, RING_NEIGHBOURS = 0.65, 0.08, 5.0, 3
 SEMANTIC_WEIGHT, SEMANTIC_NEIGHBOURS, SEMANTIC_FLOOR = 1.4, 10, 0.08
 STRENGTH, STEPS, ANCHOR = 0.52, 4, 0.72
-#: Edges of a graph that one task may cluster; larger ones use :func:`label_propagation`.
+#: Edges of a graph that one task may cluster; larger ones are contracted by Louvain levels that distribute.
 LOUVAIN_EDGES = 1_000_000
 
 
@@ -193,24 +193,100 @@ def louvain(src: Sequence, dst: Sequence, w: Sequence[float], resolution: float
 def communities(edges: DataFrame, part: str | None = None, resolution: float = 1.0) -> DataFrame:
     """(node, community) by Louvain within each value of ``part`` (a connected part; the whole graph if none).
 
-    A part is clustered in one task and must have at most ``LOUVAIN_EDGES`` edges, which is checked.
+    A part of at most ``LOUVAIN_EDGES`` edges is clustered in one task. A larger one, one at a time, is contracted by
+    :func:`spread_level` until it is that small or no move gains. Communities are numbered from 0 within a part.
     """
     grouped = edges if part else edges.withColumn("_part", F.lit(0))
     key = part or "_part"
-    worst = grouped.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if worst > LOUVAIN_EDGES:
-        return label_propagation(edges)
     kind = dict(edges.dtypes)["src"]
+    sizes = grouped.groupBy(key).count()
+    large = [r[0] for r in sizes.where(F.col("count") > LOUVAIN_EDGES).select(key).collect()]  # each stands for many edges
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
         got = louvain(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["w"].tolist(), resolution)
         return pd.DataFrame({"node": list(got), "community": list(got.values()), "part": [str(pdf[key].iloc[0])] * len(got)})
 
-    out = grouped.select(key, "src", "dst", "w").groupBy(key).applyInPandas(run, f"node {kind}, community int, part string")
+    in_memory = lambda df: df.select(key, "src", "dst", "w").groupBy(key).applyInPandas(run, f"node {kind}, community int, part string")
+    rest = grouped
+    if large:
+        _own_checkpoint_dir(edges.sparkSession)
+        rest = grouped.join(sizes.where(F.col("count") <= LOUVAIN_EDGES).select(F.col(key).alias("_small")), F.col(key).eqNullSafe(F.col("_small")), "left_semi")
+    out = in_memory(rest)
+    for value in large:
+        own = grouped.where(F.col(key).eqNullSafe(F.lit(value)))
+        out = out.unionByName(_contracted(own.select("src", "dst", "w"), resolution, lambda df, value=value: in_memory(df.withColumn(key, F.lit(value)))).withColumn("part", F.lit(str(value))))
     return out if part else out.drop("part")
 
 
+def _contracted(edges: DataFrame, resolution: float, in_memory: Callable[[DataFrame], DataFrame], levels: int = 10) -> DataFrame:
+    """(node, community) of one graph with too many edges for a task."""
+    owner = None
+    now = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")).checkpoint()
+    for level in range(levels):
+        if now.count() <= LOUVAIN_EDGES:
+            break
+        label = spread_level(now, level, resolution)
+        if label is None:
+            break
+        step = label.select(F.col("node").alias("_owner"), F.col("community").alias("_next"))
+        owner = (label if owner is None else owner.join(step, F.col("community") == F.col("_owner")).select("node", F.col("_next").alias("community"))).checkpoint()
+        now = induced(now, label).checkpoint()
+    if now.count() <= LOUVAIN_EDGES:
+        final = in_memory(now).select(F.col("node").alias("_owner"), F.col("community").alias("_final"))
+    else:  # no move gains any more: number what there is
+        ends = both_ways(now).select("src").distinct().orderBy("src")
+        final = ends.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"_owner {dict(now.dtypes)['src']}, _final long").withColumn("_final", F.col("_final").cast("int"))
+    if owner is None:
+        return final.select(F.col("_owner").alias("node"), F.col("_final").alias("community"))
+    return owner.join(final, F.col("community") == F.col("_owner")).select("node", F.col("_final").alias("community"))
+
+
+def spread_level(edges: DataFrame, level: int = 0, resolution: float = 1.0, passes: int = 20) -> DataFrame | None:
+    """(node, community) after one Louvain level of moves in parallel; null if none gains. Communities bear a node's name.
+
+    In each pass a coin of every community says whether its nodes may leave or others may join, so no two swap. Nodes
+    that join together may be too many: a pass that lowers the modularity is undone, and fewer nodes move in the next.
+    """
+    both = both_ways(edges)
+    near = both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")).checkpoint()
+    degree = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).checkpoint()
+    total = degree.agg(F.sum("k")).first()[0]
+    loops = edges.where("src = dst").agg(F.sum("w")).first()[0] or 0.0
+
+    def quality(label: DataFrame) -> float:
+        s, d = (label.select(F.col("node").alias(e), F.col("community").alias(f"c{e}")) for e in ("src", "dst"))
+        inner = near.join(s, "src").join(d, "dst").where("csrc = cdst").agg(F.sum("w")).first()[0] or 0.0
+        held = label.groupBy("community").agg(F.sum("k").alias("h")).agg(F.sum(F.col("h") * F.col("h"))).first()[0]
+        return (inner + 2 * loops) / total - resolution * held / total**2
+
+    label = degree.select("node", F.col("node").alias("community"), "k")
+    now, moved, failed = quality(label), False, 0
+    for p in range(passes):
+        votes = near.join(label.select(F.col("node").alias("dst"), F.col("community").alias("c")), "dst").select(F.col("src").alias("node"), "c", "w")
+        votes = votes.unionByName(label.select("node", F.col("community").alias("c"), F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("v"))
+        held = label.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("held"))
+        own = F.col("c") == F.col("community")
+        gain = F.col("v") - resolution * (F.col("held") - F.when(own, F.col("k")).otherwise(0.0)) * F.col("k") / total
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(level), F.lit(p)), F.lit(2))
+        free = (coin("community") == 1) & (F.pmod(F.xxhash64("node", F.lit(p), F.lit(level)), F.lit(1 << failed)) == 0)
+        scored = votes.join(label, "node").join(held, "c").withColumn("g", gain)
+        joins = ~own & (coin("c") == 0) & free
+        best = scored.groupBy("node").agg(
+            F.first("community").alias("community"), F.first("k").alias("k"), F.max(F.when(own, F.col("g"))).alias("stay"),
+            F.max(F.when(joins, F.col("g"))).alias("top"), F.min_by("c", F.when(joins, F.struct(-F.col("g"), F.col("c")))).alias("to"),
+        )
+        new = best.select("node", F.when(F.col("top") > F.col("stay") + 1e-12, F.col("to")).otherwise(F.col("community")).alias("community"), "k").checkpoint()
+        q = quality(new)
+        if q > now + 1e-12:
+            label, now, moved, failed = new, q, True, 0
+        else:
+            failed += 1
+            if failed == 5:
+                break
+    return label.select("node", "community") if moved else None
+
+
 def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """(node, community) for graphs of any size: each node takes the heaviest label among its neighbours and itself."""
     spark = edges.sparkSession

@@ -151,6 +151,19 @@ def test_louvain_finds_cliques(spark):
     assert graph.louvain([], [], []) == {}
 
 
+def test_louvain_above_the_bound_of_a_task(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = {(min(p), max(p)) for p in ((rng.randrange(60), rng.randrange(60)) for _ in range(900)) if p[0] != p[1] and (p[0] // 15 == p[1] // 15 or rng.random() < 0.08)}
+    edges = sorted((a, b, 1.0) for a, b in pairs)
+    want = graph.modularity(*zip(*edges), graph.louvain(*zip(*edges)))
+    df = spark.createDataFrame([("p", *e) for e in edges] + [("q", 100, 101, 1.0)], "part string, src long, dst long, w double")
+    monkeypatch.setattr(graph, "LOUVAIN_EDGES", len(edges) // 2)
+    rows = graph.communities(df, "part").collect()
+    got = {r["node"]: r["community"] for r in rows if r["part"] == "p"}
+    assert len(rows) == len({r["node"] for r in rows}) == len(got) + 2 and set(got.values()) == set(range(len(set(got.values()))))
+    assert graph.modularity(*zip(*edges), got) >= 0.95 * want
+
+
 def test_ring_and_affinity(spark):
     ring = graph.ring_edges(spark.createDataFrame([("g", i) for i in range(5)] + [("h", 9)], "grp string, node long")).collect()
     assert len(ring) == 10 and all(r["src"] < r["dst"] for r in ring)
