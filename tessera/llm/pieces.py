@@ -26,13 +26,16 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
 SPACE = "▁"
+UNKNOWN = " ⁇ "
 LONG_WORD = 48
 MOST_WORDS = 400_000
 _KEY = 64
@@ -230,34 +233,52 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_pieces and an order-sensitive checksum of each text's ids."""
-    measured = None
-    for table in encode(docs, vocabulary, id_col, text_col):
-        part = table.groupBy("row").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("ids").cast("long")).alias("n_pieces"), F.sum(F.pmod(F.xxhash64("word_no", "ids"), F.lit(1 << 31))).alias("ids_digest"))
-        measured = part if measured is None else measured.unionByName(part)
-    totals = measured.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_pieces", "ids_digest")])
-    keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
-    return keys.join(totals, "row", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_pieces", "ids_digest")])
+    """doc_id, n_words, n_pieces, an order-sensitive checksum of each text's ids, the SHA-256 of the text that these ids
+    decode to, and whether that is the text itself (its ``▁`` as spaces)."""
+    decoded = decode(_gathered(docs, vocabulary, id_col, text_col), vocabulary).select("row", "n_words", "n_pieces", "ids_digest", F.sha2("text", 256).alias("text_sha256"))
+    own = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACE, " "), 256)
+    keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), own.alias("own"))
+    text = F.coalesce("text_sha256", F.sha2(F.lit(""), 256))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_pieces", "ids_digest")]
+    return keys.join(decoded, "row", "left").select("doc_id", *counts, text.alias("text_sha256"), (text == F.col("own")).alias("round_trip"))
+
+
+def _gathered(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """row, ids, n_words, n_pieces and ids_digest of each text that has words."""
+    a, b = encode(docs, vocabulary, id_col, text_col)
+    return a.unionByName(b).groupBy("row").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "ids"))), lambda x: x["ids"])).alias("ids"),
+        F.count(F.lit(1)).alias("n_words"), F.sum(F.size("ids").cast("long")).alias("n_pieces"), F.sum(F.pmod(F.xxhash64("word_no", "ids"), F.lit(1 << 31))).alias("ids_digest"),
+    )
 
 
 def sequences(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, ids): whole id sequences; each text's are gathered in one row."""
-    a, b = encode(docs, vocabulary, id_col, text_col)
-    joined = a.unionByName(b).groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "ids"))), lambda x: x["ids"])).alias("ids"))
+    joined = _gathered(docs, vocabulary, id_col, text_col).select("row", "ids")
     keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     return keys.join(joined, "row", "left").select("doc_id", "row", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(sequenced: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Adds ``text`` to (row, ids, ...): ids equi-join the piece table, and a text's bytes are put together in order."""
-    spark = sequenced.sparkSession
-    table = vocabulary.table(spark).select("id", F.hex(F.encode(F.translate("piece", SPACE, " "), "utf-8")).alias("h"))
+    """Adds ``text`` to (ids, ...): the bytes of a text's pieces, end to end. An id without a piece is written `` ⁇ ``."""
+    top = max([*vocabulary.ids, -1 if vocabulary.byte_base is None else vocabulary.byte_base + 255], default=-1)
+    spelt = [UNKNOWN.encode()] * (top + 2)
+    for i, p in zip(vocabulary.ids, vocabulary.pieces):
+        spelt[i] = p.replace(SPACE, " ").encode()
     if vocabulary.byte_base is not None:
-        table = table.unionByName(spark.range(256).select((F.col("id") + vocabulary.byte_base).cast("int").alias("id"), F.lpad(F.hex("id"), 2, "0").alias("h")))
-    spelt = sequenced.select("row", F.posexplode("ids").alias("k", "id")).join(F.broadcast(table), "id")
-    whole = spelt.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "").alias("h"))
-    text = F.regexp_replace(F.decode(F.unhex("h"), "utf-8"), "^ ", "")
-    return sequenced.join(whole.select("row", text.alias("text")), "row", "left").withColumn("text", F.coalesce("text", F.lit("")))
+        spelt[vocabulary.byte_base : vocabulary.byte_base + 256] = [bytes([b]) for b in range(256)]
+
+    @F.arrow_udf("string")
+    def joined(ids: pa.Array) -> pa.Array:
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        flat = np.where((flat < 0) | (flat > top), top + 1, flat)
+        end = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        _, offsets, data = pa.array(spelt, pa.large_binary()).take(pa.array(flat)).buffers()
+        at = np.frombuffer(offsets, np.int64)[np.append(0, end)].tolist() if len(flat) else [0] * (len(ids) + 1)
+        raw = data.to_pybytes() if data is not None else b""
+        return pa.array([raw[x + (raw[x : x + 1] == b" ") : y].decode("utf-8", "replace") if x < y else "" for x, y in zip(at, at[1:])], pa.string())
+
+    return sequenced.withColumn("text", joined("ids"))
 
 
 __all__ = ["Vocabulary", "encode", "decode", "digests", "sequences", "encode_words", "merge_word"]

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import pytest
@@ -35,6 +36,19 @@ def test_ids_equal_the_library_and_decode_back(spark, library, monkeypatch):
     assert pieces.digests(df.limit(0), vocabulary).collect() == []
 
 
+def test_digests_decode_whole_texts(spark):
+    texts = TEXTS + [" ".join(t or "" for t in TEXTS) * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).persist()
+    got = {r["doc_id"]: (r["text_sha256"], r["round_trip"]) for r in pieces.digests(df, pieces.Vocabulary.load(PATH)).collect()}
+    assert got == {i: (hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest(), True) for i, t in enumerate(texts)}
+
+
+def test_ids_without_a_piece_are_decoded_as_unknown(spark):
+    vocabulary = pieces.Vocabulary.of(["▁a", "b"], [10, 11], [-1.0, -2.0], None, False)
+    df = spark.createDataFrame([(1, [10, 0, 11]), (2, [99]), (3, [])], "row long, ids array<int>")
+    assert {r["row"]: r["text"] for r in pieces.decode(df, vocabulary).collect()} == {1: "a ⁇ b", 2: "⁇ ", 3: ""}
+
+
 def test_heap_equals_the_library(library):
     vocabulary = pieces.Vocabulary.load(PATH)
     rank = {p: (s, i) for p, i, s in zip(vocabulary.pieces, vocabulary.ids, vocabulary.scores)}
