@@ -1,30 +1,39 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts become words: a run of spaces (written ``▁``) with what follows it. No piece spans a word's end, which is checked
-against the vocabulary, so words are encoded on their own, each distinct word once. Substrings of bounded length are exploded and equi-joined to the piece table (bounded by
-the vocabulary); a word's edges are grouped, and a higher-order ``aggregate`` folds them:
-
-* for vocabularies with unigram scores, Viterbi: the best-scored path to each place;
-* for vocabularies built by pair merging, whose scores are merge ranks, the best path does not give the
-  vocabulary's own ids; there the fold replays the merges over the same edges, the best-ranked neighbouring pair first,
-  the left one in a tie.
-
-Characters without a piece become their UTF-8 bytes. Words over ``LONG_WORD`` characters are merged with a heap in an
-Arrow function, since a fold takes quadratic time.
-
-Distinct words are counted map-side first. The ids of words with many occurrences, at most ``MOST_WORDS``, are joined
-back to the texts by broadcast; the rest of the occurrences are joined by shuffle.
+Texts become words: a space (written ``▁``) begins one, and so does a character that follows another as it does within
+no piece. No piece spans two words, so words are encoded on their own, each distinct word once.
+
+A block of texts asks for its distinct words. The distinct words of all blocks are exploded into substrings of bounded
+length, these are equi-joined to the piece table (bounded by the vocabulary), a word's edges are grouped by the place
+where they end, and a higher-order ``aggregate`` folds Viterbi over the places: the best-scored path to each, from the
+best paths to the places before it. Two kinds of vocabularies use the one fold:
+
+* those with unigram scores: a path's score is the sum of its pieces';
+* those built by pair merging. A sequence of pieces is such a vocabulary's own encoding if and only if that holds for
+  every two neighbours: as long as no merge crosses a border between pieces, each side merges as it would alone, so the
+  first merge that crosses would be seen in the two neighbours alone. Every prefix has just one such sequence. So a step from
+  one piece to the next is barred where a merge would cross, all scores are zero, and the one open path is the answer.
+  What crosses is told by the lattice: a piece that merges last from ``l`` and ``r`` characters bars the border between
+  them if ``l`` characters are one symbol on the left, and ``r`` characters on the right, until that piece's rank comes
+  up. For both sides of a piece, the table holds the symbols it passes through and the rank that ends each.
+
+Words over ``LONG_WORD`` characters (the fold copies its state at every place) and words with a piece whose rank is not
+its own (runs of spaces) are encoded by a plain loop in the function that groups the edges, with equal results.
+Characters without a piece become their UTF-8 bytes, or the unknown id where the vocabulary has no bytes.
 
 Defined cases: null and empty texts have no words and no ids; a null doc_id is kept; repeated rows are rows of their
-own (numbered as they are read, so the source must be stored data); an empty table gives an empty table. Other columns
-are ignored.
+own; an empty table gives an empty table. Other columns are ignored. Blocks are told by the number of their first row,
+as it is read, so the source must be stored data; a block whose words are not those it asked for raises an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,14 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, expand, parts, squeeze
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-LONG_WORD = 48
-MOST_WORDS = 400_000
+LONG_WORD = 128
+#: Characters that a block of texts, and a part of it that is split at a time, holds about.
+BLOCK_CHARS = 1 << 23
+CHUNK_CHARS = 1 << 20
 _KEY = 64
-_WORSE = -1e300
+_NEVER = 1 << 30
+_NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -72,89 +84,78 @@ class Vocabulary:
             raise ValueError("the vocabulary is too large to broadcast")
         return cls(pieces, ids, scores, byte_base, merges)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame({"piece": self.pieces, "id": self.ids, "score": self.scores}), "piece string, id int, score double")
-
     @property
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
 
+    @cached_property
+    def rank(self) -> dict[str, tuple[float, int]]:
+        """Score and id by piece."""
+        return {p: (s, i) for p, i, s in zip(self.pieces, self.ids, self.scores)}
 
-def words(text: Column) -> Column:
-    """The words of a text, in order: spaces and what follows them; a text starts with a space of its own."""
-    spaced = F.translate(F.concat(F.lit(" "), text), " ", SPACE)
-    general = F.regexp_extract_all(spaced, F.lit(f"({SPACE}*[^{SPACE}]+|{SPACE}+)"), 1)
-    # most texts have single spaces only, and are split without a pattern
-    single = ~(text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.contains(SPACE))
-    plain = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(SPACE), w))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(single, plain).otherwise(general)
-
-
-def _let(value: Column, f) -> Column:
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def _edge(m: Column, start: Column, length: Column) -> Column:
-    """The edge (score, id) of a lattice; null if the substring is no piece."""
-    return F.try_element_at(m, (start * _KEY + length).cast("int"))
-
-
-def fold_merges(n: Column, m: Column) -> Column:
-    """Bounds of the symbols of a word of ``n`` characters after all merges."""
-
-    def step(acc: Column, _: Column) -> Column:
-        b = acc["b"]
-        at = lambda i: F.get(b, i)
-        rated = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda i: F.struct(F.coalesce(_edge(m, at(i), at(i + 2) - at(i))["score"], F.lit(_WORSE)).alias("s"), (-i).alias("i")))
-        keep = F.struct(b.alias("b"), F.lit(True).alias("done"))
-        merged = lambda best: F.when(best["s"] == _WORSE, keep).otherwise(F.struct(F.concat(F.slice(b, F.lit(1), 1 - best["i"]), F.slice(b, 3 - best["i"], F.size(b))).alias("b"), F.lit(False).alias("done")))
-        return F.when(acc["done"] | (F.size(b) < 3), keep).otherwise(_let(F.array_max(rated), merged))
+    def unknown(self, char: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [0] if self.byte_base is None else [self.byte_base + b for b in char.encode()]
 
-    start = F.struct(F.sequence(F.lit(0), n).alias("b"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["b"])
 
+@dataclass(frozen=True)
+class Edges:
+    """The pieces that may be edges of a lattice, by number: text, id, score, and what merging them passes through.
 
-def fold_viterbi(n: Column, m: Column, longest: int, unknown: float) -> Column:
-    """Bounds of the best-scored path through a word of ``n`` characters; a character without a piece costs ``unknown``.
-
-    Ties go to the longer last piece.
+    ``split`` is the length of the left part of a piece's last merge (0: a character), ``order`` its rank, ``left`` and
+    ``right`` the rank that ends the symbol of each length at its left and right side (-1: there is no such symbol),
+    ``odd`` tells that ranks do not decide for it.
     """
 
-    def step(acc: Column, e: Column) -> Column:
-        def rate(k: Column) -> Column:
-            edge = _edge(m, e - k, k)["score"]
-            score = F.when(edge.isNotNull(), edge).when(k == 1, F.lit(unknown))
-            return F.struct((F.get(acc, e - k)["s"] + score).alias("s"), k.alias("k"))
-
-        found = F.filter(F.transform(F.sequence(F.lit(1), F.least(e, F.lit(longest))), rate), lambda x: x["s"].isNotNull())
-        return F.concat(acc, F.array(F.array_max(found)))
-
-    best = F.aggregate(F.sequence(F.lit(1), n), F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"))), step)
-
-    def back(b: Column) -> Column:
-        walk = lambda acc, _: F.when(F.element_at(acc, 1) <= 0, acc).otherwise(F.concat(F.array(F.element_at(acc, 1) - F.get(b, F.element_at(acc, 1))["k"]), acc))
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
-
-    return _let(best, back)
+    text: list[str]
+    ids: np.ndarray
+    score: np.ndarray
+    split: np.ndarray
+    order: np.ndarray
+    odd: np.ndarray
+    left: list[list[int]]
+    right: list[list[int]]
 
-
-def _ids(word: Column, bounds: Column, m: Column, byte_base: int | None, unknown_id: int = 0) -> Column:
-    def one(i: Column, b: Column) -> Column:
-        edge = _edge(m, F.get(b, i), F.get(b, i + 1) - F.get(b, i))["id"]
-        raw = F.hex(F.encode(F.substring(word, F.get(b, i) + 1, F.get(b, i + 1) - F.get(b, i)), "utf-8"))
-        if byte_base is None:
-            return F.array(F.coalesce(edge, F.lit(unknown_id)))
-        spelt = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(raw), 1) - 1), lambda k: (F.conv(F.substring(raw, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + byte_base))
-        return F.when(edge.isNotNull(), F.array(edge)).otherwise(spelt)
-
-    return _let(bounds, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: one(i, b))))
-
-
-def merge_word(word: str, rank: dict[str, tuple[float, int]], byte_base: int | None, unknown_id: int = 0) -> list[int]:
-    """Ids of one word by merging with a heap."""
+    @classmethod
+    def of(cls, v: Vocabulary) -> Edges:
+        if not v.merges:
+            none = np.zeros(len(v.pieces), np.int64)
+            return cls(list(v.pieces), np.array(v.ids, np.int64), np.array(v.scores, np.float64), none, none, none.astype(bool), [[]] * len(none), [[]] * len(none))
+        place = {s: k for k, s in enumerate(sorted({-s for s in v.scores}))}
+        long = [p for p in v.pieces if len(p) > 1]
+        alike: dict[float, int] = {}
+        for p in long:
+            alike[v.rank[p][0]] = alike.get(v.rank[p][0], 0) + 1
+        order = lambda p: place[-v.rank[p][0]]
+        left: dict[str, list[int]] = {}
+        right: dict[str, list[int]] = {}
+        sides = lambda p, d: d.get(p, [_NEVER])
+        rows = []
+        for p in sorted(v.pieces, key=len):
+            if len(p) == 1:
+                rows.append((p, 0, 0, False))
+                continue
+            symbols, last = merge_symbols(p, v.rank)
+            if len(symbols) > 1:
+                continue  # merging never makes this piece
+            a, b = last
+            r = order(p)
+            grow = lambda part, d: [*sides(part, d)[:-1], r, *[-1] * (len(p) - len(part) - 1), _NEVER]
+            left[p], right[p] = grow(a, left), grow(b, right)
+            odd = alike[v.rank[p][0]] > 1 or any(len(x) > 1 and order(x) >= r for x in (a, b))
+            rows.append((p, len(a), r, odd))
+        text = [x[0] for x in rows]
+        split, rank, odd = (np.array([x[k] for x in rows]) for k in (1, 2, 3))
+        ids = np.array([v.rank[p][1] for p in text], np.int64)
+        return cls(text, ids, np.zeros(len(rows)), split.astype(np.int64), rank.astype(np.int64), odd.astype(bool), [sides(p, left) for p in text], [sides(p, right) for p in text])
+
+
+def merge_symbols(word: str, rank: dict[str, tuple[float, int]]) -> tuple[list[str], tuple[str, str] | None]:
+    """What is left of a word after all merges, made with a heap, and the two sides of the last merge."""
     symbols: list[str | None] = list(word)
     left, right = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
     heap: list[tuple[float, int, str]] = []
+    last = None
 
     def offer(i: int) -> None:
         j = right[i]
@@ -168,117 +169,409 @@ def merge_word(word: str, rank: dict[str, tuple[float, int]], byte_base: int | N
         j = right[i] if symbols[i] is not None else -1
         if j < 0 or symbols[i] + symbols[j] != pair:
             continue
+        last = (symbols[i], symbols[j])
         symbols[i], symbols[j], right[i] = pair, None, right[j]
         if right[i] >= 0:
             left[right[i]] = i
         offer(i)
         if left[i] >= 0:
             offer(left[i])
+    return [s for s in symbols if s is not None], last
+
+
+def merge_word(word: str, rank: dict[str, tuple[float, int]], byte_base: int | None, unknown_id: int = 0) -> list[int]:
+    """Ids of one word by merging."""
     out: list[int] = []
-    for s in symbols:
-        if s is not None:
-            out += [rank[s][1]] if s in rank else [unknown_id] if byte_base is None else [byte_base + b for b in s.encode()]
+    for s in merge_symbols(word, rank)[0]:
+        out += [rank[s][1]] if s in rank else [unknown_id] if byte_base is None else [byte_base + b for b in s.encode()]
     return out
 
 
+def best_path(word: str, v: Vocabulary, unknown: float) -> list[int]:
+    """Ids of the best-scored path through one word; ties go to the longer last piece."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        steps = []
+        for k in range(1, min(e, v.longest) + 1):
+            found = v.rank.get(word[e - k : e])
+            if found or k == 1:
+                steps.append((best[e - k][0] + (found[0] if found else unknown), k))
+        best.append(max(steps))
+    out: list[list[int]] = []
+    e = len(word)
+    while e:
+        k = best[e][1]
+        found = v.rank.get(word[e - k : e])
+        out.append([found[1]] if found else v.unknown(word[e - k : e]))
+        e -= k
+    return [i for ids in reversed(out) for i in ids]
+
+
+class Splitter:
+    """Cuts texts into words: between documents, and between characters that are neighbours in no piece."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pairs = {p[i : i + 2] for p in vocabulary.pieces for i in range(len(p) - 1)}
+        chars = sorted({c for p in pairs for c in p})
+        self.classes = np.zeros(max(map(ord, [SPACE, *chars])) + 2, np.uint32)
+        self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.n = len(chars) + 1
+        self.joined = np.zeros(self.n * self.n, bool)
+        number = {c: k for k, c in enumerate(chars, 1)}
+        self.joined[[number[p[0]] * self.n + number[p[1]] for p in pairs]] = True
+
+    def split(self, texts: Sequence[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All words of texts (none empty), the words of each, and how many spaces begin a word in each."""
+        joined = "".join([SPACE + t for t in texts]).replace(" ", SPACE)
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        stop = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+        kind = self.classes[np.minimum(code, len(self.classes) - 1)]
+        cut = np.empty(len(code), bool)
+        cut[1:] = ~self.joined[kind[:-1] * np.uint32(self.n) + kind[1:]]
+        cut[np.append(0, stop[:-1])] = True
+        first = np.flatnonzero(cut)
+        raw = joined.encode()
+        if len(raw) == len(code):
+            offsets = np.append(first, len(raw))
+        else:
+            size = (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000) + 1
+            offsets = np.append(np.append(0, np.cumsum(size, dtype=np.int64))[first], len(raw))
+        words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw))
+        space = code == ord(SPACE)
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[np.append(0, stop[:-1])] = True
+        counts = np.diff(np.append(0, np.searchsorted(first, stop)))
+        return words, counts, np.add.reduceat(begins, np.append(0, stop[:-1]), dtype=np.int64)
+
+
+class Block:
+    """Some texts as numbers of their distinct words, which are numbered as they come."""
+
+    def __init__(self):
+        self.doc: list[int] = []
+        self.row: list[int] = []
+        self.counts: list[int] = []
+        self.begins: list[int] = []
+        self.own: list[bytes] = []
+        self.chunks: list[pa.Array] = []
+        self.chars = 0
+
+    def words(self) -> tuple[pa.Array, list[np.ndarray]]:
+        if not self.chunks:
+            return pa.array([], pa.large_string()), []
+        whole = pa.chunked_array(self.chunks).unify_dictionaries()
+        return whole.chunk(0).dictionary, [c.indices.to_numpy() for c in whole.chunks]
+
+
+def _blocks(splitter: Splitter, batches: Iterator[pa.RecordBatch], hashed: bool, sizes: tuple[int, int]) -> Iterator[Block]:
+    """Blocks of rows (doc, row, text) in their order; ``sizes``: about how many characters a block, and a chunk of it, has."""
+    block, waiting, size = Block(), [], 0
+
+    def flush() -> None:
+        nonlocal waiting, size
+        texts = [t for t in waiting if t]
+        if texts:
+            words, counts, begins = splitter.split(texts)
+            block.chunks.append(words.dictionary_encode())
+            found, started = iter(counts.tolist()), iter(begins.tolist())
+        for t in waiting:
+            block.counts.append(next(found) if t else 0)
+            block.begins.append(next(started) if t else 0)
+        waiting, size = [], 0
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                t = text.as_py() or ""
+                block.doc.append(_NO_ID if doc is None else doc)
+                block.row.append(row)
+                if hashed:
+                    block.own.append(hashlib.sha256(t.replace(SPACE, " ").encode()).digest())
+                waiting.append(t)
+                size += len(t) + 1
+                block.chars += len(t) + 1
+                if size >= sizes[1]:
+                    flush()
+                if block.chars >= sizes[0]:
+                    flush()
+                    yield block
+                    block = Block()
+    if block.row:
+        flush()
+        yield block
+
+
+def _asked(splitter: Splitter, sizes: tuple[int, int]):
+    """block, place and word: the distinct words of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(splitter, batches, False, sizes):
+            words, _ = block.words()
+            for at in range(0, len(words), 20_000):
+                some = words.slice(at, 20_000)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.row[0])), pa.array(np.arange(at, at + n, dtype=np.int32)), some.cast(pa.string())], names=["block", "place", "word"])
+
+    return run
+
+
+def _coded(splitter: Splitter, sizes: tuple[int, int]):
+    """block and its texts as numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(splitter, batches, True, sizes):
+            words, codes = block.words()
+            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            # low and high bytes apart: the high ones of frequent words are zero
+            planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            data = squeeze(np.array(block.doc, np.int64), np.array(block.row, np.int64), np.array(block.counts, np.int64), np.array(block.begins, np.int64), np.frombuffer(b"".join(block.own), np.uint8), np.array([len(words)]), planes)
+            yield pa.RecordBatch.from_arrays([pa.array([block.row[0]], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
+
+    return run
+
+
+_LATTICE = (
+    "word string, done array<int>, places array<array<struct<k: int, score: double, left: array<int>, right: array<int>, ids: array<int>>>>, "
+    "bars array<array<struct<l: int, r: int, rank: int>>>"
+)
+
+
+def _nested(outer: np.ndarray, inner: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(outer)), pa.int32()), inner)
+
+
+def _lattices(vocabulary: Vocabulary, edges: Edges):
+    """Groups the joined rows (word, at, k, piece) of each word, which follow one another; a word's first has k = 0.
+
+    The join's other side is broadcast, so its rows stay in the order of the words they come from; a row whose edge
+    does not lie within the word before it raises an error.
+    """
+    unknown = 0.0 if vocabulary.merges else min(vocabulary.scores, default=0.0) - 10.0
+    total = len(edges.text)
+
+    def emit(word: list[str], own: np.ndarray, at: np.ndarray, k: np.ndarray, piece: np.ndarray) -> pa.RecordBatch:
+        size = np.array([len(w) for w in word], np.int64)
+        if len(at) and (np.any(at + k > size[own]) or np.any(at < 0)):
+            raise ValueError("the edges of words did not stay together")
+        plain = size > LONG_WORD
+        np.logical_or.at(plain, own, edges.odd[piece])
+        done = [None if not p else merge_word(w, vocabulary.rank, vocabulary.byte_base) if vocabulary.merges else best_path(w, vocabulary, unknown) for w, p in zip(word, plain.tolist())]
+        fold = np.where(plain, 0, size)
+        keep = ~plain[own]
+        own, at, k, piece = own[keep], at[keep], k[keep], piece[keep]
+        base = np.cumsum(fold) - fold
+        # every character without a piece is an edge of its own, numbered after the pieces
+        covered = np.zeros(int(fold.sum()), bool)
+        covered[(base[own] + at)[k == 1]] = True
+        bare = np.flatnonzero(~covered)
+        bare_own = np.searchsorted(base + fold, bare, "right")
+        chars = [word[o][p] for o, p in zip(bare_own.tolist(), (bare - base[bare_own]).tolist())]
+        end = np.concatenate([base[own] + at + k - 1, bare])
+        length = np.concatenate([k, np.ones(len(bare), np.int64)])
+        number = np.concatenate([piece, total + np.arange(len(bare))])
+        order = np.lexsort((-length, end))
+        end, length, number = end[order], length[order], number[order]
+        lists = pa.concat_arrays([ids_of, pa.array([vocabulary.unknown(c) for c in chars], pa.list_(pa.int32()))])
+        known = np.minimum(number, total)
+        taken = pa.array(known)
+        edge = pa.StructArray.from_arrays(
+            [pa.array(length, pa.int32()), pa.array(np.append(edges.score, unknown)[known]), left_of.take(taken), right_of.take(taken), lists.take(pa.array(number))],
+            names=["k", "score", "left", "right", "ids"],
+        )
+        ends = np.bincount(end, minlength=int(fold.sum()))
+        places = _nested(fold, _nested(ends, edge))
+        split = edges.split[piece]
+        merged = split > 0
+        border = (base[own] + at)[merged] + split[merged]
+        by = np.argsort(border, kind="stable")
+        ints = lambda x: pa.array(x[merged][by], pa.int32())
+        bar = pa.StructArray.from_arrays([ints(split), ints(k - split), ints(edges.order[piece])], names=["l", "r", "rank"])
+        bars = _nested(fold, _nested(np.bincount(border, minlength=int(fold.sum())), bar))
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(done, pa.list_(pa.int32())), places, bars], names=["word", "done", "places", "bars"])
+
+    one = [[_NEVER]] if vocabulary.merges else [[]]
+    as_lists = lambda x: pa.array(x, pa.list_(pa.int32()))
+    ids_of = as_lists([[i] for i in edges.ids.tolist()])
+    left_of, right_of = as_lists(edges.left + one), as_lists(edges.right + one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            heads = np.flatnonzero(rest.column(2).to_numpy() == 0)
+            if len(heads) < 2:
+                continue
+            yield group(rest.slice(0, int(heads[-1])))
+            rest = rest.slice(int(heads[-1]))
+        if rest is not None and rest.num_rows:
+            yield group(rest)
+
+    def group(rows: pa.Table) -> pa.RecordBatch:
+        at, k, piece = (rows.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
+        head = k == 0
+        if not head[0]:
+            raise ValueError("the edges of words did not stay together")
+        own = np.cumsum(head) - 1
+        word = rows.column(0).filter(pa.array(head)).to_pylist()
+        return emit(word, own[~head], at[~head], k[~head], piece[~head])
+
+    return run
+
+
+def fold_viterbi(places: Column, bars: Column) -> Column:
+    """Ids of the best-scored open path; ``places`` holds the edges that end at each place, ``bars`` the merges that cross it."""
+    state = "array<struct<total: double, k: int, right: array<int>, ids: array<int>>>"
+
+    def step(paths: Column, here: Column) -> Column:
+        end = F.size(paths) + 1
+
+        def is_open(edge: Column) -> Column:
+            start = end - edge["k"]
+            crosses = lambda bar: (F.get(edge["left"], bar["r"] - 1) >= bar["rank"]) & (F.get(F.get(paths, start - 1)["right"], bar["l"] - 1) > bar["rank"])
+            return ~F.coalesce(F.exists(F.get(bars, start), crosses), F.lit(False))
+
+        def follow(edge: Column) -> Column:
+            before = F.get(paths, end - edge["k"] - 1)
+            ids = F.concat(F.coalesce(before["ids"], F.array().cast("array<int>")), edge["ids"])
+            return F.struct((F.coalesce(before["total"], F.lit(0.0)) + edge["score"]).alias("total"), edge["k"].alias("k"), edge["right"].alias("right"), ids.alias("ids"))
+
+        return F.concat(paths, F.array(F.array_max(F.transform(F.filter(here, is_open), follow))))
+
+    return F.aggregate(places, F.array().cast(state), step, lambda paths: F.element_at(paths, -1)["ids"])
+
+
 def encode_words(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Adds ``ids`` to a table of distinct words (column ``word``); work stays in the partitions of the words."""
+    """word and ids of a table of distinct words (column ``word``); work stays in the partitions of the words."""
     spark = distinct.sparkSession
-    # every word meets the empty piece, so a word without any other edge keeps its row
-    table = vocabulary.table(spark).unionByName(spark.range(1).select(F.lit("").alias("piece"), F.lit(-1).alias("id"), F.lit(_WORSE).alias("score")))
-    others = [c for c in distinct.columns if c != "word"]
+    edges = Edges.of(vocabulary)
+    table = spark.createDataFrame(pd.DataFrame({"text": ["", *edges.text], "piece": np.arange(-1, len(edges.text))}), "text string, piece int")
     n = F.length("word")
-    folded = n <= LONG_WORD if vocabulary.merges else F.lit(True)
-    inner = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(vocabulary.longest))), lambda k: F.struct((s * _KEY + k).alias("key"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
-    nothing = F.array(F.struct(F.lit(0).alias("key"), F.lit("").alias("piece")))
-    spots = F.when(folded, F.concat(nothing, inner)).otherwise(nothing)
-    edges = distinct.select("word", *others, F.inline(spots)).join(F.broadcast(table), "piece")
-    grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("score", "id").alias("value")))).alias("m"), *[F.first(c).alias(c) for c in others])
-    if not vocabulary.merges:
-        bounds = fold_viterbi(n, F.col("m"), vocabulary.longest, min(vocabulary.scores, default=0.0) - 10.0)
-        return grouped.select("word", *others, _ids(F.col("word"), bounds, F.col("m"), vocabulary.byte_base).alias("ids"))
-    rank = {p: (s, i) for p, i, s in zip(vocabulary.pieces, vocabulary.ids, vocabulary.scores)}
-    base = vocabulary.byte_base
-
-    @F.pandas_udf("array<int>")
-    def merged(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: merge_word(x, rank, base), na_action="ignore")
-
-    long = merged(F.when(~folded, F.col("word")))
-    short = F.when(folded, _ids(F.col("word"), fold_merges(n, F.col("m")), F.col("m"), base))
-    return grouped.withColumn("_long", long).select("word", *others, F.coalesce("_long", short).alias("ids"))
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, word_no, ids) of every word of every text, as two tables: frequent words and the rest."""
+    longest = max(map(len, edges.text), default=1)
+    some = lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(longest))), lambda k: F.struct(s.alias("at"), k.alias("k"), F.substring(F.col("word"), s + 1, k).alias("text")))
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), some))
+    # every word meets the empty piece first: that row carries the word itself
+    head = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit("").alias("text")))
+    spots = F.when(n.between(1, LONG_WORD), F.concat(head, inner)).otherwise(head)
+    spread = distinct.select("word", F.inline(spots)).select(F.when(F.col("k") == 0, F.col("word")).alias("word"), "at", "k", "text")
+    joined = spread.join(F.broadcast(table), "text").select("word", "at", "k", "piece")
+    grouped = joined.mapInArrow(_lattices(vocabulary, edges), _LATTICE)
+    return grouped.select("word", F.coalesce("done", fold_viterbi(F.col("places"), F.col("bars"))).alias("ids"))
+
+
+def _spelling(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes of each id; the last entry is that of ids without a piece."""
+    top = max([*vocabulary.ids, -1 if vocabulary.byte_base is None else vocabulary.byte_base + 255], default=-1)
+    spelt = [UNKNOWN.encode()] * (top + 2)
+    for i, p in zip(vocabulary.ids, vocabulary.pieces):
+        spelt[i] = p.replace(SPACE, " ").encode()
+    if vocabulary.byte_base is not None:
+        spelt[vocabulary.byte_base : vocabulary.byte_base + 256] = [bytes([b]) for b in range(256)]
+    return spelt
+
+
+def _spell(spelt: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+    """The bytes of each text, whose ids lie between two bounds, without the space that begins it."""
+    unknown = len(spelt) - 1
+    ids = np.where((ids < 0) | (ids >= unknown), unknown, ids)
+    _, offsets, data = spelt.take(pa.array(ids, pa.int64())).buffers()
+    at = np.frombuffer(offsets, np.int64)[bounds].tolist() if len(ids) else [0] * len(bounds)
+    raw = data.to_pybytes() if data is not None else b""
+    for x, y in zip(at, at[1:]):
+        yield raw[x + (raw[x : x + 1] == b" ") : y]
+
+
+_DIGESTS = "doc_id long, row long, n_words long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean"
+_SEQUENCES = "doc_id long, row long, ids array<int>"
+
+
+def _answer(vocabulary: Vocabulary, digest: bool):
+    """Per block: its texts' ids, from the ids of its words; or what :func:`digests` tells of them."""
+    spelling = _spelling(vocabulary) if digest else []
+
+    def run(coded: pa.Table, words: pa.Table) -> pa.Table:
+        found = []
+        spelt = pa.array(spelling, pa.large_binary())
+        lists = words.sort_by("place").column("ids").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        start = np.cumsum(size) - size
+        for data in coded.column("data").to_pylist():
+            doc, row, counts, begins, own, (n,), planes = expand(data)
+            if n != len(size):
+                raise ValueError("a block's words changed between two reads: the source must be stored data")
+            code = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+            stop = np.cumsum(counts)
+            a = 0
+            while a < len(doc):  # some texts at a time
+                first = int(stop[a] - counts[a])
+                b = max(a + 1, int(np.searchsorted(stop, first + CHUNK_CHARS // 4)))
+                c = code[first : int(stop[b - 1])]
+                k = size[c]
+                reach = np.cumsum(k)
+                ids = flat[np.repeat(start[c] - (reach - k), k) + np.arange(int(k.sum()))]
+                bounds = np.append(0, reach)[np.append(0, stop[a:b] - first)]
+                null = np.asarray(doc[a:b] == _NO_ID)
+                columns = [pa.array(doc[a:b], mask=null), pa.array(row[a:b])]
+                if digest:
+                    raw = ids.astype("<u4").tobytes()
+                    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+                    texts = [t.decode("utf-8", "replace").encode() for t in _spell(spelt, ids, bounds)]
+                    sha = [hashlib.sha256(t).digest() for t in texts]
+                    same = [d == own[32 * i : 32 * i + 32].tobytes() for i, d in zip(range(a, b), sha)]
+                    columns += [pa.array(begins[a:b]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array([d.hex() for d in sha]), pa.array(same)]
+                else:
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
+                found.append(pa.table(columns, names=names))
+                a = b
+        return pa.concat_tables(found) if found else empty
+
+    names = [x.split()[0] for x in (_DIGESTS if digest else _SEQUENCES).split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] if digest else [pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    empty = pa.table([pa.array([], t) for t in kinds], names=names)
+    return run
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("w"))
-    counted = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    coded = scratch.save(encode_words(counted, vocabulary), "words")
-    classes = coded.groupBy(F.floor(F.log2("n")).alias("c")).count().collect()  # at most 64 rows
-    least, total = 64, 0
-    for r in sorted(classes, key=lambda r: -r["c"]):
-        total += r["count"]
-        if total > MOST_WORDS:
-            break
-        least = r["c"]
-    frequent = coded.where(F.floor(F.log2("n")) >= least).select("word", "ids")
-    spread = rows.select("doc_id", "row", F.posexplode("w").alias("word_no", "word"))
-    found = spread.join(F.broadcast(frequent), "word", "left")
-    rest = spread.join(F.broadcast(frequent.select("word")), "word", "left_anti") if total > MOST_WORDS or least > 0 else spread.where(F.lit(False))
-    rare = coded.where(F.floor(F.log2("n")) < least).select("word", "ids")
-    out = ["doc_id", "row", "word_no", "ids"]
-    return found.where("ids is not null").select(*out), rest.join(rare, "word").select(*out)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
+    splitter, sizes = Splitter(vocabulary), (BLOCK_CHARS, CHUNK_CHARS)
+    asked = scratch.save(rows.mapInArrow(_asked(splitter, sizes), "block long, place int, word string"), "asked")
+    distinct = asked.select("word").repartition(parts(spark), "word").distinct()
+    found = scratch.save(encode_words(distinct, vocabulary), "words")
+    told = asked.join(found, "word").select("block", "place", "ids")
+    coded = rows.mapInArrow(_coded(splitter, sizes), "block long, data binary")
+    return coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answer(vocabulary, digest), _DIGESTS if digest else _SEQUENCES)
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_pieces, an order-sensitive checksum of each text's ids, the SHA-256 of the text that these ids
-    decode to, and whether that is the text itself (its ``▁`` as spaces)."""
-    decoded = decode(_gathered(docs, vocabulary, id_col, text_col), vocabulary).select("row", "n_words", "n_pieces", "ids_digest", F.sha2("text", 256).alias("text_sha256"))
-    own = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACE, " "), 256)
-    keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), own.alias("own"))
-    text = F.coalesce("text_sha256", F.sha2(F.lit(""), 256))
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_pieces", "ids_digest")]
-    return keys.join(decoded, "row", "left").select("doc_id", *counts, text.alias("text_sha256"), (text == F.col("own")).alias("round_trip"))
-
-
-def _gathered(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """row, ids, n_words, n_pieces and ids_digest of each text that has words."""
-    a, b = encode(docs, vocabulary, id_col, text_col)
-    return a.unionByName(b).groupBy("row").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "ids"))), lambda x: x["ids"])).alias("ids"),
-        F.count(F.lit(1)).alias("n_words"), F.sum(F.size("ids").cast("long")).alias("n_pieces"), F.sum(F.pmod(F.xxhash64("word_no", "ids"), F.lit(1 << 31))).alias("ids_digest"),
-    )
+    """doc_id, n_words (spaces that begin a word), n_pieces, the CRC-32 of a text's ids (little-endian, 32 bits), the
+    SHA-256 of the text that these ids decode to, and whether that is the text itself (its ``▁`` as spaces)."""
+    return _encoded(docs, vocabulary, id_col, text_col, True).drop("row")
 
 
 def sequences(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, ids): whole id sequences; each text's are gathered in one row."""
-    joined = _gathered(docs, vocabulary, id_col, text_col).select("row", "ids")
-    keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
-    return keys.join(joined, "row", "left").select("doc_id", "row", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """(doc_id, row, ids): whole id sequences."""
+    return _encoded(docs, vocabulary, id_col, text_col, False)
 
 
 def decode(sequenced: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds ``text`` to (ids, ...): the bytes of a text's pieces, end to end. An id without a piece is written `` ⁇ ``."""
-    top = max([*vocabulary.ids, -1 if vocabulary.byte_base is None else vocabulary.byte_base + 255], default=-1)
-    spelt = [UNKNOWN.encode()] * (top + 2)
-    for i, p in zip(vocabulary.ids, vocabulary.pieces):
-        spelt[i] = p.replace(SPACE, " ").encode()
-    if vocabulary.byte_base is not None:
-        spelt[vocabulary.byte_base : vocabulary.byte_base + 256] = [bytes([b]) for b in range(256)]
+    spelling = _spelling(vocabulary)
 
     @F.arrow_udf("string")
     def joined(ids: pa.Array) -> pa.Array:
         flat = ids.flatten().to_numpy(zero_copy_only=False)
-        flat = np.where((flat < 0) | (flat > top), top + 1, flat)
-        end = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        _, offsets, data = pa.array(spelt, pa.large_binary()).take(pa.array(flat)).buffers()
-        at = np.frombuffer(offsets, np.int64)[np.append(0, end)].tolist() if len(flat) else [0] * (len(ids) + 1)
-        raw = data.to_pybytes() if data is not None else b""
-        return pa.array([raw[x + (raw[x : x + 1] == b" ") : y].decode("utf-8", "replace") if x < y else "" for x, y in zip(at, at[1:])], pa.string())
+        bounds = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        texts = _spell(pa.array(spelling, pa.large_binary()), flat, bounds)
+        return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
 
     return sequenced.withColumn("text", joined("ids"))
 
 
-__all__ = ["Vocabulary", "encode", "decode", "digests", "sequences", "encode_words", "merge_word"]
+__all__ = ["Vocabulary", "decode", "digests", "sequences", "encode_words", "merge_word", "best_path"]

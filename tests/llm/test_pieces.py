@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import zlib
 
+import numpy as np
 import pytest
 
 from tessera.llm import pieces
@@ -24,15 +26,16 @@ def test_ids_equal_the_library_and_decode_back(spark, library, monkeypatch):
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, word long").repartition(3).persist()
     vocabulary = pieces.Vocabulary.load(PATH)
     assert vocabulary.merges and vocabulary.byte_base == 3
-    for most in (pieces.MOST_WORDS, 3):
-        monkeypatch.setattr(pieces, "MOST_WORDS", most)
+    for chars, chunk in ((pieces.BLOCK_CHARS, pieces.CHUNK_CHARS), (30, 8)):
+        monkeypatch.setattr(pieces, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(pieces, "CHUNK_CHARS", chunk)
         got = pieces.sequences(df, vocabulary).persist()
         want = sorted(((d, library.encode(t or "")) for d, t in rows), key=repr)
         assert sorted(((r["doc_id"], list(r["ids"])) for r in got.collect()), key=repr) == want
         back = {(r["doc_id"], r["text"]) for r in pieces.decode(got, vocabulary).collect()}
         assert back == {(d, (t or "").replace("▁", " ")) for d, t in rows}
-        short = {r["doc_id"]: (r["n_pieces"]) for r in pieces.digests(df, vocabulary).collect()}
-        assert short == {d: len(library.encode(t or "")) for d, t in rows}
+        short = {r["doc_id"]: (r["n_pieces"], r["ids_crc32"]) for r in pieces.digests(df, vocabulary).collect()}
+        assert short == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want}
     assert pieces.digests(df.limit(0), vocabulary).collect() == []
 
 
@@ -80,3 +83,34 @@ def test_viterbi_equals_all_paths(spark):
     ids = {p: 10 + k for k, p in enumerate(table)}
     for r in pieces.encode_words(df, vocabulary).collect():
         assert list(r["ids"]) in [[ids.get(p, 0) for p in path] for path in best(r["word"])]
+
+
+def test_fold_equals_merging(spark):
+    """The fold over barred edges against merging one by one, over vocabularies of random merges and all short words."""
+    rng = np.random.default_rng(4)
+    inputs = ["".join(x) for n in range(1, 8) for x in itertools.product("abc", repeat=n)]
+    df = spark.createDataFrame([(w,) for w in inputs], "word string").repartition(4)
+    for seed in range(4):
+        table = {c: -1000.0 - k for k, c in enumerate("abc"[: 3 - seed % 2])}  # the last character may lack a piece
+        symbols, rank = list("abc"), 0
+        while rank < 14:
+            pair = "".join(rng.choice(symbols, 2))
+            if len(pair) <= 6 and pair not in table:
+                table[pair] = float(-rank)
+                symbols.append(pair)
+                rank += 1
+        if seed == 3:  # equal ranks, and one above its parts
+            table |= {"cc": -3.0, "aab": -3.0, "bcb": -0.0}
+        for base in (None, 50):
+            vocabulary = pieces.Vocabulary.of(list(table), list(range(1, 1 + len(table))), list(table.values()), base, True)
+            got = {r["word"]: list(r["ids"]) for r in pieces.encode_words(df, vocabulary).collect()}
+            assert got == {w: pieces.merge_word(w, vocabulary.rank, base) for w in inputs}
+
+
+def test_words_of_every_length(spark, library, sf):
+    """Long words, words of one character over and over, and the words of the documents, against the library."""
+    texts = ["ab" * n for n in (60, 64, 65, 200)] + ["the" * 3000, "é" * 500, "x" * 128, "x" * 129, " " * 40 + "y", "日本" * 100]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    df = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(docs).persist()
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.sequences(df, pieces.Vocabulary.load(PATH)).collect()}
+    assert got == {r["doc_id"]: library.encode(r["text"] or "") for r in df.collect()}
