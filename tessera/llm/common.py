@@ -55,6 +55,12 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_parts(df: DataFrame, text_col: str, size: int) -> int:
+    """How many pieces to deal texts into, so that one holds about ``size`` bytes of them; no fewer than :func:`parts`."""
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    return max(parts(df.sparkSession), -(-total // size))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; others, whatever they are called, are left out."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -5,20 +5,23 @@ earlier in the same one. Strings are judged on the input and never cross documen
 
 How the suffixes are spread. Every window of ``width`` bytes belongs to the bucket of the least hash among its
 32-byte strings, so equal windows meet in one bucket. A maximal run of windows of one bucket is a piece: some 35
-windows that overlap, ``width - 1`` bytes longer than it has windows. Pieces are first sent as hashes only. Equal
-pieces collapse before any text moves: the first one stands for all, and the copies' windows have all started
-earlier. Buckets left with one piece that does not repeat itself are done. The other pieces' texts go to their
+windows that overlap, ``width - 1`` bytes longer than it has windows. Pieces are first sent as hashes only, of 128
+bits. Equal pieces collapse before any text moves: the first one stands for all, and the copies' windows have all
+started earlier. Buckets left with one piece that does not repeat itself are done. The other pieces' texts go to their
 buckets.
 
-In a bucket, pieces form shards by document order. Each shard's Burrows-Wheeler transform is built on its own; two
-transforms are merged by refining their interleave (Holt and McMillan, 2014): a bit per suffix tells its shard, and
-each round stably re-deals the bits by the symbols that precede the suffixes, which sorts them by ``STEP`` more
-bytes. Block bounds are carried along (Egidi and Manzini, 2017), so after ``width / STEP`` rounds a block is an
-interval of suffixes whose common prefix has ``width`` bytes: a repeated window where it holds more than one. No
-suffix is compared or sorted again in the merge.
+In a bucket, pieces form shards by document order. Each shard's Burrows-Wheeler transform is built on its own, and
+transforms are merged in pairs, up a tree, by refining their interleave (Holt and McMillan, 2014): a bit per suffix
+tells its side, and each round stably re-deals the bits by the symbols that precede the suffixes, which sorts them by
+``STEP`` more bytes. Block bounds are carried along (Egidi and Manzini, 2017), so after ``width / STEP`` rounds a block
+is an interval of suffixes whose common prefix has ``width`` bytes: a repeated window where it holds more than one. No
+suffix is compared or sorted again in the merges. That a merged transform is sorted by its first ``width`` bytes only is
+enough for the next merge, which looks no further.
 
-A bucket with over ``hot`` different pieces (a very common 32-byte string in ever new surroundings) is split: its
-windows are dealt out one by one under 128 bits of hash, the first of each kept per task before the shuffle.
+A bucket with over ``hot`` different pieces (a very common 32-byte string in ever new surroundings) is split by these
+surroundings: its pieces are cut again, into runs of windows with one least hash in another order of the strings, and
+so on for up to ``LEVELS`` orders, one after the other. Equal windows stay together, and all are compared as above.
+Tasks are sized by the bytes of text: about ``PART_BYTES`` each.
 
 Defined cases: a null or empty text has 0 bytes; a null doc_id counts as smaller than all others; rows with equal
 doc_ids are ordered as they are stored, so the source must be stored data; an empty table gives an empty table.
@@ -30,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,16 +44,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ODD as _ODD
 from tessera.llm.common import ODD2 as _ODD2
-from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, mix, parts, split_by_part, squeeze, text_column
+from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, mix, split_by_part, squeeze, text_column, text_parts
 
 GRAM = 32
 STEP = 5
 #: Suffixes that are sorted at a time, where one bucket does not hold more.
 UNIT = 60_000
-#: Different pieces above which a bucket is split by window.
+#: Suffixes of a shard, about.
+SHARD = 16_000
+#: Different pieces above which a bucket is split by their surroundings, and how often.
 HOT_PIECES = 50_000
+LEVELS = 6
+#: Bytes of text that a task deals with.
+PART_BYTES = 6 << 20
 _CHUNK = 1 << 18
-_LONG = 1 << 21
+_LONG = 1 << 19
 _NULL_ID = -(1 << 63)
 
 
@@ -62,13 +71,18 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def find_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one bucket in texts that lie end to end: bucket, first window, windows, whether it may repeat itself."""
+def find_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one bucket in texts that lie end to end: bucket, first window, windows, whether it may repeat itself.
+
+    Each ``level`` has its own order of the 32-byte strings.
+    """
     span = width - GRAM + 1
     if len(raw) < width:
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e, e.copy(), e.astype(bool)
     h = gram_hashes(raw)
+    if level:
+        h = mix(h + np.uint64(level) * _ODD2)
     m, n = h, 1
     while n * 2 <= span:
         m = np.minimum(m[:-n], m[n:])
@@ -126,37 +140,60 @@ def _ids(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ())
     )
 
 
+class _Runs:
+    """Runs of windows that are found in texts, to be dealt by bucket."""
+
+    def __init__(self, width: int, level: int = 0):
+        self.width, self.level = width, level
+        self.rolling = [RollingHash(_CHUNK + _LONG + 2 * width, odd, seed) for odd, seed in ((_ODD2, 5), (_ODD, 11))]
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, raw: np.ndarray, seg: np.ndarray, seg_end: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, above: np.ndarray | None = None) -> None:
+        """Texts end to end, with each one's document, place in it and, within a hot bucket, that bucket."""
+        h, first, length, twice = find_runs(raw, seg, seg_end, self.width, self.level)
+        which = np.searchsorted(seg_end, first, "right")
+        if above is not None:
+            h = mix(above[which] * _ODD + h)
+        text = [r.slices(r.sums(raw), first, first + length + self.width - 1) for r in self.rolling]
+        self.found.append((h, *text, doc[which], row[which], (at[which] + first - seg[which]).astype(np.uint32), length.astype(np.uint32), twice))
+        self.size += len(raw)
+
+    def deal(self, n: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket part, block) of what was found since the last call."""
+        if not self.found:
+            return
+        h, t1, t2, doc, row, at, length, twice = (np.concatenate(x) for x in zip(*self.found))
+        self.found, self.size = [], 0
+        order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            o = order[bounds[p] : bounds[p + 1]]
+            used, first, local = np.unique(row[o], return_index=True, return_inverse=True)
+            yield p, pickle.dumps((h[o].tobytes() + t1[o].tobytes() + t2[o].tobytes(), squeeze(doc[o][first], used, local.astype(np.int32), at[o], length[o], twice[o])), 5)
+
+
 def _run_blocks(ids: DataFrame, n: int, width: int) -> DataFrame:
     """Every document's runs as hashes, dealt into ``n`` parts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash(_CHUNK + _LONG + width, _ODD2, 5)
+        runs = _Runs(width)
+
+        def block() -> pa.RecordBatch:
+            dealt = list(runs.deal(n))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in dealt], pa.int32()), pa.array([d for _, d in dealt], pa.binary())], names=["part", "data"])
+
         for batch in batches:
             doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, starts, ends = text_column(batch.column(2))
-            found = []
             for some in _chunks(starts, ends, width):
                 raw = np.concatenate([buf[a:b] for _, _, a, b in some])
-                size = np.array([b - a for _, _, a, b in some])
-                seg_end = np.cumsum(size)
-                seg = seg_end - size
-                h, first, length, twice = find_runs(raw, seg, seg_end, width)
-                which = np.searchsorted(seg_end, first, "right")
-                text = rolling.slices(rolling.sums(raw), first, first + length + width - 1)
-                r = np.array([x[0] for x in some])[which]
-                at = np.array([x[1] for x in some])[which] + first - seg[which]
-                found.append((h, text, r.astype(np.int32), at.astype(np.uint32), length.astype(np.uint32), twice))
-            if not found:
-                continue
-            h, text, r, at, length, twice = (np.concatenate(x) for x in zip(*found))
-            order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
-            part, data = [], []
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                o = order[bounds[p] : bounds[p + 1]]
-                used, local = np.unique(r[o], return_inverse=True)
-                part.append(p)
-                data.append(pickle.dumps((h[o].tobytes() + text[o].tobytes(), squeeze(doc[used], row[used], local.astype(np.int32), at[o], length[o], twice[o])), 5))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+                r, at, a, b = (np.array([x[k] for x in some]) for k in range(4))
+                stop = np.cumsum(b - a)
+                runs.add(raw, stop - (b - a), stop, doc[r], row[r], at)
+                if runs.size >= PART_BYTES:
+                    yield block()
+        if runs.size:
+            yield block()
 
     return ids.select("doc", "row", "text").mapInArrow(run, "part int, data binary")
 
@@ -186,10 +223,10 @@ def _collapse(n: int, hot: int):
         blocks = []
         for data in pdf["data"]:
             raw, rest = pickle.loads(data)
-            hashes = np.frombuffer(raw, np.uint64).reshape(2, -1)
+            hashes = np.frombuffer(raw, np.uint64).reshape(3, -1)
             doc, row, local, at, length, twice = expand(rest)
-            blocks.append((hashes[0], hashes[1], doc[local], row[local], at, length, twice))
-        h, text, doc, row, at, length, twice = (np.concatenate(x) for x in zip(*blocks))
+            blocks.append((*hashes, doc[local], row[local], at, length, twice))
+        h, text, more, doc, row, at, length, twice = (np.concatenate(x) for x in zip(*blocks))
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         many = np.zeros(len(h), bool)
@@ -198,10 +235,10 @@ def _collapse(n: int, hot: int):
         keep = order[many | twice[order]]
         if not len(keep):
             return _frame([])
-        keep = keep[np.lexsort((at[keep], row[keep], doc[keep], text[keep], h[keep]))]
-        h, text, doc, row, at, length, twice = (x[keep] for x in (h, text, doc, row, at, length, twice))
+        keep = keep[np.lexsort((at[keep], row[keep], doc[keep], more[keep], text[keep], h[keep]))]
+        h, text, more, doc, row, at, length, twice = (x[keep] for x in (h, text, more, doc, row, at, length, twice))
         new_bucket = np.append(True, h[1:] != h[:-1])
-        first = new_bucket | np.append(True, text[1:] != text[:-1])
+        first = new_bucket | np.append(True, (text[1:] != text[:-1]) | (more[1:] != more[:-1]))
         bucket = np.cumsum(new_bucket) - 1
         pieces = np.bincount(bucket, weights=first).astype(np.int64)[bucket]
         selfish = (np.bincount(bucket, weights=twice) > 0)[bucket]
@@ -249,15 +286,31 @@ def _requests(found: pd.DataFrame, kinds: Sequence[int]) -> dict[tuple[int, int]
     return out
 
 
-def _fetch(n: int, width: int):
-    """Per document part: the texts of requested pieces, dealt by bucket; windows of hot buckets as 128-bit hashes."""
+def _fetch(n: int, width: int, level: int):
+    """Per document part: the texts of requested pieces, dealt by bucket; runs of hot buckets' pieces in the order of ``level``."""
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         wanted = _requests(found, (PIECE, HOT))
-        piece: list[tuple] = []
-        hot: list[tuple] = []
-        body: list[bytes] = []
-        roll = None
+        out: list[tuple[int, int, bytes]] = []
+        runs = _Runs(width, level)
+        press = zstandard.ZstdCompressor(level=3)
+
+        def deal(piece: list[tuple], body: list[bytes]) -> None:
+            h, doc, row, at, length = (np.concatenate(x) for x in zip(*piece))
+            order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                o = order[bounds[p] : bounds[p + 1]]
+                out.append((p, PIECE, pickle.dumps((h[o], squeeze(doc[o], row[o], at[o], length[o]), press.compress(b"".join(body[i] for i in o))), 5)))
+
+        piece, body, hot, waiting = [], [], [], 0
+
+        def flush() -> None:
+            part, *plain = zip(*hot)
+            doc, row, at, above = (np.array(x, t) for x, t in zip(plain, (np.int64, np.int64, np.int64, np.uint64)))
+            size = np.array(list(map(len, part)))
+            runs.add(np.concatenate(part), np.cumsum(size) - size, np.cumsum(size), doc, row, at, above)
+            hot.clear()
+
         for data in texts["data"]:
             doc, row, size, packed, _ = pickle.loads(data)
             hit = [i for i in range(len(doc)) if (int(doc[i]), int(row[i])) in wanted]
@@ -266,47 +319,28 @@ def _fetch(n: int, width: int):
             raw, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(size)
             for i in hit:
                 base = int(ends[i] - size[i])
-                for kind, at, length, h in wanted[int(doc[i]), int(row[i])]:
+                for kind, at, length, h in wanted.pop((int(doc[i]), int(row[i]))):
                     if kind == PIECE:
                         piece.append((h, np.full(len(h), doc[i]), np.full(len(h), row[i]), at, length))
                         body += [raw[base + a : base + a + k + width - 1] for a, k in zip(at.tolist(), length.tolist())]
                         continue
-                    roll = roll or (RollingHash(_LONG + width, _ODD2, 5), RollingHash(_LONG + width, _ODD, 11))
-                    for a, k in zip(at.tolist(), length.tolist()):
+                    for a, k, above in zip(at.tolist(), length.tolist(), h):
                         for b in range(a, a + k, _LONG):
-                            part = np.frombuffer(raw, np.uint8, min(_LONG, a + k - b) + width - 1, base + b)
-                            w = np.arange(len(part) - width + 1)
-                            hot.append((*[x.slices(x.sums(part), w, w + width) for x in roll], np.full(len(w), doc[i]), np.full(len(w), row[i]), (b + w).astype(np.uint32)))
-        out: list[tuple[int, int, bytes]] = []
-        if piece:
-            h, doc, row, at, length = (np.concatenate(x) for x in zip(*piece))
-            order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                o = order[bounds[p] : bounds[p + 1]]
-                out.append((p, PIECE, pickle.dumps((h[o], squeeze(doc[o], row[o], at[o], length[o]), zstandard.ZstdCompressor(level=3).compress(b"".join(body[i] for i in o))), 5)))
+                            hot.append((np.frombuffer(raw, np.uint8, min(_LONG, a + k - b) + width - 1, base + b), doc[i], row[i], b, above))
+                            waiting += len(hot[-1][0])
+                            if waiting >= _CHUNK:
+                                flush()
+                                waiting = 0
         if hot:
-            h, g, doc, row, at = _first_windows(hot, out, n)
-            order, bounds = split_by_part((mix(h) % np.uint64(n)).astype(np.int64), n)
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                o = order[bounds[p] : bounds[p + 1]]
-                out.append((p, HOT, pickle.dumps((h[o], g[o], doc[o], row[o], at[o]), 5)))
+            flush()
+        if piece:
+            deal(piece, body)
+        out += [(p, HOT, d) for p, d in runs.deal(n)]
         return _frame(out)
 
     return run
 
 
-def _first_windows(blocks: list[tuple], out: list[tuple[int, int, bytes]], n: int, offset: int = 1 << 20) -> tuple[np.ndarray, ...]:
-    """The first window of each hash; the others go to ``out`` as repeated (kind shifted by ``offset``: already dealt by document)."""
-    h, g, doc, row, at = (np.concatenate(x) for x in zip(*blocks))
-    order = np.lexsort((at, row, doc, g, h))
-    h, g, doc, row, at = (x[order] for x in (h, g, doc, row, at))
-    first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
-    rest = ~first
-    if rest.any():
-        out += [(p, offset + k, d) for p, k, d in _deal((at[rest], np.ones(rest.sum(), np.uint32)), doc[rest], row[rest], n, REPEATED)]
-    return tuple(x[first] for x in (h, g, doc, row, at))
-
-
 def shard_bwt(text: np.ndarray, base: np.ndarray, place: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a shard's strings and its transform: the ``STEP`` bytes before each suffix, as codes.
 
@@ -368,20 +402,27 @@ def repeated_windows(strings: list[bytes], width: int) -> tuple[np.ndarray, np.n
         gram = gram * np.uint64(256) + text[base + (place + k) % length]
     alphabet, code = np.unique(gram, return_inverse=True)
     code = code.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
-    if len(strings) == 1:  # one transform: its own blocks, found by the same rounds
-        middle = total
-    else:
-        middle = int(start[len(strings) // 2])
-    sides = []
-    for a, b in ((0, middle), (middle, total)):
-        if a == b:
-            sides.append((np.zeros(0, np.int64), code[:0]))
-            continue
+    # shards of whole strings, in document order
+    shard = start // SHARD
+    cuts = [*start[np.flatnonzero(np.diff(shard, prepend=-1))].tolist(), total]
+    if len(cuts) == 2 and len(strings) > 1:
+        cuts.insert(1, int(start[len(strings) // 2]))
+    level = []
+    for a, b in zip(cuts, cuts[1:]):
         order, bwt = shard_bwt(text[a:b], base[a:b] - a, place[a:b], length[a:b], code[a:b])
-        sides.append((order + a, bwt))
-    side, block = merge_bwts(sides[0][1], sides[1][1], width // STEP)
-    at = np.empty(total, np.int64)
-    at[~side], at[side] = sides[0][0], sides[1][0]
+        level.append((order + a, bwt))
+    if len(level) == 1:  # one string: its blocks are found by the same rounds
+        level.append((np.zeros(0, np.int64), code[:0]))
+    while len(level) > 1:
+        above = []
+        for (x, left), (y, right) in zip(level[::2], level[1::2]):
+            side, block = merge_bwts(left, right, width // STEP)
+            at, bwt = np.empty(len(side), np.int64), np.empty(len(side), code.dtype)
+            at[~side], at[side] = x, y
+            bwt[~side], bwt[side] = left, right
+            above.append((at, bwt))
+        level = above + level[len(level) & ~1 :]
+    at = level[0][0]
     count = np.bincount(block)
     windows = np.array([len(s) for s in strings])[which[at]] - place[at] >= width
     chosen = (count[block] > 1) & windows
@@ -401,18 +442,13 @@ def _compare(n: int, width: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, bytes]] = []
-        blocks, body, hot = [], [], []
-        for kind, data in zip(pdf["kind"], pdf["data"]):
-            if kind == HOT:
-                hot.append(pickle.loads(data))
-                continue
+        blocks, body = [], []
+        for data in pdf["data"]:
             h, rest, packed = pickle.loads(data)
             blocks.append((h, *expand(rest)))
             raw = zstandard.ZstdDecompressor().decompress(packed)
             stop = np.cumsum(blocks[-1][4].astype(np.int64) + width - 1)
             body += [raw[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
-        if hot:
-            _first_windows(hot, out, n, 0)
         if blocks:
             h, doc, row, at, length = (np.concatenate(x) for x in zip(*blocks))
             order = np.lexsort((at, row, doc, h))
@@ -487,17 +523,22 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     """
     if width % STEP or width < 2 * GRAM:
         raise ValueError(f"width must be a multiple of {STEP} and at least {2 * GRAM}")
-    spark = docs.sparkSession
-    scratch, n = Scratch(spark, "suffixes"), parts(spark)
+    scratch, n = Scratch(docs.sparkSession, "suffixes"), text_parts(docs, text_col, PART_BYTES)
     ids = _ids(docs, id_col, text_col)
-    blocks = _run_blocks(ids, n, width)
-    found = scratch.save(blocks.groupBy("part").applyInPandas(_collapse(n, hot), _FOUND), "found")
     by_doc = lambda df: df.groupBy("dpart")
-    fetched = by_doc(_text_frames(ids, n)).cogroup(by_doc(found.where(F.col("kind") != REPEATED))).applyInPandas(_fetch(n, width), _FOUND)
-    fetched = scratch.save(fetched, "fetched")
-    ready = fetched.where(F.col("kind") >= 1 << 20).withColumn("kind", F.col("kind") - (1 << 20))
-    compared = scratch.save(fetched.where(F.col("kind") < 1 << 20).groupBy("dpart").applyInPandas(_compare(n, width), _FOUND), "compared")
-    repeated = found.where(F.col("kind") == REPEATED).unionByName(compared).unionByName(ready)
+    runs, repeated, pieces = _run_blocks(ids, n, width), [], []
+    for level in range(1, LEVELS + 1):
+        found = scratch.save(runs.groupBy("part").applyInPandas(_collapse(n, hot if level < LEVELS else 1 << 62), _FOUND), f"found{level}")
+        fetched = by_doc(_text_frames(ids, n)).cogroup(by_doc(found.where(F.col("kind") != REPEATED))).applyInPandas(_fetch(n, width, level), _FOUND)
+        fetched = scratch.save(fetched, f"fetched{level}")
+        repeated.append(found.where(F.col("kind") == REPEATED))
+        pieces.append(fetched.where(F.col("kind") == PIECE))
+        runs = fetched.where(F.col("kind") == HOT).select(F.col("dpart").alias("part"), "data")
+        if runs.isEmpty():
+            break
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    compared = scratch.save(by_doc(union(pieces)).applyInPandas(_compare(n, width), _FOUND), "compared")
+    repeated = union([*repeated, compared])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", text string" * keep_text + "".join(f", carry_{k} string" for k in range(len(carry)))
     frames = _text_frames(_ids(docs, id_col, text_col, carry), n)

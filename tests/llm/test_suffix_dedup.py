@@ -86,7 +86,9 @@ def test_empty_repeated_rows_and_carried_columns(spark):
     assert got[1, "en"]["text"] == t and got[1, "de"]["text"] == "" and got[2, None]["text"] == "!"
 
 
-def test_merge_orders_suffixes_without_resorting():
+@pytest.mark.parametrize("shard", [suffix_dedup.SHARD, 300, 1])
+def test_merge_orders_suffixes_without_resorting(monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     rng = np.random.default_rng(5)
     strings = [bytes(rng.integers(97, 99, 130, dtype=np.uint8)) for _ in range(9)] + [b"a" * 120, b"a" * 121]
     string, place, block = suffix_dedup.repeated_windows(strings, 100)
