@@ -3,8 +3,8 @@
 Texts become words: a space (written ``▁``) begins one, and so does a character that follows another as it does within
 no piece. No piece spans two words, so words are encoded on their own, each distinct word once.
 
-A block of texts asks for its distinct words. The distinct words of all blocks are exploded into substrings of bounded
-length, these are equi-joined to the piece table (bounded by the vocabulary), a word's edges are grouped by the place
+A block of texts asks for its distinct words, once each. The words of all blocks meet, sorted; the distinct ones are
+exploded into substrings of bounded length, these are equi-joined to the piece table (bounded by the vocabulary), a word's edges are grouped by the place
 where they end, and a higher-order ``aggregate`` folds Viterbi over the places: the best-scored path to each, from the
 best paths to the places before it. Two kinds of vocabularies use the one fold:
 
@@ -17,9 +17,9 @@ best paths to the places before it. Two kinds of vocabularies use the one fold:
   them if ``l`` characters are one symbol on the left, and ``r`` characters on the right, until that piece's rank comes
   up. For both sides of a piece, the table holds the symbols it passes through and the rank that ends each.
 
-Words over ``LONG_WORD`` characters (the fold copies its state at every place) and words with a piece whose rank is not
-its own (runs of spaces) are encoded by a plain loop in the function that groups the edges, with equal results.
-Characters without a piece become their UTF-8 bytes, or the unknown id where the vocabulary has no bytes.
+Words over ``LONG_WORD`` characters (the fold copies its state at every place), words with a character that has no
+piece, and words with a piece whose rank is not its own (runs of spaces) are encoded by a plain loop in the function
+that groups the edges, with equal results. Characters without a piece become their UTF-8 bytes, or the unknown id where the vocabulary has no bytes.
 
 Defined cases: null and empty texts have no words and no ids; a null doc_id is kept; repeated rows are rows of their
 own; an empty table gives an empty table. Other columns are ignored. Blocks are told by the number of their first row,
@@ -31,17 +31,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, expand, parts, squeeze
+from tessera.llm.common import expand, parts, squeeze
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
@@ -49,6 +50,8 @@ LONG_WORD = 128
 #: Characters that a block of texts, and a part of it that is split at a time, holds about.
 BLOCK_CHARS = 1 << 23
 CHUNK_CHARS = 1 << 20
+#: Questions for one word, and answers to blocks, that are held at a time.
+ASKED = 1 << 18
 _KEY = 64
 _NEVER = 1 << 30
 _NO_ID = -(1 << 63)
@@ -333,7 +336,7 @@ def _coded(splitter: Splitter, sizes: tuple[int, int]):
 
 
 _LATTICE = (
-    "word string, done array<int>, places array<array<struct<k: int, score: double, left: array<int>, right: array<int>, ids: array<int>>>>, "
+    "word string, done array<int>, places array<array<struct<k: int, score: double, left: array<int>, right: array<int>, id: int>>>, "
     "bars array<array<struct<l: int, r: int, rank: int>>>"
 )
 
@@ -342,83 +345,77 @@ def _nested(outer: np.ndarray, inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(outer)), pa.int32()), inner)
 
 
-def _lattices(vocabulary: Vocabulary, edges: Edges):
-    """Groups the joined rows (word, at, k, piece) of each word, which follow one another; a word's first has k = 0.
+def _tail(cut: Callable[[pa.Table], np.ndarray], group: Callable[[pa.Table], pa.RecordBatch], most: int = 1 << 62):
+    """``group`` over the rows of a partition in runs that begin where ``cut`` says; the last run waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            heads = cut(rest)
+            if len(heads) > 1:
+                yield group(rest.slice(0, int(heads[-1])))
+                rest = rest.slice(int(heads[-1]))
+            elif rest.num_rows > most:
+                yield group(rest)
+                rest = None
+        if rest is not None and rest.num_rows:
+            yield group(rest)
+
+    return run
+
+
+def _lattices(vocabulary: Vocabulary, edges: Edges, carry: int):
+    """Groups the joined rows (word, carried columns, at, k, piece) of each word, which follow one another; a word's first has k = 0.
 
     The join's other side is broadcast, so its rows stay in the order of the words they come from; a row whose edge
     does not lie within the word before it raises an error.
     """
     unknown = 0.0 if vocabulary.merges else min(vocabulary.scores, default=0.0) - 10.0
-    total = len(edges.text)
 
-    def emit(word: list[str], own: np.ndarray, at: np.ndarray, k: np.ndarray, piece: np.ndarray) -> pa.RecordBatch:
+    def emit(word: list[str], carried: list[pa.Array], own: np.ndarray, at: np.ndarray, k: np.ndarray, piece: np.ndarray) -> pa.RecordBatch:
         size = np.array([len(w) for w in word], np.int64)
         if len(at) and (np.any(at + k > size[own]) or np.any(at < 0)):
             raise ValueError("the edges of words did not stay together")
-        plain = size > LONG_WORD
-        np.logical_or.at(plain, own, edges.odd[piece])
+        # a character without a piece has no edge: those words, long and odd ones are done here
+        plain = (size > LONG_WORD) | (np.bincount(own[k == 1], minlength=len(word)) < size)
+        plain[own[edges.odd[piece]]] = True
         done = [None if not p else merge_word(w, vocabulary.rank, vocabulary.byte_base) if vocabulary.merges else best_path(w, vocabulary, unknown) for w, p in zip(word, plain.tolist())]
         fold = np.where(plain, 0, size)
         keep = ~plain[own]
         own, at, k, piece = own[keep], at[keep], k[keep], piece[keep]
-        base = np.cumsum(fold) - fold
-        # every character without a piece is an edge of its own, numbered after the pieces
-        covered = np.zeros(int(fold.sum()), bool)
-        covered[(base[own] + at)[k == 1]] = True
-        bare = np.flatnonzero(~covered)
-        bare_own = np.searchsorted(base + fold, bare, "right")
-        chars = [word[o][p] for o, p in zip(bare_own.tolist(), (bare - base[bare_own]).tolist())]
-        end = np.concatenate([base[own] + at + k - 1, bare])
-        length = np.concatenate([k, np.ones(len(bare), np.int64)])
-        number = np.concatenate([piece, total + np.arange(len(bare))])
-        order = np.lexsort((-length, end))
-        end, length, number = end[order], length[order], number[order]
-        lists = pa.concat_arrays([ids_of, pa.array([vocabulary.unknown(c) for c in chars], pa.list_(pa.int32()))])
-        known = np.minimum(number, total)
-        taken = pa.array(known)
-        edge = pa.StructArray.from_arrays(
-            [pa.array(length, pa.int32()), pa.array(np.append(edges.score, unknown)[known]), left_of.take(taken), right_of.take(taken), lists.take(pa.array(number))],
-            names=["k", "score", "left", "right", "ids"],
-        )
-        ends = np.bincount(end, minlength=int(fold.sum()))
-        places = _nested(fold, _nested(ends, edge))
+        base, total = np.cumsum(fold) - fold, int(fold.sum())
+        end = base[own] + at + k - 1
+        # ends of a word within its places; longer edges first
+        order = np.lexsort((-k, end))
+        taken = pa.array(piece[order])
+        edge = pa.StructArray.from_arrays([pa.array(k[order], pa.int32()), pa.array(edges.score[piece[order]]), left_of.take(taken), right_of.take(taken), pa.array(edges.ids[piece[order]], pa.int32())], names=["k", "score", "left", "right", "id"])
+        places = _nested(fold, _nested(np.bincount(end, minlength=total), edge))
         split = edges.split[piece]
         merged = split > 0
         border = (base[own] + at)[merged] + split[merged]
         by = np.argsort(border, kind="stable")
         ints = lambda x: pa.array(x[merged][by], pa.int32())
         bar = pa.StructArray.from_arrays([ints(split), ints(k - split), ints(edges.order[piece])], names=["l", "r", "rank"])
-        bars = _nested(fold, _nested(np.bincount(border, minlength=int(fold.sum())), bar))
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(done, pa.list_(pa.int32())), places, bars], names=["word", "done", "places", "bars"])
+        bars = _nested(fold, _nested(np.bincount(border, minlength=total), bar))
+        names = ["word", *[f"carry_{i}" for i in range(carry)], "done", "places", "bars"]
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), *carried, pa.array(done, pa.list_(pa.int32())), places, bars], names=names)
 
-    one = [[_NEVER]] if vocabulary.merges else [[]]
     as_lists = lambda x: pa.array(x, pa.list_(pa.int32()))
-    ids_of = as_lists([[i] for i in edges.ids.tolist()])
-    left_of, right_of = as_lists(edges.left + one), as_lists(edges.right + one)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            heads = np.flatnonzero(rest.column(2).to_numpy() == 0)
-            if len(heads) < 2:
-                continue
-            yield group(rest.slice(0, int(heads[-1])))
-            rest = rest.slice(int(heads[-1]))
-        if rest is not None and rest.num_rows:
-            yield group(rest)
+    left_of, right_of = as_lists(edges.left), as_lists(edges.right)
 
     def group(rows: pa.Table) -> pa.RecordBatch:
-        at, k, piece = (rows.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
+        at, k, piece = (rows.column(1 + carry + c).to_numpy().astype(np.int64) for c in range(3))
         head = k == 0
         if not head[0]:
             raise ValueError("the edges of words did not stay together")
         own = np.cumsum(head) - 1
-        word = rows.column(0).filter(pa.array(head)).to_pylist()
-        return emit(word, own[~head], at[~head], k[~head], piece[~head])
+        first = rows.filter(pa.array(head)).combine_chunks()
+        plain = lambda c: pa.concat_arrays(c.chunks)
+        return emit(first.column(0).to_pylist(), [plain(first.column(1 + c)) for c in range(carry)], own[~head], at[~head], k[~head], piece[~head])
 
-    return run
+    return _tail(lambda rows: np.flatnonzero(rows.column(2 + carry).to_numpy() == 0), group)
 
 
 def fold_viterbi(places: Column, bars: Column) -> Column:
@@ -435,7 +432,7 @@ def fold_viterbi(places: Column, bars: Column) -> Column:
 
         def follow(edge: Column) -> Column:
             before = F.get(paths, end - edge["k"] - 1)
-            ids = F.concat(F.coalesce(before["ids"], F.array().cast("array<int>")), edge["ids"])
+            ids = F.concat(F.coalesce(before["ids"], F.array().cast("array<int>")), F.array(edge["id"]))
             return F.struct((F.coalesce(before["total"], F.lit(0.0)) + edge["score"]).alias("total"), edge["k"].alias("k"), edge["right"].alias("right"), ids.alias("ids"))
 
         return F.concat(paths, F.array(F.array_max(F.transform(F.filter(here, is_open), follow))))
@@ -443,22 +440,23 @@ def fold_viterbi(places: Column, bars: Column) -> Column:
     return F.aggregate(places, F.array().cast(state), step, lambda paths: F.element_at(paths, -1)["ids"])
 
 
-def encode_words(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word and ids of a table of distinct words (column ``word``); work stays in the partitions of the words."""
+def encode_words(distinct: DataFrame, vocabulary: Vocabulary, *carry: str) -> DataFrame:
+    """word, carried columns and ids of a table of distinct words (column ``word``); work stays in the partitions of the words."""
     spark = distinct.sparkSession
     edges = Edges.of(vocabulary)
     table = spark.createDataFrame(pd.DataFrame({"text": ["", *edges.text], "piece": np.arange(-1, len(edges.text))}), "text string, piece int")
-    n = F.length("word")
+    n, at, k = F.length("word"), F.col("at"), F.col("k")
     longest = max(map(len, edges.text), default=1)
-    some = lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(longest))), lambda k: F.struct(s.alias("at"), k.alias("k"), F.substring(F.col("word"), s + 1, k).alias("text")))
-    inner = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), some))
-    # every word meets the empty piece first: that row carries the word itself
-    head = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit("").alias("text")))
-    spots = F.when(n.between(1, LONG_WORD), F.concat(head, inner)).otherwise(head)
-    spread = distinct.select("word", F.inline(spots)).select(F.when(F.col("k") == 0, F.col("word")).alias("word"), "at", "k", "text")
-    joined = spread.join(F.broadcast(table), "text").select("word", "at", "k", "piece")
-    grouped = joined.mapInArrow(_lattices(vocabulary, edges), _LATTICE)
-    return grouped.select("word", F.coalesce("done", fold_viterbi(F.col("places"), F.col("bars"))).alias("ids"))
+    # every word meets the empty piece first (at = -1): that row carries the word itself
+    starts = F.when(n.between(1, LONG_WORD), F.sequence(F.lit(-1), n - 1)).otherwise(F.array(F.lit(-1)))
+    lengths = F.when(at < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(n - at, F.lit(longest))))
+    names = [f"carry_{i}" for i in range(len(carry))]
+    spread = distinct.select("word", *[F.col(c).alias(a) for c, a in zip(carry, names)], F.explode(starts).alias("at")).select("*", F.explode(lengths).alias("k"))
+    spread = spread.select(*[F.when(k == 0, F.col(c)).alias(c) for c in ("word", *names)], "at", "k", F.substring(F.col("word"), at + 1, k).alias("text"))
+    joined = spread.join(F.broadcast(table), "text").select("word", *names, "at", "k", "piece")
+    kinds = "".join(f", {a} {distinct.schema[c].dataType.simpleString()}" for c, a in zip(carry, names))
+    grouped = joined.mapInArrow(_lattices(vocabulary, edges, len(carry)), _LATTICE.replace("word string", "word string" + kinds, 1))
+    return grouped.select("word", *[F.col(a).alias(c) for c, a in zip(carry, names)], F.coalesce("done", fold_viterbi(F.col("places"), F.col("bars"))).alias("ids"))
 
 
 def _spelling(vocabulary: Vocabulary) -> list[bytes]:
@@ -483,6 +481,63 @@ def _spell(spelt: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[byt
         yield raw[x + (raw[x : x + 1] == b" ") : y]
 
 
+def _asks() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each distinct word of sorted rows (block, place, word) with those that ask for it; very many come in several rows."""
+
+    def group(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        cut = heads(rows)
+        bounds = pa.array(np.append(cut, rows.num_rows), pa.int32())
+        flat = lambda c: pa.concat_arrays(rows.column(c).chunks)
+        return pa.RecordBatch.from_arrays([flat(2).take(pa.array(cut)), pa.ListArray.from_arrays(bounds, flat(0)), pa.ListArray.from_arrays(bounds, flat(1))], names=["word", "blocks", "places"])
+
+    def heads(rows: pa.Table) -> np.ndarray:
+        word = rows.column(2)
+        return np.append(0, np.flatnonzero(pc.not_equal(word.slice(1), word.slice(0, rows.num_rows - 1)).to_numpy()) + 1)
+
+    return _tail(heads, group, ASKED)
+
+
+_TOLD = "block long, places binary, sizes binary, ids binary"
+
+
+def _told(vocabulary: Vocabulary):
+    """What each block asked for: places (as steps), how many ids the word at each has, and these."""
+    kind = "<u2" if max([*vocabulary.ids, (vocabulary.byte_base or 0) + 255]) < 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, waiting = [], 0
+        for batch in batches:
+            some.append(batch)
+            waiting += len(batch.column(0).flatten())
+            if waiting >= ASKED:
+                yield pack(some)
+                some, waiting = [], 0
+        if waiting:
+            yield pack(some)
+
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        blocks, places, ids = (pa.concat_arrays([b.column(c) for b in batches]) for c in range(3))
+        asks = blocks.value_lengths().to_numpy(zero_copy_only=False)
+        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.repeat(np.arange(len(asks)), asks)
+        block, place = (x.flatten().to_numpy(zero_copy_only=False) for x in (blocks, places))
+        order = np.lexsort((place, block))
+        block, place, word = block[order], place[order], word[order]
+        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        step = np.diff(place, prepend=0)
+        step[cut] = place[cut]
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        start, own = np.cumsum(size) - size, size[word]
+        reach = np.cumsum(own)
+        told = flat[np.repeat(start[word] - (reach - own), own) + np.arange(int(own.sum()))]
+        stop = np.append(cut, len(block))
+        column = lambda x, at: pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(block[cut]), column(step.astype("<u4"), stop), column(own.astype("<u4"), stop), column(told, np.append(0, reach)[stop])], names=["block", "places", "sizes", "ids"])
+
+    return run
+
+
 _DIGESTS = "doc_id long, row long, n_words long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean"
 _SEQUENCES = "doc_id long, row long, ids array<int>"
 
@@ -490,19 +545,19 @@ _SEQUENCES = "doc_id long, row long, ids array<int>"
 def _answer(vocabulary: Vocabulary, digest: bool):
     """Per block: its texts' ids, from the ids of its words; or what :func:`digests` tells of them."""
     spelling = _spelling(vocabulary) if digest else []
+    kind = "<u2" if max([*vocabulary.ids, (vocabulary.byte_base or 0) + 255]) < 1 << 16 else "<u4"
 
-    def run(coded: pa.Table, words: pa.Table) -> pa.Table:
+    def run(coded: pa.Table, told: pa.Table) -> pa.Table:
         found = []
         spelt = pa.array(spelling, pa.large_binary())
-        lists = words.sort_by("place").column("ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        start = np.cumsum(size) - size
+        column = lambda c, k: [np.frombuffer(x, k).astype(np.int64) for x in told.column(c).to_pylist()] or [np.zeros(0, np.int64)]
+        place = np.concatenate([np.cumsum(x) for x in column("places", "<u4")])
+        own, flat = np.concatenate(column("sizes", "<u4")), np.concatenate(column("ids", kind)).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        size, start = own[order], (np.cumsum(own) - own)[order]
         for data in coded.column("data").to_pylist():
-            doc, row, counts, begins, own, (n,), planes = expand(data)
-            if n != len(size):
+            doc, row, counts, begins, own_sha, (n,), planes = expand(data)
+            if n != len(size) or not np.array_equal(place[order], np.arange(n)):
                 raise ValueError("a block's words changed between two reads: the source must be stored data")
             code = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
             stop = np.cumsum(counts)
@@ -522,7 +577,7 @@ def _answer(vocabulary: Vocabulary, digest: bool):
                     crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
                     texts = [t.decode("utf-8", "replace").encode() for t in _spell(spelt, ids, bounds)]
                     sha = [hashlib.sha256(t).digest() for t in texts]
-                    same = [d == own[32 * i : 32 * i + 32].tobytes() for i, d in zip(range(a, b), sha)]
+                    same = [d == own_sha[32 * i : 32 * i + 32].tobytes() for i, d in zip(range(a, b), sha)]
                     columns += [pa.array(begins[a:b]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array([d.hex() for d in sha]), pa.array(same)]
                 else:
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
@@ -537,14 +592,12 @@ def _answer(vocabulary: Vocabulary, digest: bool):
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pieces")
+    n = parts(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
     splitter, sizes = Splitter(vocabulary), (BLOCK_CHARS, CHUNK_CHARS)
-    asked = scratch.save(rows.mapInArrow(_asked(splitter, sizes), "block long, place int, word string"), "asked")
-    distinct = asked.select("word").repartition(parts(spark), "word").distinct()
-    found = scratch.save(encode_words(distinct, vocabulary), "words")
-    told = asked.join(found, "word").select("block", "place", "ids")
+    asked = rows.mapInArrow(_asked(splitter, sizes), "block long, place int, word string").repartition(n, "word").sortWithinPartitions("word")
+    distinct = asked.mapInArrow(_asks(), "word string, blocks array<long>, places array<int>")
+    told = encode_words(distinct, vocabulary, "blocks", "places").select("blocks", "places", "ids").mapInArrow(_told(vocabulary), _TOLD)
     coded = rows.mapInArrow(_coded(splitter, sizes), "block long, data binary")
     return coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answer(vocabulary, digest), _DIGESTS if digest else _SEQUENCES)
 
