@@ -36,7 +36,7 @@ def rotate(turns: DataFrame) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col("text"), F.lit("")).alias("content"),
-    ).withColumn("_range", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / TURN_RANGE))
+    ).withColumn("_range", F.coalesce(F.floor(F.col("turn") / TURN_RANGE), F.lit(-(1 << 63))))
     people = base.where(F.col("speaker") != "system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
     me = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == "system", "system").when(me, "assistant").otherwise("user")

@@ -6,7 +6,7 @@ sets is at least ``percent`` hundredths. In any fixed order of the shingles, two
 at most ``MOST_FREQUENT`` of them (which ones are in that table changes the cost, never the result).
 
 Documents with one prefix and size are one group, and documents with one set are one member of it, so copies cost
-nothing. Groups that share a prefix shingle form lists; identical lists are one. Pairs within a list or group pass a
+nothing. Shingles are compared by hashes of 64 bits. Groups that share a prefix shingle form lists; identical lists are one. Pairs within a list or group pass a
 filter on sizes and one on parity bitmaps (the symmetric difference of two sets is at least the number of bits in
 which their bitmaps differ) before whole sets are compared. First each list is only chained by size and starred
 around its most common document, and each group starred: that links what is alike with few pairs. Then the pairs of
@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, mix, parts, per_row, split_by_part, squeeze, text_column, with_row
+from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, mix, per_row, split_by_part, squeeze, text_column, text_parts, with_row
 from tessera.llm.components import components
 
 RARE = 8
 BLOCK = 2048
+#: Bytes of text that a task deals with.
+PART_BYTES = 6 << 20
 _SMALL = 48
 MOST_FREQUENT = 1 << 20
 _CHUNK = 1 << 19
@@ -362,45 +364,41 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratc
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").where(_alike(percent, "n_a", "n_b"))
     left = scratch.save(sized.mapInArrow(_bit_filter(percent), "a long, b long"), f"{label}-pairs")
-    pair_part = F.pmod(F.xxhash64("a", "b"), F.lit(n)).cast("int").alias("pair_part")
-    asked = left.select(F.col("a").alias("row"), "a", "b", pair_part).unionByName(left.select(F.col("b").alias("row"), "a", "b", pair_part))
+    left = left.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(n)).cast("int"))
+    # a set goes once to each part that has a pair with it
+    asked = left.select(F.col("a").alias("row"), F.col("part").alias("pair_part")).unionByName(left.select(F.col("b").alias("row"), F.col("part").alias("pair_part"))).distinct()
 
     def fetch(texts: Iterator[tuple], own: pd.DataFrame) -> pd.DataFrame:
         shingler, out = Shingler(words), {"part": [], "data": []}
-        wanted = {int(r): g for r, g in own.groupby("row")}
+        wanted = {int(r): g["pair_part"].tolist() for r, g in own.groupby("row")}
         for row, text, _ in texts:
             if row in wanted:
                 raw = np.frombuffer(text or b"", np.uint8)
                 (s,) = shingler.sets(raw, np.array([0]), np.array([len(raw)]))
                 body = s.tobytes()
-                for a, b, p in wanted[row][["a", "b", "pair_part"]].itertuples(index=False):
+                for p in wanted[row]:
                     out["part"].append(p)
-                    out["data"].append(pickle.dumps((a, b, body), 5))
+                    out["data"].append(pickle.dumps((row, body), 5))
         return pd.DataFrame({"part": np.array(out["part"], np.int32), "data": out["data"]})
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        waiting: dict[tuple[int, int], bytes] = {}
+    def compare(sent: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        held = {row: np.frombuffer(body, np.uint64) for row, body in map(pickle.loads, sent["data"])}
         linked = []
-        for data in pdf["data"]:
-            a, b, body = pickle.loads(data)
-            other = waiting.pop((a, b), None)
-            if other is None:
-                waiting[a, b] = body
-                continue
-            x, y = np.frombuffer(body, np.uint64), np.frombuffer(other, np.uint64)
+        for a, b in own[["a", "b"]].itertuples(index=False):
+            x, y = held[a], held[b]
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
                 linked.append((a, b))
         return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
 
     sets = per_row(rows, asked, fetch, "part int, data binary", n)
-    return scratch.save(sets.groupBy("part").applyInPandas(compare, "a long, b long"), f"{label}-links")
+    return scratch.save(sets.groupBy("part").cogroup(left.groupBy("part")).applyInPandas(compare, "a long, b long"), f"{label}-links")
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, row, n_shingles, component_id (least doc_id of its component) and kept (one row of each)."""
     spark = docs.sparkSession
-    scratch, n = Scratch(spark, "jaccard"), parts(spark)
+    scratch, n = Scratch(spark, "jaccard"), text_parts(docs, text_col, PART_BYTES)
     rows = with_row(docs, id_col, text_col)
     frequent = frequent_cells(rows, scratch, words, n)
     signed = scratch.save(rows.mapInArrow(_sign(words, percent, n, frequent), _SIGNED), "signed")
@@ -455,7 +453,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 
 def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and carried columns (as strings) of the rows that :func:`link_documents` kept of ``docs``."""
-    n = parts(docs.sparkSession)
+    n = text_parts(docs, text_col, PART_BYTES)
     names = ["doc_id", "text", *[f"carry_{k}" for k in range(len(carry))]]
 
     def run(texts: Iterator[tuple], own: pd.DataFrame) -> pd.DataFrame:

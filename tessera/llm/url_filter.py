@@ -62,6 +62,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     made = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     hashed = F.transform(made, lambda e: F.sha2(e, 256))
     expressions = rows.select("*", F.explode_outer(hashed).alias("_digest")).withColumn("_short", F.substring("_digest", 1, 8))
-    met = expressions.join(compiled, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("a"), F.col("host_length").alias("b"), F.col("rule"), F.col("rule_verdict")))).alias("_best")
+    met = expressions.join(compiled, F.col("_short") == F.col("short"), "left")
+    # the short hash only proposes a rule; the whole digest decides
+    best = F.max(F.when(F.col("_digest") == F.col("digest"), F.struct(F.length("rule").alias("a"), F.col("host_length").alias("b"), F.col("rule"), F.col("rule_verdict")))).alias("_best")
     return met.groupBy("_row", "page_id", "host", "path").agg(best).select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict"))

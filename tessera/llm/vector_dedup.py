@@ -145,8 +145,10 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     rows = numbered(own, "id", "vector", "label")
     linked = F.col("v").isNotNull() & F.col("label").isNotNull()
     digest = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
-    rows = rows.withColumn("digest", F.when(linked, digest)).withColumn("label", F.col("label").cast("long"))
-    nodes = rows.where(linked).groupBy("label", "digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.min("vec_id").alias("least"))
+    # rows that link with nothing have keys of their own, so that they are not dealt to one task as nulls
+    digest = F.when(linked, digest).otherwise(F.concat(F.lit("-"), F.col("row").cast("string")))
+    rows = rows.withColumn("alone", ~linked).withColumn("digest", digest).withColumn("label", F.col("label").cast("long"))
+    nodes = rows.where(~F.col("alone")).groupBy("label", "digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.min("vec_id").alias("least"))
     nodes = scratch.save(nodes, "nodes")
     placed = scratch.save(nodes.select("node", "label", "v").mapInArrow(_place(threshold), _PLACED), "placed")
     pieces = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
@@ -169,6 +171,6 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     rooted = nodes.join(up.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left").withColumn("root", F.coalesce("up", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").join(each, "node", "left").select("label", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "label", "digest").join(known, ["label", "digest"], "left")
-    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = rows.select("vec_id", F.when(F.col("alone"), F.col("vec_id")).otherwise(F.coalesce("label", F.lit(0))).alias("label"), "digest", "alone").join(known, ["label", "digest"], "left")
+    component = F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
