@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import shutil
 import tempfile
@@ -63,6 +64,14 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _MADE.pop())
 
 
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if back:
+        back(0)
+
+
 def parts(spark: SparkSession) -> int:
     """How many pieces to deal work into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

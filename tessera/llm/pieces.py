@@ -3,7 +3,7 @@
 Texts become words: a space (written ``▁``) begins one, and so does a character that follows another as it does within
 no piece. No piece spans two words, so words are encoded on their own, each distinct word once.
 
-A block of texts asks for its distinct words, once each. The words of all blocks meet, sorted; the distinct ones are
+A block of texts asks for its distinct words, once each. The words of all blocks meet in parts; the distinct ones are
 exploded into substrings of bounded length, these are equi-joined to the piece table (bounded by the vocabulary), a word's edges are grouped by the place
 where they end, and a higher-order ``aggregate`` folds Viterbi over the places: the best-scored path to each, from the
 best paths to the places before it. Two kinds of vocabularies use the one fold:
@@ -31,18 +31,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import expand, parts, squeeze
+from tessera.llm.common import byte_codes, expand, mix, split_by_part, squeeze, text_parts, trim
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
@@ -51,10 +50,13 @@ LONG_WORD = 128
 BLOCK_CHARS = 1 << 23
 CHUNK_CHARS = 1 << 20
 #: Questions for one word, and answers to blocks, that are held at a time.
-ASKED = 1 << 18
+ASKED = 1 << 17
+#: Bytes of text whose words' questions a task answers.
+PART_BYTES = 16 << 20
 _KEY = 64
 _NEVER = 1 << 30
 _NO_ID = -(1 << 63)
+_BYTES, _PLACES = byte_codes(9), np.cumprod(np.full(64, 0xD6E8FEB86659FD93, np.uint64))
 
 
 @dataclass(frozen=True)
@@ -249,7 +251,7 @@ class Splitter:
 
 
 class Block:
-    """Some texts as numbers of their distinct words, which are numbered as they come."""
+    """Some texts as numbers of their distinct words; frequent words have small numbers."""
 
     def __init__(self):
         self.doc: list[int] = []
@@ -264,7 +266,12 @@ class Block:
         if not self.chunks:
             return pa.array([], pa.large_string()), []
         whole = pa.chunked_array(self.chunks).unify_dictionaries()
-        return whole.chunk(0).dictionary, [c.indices.to_numpy() for c in whole.chunks]
+        words = whole.chunk(0).dictionary
+        codes = [c.indices.to_numpy() for c in whole.chunks]
+        order = np.argsort(-sum(np.bincount(c, minlength=len(words)) for c in codes), kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        return words.take(pa.array(order)), [number[c] for c in codes]
 
 
 def _blocks(splitter: Splitter, batches: Iterator[pa.RecordBatch], hashed: bool, sizes: tuple[int, int]) -> Iterator[Block]:
@@ -306,16 +313,34 @@ def _blocks(splitter: Splitter, batches: Iterator[pa.RecordBatch], hashed: bool,
         yield block
 
 
-def _asked(splitter: Splitter, sizes: tuple[int, int]):
-    """block, place and word: the distinct words of each block."""
+def _word_parts(words: pa.Array, n: int) -> np.ndarray:
+    """The part, of ``n``, of each word (none empty)."""
+    offsets, raw = np.frombuffer(words.buffers()[1], np.int64), np.frombuffer(words.buffers()[2], np.uint8)
+    offsets = offsets[words.offset : words.offset + len(words) + 1]
+    size = np.diff(offsets)
+    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], size)
+    weighed = _BYTES[raw[offsets[0] : offsets[-1]]] * _PLACES[np.minimum(place, len(_PLACES) - 1)]
+    return (mix(np.add.reduceat(weighed, offsets[:-1] - offsets[0])) % np.uint64(n)).astype(np.int64)
+
+
+def _asked(splitter: Splitter, sizes: tuple[int, int], n: int):
+    """The distinct words of each block, dealt into ``n`` parts by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(splitter, batches, False, sizes):
             words, _ = block.words()
-            for at in range(0, len(words), 20_000):
-                some = words.slice(at, 20_000)
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.row[0])), pa.array(np.arange(at, at + n, dtype=np.int32)), some.cast(pa.string())], names=["block", "place", "word"])
+            if not len(words):
+                continue
+            order, bounds = split_by_part(_word_parts(words, n), n)
+            data = []
+            found = np.flatnonzero(np.diff(bounds))
+            for p in found.tolist():
+                o = order[bounds[p] : bounds[p + 1]]
+                some = words.take(pa.array(o))
+                size = np.diff(np.frombuffer(some.buffers()[1], np.int64)[: len(o) + 1])
+                data.append(squeeze(np.array([block.row[0]]), np.diff(o, prepend=0).astype(np.uint32), size.astype(np.uint32), np.frombuffer(some.buffers()[2], np.uint8)[: int(size.sum())]))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
+        trim()
 
     return run
 
@@ -331,6 +356,7 @@ def _coded(splitter: Splitter, sizes: tuple[int, int]):
             planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             data = squeeze(np.array(block.doc, np.int64), np.array(block.row, np.int64), np.array(block.counts, np.int64), np.array(block.begins, np.int64), np.frombuffer(b"".join(block.own), np.uint8), np.array([len(words)]), planes)
             yield pa.RecordBatch.from_arrays([pa.array([block.row[0]], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
+        trim()
 
     return run
 
@@ -345,27 +371,6 @@ def _nested(outer: np.ndarray, inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(outer)), pa.int32()), inner)
 
 
-def _tail(cut: Callable[[pa.Table], np.ndarray], group: Callable[[pa.Table], pa.RecordBatch], most: int = 1 << 62):
-    """``group`` over the rows of a partition in runs that begin where ``cut`` says; the last run waits for the next batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            heads = cut(rest)
-            if len(heads) > 1:
-                yield group(rest.slice(0, int(heads[-1])))
-                rest = rest.slice(int(heads[-1]))
-            elif rest.num_rows > most:
-                yield group(rest)
-                rest = None
-        if rest is not None and rest.num_rows:
-            yield group(rest)
-
-    return run
-
-
 def _lattices(vocabulary: Vocabulary, edges: Edges, carry: int):
     """Groups the joined rows (word, carried columns, at, k, piece) of each word, which follow one another; a word's first has k = 0.
 
@@ -415,7 +420,20 @@ def _lattices(vocabulary: Vocabulary, edges: Edges, carry: int):
         plain = lambda c: pa.concat_arrays(c.chunks)
         return emit(first.column(0).to_pylist(), [plain(first.column(1 + c)) for c in range(carry)], own[~head], at[~head], k[~head], piece[~head])
 
-    return _tail(lambda rows: np.flatnonzero(rows.column(2 + carry).to_numpy() == 0), group)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:  # the last word's edges may go on in the next batch
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            heads = np.flatnonzero(rest.column(2 + carry).to_numpy() == 0)
+            if len(heads) > 1:
+                yield group(rest.slice(0, int(heads[-1])))
+                rest = rest.slice(int(heads[-1]))
+        if rest is not None and rest.num_rows:
+            yield group(rest)
+        trim()
+
+    return run
 
 
 def fold_viterbi(places: Column, bars: Column) -> Column:
@@ -481,21 +499,30 @@ def _spell(spelt: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[byt
         yield raw[x + (raw[x : x + 1] == b" ") : y]
 
 
-def _asks() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each distinct word of sorted rows (block, place, word) with those that ask for it; very many come in several rows."""
-
-    def group(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        cut = heads(rows)
-        bounds = pa.array(np.append(cut, rows.num_rows), pa.int32())
-        flat = lambda c: pa.concat_arrays(rows.column(c).chunks)
-        return pa.RecordBatch.from_arrays([flat(2).take(pa.array(cut)), pa.ListArray.from_arrays(bounds, flat(0)), pa.ListArray.from_arrays(bounds, flat(1))], names=["word", "blocks", "places"])
-
-    def heads(rows: pa.Table) -> np.ndarray:
-        word = rows.column(2)
-        return np.append(0, np.flatnonzero(pc.not_equal(word.slice(1), word.slice(0, rows.num_rows - 1)).to_numpy()) + 1)
-
-    return _tail(heads, group, ASKED)
+_ASKS = "word string, blocks array<long>, places array<int>"
+
+
+def _asks(rows: pa.Table) -> pa.Table:
+    """Each distinct word of a part with the blocks that ask for it; over ``ASKED`` of them come in several rows."""
+    blocks, places, sizes, raw = [], [], [], []
+    for data in rows.column("data").to_pylist():
+        (block,), step, size, body = expand(data)
+        blocks.append(np.full(len(step), block))
+        places.append(np.cumsum(step.astype(np.int64)))
+        sizes.append(size)
+        raw.append(body)
+    block, place, size, body = (np.concatenate(x) for x in (blocks, places, sizes, raw))
+    offsets = np.append(0, np.cumsum(size, dtype=np.int64))
+    word = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
+    code = word.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    within = np.arange(len(code)) - np.searchsorted(code, code)
+    cut = np.flatnonzero(within % ASKED == 0)
+    bounds = pa.array(np.append(cut, len(code)), pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order], t)) for x, t in ((block, pa.int64()), (place, pa.int32()))]
+    trim()
+    return pa.table([word.dictionary.take(pa.array(code[cut])).cast(pa.string()), *lists], names=["word", "blocks", "places"])
 
 
 _TOLD = "block long, places binary, sizes binary, ids binary"
@@ -515,6 +542,7 @@ def _told(vocabulary: Vocabulary):
                 some, waiting = [], 0
         if waiting:
             yield pack(some)
+        trim()
 
     def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         blocks, places, ids = (pa.concat_arrays([b.column(c) for b in batches]) for c in range(3))
@@ -583,6 +611,7 @@ def _answer(vocabulary: Vocabulary, digest: bool):
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
                 found.append(pa.table(columns, names=names))
                 a = b
+        trim()
         return pa.concat_tables(found) if found else empty
 
     names = [x.split()[0] for x in (_DIGESTS if digest else _SEQUENCES).split(", ")]
@@ -592,11 +621,11 @@ def _answer(vocabulary: Vocabulary, digest: bool):
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    n = parts(docs.sparkSession)
+    n = text_parts(docs, text_col, PART_BYTES)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
     splitter, sizes = Splitter(vocabulary), (BLOCK_CHARS, CHUNK_CHARS)
-    asked = rows.mapInArrow(_asked(splitter, sizes), "block long, place int, word string").repartition(n, "word").sortWithinPartitions("word")
-    distinct = asked.mapInArrow(_asks(), "word string, blocks array<long>, places array<int>")
+    asked = rows.mapInArrow(_asked(splitter, sizes, n), "part int, data binary").repartition(n, "part")
+    distinct = asked.groupBy("part").applyInArrow(_asks, _ASKS)
     told = encode_words(distinct, vocabulary, "blocks", "places").select("blocks", "places", "ids").mapInArrow(_told(vocabulary), _TOLD)
     coded = rows.mapInArrow(_coded(splitter, sizes), "block long, data binary")
     return coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answer(vocabulary, digest), _DIGESTS if digest else _SEQUENCES)
