@@ -44,6 +44,8 @@ LEAST = 100
 PIECE_ROWS = 4096
 QUERY_ROWS = 1024
 DEGREE = 24
+#: Lists that a query's search asks for at first.
+FIRST_LISTS = 32
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -162,18 +164,17 @@ def fit_ratio(graph: CentroidGraph, x: np.ndarray, k: int, seed: int = 5) -> flo
 
 
 def _assign(graph: CentroidGraph):
-    """(list, vec_id, row, v) for each list that a vector joins; ``first`` marks its nearest."""
+    """(list, first, known, vec_id, row, v) for each list that a vector joins; ``first`` marks its nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = distances(graph.centroids, graph.centroids)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = matrix(part.column(2))
-                ids, joined = lists_of(graph, apart, x)
+                ids, joined = lists_of(graph, apart, matrix(part.column(3)))
                 r, j = np.nonzero(joined)
                 take = pa.array(r)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), pa.array(j == 0), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], names=["list", "first", "vec_id", "row", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), pa.array(j == 0), *[part.column(c).take(take) for c in range(4)]], names=["list", "first", "known", "vec_id", "row", "v"])
 
     return run
 
@@ -185,14 +186,18 @@ def _probe(graph: CentroidGraph, held: np.ndarray, ratio: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = matrix(part.column(2))
-                ids, dist = graph.search(x, len(graph.centroids))
-                reached = np.cumsum(np.where(ids >= 0, held[ids], 0), 1)
-                before = np.concatenate([np.zeros((len(x), 1), np.int64), reached[:, :-1]], 1)
-                read = (ids >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (before < LEAST)) & (held[ids] >= 0)
-                r, j = np.nonzero(read)
-                take = pa.array(r)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], names=["list", "query_id", "query_row", "q"])
+                x = matrix(part.column(3))
+                todo, width = np.arange(len(x)), FIRST_LISTS
+                while len(todo):  # the search widens until it has passed the ratio and has met enough vectors
+                    ids, dist = graph.search(x[todo], width)
+                    reached = np.cumsum(np.where(ids >= 0, held[ids], 0), 1)
+                    before = np.concatenate([np.zeros((len(todo), 1), np.int64), reached[:, :-1]], 1)
+                    read = (ids >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (before < LEAST))
+                    ready = ~read[:, -1] | (width >= len(graph.centroids))
+                    r, j = np.nonzero(read & ready[:, None])
+                    take = pa.array(todo[r])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), part.column(1).take(take), part.column(2).take(take), part.column(3).take(take)], names=["list", "query_id", "query_row", "q"])
+                    todo, width = todo[~ready], width * 4
 
     return run
 
@@ -201,21 +206,31 @@ def _scan(k: int):
     """The nearest ``k`` of a piece of a list for each of its queries."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        which, chosen, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(queries) and len(rows):
             y, row = matrix(rows["v"]), rows["row"].to_numpy()
-            ids = rows["vec_id"].astype("Int64")
-            ranked = ids.fillna(-(1 << 63)).to_numpy(np.int64)
-            for q, own, v in zip(queries["query_id"], queries["query_row"], queries["q"]):
-                d = np.sqrt(((y - np.asarray(v, np.float64)) ** 2).sum(1))
-                d[row == own] = np.inf
-                few = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                few = few[np.isfinite(d[few])]
-                few = few[np.lexsort((row[few], ranked[few], d[few]))[:k]]
-                out.append(pd.DataFrame({"query_id": q, "query_row": own, "vec_id": ids.iloc[few].to_numpy(), "row": row[few], "score": d[few]}))
-        if not out:
-            return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "row": [], "score": []}).astype({"query_id": "int64", "query_row": "int64", "vec_id": "Int64", "row": "int64", "score": "float64"})
-        return pd.concat(out, ignore_index=True).astype({"vec_id": "Int64"})
+            known, ids = rows["known"].to_numpy(), rows["vec_id"].to_numpy()
+            x, own = matrix(queries["q"]), queries["query_row"].to_numpy()
+            last = min(k, len(y) - 1)
+            for at in range(0, len(x), 256):
+                # one product ranks the piece; what may be among the nearest is measured again, exactly
+                near = (x[at : at + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[at : at + 256] @ y.T
+                near[own[at : at + 256][:, None] == row] = np.inf
+                slack = 1e-9 * (1 + (x[at : at + 256] ** 2).sum(1) + (y**2).sum(1).max())
+                q, c = np.nonzero(near <= (np.partition(near, last, axis=1)[:, last] + slack)[:, None])
+                mine = own[at + q] != row[c]
+                q, c = q[mine] + at, c[mine]
+                d = np.concatenate([np.sqrt(((x[q[i : i + 8192]] - y[c[i : i + 8192]]) ** 2).sum(1)) for i in range(0, len(q), 8192)] or [np.zeros(0)])
+                order = np.lexsort((row[c], ids[c], known[c], d, q))
+                q, c, d = q[order], c[order], d[order]
+                first = np.searchsorted(q, q)  # each query's best k
+                few = np.arange(len(q)) - first < k
+                which.append(q[few])
+                chosen.append(c[few])
+                score.append(d[few])
+        q, c = np.concatenate(which), np.concatenate(chosen)
+        parts = [("query_id", queries, q), ("query_row", queries, q), ("known", rows, c), ("vec_id", rows, c), ("row", rows, c)]
+        return pd.DataFrame({name: df[name].to_numpy()[at] for name, df, at in parts} | {"score": np.concatenate(score)})
 
     return run
 
@@ -233,25 +248,26 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     sample = rows.where(spot < SAMPLE / max(total, 1)).select("v").toPandas() if total else pd.DataFrame({"v": []})
     x = matrix(sample["v"]) if len(sample) else np.zeros((1, dims))
     graph = CentroidGraph.build(balanced_kmeans(x, min(lists, len(x))))
-    posted = scratch.save(rows.select("vec_id", "row", "v").mapInArrow(_assign(graph), rows_schema(df, vec_col)), "posted")
+    numbers = rows.select(F.col("vec_id").isNotNull().alias("known"), F.coalesce("vec_id", F.lit(0)).alias("vec_id"), "row", "v")
+    posted = scratch.save(numbers.mapInArrow(_assign(graph), rows_schema(df, vec_col)), "posted")
     count = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("long")).alias("home"))
     held = np.zeros(len(graph.centroids), np.int64)
     for r in count.collect():  # at most MOST_LISTS rows
         held[r["list"]] = r["home"]
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "row", "v")
+    queries = numbers.where(F.col("known") & (F.col("vec_id") % every == 0))
     probes = scratch.save(queries.mapInArrow(_probe(graph, held, fit_ratio(graph, x, k)), f"list int, query_id long, query_row long, q {df.schema[vec_col].dataType.simpleString()}"), "probes")
     pieces = count.select("list", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
     asked = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("groups"))
     plan = pieces.join(asked, "list")
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     left = probes.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), cell("query_row", "groups").alias("g"), "query_id", "query_row", "q")
-    right = posted.join(plan, "list").select("list", cell("row", "pieces").alias("p"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "vec_id", "row", "v")
+    right = posted.join(plan, "list").select("list", cell("row", "pieces").alias("p"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "known", "vec_id", "row", "v")
     key = ["list", "p", "g"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(k), "query_id long, query_row long, vec_id long, row long, score double")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(k), "query_id long, query_row long, known boolean, vec_id long, row long, score double")
     best = found.dropDuplicates(["query_row", "row"])
-    w = Window.partitionBy("query_row").orderBy("score", F.col("vec_id").asc_nulls_first(), "row")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("query_row").orderBy("score", "known", "vec_id", "row")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("known"), F.col("vec_id")).alias("vec_id"), "score")
 
 
 def rows_schema(df: DataFrame, vec_col: str) -> str:
-    return f"list int, first boolean, vec_id long, row long, v {df.schema[vec_col].dataType.simpleString()}"
+    return f"list int, first boolean, known boolean, vec_id long, row long, v {df.schema[vec_col].dataType.simpleString()}"

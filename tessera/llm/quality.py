@@ -3,8 +3,9 @@
 A linear model over character-shape pairs is fitted by stochastic descent on the non-negative unbiased risk (Kiryo et
 al., 2017): trusted positives, a sample of unlabelled web text, and a class prior estimated from the labelled rows of
 the training folds. A one-dimensional logistic curve then turns the model's margin into a probability, fitted on
-labelled training rows. The fit uses at most ``FIT_ROWS`` rows of each kind, chosen by a hash of doc_id; every
-document is scored over its whole text.
+labelled training rows. The fit uses about ``FIT_ROWS`` labelled rows of each class at most, and ``UNLABELLED`` times
+as many unlabelled ones, chosen by a hash of doc_id; the risk is a mean over rows, so a uniform sample estimates it
+with an error that depends on the sample's size alone, not on the corpus. Every document is scored over its whole text.
 
 Defined cases: a null text counts as empty, and an empty text gets the score of no evidence (the calibrated bias);
 labels that are null or given for absent documents are ignored; repeated or contradicting labels all count; with no
@@ -136,8 +137,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pu_step(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float, decay: float) -> np.ndarray:
+    """Direction of ascent, weights then bias: the gradient of the unbiased risk with the logistic loss; where the
+    estimate of the negatives' part falls below zero, of that part's negative alone."""
+    zp, zu = p @ w + b, u @ w + b
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gp_pos, gp_neg, gu = prior * (sp - 1) / len(sp), -prior * sp / len(sp), su / len(su)
+    gp, g_u = (gp_pos + gp_neg, gu) if negative >= 0 else (-gp_neg, -gu)
+    return np.append(p.T @ gp + u.T @ g_u + decay * w, gp.sum() + g_u.sum())
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with the logistic-like sigmoid loss."""
+    """Weights and bias that minimise the non-negative PU risk with the logistic loss."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(positive.shape[1]), 0.0
     scale = 4.0  # features are root frequencies, most of them small
@@ -148,16 +160,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: i
         for at in range(0, len(order), size):
             u = unlabelled[order[at : at + size]].astype(np.float32) * scale
             p = positive[rng.integers(0, len(positive), min(size, len(positive)))].astype(np.float32) * scale
-            zp, zu = p @ w + b, u @ w + b
-            sp, su = _sigmoid(zp), _sigmoid(zu)
-            # logistic loss: log(1 + e^-z) for the positive class, log(1 + e^z) for the negative one
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp_pos, gp_neg, gu = prior * (sp - 1) / len(sp), -prior * sp / len(sp), su / len(su)
-            if negative >= 0:
-                gp, g_u = gp_pos + gp_neg, gu
-            else:  # the estimate of the negatives' risk fell below zero: climb back
-                gp, g_u = -gp_neg, -gu
-            grad = np.append(p.T @ gp + u.T @ g_u + decay * w, gp.sum() + g_u.sum())
+            grad = pu_step(p, u, w, b, prior, decay)
             step += 1
             m1 = 0.9 * m1 + 0.1 * grad
             m2 = 0.999 * m2 + 0.001 * grad**2

@@ -62,7 +62,7 @@ def test_rendezvous(spark):
 
 def test_chat_rotation(spark, monkeypatch):
     monkeypatch.setattr(chat, "TURN_RANGE", 2)
-    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, None, "who?"), (1, 3, None, "who?"), (2, 0, "system", "alone"), (None, None, "ann", "lost"), (1, 5, "ann", "Bye")]
+    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, None, "who?"), (1, 3, None, "who?"), (2, 0, "system", "alone"), (None, None, "ann", "lost"), (1, 5, "ann", "Bye"), (1, -1000, "system", "early"), (1, None, "system", "first"), (1, 4, "bob", "long " * 50_000)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, mask int").repartition(4)
     got = chat.rotate(df).collect()
     people = {(r["conv_id"], r["perspective"]) for r in got}
@@ -110,6 +110,24 @@ def test_quality_on_held_out_rows(spark):
     assert got[5000]["score"] == got[5001]["score"]
 
 
+@pytest.mark.parametrize("shift", [0.0, -9.0])
+def test_pu_step_is_the_gradient_of_the_risk(shift):
+    """Against differences of the risk, written out plainly, on both sides of the bound."""
+    rng = np.random.default_rng(6)
+    p, u, w, b, prior, decay = rng.standard_normal((40, 7)), rng.standard_normal((90, 7)) + (shift / 7), rng.standard_normal(7), 0.3, 0.6, 1e-3
+
+    def parts(v):
+        loss = lambda x, sign: np.mean([np.log1p(np.exp(-sign * (row @ v[:-1] + v[-1]))) for row in x])
+        return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+    at = np.append(w, b)
+    assert (parts(at)[1] >= 0) == (shift == 0)
+    risk = (lambda v: sum(parts(v))) if shift == 0 else (lambda v: -parts(v)[1])
+    step = 1e-6
+    want = [(risk(at + step * e) - risk(at - step * e)) / (2 * step) for e in np.eye(8)] + np.append(decay * w, 0)
+    assert np.allclose(quality.pu_step(p, u, w, b, prior, decay), want, atol=1e-6)
+
+
 def test_quality_without_a_class(spark):
     rows, labels = corpus(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -102,6 +102,33 @@ def test_few_rows_give_all_candidates(spark):
     assert ann.nearest(df.limit(0)).collect() == []
 
 
+def test_nearest_isotropic_recall_and_large_ids(spark):
+    """10,000 isotropic vectors, equal distances, ids beyond doubles beside a null one, columns that clash."""
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((10_000, 16)).astype(np.float32)
+    v[5:9] = v[4]  # equal distances: ties go to the smaller id
+    base = 1 << 60
+    rows = [(None if i == 3 else base + i, v[i].tolist(), 1, 2) for i in range(len(v))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int, row int").repartition(4)
+    got = {}
+    for r in ann.nearest(df, 10, 200).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    asked = [i for i in range(len(v)) if i != 3 and (base + i) % 200 == 0]
+    assert set(got) == {base + i for i in asked}
+    x, hits = v.astype(np.float64), 0
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        limit = np.sort(d)[9]
+        mine = sorted(got[base + i])
+        assert [m[0] for m in mine] == list(range(1, 11)) and len({m[1] for m in mine}) == 10
+        assert all(abs(d[3 if m[1] is None else m[1] - base] - m[2]) < 1e-12 for m in mine)
+        order = [(m[2], -1 if m[1] is None else m[1]) for m in mine]
+        assert order == sorted(order)
+        hits += sum(m[2] <= limit for m in mine)
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_graph_search_finds_the_nearest_centroid():
     rng = np.random.default_rng(2)
     c = rng.standard_normal((300, 12))
