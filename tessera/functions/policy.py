@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import let
+from tessera.functions.text import let, nfkc
 
 # fixed values: names that the rules know
 CONTROL_SEGMENTS = [".agents", ".codex", ".git", ".github", ".obsidian", ".trash", "__pycache__", "build", "dist", "node_modules"]
@@ -110,7 +110,7 @@ def classify(path: Column, front: Column, body: Column, title: Column, tags: Col
 
     Each value that several rules use is bound once, so the expression grows with the rules and not with their product.
     """
-    low = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", ""), "/{2,}", "/"))
+    low = F.lower(nfkc(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", ""), "/{2,}", "/")))
     scope, bad_scope = field(front, "retrieval_scope", SCOPE_WORDS, True)
     corpus, bad_corpus = field(front, "corpus", CORPUS_WORDS, False)
     facts = F.struct(

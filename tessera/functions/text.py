@@ -33,7 +33,8 @@ def _normal(form: str):
 
 
 def nfkc(c: Column) -> Column:
-    return _normal("NFKC")(c)
+    """NFKC; ASCII values, which it leaves alone, stay in the JVM."""
+    return F.coalesce(_normal("NFKC")(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def nfc(c: Column) -> Column:

@@ -42,7 +42,10 @@ def metadata(records: DataFrame, query: Sequence[str], weights: Mapping[str, flo
         if field not in kinds:
             continue
         values = F.col(field) if kinds[field].startswith("array") else F.map_values(field) if kinds[field].startswith("map") else F.array(F.col(field).cast("string"))
-        per = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.size(F.array_intersect(text.tokens(F.coalesce(v, F.lit(""))), _literal(terms))).cast("double"))
+        # normalized as one text, since only whole columns can be: values hold no unit separator
+        glued = F.array_join(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit(""))), "\x1f")
+        values = F.split(text.nfkc(glued), "\x1f")
+        per = F.transform(values, lambda v: F.size(F.array_intersect(text.tokens(v), _literal(terms))).cast("double"))
         total = total + w * F.aggregate(per, F.lit(0.0), lambda s, x: s + x)
     return records.select("id", (total / len(terms)).alias("score")).where("score > 0")
 
@@ -67,7 +70,7 @@ def temporal(records: DataFrame, query: str, now: datetime, prefer: bool | None
 def hierarchy(records: DataFrame, query: Sequence[str], seeds: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Share of query terms in hierarchy, heading and path, plus 0.15 per shared ancestor with the best seed."""
     terms = list(dict.fromkeys(query))
-    words = text.tokens(F.concat_ws(" ", F.array_join("hierarchy", " "), F.coalesce(F.col("heading"), F.lit("")), "path"))
+    words = text.tokens(F.concat_ws(" ", F.array_join("hierarchy", " "), F.coalesce(F.col("heading"), F.lit("")), "path"), compat=True)
     matched = F.size(F.array_intersect(words, _literal(terms))) if terms else F.lit(0)
     depth = F.lit(0)
     for seed in seeds:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import threading
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -21,6 +23,8 @@ PACK_CHARS, ITEM_CHARS = 8_000, 1_500
 MOST_QUERY_CHARS = 32_000
 DEADLINE = 5.0
 
+_LOG = logging.getLogger(__name__)
+
 Channel = Callable[[DataFrame, str], DataFrame]
 Reranker = Callable[[str, list[dict]], list[float]]
 
@@ -82,7 +86,7 @@ class Engine:
         seeds = [list(r["hierarchy"]) for r in seen.where(F.col("id").isin(list(request.seeds))).select("hierarchy").limit(16).collect()] if request.seeds else []
         now = request.now or datetime.now(timezone.utc)
         made: dict[str, Callable[[], DataFrame]] = {
-            "bm25": lambda: postings.bm25(seen, "id", text.tokens(F.col("content")), words).drop("matched"),
+            "bm25": lambda: postings.bm25(seen, "id", text.tokens(F.col("content"), compat=True), words).drop("matched"),
             "metadata": lambda: channels.metadata(seen, words),
             "temporal": lambda: channels.temporal(seen, request.query, now, request.prefer_recent),
             "hierarchy": lambda: channels.hierarchy(seen, words, seeds),
@@ -96,6 +100,7 @@ class Engine:
             try:
                 hits[name] = channels.top(make(), request.candidates)
             except Exception:  # a channel that cannot be planned leaves the others
+                _LOG.exception("channel %s could not be planned", name)
                 failed.append(name)
         if not hits:
             return None, failed
@@ -110,8 +115,8 @@ class Engine:
         if scope is None:
             return Pack("no_evidence")
         spark = self.records.sparkSession
-        tag, late = f"query-{uuid.uuid4().hex}", threading.Event()
-        timer = threading.Timer(min(deadline, 3600.0), lambda: (late.set(), spark.interruptTag(tag)))
+        tag, end = f"query-{uuid.uuid4().hex}", time.monotonic() + deadline
+        timer = threading.Timer(min(deadline, 3600.0), lambda: spark.interruptTag(tag))
         spark.addTag(tag)
         timer.start()
         try:
@@ -120,8 +125,9 @@ class Engine:
                 return Pack("source_failure", failed=failed)
             rows = plan.collect()  # at most `candidates` rows
         except Exception:
-            if late.is_set():
+            if time.monotonic() >= end:
                 return Pack("timeout")
+            _LOG.exception("the query's plan failed")
             return Pack("source_failure", failed=["engine"])
         finally:
             timer.cancel()
@@ -136,6 +142,7 @@ class Engine:
                 order = sorted(range(len(rows)), key=lambda i: (-given[i], i))
                 rows, scores = [rows[i] for i in order], [given[i] for i in order]
             except Exception:
+                _LOG.exception("the reranker failed")
                 failed = [*failed, "reranker"]
         picked = selection.select([r["content"] for r in rows], scores, request.limit)
         out, left = [], request.pack_chars
@@ -145,7 +152,7 @@ class Engine:
             excerpt, cut = selection.compress(rows[i]["content"], request.query, min(request.item_chars, left))
             left -= len(excerpt)
             out.append(Evidence(len(out) + 1, rows[i]["id"], rows[i]["path"], rows[i]["fused"], scores[i], list(rows[i]["channels"]), excerpt, cut))
-        if late.is_set():
+        if time.monotonic() >= end:
             return Pack("timeout")
         return Pack("ok" if out else "no_evidence", out, bool(failed), failed)
 

@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cut_bytes
@@ -324,9 +324,14 @@ def active_heading(marks: DataFrame, spots: DataFrame) -> DataFrame:
 
     ``marks`` is (id, line, level, text) and ``spots`` (id, spot); returns (id, spot, path).
     """
-    before = spots.join(marks, "id").where(F.col("line") <= F.col("spot"))
-    last = before.groupBy("id", "spot", "level").agg(F.max_by(F.struct("line", "text"), "line").alias("h"))
-    stack = last.groupBy("id", "spot").agg(F.array_sort(F.collect_list(F.struct("level", F.col("h.line").alias("line"), F.col("h.text").alias("text")))).alias("s"))
-    open_ones = F.filter("s", lambda x: ~F.exists("s", lambda y: (y["level"] < x["level"]) & (y["line"] > x["line"])))
-    found = stack.select("id", "spot", F.array_join(F.transform(open_ones, lambda x: x["text"]), " › ").alias("path"))
-    return spots.join(found, ["id", "spot"], "left")
+    kind = dict(marks.dtypes)["text"]
+    mark = marks.select("id", F.col("line").alias("at"), F.lit(0).alias("after"), "level", "text")
+    spot = spots.select("id", F.col("spot").alias("at"), F.lit(1).alias("after"), F.lit(None).cast("int").alias("level"), F.lit(None).cast(kind).alias("text"))
+    # one pass per note: every row carries the last heading of each level
+    seen = Window.partitionBy("id").orderBy("at", "after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when(F.col("level") == n, F.struct("level", F.col("at").alias("line"), "text")), True).over(seen) for n in range(1, 7)]
+    found = mark.unionByName(spot).withColumn("s", F.array(*last)).where("after = 1")
+    there = F.filter("s", lambda x: x.isNotNull())
+    open_ones = F.filter(there, lambda x: ~F.exists(there, lambda y: (y["level"] < x["level"]) & (y["line"] > x["line"])))
+    path = F.when(F.col("id").isNotNull() & (F.size(open_ones) > 0), F.array_join(F.transform(open_ones, lambda x: x["text"]), " › "))
+    return found.select("id", F.col("at").alias("spot"), path.alias("path"))

@@ -1,7 +1,8 @@
-"""Generations on storage: immutable table folders, and one pointer that is swapped when a generation is complete.
+"""Generations on storage: immutable table folders, and numbered pointers, one more when a generation is complete.
 
-Tables are written by Spark to any store. The pointer and the manifests are small files, written through the same
-file system, so a reader sees either the old or the new generation.
+Tables are written by Spark to any store. Pointers and manifests are small files with checksums, made through the same
+file system and never changed: the pointer with the greatest number is the current one. Two writers ask for the same
+next number, which only one of them gets, and a reader always finds a whole pointer, the old or the new one.
 """
 
 from __future__ import annotations
@@ -46,32 +47,58 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, name: str, value: dict) -> None:
-        """Write beside, then rename over: readers see one of both."""
-        tmp, end = self._path(f"{self.root}/.{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/{name}")
-        stream = self._fs.create(tmp, True)
-        stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    def _write(self, name: str, value: dict) -> bool:
+        """Make a file that must not be there yet; false if it is."""
+        try:
+            stream = self._fs.create(self._path(f"{self.root}/{name}"), False)
+        except Exception as e:
+            if self._fs.exists(self._path(f"{self.root}/{name}")):
+                return False
+            raise OSError(f"could not make {name}") from e
+        stream.write(bytearray(json.dumps(value | {"checksum": digest(value)}, sort_keys=True).encode()))
         stream.close()
-        if self._fs.exists(end):
-            self._fs.delete(end, False)
-        if not self._fs.rename(tmp, end):
-            raise OSError(f"could not publish {name}")
+        return True
+
+    def _whole(self, name: str) -> dict | None:
+        """The contents of a file if its checksum holds."""
+        try:
+            found = self._read(name)
+        except ValueError:  # a writer stopped within it
+            return None
+        body = {k: v for k, v in (found or {}).items() if k != "checksum"}
+        return body if found and found.get("checksum") == digest(body) else None
+
+    def _pointers(self) -> list[int]:
+        folder = self._path(f"{self.root}/pointers")
+        if not self._fs.exists(folder):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _now(self) -> tuple[int, str | None]:
+        """The greatest pointer's number, and the generation of the greatest whole one."""
+        numbers = self._pointers()
+        whole = (p for n in reversed(numbers) if (p := self._whole(f"pointers/{n:012d}.json")))
+        return (numbers[-1] if numbers else 0), next((p["generation"] for p in whole), None)
+
+    def _move(self, after: int, generation: str) -> None:
+        if not self._write(f"pointers/{after + 1:012d}.json", {"generation": generation}):
+            raise Conflict("the pointer moved meanwhile")
 
     def current(self) -> str | None:
-        now = self._read("CURRENT.json")
-        return now and now["generation"]
+        return self._now()[1]
 
     def manifest(self, generation: str) -> dict:
-        found = self._read(f"{generation}/manifest.json")
-        body = {k: v for k, v in (found or {}).items() if k != "checksum"}
-        if not found or found.get("checksum") != digest(body):
+        found = self._whole(f"{generation}/manifest.json")
+        if not found:
             raise ValueError(f"generation {generation} has no valid manifest")
         return found
 
     def publish(self, tables: dict[str, DataFrame], expected: str | None = None, note: dict | None = None) -> str:
         """Write tables, then their manifest, then move the pointer if it is still at ``expected``."""
-        if self.current() != expected:
-            raise Conflict(f"expected {expected}, found {self.current()}")
+        number, now = self._now()
+        if now != expected:
+            raise Conflict(f"expected {expected}, found {now}")
         generation = f"gen-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         sums = {}
         for name, df in tables.items():
@@ -79,12 +106,8 @@ class Store:
             df.write.parquet(path)
             sums[name] = table_digest(self.spark.read.schema(df.schema).parquet(path))
         body = {"generation": generation, "parent": expected, "tables": sums, "schemas": {n: d.schema.json() for n, d in tables.items()}, "note": note or {}}
-        self._write(f"{generation}/manifest.json", body | {"checksum": digest(body)})
-        if self.current() != expected:
-            raise Conflict("the pointer moved during the build")
-        if expected:
-            self._write("PREVIOUS.json", {"generation": expected})
-        self._write("CURRENT.json", {"generation": generation})
+        self._write(f"{generation}/manifest.json", body)
+        self._move(number, generation)
         return generation
 
     def read(self, name: str, generation: str | None = None) -> DataFrame:
@@ -102,15 +125,17 @@ class Store:
         return [n for n, s in self.manifest(g)["tables"].items() if table_digest(self.read(n, g)) != s]
 
     def rollback(self) -> str:
-        """Back to the current generation's parent; to PREVIOUS where the current manifest cannot be read."""
+        """Back to the current generation's parent; to the one pointed to before where the current manifest cannot be read."""
+        number, now = self._now()
         try:
-            parent = self.manifest(self.current())["parent"]
+            parent = self.manifest(now)["parent"]
         except ValueError:
-            parent = (self._read("PREVIOUS.json") or {}).get("generation")
+            older = (self._whole(f"pointers/{n:012d}.json") for n in reversed(self._pointers()))
+            parent = next((p["generation"] for p in older if p and p["generation"] != now), None)
         if not parent:
             raise ValueError("there is no earlier generation")
         self.manifest(parent)
-        self._write("CURRENT.json", {"generation": parent})
+        self._move(number, parent)
         return parent
 
     def generations(self) -> list[str]:
@@ -118,11 +143,15 @@ class Store:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and s.getPath().getName().startswith("gen-"))
 
-    def prune(self) -> list[str]:
-        """Delete what is neither current nor its parent."""
+    def prune(self, quarantine: bool = False) -> list[str]:
+        """Delete what is neither current nor its parent, or set it aside; a generation that is being written has no manifest and stays."""
         now = self.current()
         keep = {now, now and self.manifest(now)["parent"]}
-        gone = [g for g in self.generations() if g not in keep]
+        gone = [g for g in self.generations() if g not in keep and self._whole(f"{g}/manifest.json")]
         for g in gone:
-            self._fs.delete(self._path(f"{self.root}/{g}"), True)
+            if quarantine:
+                self._fs.mkdirs(self._path(f"{self.root}/quarantine"))
+                self._fs.rename(self._path(f"{self.root}/{g}"), self._path(f"{self.root}/quarantine/{g}"))
+            else:
+                self._fs.delete(self._path(f"{self.root}/{g}"), True)
         return gone

@@ -14,17 +14,25 @@ def watch(spark: SparkSession, root: str, build: Callable[[DataFrame, int], None
     """Offer new files of a folder to ``build`` in micro-batches; the checkpoint makes restarts resume."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return newest_only(files.writeStream, build).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return newest_only(files.writeStream, build, f"{checkpoint}/built").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def newest_only(writer, build: Callable[[DataFrame, int], None]):
-    """Run ``build`` for batches in order, once each: a batch that comes again after a restart is skipped."""
-    done = {"batch": -1}
+def newest_only(writer, build: Callable[[DataFrame, int], None], marks: str):
+    """Run ``build`` for batches in order; a batch that comes again after a restart is skipped.
+
+    A file in the folder ``marks``, which any store can hold, tells that a batch was built. If the driver is lost
+    between a build and its mark, the batch is built again, so ``build`` must replace what it wrote for it.
+    """
 
     def run(df: DataFrame, batch: int) -> None:
-        if batch > done["batch"]:
-            build(df, batch)
-            done["batch"] = batch
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(marks).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        mark = path(f"{marks}/{batch:012d}")
+        if fs.exists(mark):
+            return
+        build(df, batch)
+        fs.create(mark, True).close()
+        fs.delete(path(f"{marks}/{batch - 2:012d}"), False)
 
     return writer.foreachBatch(run)
 
