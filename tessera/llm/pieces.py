@@ -48,11 +48,11 @@ UNKNOWN = " ⁇ "
 LONG_WORD = 128
 #: Characters that a block of texts, and a part of it that is split at a time, holds about.
 BLOCK_CHARS = 1 << 23
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 #: Questions for one word, and answers to blocks, that are held at a time.
-ASKED = 1 << 17
-#: Bytes of text whose words' questions a task answers.
-PART_BYTES = 16 << 20
+ASKED = 1 << 16
+#: Bytes of text whose words' questions are answered together, and how many such parts a task has.
+PART_BYTES, TASK_PARTS = 4 << 20, 4
 _KEY = 64
 _NEVER = 1 << 30
 _NO_ID = -(1 << 63)
@@ -592,7 +592,7 @@ def _answer(vocabulary: Vocabulary, digest: bool):
             a = 0
             while a < len(doc):  # some texts at a time
                 first = int(stop[a] - counts[a])
-                b = max(a + 1, int(np.searchsorted(stop, first + CHUNK_CHARS // 4)))
+                b = max(a + 1, int(np.searchsorted(stop, first + CHUNK_CHARS // 2)))
                 c = code[first : int(stop[b - 1])]
                 k = size[c]
                 reach = np.cumsum(k)
@@ -624,7 +624,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str
     n = text_parts(docs, text_col, PART_BYTES)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
     splitter, sizes = Splitter(vocabulary), (BLOCK_CHARS, CHUNK_CHARS)
-    asked = rows.mapInArrow(_asked(splitter, sizes, n), "part int, data binary").repartition(n, "part")
+    asked = rows.mapInArrow(_asked(splitter, sizes, n), "part int, data binary").repartition(-(-n // TASK_PARTS), "part")
     distinct = asked.groupBy("part").applyInArrow(_asks, _ASKS)
     told = encode_words(distinct, vocabulary, "blocks", "places").select("blocks", "places", "ids").mapInArrow(_told(vocabulary), _TOLD)
     coded = rows.mapInArrow(_coded(splitter, sizes), "block long, data binary")
