@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import inspect
 import pickle
 import shutil
 import tempfile
@@ -72,6 +73,44 @@ def trim() -> None:
         back(0)
 
 
+def lean(f: Callable) -> Callable:
+    """``f``, a function over batches (a generator) or over one or two groups, that gives unused memory back when done."""
+    if inspect.isgeneratorfunction(f):
+
+        def batches(some):
+            yield from f(some)
+            trim()
+
+        return batches
+
+    def group(rows):
+        try:
+            return f(rows)
+        finally:
+            trim()
+
+    def groups(left, right):
+        try:
+            return f(left, right)
+        finally:
+            trim()
+
+    return groups if len(inspect.signature(f).parameters) == 2 else group
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of about ``size`` bytes in their column ``text``; a longer text is a part of its own."""
+    for batch in batches:
+        _, starts, stops = text_column(batch.column(text))
+        ends = np.cumsum(stops - starts)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def parts(spark: SparkSession) -> int:
     """How many pieces to deal work into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -172,7 +211,7 @@ def row_frames(rows: DataFrame, n: int) -> DataFrame:
     """Rows of :func:`with_row`, compressed many together and dealt into ``n`` parts by row number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             buf, starts, ends = text_column(batch.column(3))
             missing = np.asarray(batch.column(3).is_null())
             order, bounds = split_by_part(batch.column(0).to_numpy(), n)
@@ -189,7 +228,7 @@ def row_frames(rows: DataFrame, n: int) -> DataFrame:
 
     first = ["row", "text"]
     others = [c for c in rows.columns if c not in ("doc", *first)]
-    return rows.select(by_row(n), "doc", *first, *others).mapInArrow(run, "dpart int, data binary")
+    return rows.select(by_row(n), "doc", *first, *others).mapInArrow(lean(run), "dpart int, data binary")
 
 
 def frame_rows(frame: bytes) -> Iterator[tuple[int, bytes | None, list]]:
@@ -208,4 +247,4 @@ def per_row(docs: DataFrame, asked: DataFrame, f: Callable[[Iterator[tuple[int,
         return f((x for data in frames["data"] for x in frame_rows(data)), own)
 
     asked = asked.select(by_row(n), *asked.columns)
-    return row_frames(docs, n).groupBy("dpart").cogroup(asked.groupBy("dpart")).applyInPandas(run, schema)
+    return row_frames(docs, n).groupBy("dpart").cogroup(asked.groupBy("dpart")).applyInPandas(lean(run), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, mix, per_row, split_by_part, squeeze, text_column, text_parts, with_row
+from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, lean, mix, per_row, slices, split_by_part, squeeze, text_column, text_parts, with_row
 from tessera.llm.components import components
 
 RARE = 8
@@ -109,7 +109,7 @@ def _token_counts(words: int, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches, 0):
             cells = [_slot(s) for s in shingler.sets(*text_column(batch.column(0))) if len(s)]
             if not cells:
                 continue
@@ -140,8 +140,8 @@ def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def frequent_cells(rows: DataFrame, scratch: Scratch, words: int, n: int) -> np.ndarray:
     """Cells of the most frequent shingles: over ``RARE`` documents, and at most ``MOST_FREQUENT`` (4 MB) of them."""
-    counted = rows.select("text").mapInArrow(_token_counts(words, n), "part int, data binary")
-    table = scratch.save(counted.groupBy("part").applyInPandas(_sum_counts, "cell long, count long"), "frequent")
+    counted = rows.select("text").mapInArrow(lean(_token_counts(words, n)), "part int, data binary")
+    table = scratch.save(counted.groupBy("part").applyInPandas(lean(_sum_counts), "cell long, count long"), "frequent")
     classes = table.groupBy(F.floor(F.log2("count")).alias("c")).count().collect()  # at most 64 rows
     least, total = 64, 0
     for r in sorted(classes, key=lambda r: -r["c"]):
@@ -261,7 +261,7 @@ def _sign(words: int, percent: int, n: int, frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches, 2):
             m = batch.num_rows
             size, common, gid, f1, f2 = np.zeros(m, np.int64), np.zeros(m, np.int64), *(np.zeros(m, np.uint64) for _ in range(3))
             bits: list[bytes] = []
@@ -363,7 +363,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratc
     """The pairs (a, b) of nodes whose sets are as similar as asked."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").where(_alike(percent, "n_a", "n_b"))
-    left = scratch.save(sized.mapInArrow(_bit_filter(percent), "a long, b long"), f"{label}-pairs")
+    left = scratch.save(sized.mapInArrow(lean(_bit_filter(percent)), "a long, b long"), f"{label}-pairs")
     left = left.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(n)).cast("int"))
     # a set goes once to each part that has a pair with it
     asked = left.select(F.col("a").alias("row"), F.col("part").alias("pair_part")).unionByName(left.select(F.col("b").alias("row"), F.col("part").alias("pair_part"))).distinct()
@@ -392,7 +392,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratc
         return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
 
     sets = per_row(rows, asked, fetch, "part int, data binary", n)
-    return scratch.save(sets.groupBy("part").cogroup(left.groupBy("part")).applyInPandas(compare, "a long, b long"), f"{label}-links")
+    return scratch.save(sets.groupBy("part").cogroup(left.groupBy("part")).applyInPandas(lean(compare), "a long, b long"), f"{label}-links")
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,12 +401,12 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     scratch, n = Scratch(spark, "jaccard"), text_parts(docs, text_col, PART_BYTES)
     rows = with_row(docs, id_col, text_col)
     frequent = frequent_cells(rows, scratch, words, n)
-    signed = scratch.save(rows.mapInArrow(_sign(words, percent, n, frequent), _SIGNED), "signed")
+    signed = scratch.save(rows.mapInArrow(lean(_sign(words, percent, n, frequent)), _SIGNED), "signed")
     members = signed.where("part < 0").select("doc", "row", "n", "common", "gid", "f1", "f2", "bits")
     key = ["n", "f1", "f2"]
     nodes = members.where("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("gid").alias("gid"), F.min("common").alias("common"), F.min("bits").alias("bits"), F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row")).alias("best"))
     nodes = scratch.save(nodes, "nodes")
-    entries = signed.where("part >= 0").select("part", "data").groupBy("part").applyInPandas(_lists, "list_id long, gid long, n long")
+    entries = signed.where("part >= 0").select("part", "data").groupBy("part").applyInPandas(lean(_lists), "list_id long, gid long, n long")
     entries = scratch.save(entries.distinct(), "entries")
     leaders = nodes.groupBy("gid").agg(F.min("node").alias("leader"), F.max("common").alias("common"), F.count(F.lit(1)).alias("size"))
     led = entries.join(leaders, "gid")
@@ -435,7 +435,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     dealt = open_lists.join(pieces, "list_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "pieces")
     met = dealt.withColumn("task", F.pmod(F.xxhash64("list_id", "i", "j"), F.lit(8 * n)).cast("int"))
-    crossed = met.groupBy("task").applyInPandas(_cross(percent), "a long, b long").distinct()
+    crossed = met.groupBy("task").applyInPandas(lean(_cross(percent)), "a long, b long").distinct()
     more = _verify(crossed, nodes, rows, scratch, words, percent, n, "crossed")
     final = linked if more.isEmpty() else components(linked.unionByName(more), scratch, "last")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_column
+from tessera.llm.common import lean, text_column
 
 #: About so many labelled rows of each class, at most, fit the model.
 FIT_ROWS = 4_000
@@ -206,7 +206,7 @@ def _features(df: DataFrame) -> DataFrame:
             x = featurize(*text_column(batch.column(1)), table)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["kind", "x"])
 
-    return df.mapInArrow(run, "kind int, x binary")
+    return df.mapInArrow(lean(run), "kind int, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model | float:
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 
     key = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
@@ -275,4 +275,4 @@ def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text") ->
                 good = np.concatenate([model.score(featurize(buf, starts[i : i + 512], ends[i : i + 512], table)) >= THRESHOLD for i in range(0, len(starts), 512)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ODD as _ODD
 from tessera.llm.common import ODD2 as _ODD2
-from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, mix, split_by_part, squeeze, text_column, text_parts
+from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, lean, mix, slices, split_by_part, squeeze, text_column, text_parts
 
 GRAM = 32
 STEP = 5
@@ -195,7 +195,7 @@ def _run_blocks(ids: DataFrame, n: int, width: int) -> DataFrame:
         if runs.size:
             yield block()
 
-    return ids.select("doc", "row", "text").mapInArrow(run, "part int, data binary")
+    return ids.select("doc", "row", "text").mapInArrow(lean(run), "part int, data binary")
 
 
 def _deal(columns: Sequence[np.ndarray], doc: np.ndarray, row: np.ndarray, n: int, kind: int) -> list[tuple[int, int, bytes]]:
@@ -254,7 +254,7 @@ def _text_frames(ids: DataFrame, n: int) -> DataFrame:
     """The documents' texts, compressed together, dealt into ``n`` parts by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, starts, ends = text_column(batch.column(2))
             extra = [batch.column(k).to_pylist() for k in range(3, batch.num_columns)]
@@ -268,7 +268,7 @@ def _text_frames(ids: DataFrame, n: int) -> DataFrame:
                 data.append(pickle.dumps((doc[o], row[o], ends[o] - starts[o], press.compress(joined), [[e[i] for i in o] for e in extra]), 5))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["dpart", "data"])
 
-    return ids.mapInArrow(run, "dpart int, data binary")
+    return ids.mapInArrow(lean(run), "dpart int, data binary")
 
 
 def _requests(found: pd.DataFrame, kinds: Sequence[int]) -> dict[tuple[int, int], list[tuple]]:
@@ -528,8 +528,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     by_doc = lambda df: df.groupBy("dpart")
     runs, repeated, pieces = _run_blocks(ids, n, width), [], []
     for level in range(1, LEVELS + 1):
-        found = scratch.save(runs.groupBy("part").applyInPandas(_collapse(n, hot if level < LEVELS else 1 << 62), _FOUND), f"found{level}")
-        fetched = by_doc(_text_frames(ids, n)).cogroup(by_doc(found.where(F.col("kind") != REPEATED))).applyInPandas(_fetch(n, width, level), _FOUND)
+        found = scratch.save(runs.groupBy("part").applyInPandas(lean(_collapse(n, hot if level < LEVELS else 1 << 62)), _FOUND), f"found{level}")
+        fetched = by_doc(_text_frames(ids, n)).cogroup(by_doc(found.where(F.col("kind") != REPEATED))).applyInPandas(lean(_fetch(n, width, level)), _FOUND)
         fetched = scratch.save(fetched, f"fetched{level}")
         repeated.append(found.where(F.col("kind") == REPEATED))
         pieces.append(fetched.where(F.col("kind") == PIECE))
@@ -537,10 +537,10 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         if runs.isEmpty():
             break
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    compared = scratch.save(by_doc(union(pieces)).applyInPandas(_compare(n, width), _FOUND), "compared")
+    compared = scratch.save(by_doc(union(pieces)).applyInPandas(lean(_compare(n, width)), _FOUND), "compared")
     repeated = union([*repeated, compared])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", text string" * keep_text + "".join(f", carry_{k} string" for k in range(len(carry)))
     frames = _text_frames(_ids(docs, id_col, text_col, carry), n)
-    out = by_doc(frames).cogroup(by_doc(repeated)).applyInPandas(_finish(width, keep_text, len(carry)), schema)
+    out = by_doc(frames).cogroup(by_doc(repeated)).applyInPandas(lean(_finish(width, keep_text, len(carry))), schema)
     return out.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
