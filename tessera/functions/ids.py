@@ -82,3 +82,47 @@ def sign(value: object, key: bytes) -> str:
 
 def signed_by(value: object, key: bytes, signature: str) -> bool:
     return hmac.compare_digest(sign(value, key), signature)
+
+
+def _segments(c: Column, rooted: bool) -> Column:
+    """Path segments without empty ones and ``.``; ``..`` takes the one before it away (or stays at a start that is no root)."""
+    parts = F.filter(F.split(c, "/"), lambda s: (s != "") & (s != "."))
+
+    def step(kept: Column, s: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        back = (s == "..") & last.isNotNull() & (last != "..")
+        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        outside = (s == "..") & F.lit(rooted)
+        return F.when(back, shorter).when(outside, kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def source_identity(c: Column) -> Column:
+    """One name for a source whatever the notation: ``win32:``, ``win32-unc://``, ``posix:``, ``uri:`` or ``logical:``; null if empty."""
+    raw = F.trim(c)
+    slashed = F.replace(raw, F.lit("\\"), F.lit("/"))
+    plain = F.when(slashed.rlike("(?i)^//\\?/unc/"), F.concat(F.lit("//"), F.substring(slashed, 9, 1 << 30))).when(slashed.rlike("^//[?.]/"), F.substring(slashed, 5, 1 << 30)).otherwise(slashed)
+    drive = F.lower(F.substring(plain, 1, 2))
+    windows = F.lower(_segments(F.substring(plain, 3, 1 << 30), True))
+    unc, posix, logical = F.lower(_segments(plain, True)), _segments(plain, True), _segments(plain, False)
+    host = F.lower(F.regexp_extract(raw, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    rest = F.substring(raw, F.length(host) + 1, F.lit(1 << 30))
+    return (
+        F.when(plain.rlike("^[A-Za-z]:/"), F.concat(F.lit("win32:"), drive, F.lit("/"), windows))
+        .when(plain.startswith("//"), F.when(unc != "", F.concat(F.lit("win32-unc://"), unc)))
+        .when(plain.startswith("/"), F.concat(F.lit("posix:/"), posix))
+        .when(host != "", F.concat(F.lit("uri:"), host, F.when(rest == "", F.lit("/")).otherwise(rest)))
+        .when(logical != "", F.concat(F.lit("logical:"), logical))
+    )
+
+
+def iso_timestamp(c: Column) -> Column:
+    """The time of a text in the one accepted form, ``YYYY-MM-DDTHH:MM:SS.mmmZ``; null for any other text."""
+    shaped = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"), c)
+    return F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX"))
+
+
+def iso_text(c: Column) -> Column:
+    """A time in that form."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -40,6 +40,11 @@ CONTEXT_FOLDERS = ["50-ai/codex-context/"]
 PROJECT_FOLDERS = ["10-work/", "20-competition/", "00-inbox/", "projects/"]
 REFERENCE_FOLDERS = ["40-resources/", "60-file-index/", "research/", "sources/"]
 PRIORITY = {"default": 0, "project": 1, "reference": 2, "history": 3, "never": 4}
+SUPPORT_FOLDERS = [
+    ".github", "issues?-archive", "tests?", "fixtures?", "examples?", "references?", "commands?", "library", "skill-output-samples", "node_modules", "docs?",
+    "site", "scripts?", "hooks?", "templates?", "research", "catalog", "knowledge", "_workflows", "_agent-context", "comparison",
+]
+SUPPORT_NAMES = ["history", "changelog", "contributing", "code_of_conduct", "privacy", "todos?"]
 _GRAPH_REASON = r"(?i)generated|system|duplicate|navigation|empty|index|自动生成|生成|系统|重复|副本|导航|空|索引"
 _NAV_NAME = r"(?i)readme|index|dashboard|homepage|overview|contents|目录|索引|导航|首页|总览|概览"
 _KEPT = r"[^0-9A-Za-z㐀-鿿]+"
@@ -199,3 +204,11 @@ def reason_bucket(reason: Column) -> Column:
     for head in ("restricted sensitivity", "invalid policy field", "generated type", "frontmatter corpus", "graph exclusion", "historical role"):
         out = F.when(reason.startswith(head), head).otherwise(out)
     return out
+
+
+def is_supporting(path: Column, navigation: Column) -> Column:
+    """Whether a document only supports others: by a folder or file name of its path, or as navigation."""
+    low = F.lower(nfkc(path))
+    folder = "(?:^|/)(?:" + "|".join(SUPPORT_FOLDERS).replace(".", r"\.") + ")(?:/|$)"
+    name = "(?:^|/)(?:" + "|".join(SUPPORT_NAMES) + r")\.md$"
+    return low.rlike(folder) | low.rlike(name) | F.coalesce(navigation, F.lit(False))

@@ -91,3 +91,48 @@ def faults(tables: dict[str, DataFrame]) -> DataFrame:
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def bundle_statistics(catalog: DataFrame, segments: int = 1) -> DataFrame:
+    """One row: active documents, tombstones, duplicates and lexical segments of a generation."""
+    active = F.col("tombstone_at").isNull() & F.col("duplicate_of").isNull() & (F.col("retrieval_scope") != "never")
+    count = lambda c: F.count_if(c)
+    return catalog.agg(count(active).alias("active_documents"), count(F.col("tombstone_at").isNotNull()).alias("tombstones"), count(F.col("duplicate_of").isNotNull()).alias("duplicates"), F.lit(segments).alias("lexical_segments"))
+
+
+def reusable(scanned: DataFrame, units: DataFrame, same_policy: bool) -> tuple[DataFrame, DataFrame]:
+    """The files of a scan that need compiling, and the units of an earlier build that stand for the others.
+
+    A unit is reused where path and content hash are the same and nothing of the policy changed.
+    """
+    if not same_policy:
+        return scanned, units.where(F.lit(False))
+    kept = units.join(scanned.select("path", "content_sha256"), ["path", "content_sha256"], "left_semi")
+    return scanned.join(kept.select("path"), "path", "left_anti"), kept
+
+
+def normalized_documents(raw: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One document per graph node: missing ones and missing fields get defaults, at most 16 headings, tags without ``#``."""
+    empty = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.col(c), empty)
+    path = F.coalesce("path", F.col("node").cast("string"))
+    return nodes.select("node").join(raw, F.col("node") == F.col("id"), "left").select(
+        F.col("node").alias("id"), path.alias("path"), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.regexp_replace(text.basename(path), r"(?i)\.md$", "")).alias("title"),
+        listed("aliases").alias("aliases"), F.transform(listed("tags"), lambda t: F.regexp_replace(t, "^#", "")).alias("tags"), F.slice(listed("headings"), 1, 16).alias("headings"), F.coalesce("content", F.lit("")).alias("content"),
+    )
+
+
+def overview(notes: DataFrame) -> DataFrame:
+    """(kind, value, n): notes in all, by corpus, by scope, by exclusion reason, duplicates, and chunks.
+
+    ``notes`` has corpus, retrieval_scope, reason, duplicate (boolean) and chunks (a count).
+    """
+    shown = F.col("retrieval_scope") != "never"
+    one = F.lit(1)
+    told = [
+        ("notes", F.lit("discovered"), one), ("notes", F.when(shown, "indexed").otherwise("excluded"), one), ("notes", F.when(F.col("duplicate"), "duplicate"), one),
+        ("notes", F.when(shown, "chunks"), F.col("chunks")), ("corpus", F.when(shown, F.col("corpus")), one), ("scope", F.when(shown, F.col("retrieval_scope")), one),
+        ("excluded", F.when(~shown, policy.reason_bucket(F.col("reason"))), one),
+    ]
+    facts = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value"), n.cast("long").alias("n")) for k, v, n in told])
+    return notes.select(F.inline(facts)).where("value is not null").groupBy("kind", "value").agg(F.sum("n").alias("n"))

@@ -84,10 +84,24 @@ def hierarchy(records: DataFrame, query: Sequence[str], seeds: Sequence[Sequence
     return records.select("id", score.alias("score")).where("score > 0")
 
 
-def dense(vectors: DataFrame, query: Sequence[float], floor: float = DENSE_FLOOR) -> DataFrame:
-    """Exact cosine with a query vector; (id, values) rows below the floor are left out."""
+def search_text(records: DataFrame) -> Column:
+    """What of a record is embedded: title, heading (empty if none), aliases, tags, hierarchy and content, a line each."""
+    lists = [F.array_join(F.col(c), "\n") for c in ("aliases", "tags", "hierarchy") if c in records.columns]
+    some = [F.when(F.col(c).isNotNull() & (F.size(c) > 0), x) for c, x in zip([c for c in ("aliases", "tags", "hierarchy") if c in records.columns], lists)]
+    heading = F.coalesce(F.col("heading"), F.lit("")) if "heading" in records.columns else F.lit("")
+    return F.concat_ws("\n", F.coalesce("title", F.lit("")), heading, *some, F.coalesce("content", F.lit("")))
+
+
+def dense(vectors: DataFrame, query: Sequence[float], floor: float = DENSE_FLOOR, words: DataFrame | None = None, terms: Sequence[str] = ()) -> DataFrame:
+    """Exact cosine with a query vector; (id, values) rows below the floor are left out.
+
+    With ``words`` (id, tokens), as for hashed vectors, a record must also share a token with the query's ``terms``.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("id", numeric.cosine(F.col("values"), q).alias("score")).where(F.col("score") >= floor)
+    found = vectors.select("id", numeric.cosine(F.col("values"), q).alias("score")).where(F.col("score") >= floor)
+    if words is None:
+        return found
+    return found.join(words.where(F.arrays_overlap("tokens", _literal(list(terms)))).select("id"), "id", "left_semi")
 
 
 def hashed_vectors(df: DataFrame, id_col: str, tokens: Column, dims: int = 384) -> DataFrame:

@@ -79,8 +79,26 @@ def projects(docs: DataFrame, generic: Sequence[str] = (), most: int = 1200) ->
     return picked.select("id", F.coalesce(chosen, F.concat(F.lit("@root:"), F.col("id").cast("string"))).alias("project"))
 
 
-def features(docs: DataFrame, generic: list[str] | None = None) -> DataFrame:
-    """(id, term, w): graph terms of title, aliases, tags, headings and folders; the greatest weight of a term counts."""
+def marker_features(assigned: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
+    """(id, term, w) of what is known of documents: contexts, topics, the parent theme, and priority words they hold.
+
+    ``assigned`` has id, contexts and topics (arrays), parent (null: none) and searchable, a normalized text.
+    """
+    listed = lambda c, head, w: F.transform(F.col(c), lambda x: F.struct(F.concat(F.lit(head), x).alias("term"), w(x).alias("w")))
+    found = F.filter(F.array(*[F.lit(p.lower()) for p in priority]).cast("array<string>"), lambda p: F.contains(F.col("searchable"), p))
+    parent = F.when(F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("term"), F.lit(2.4).alias("w")))).otherwise(F.array().cast("array<struct<term:string,w:double>>"))
+    rows = F.concat(
+        listed("contexts", "@context:", lambda x: F.lit(4.5)), listed("topics", "@topic:", lambda x: F.when(x == "product-management", 2.2).otherwise(5.2)), parent,
+        F.transform(found, lambda p: F.struct(F.concat(F.lit("@priority:"), p).alias("term"), F.lit(4.0).alias("w"))),
+    )
+    return assigned.select("id", F.inline(rows)).groupBy("id", "term").agg(F.max("w").alias("w"))
+
+
+def features(docs: DataFrame, generic: list[str] | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """(id, term, w): graph terms of title, aliases, tags, headings and folders; the greatest weight of a term counts.
+
+    ``markers`` are further rows, from :func:`marker_features`.
+    """
     kinds = dict(docs.dtypes)
     parts = []
     for name, w in FEATURE_WEIGHTS.items():
@@ -93,7 +111,9 @@ def features(docs: DataFrame, generic: list[str] | None = None) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.select("id", F.explode(text.graph_tokens(F.col("v"), generic)).alias("term"), "w").groupBy("id", "term").agg(F.max("w").alias("w"))
+    found = rows.select("id", F.explode(text.graph_tokens(F.col("v"), generic)).alias("term"), "w")
+    found = found if markers is None else found.unionByName(markers.select("id", "term", "w"))
+    return found.groupBy("id", "term").agg(F.max("w").alias("w"))
 
 
 def semantic_edges(feats: DataFrame, weight: float = SEMANTIC_WEIGHT, k: int = SEMANTIC_NEIGHBOURS, floor: float = SEMANTIC_FLOOR, faithful: bool = True) -> DataFrame:
@@ -304,6 +324,8 @@ def _own_checkpoint_dir(spark: SparkSession) -> None:
     import tempfile
 
     if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
 
 
@@ -339,6 +361,37 @@ def consolidate(edges: DataFrame, assigned: DataFrame, most: int = 12, least: in
     return assigned.join(placed.select("community", F.coalesce("final", "by_project", "tied", F.lit(-1)).alias("final")), "community", "left").select("node", F.coalesce("final", F.lit(-1)).cast("int").alias("community"))
 
 
+def consolidate_projects(edges: DataFrame, nodes: DataFrame, most: int = 12, least: int = 2, rounds: int = 4) -> DataFrame:
+    """(node, community): communities are the largest projects; other nodes join the one they are tied to most, or -1.
+
+    ``nodes`` has node, project (null: none) and weight. Projects of ``least`` nodes rank by weight, degree, size and
+    name. Topic groups (``@topic:pm-``) come first, then up to max(3, 34 %) knowledge groups (``@knowledge:``), then the
+    rest. A project that is not kept joins as a whole; then single nodes join, in ``rounds`` rounds and in parallel, not
+    one after the other.
+    """
+    grouped = nodes.where(F.col("project").isNotNull() & ~F.col("project").startswith("@root:"))
+    sized = grouped.join(degrees(edges), "node", "left").groupBy("project").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("eff"), F.sum(F.coalesce("degree", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("n"))
+    order = [F.desc("eff"), F.desc("score"), F.desc("n"), F.col("project")]
+    knowledge = F.col("project").startswith("@knowledge:")
+    kind = F.when(F.col("project").rlike(r"^@topic:pm-(?:skills(?::[^:]+)?|prompts)$"), 0).when(knowledge, 1).otherwise(2)
+    ranked = sized.where(F.col("n") >= least).withColumn("kind", kind)
+    reserve = max(3, round(most * 0.34))
+    ranked = ranked.withColumn("in_kind", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
+    turn = F.when(F.col("kind") == 0, 0).when((F.col("kind") == 1) & (F.col("in_kind") <= reserve), 1).otherwise(2)
+    kept = ranked.withColumn("turn", turn).orderBy("turn", *order).limit(most)
+    kept = kept.select("project", (F.row_number().over(Window.orderBy("turn", *order)) - 1).cast("int").alias("community"))  # at most `most` rows
+    both = both_ways(edges)
+    home = nodes.select("node", "project").join(F.broadcast(kept), "project", "left")
+    near = both.join(home.where("community is not null").select(F.col("node").alias("dst"), "community"), "dst")
+    heaviest = lambda df, key: df.groupBy(key, "community").agg(F.sum("w").alias("w")).groupBy(key).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("joined"))
+    whole = near.join(grouped.select(F.col("node").alias("src"), "project").join(ranked.select("project"), "project", "left_semi"), "src")
+    placed = home.join(heaviest(whole, "project"), "project", "left").select("node", F.coalesce("community", "joined").alias("community"))
+    for _ in range(rounds):
+        votes = both.join(placed.where("community is not null").select(F.col("node").alias("dst"), "community"), "dst")
+        placed = placed.join(heaviest(votes, "src").withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("community", "joined").alias("community"))
+    return placed.select("node", F.coalesce("community", F.lit(-1)).alias("community"))
+
+
 def representative_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, score): ``ln(1 + degree)``, raised by title terms, lowered for navigation and hidden notes.
 
@@ -382,6 +435,30 @@ def blend_colors(affinity: DataFrame, colors: DataFrame) -> DataFrame:
     return mixed.select("node", *[numeric.from_linear(F.col(c)).cast("int").alias(c) for c in "rgb"])
 
 
+def colorize(edges: DataFrame, affinity: DataFrame, colors: DataFrame, nodes: DataFrame, neutral: str = "#8B92A1", fade: float = 0.18) -> DataFrame:
+    """(node, color): a node's own colour if it has one, a hub's community colour, else its communities' mixed by
+    affinity and faded to neutral, more so at the rim, where affinity is unsure, and for copies.
+
+    ``nodes`` has node, color (null: none), hub (its community, null: not a hub) and display_weight.
+    """
+    from tessera.functions import numeric
+
+    fixed = [int(neutral[i : i + 2], 16) for i in (1, 3, 5)]
+    mixed = blend_colors(affinity, colors)
+    sure = affinity.groupBy("node").agg((F.max("a") / F.sum("a")).alias("sure"))
+    deg = degrees(edges)
+    top = deg.agg(F.greatest(F.lit(1.0), F.max("degree")).alias("top"))
+    own = colors.select(F.col("community").alias("hub"), *[F.col(c).alias(f"h{c}") for c in "rgb"])
+    rows = nodes.join(mixed, "node", "left").join(sure, "node", "left").join(deg, "node", "left").join(F.broadcast(own), "hub", "left").crossJoin(F.broadcast(top))
+    ratio = F.log1p(F.coalesce("degree", F.lit(0.0))) / F.log1p("top")
+    dim = numeric.clamp(fade * (1 - ratio) * (0.65 + 0.35 * (1 - F.col("sure"))) + (1 - numeric.clamp(F.coalesce("display_weight", F.lit(1.0)), 0, 1)) * 0.06, 0, 0.72)
+    part = lambda c, v: numeric.from_linear(numeric.to_linear(F.col(c)) * (1 - F.col("dim")) + numeric.to_linear(F.lit(v)) * F.col("dim"))
+    faded = numeric.hex_color(*[part(c, v) for c, v in zip("rgb", fixed)])
+    hub = numeric.hex_color(*[F.col(f"h{c}") for c in "rgb"])
+    chosen = F.coalesce(F.lower("color"), F.when(F.col("r").isNotNull(), F.coalesce(F.when(F.col("hub").isNotNull(), hub), faded)), F.lit(neutral.lower()))
+    return rows.withColumn("dim", dim).select("node", chosen.alias("color"))
+
+
 def legend(docs: DataFrame) -> DataFrame:
     """(theme, topic, size, percentage): a roll-up of (theme, topic); topic is null for a theme's total."""
     total = docs.groupBy().agg(F.count(F.lit(1)).alias("total"))

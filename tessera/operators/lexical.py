@@ -151,3 +151,30 @@ def snippet(content, terms: Sequence[str], most: int = 320):
     at = F.array_position(hits, F.array_max(hits)).cast("int")
     start = F.greatest(at - 1, F.lit(1))
     return F.substring(F.trim(F.regexp_replace(F.array_join(F.slice(lines, start, at - start + 4), " "), r"\s+", " ")), 1, most)
+
+
+def shortest_paths(links: DataFrame, seed: object, depth: int = 2) -> DataFrame:
+    """(id, distance, route): a shortest route from a seed in either direction, the least one where there are several."""
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    start = F.lit(seed).cast(dict(links.dtypes)["src"])
+    now = both.where(F.col("src") == start).select(F.col("dst").alias("id"), F.lit(1).alias("distance"), F.array(start, "dst").alias("route"))
+    found = now
+    for d in range(2, depth + 1):
+        step = now.join(both, F.col("id") == F.col("src")).where(F.col("dst") != start)
+        now = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("route", F.array("dst"))).alias("route")).select("id", F.lit(d).alias("distance"), "route")
+        now = now.join(found.select("id"), "id", "left_anti")
+        found = found.unionByName(now)
+    return found
+
+
+def related_notes(notes: DataFrame, links: DataFrame, seed: object, depth: int = 2, limit: int = 12) -> DataFrame:
+    """(id, path, title, distance, route, reasons) of notes near a seed: nearest first, then by path; at most 30.
+
+    ``notes`` has id, path, title and tags. Reasons name the distance, and up to three tags that both share.
+    """
+    own = notes.where(F.col("id") == F.lit(seed)).select(F.col("tags").alias("_own"))  # one row
+    near = notes.join(shortest_paths(links, seed, max(1, min(depth, 2))), "id").crossJoin(F.broadcast(own))
+    shared = F.filter("_own", lambda t: F.array_contains("tags", t))
+    told = F.when(F.size(shared) > 0, F.concat(F.lit("shared tags: "), F.array_join(F.slice(shared, 1, 3), ", ")))
+    reasons = F.array_compact(F.array(F.when(F.col("distance") == 1, "directly linked").otherwise("connected through one note"), told))
+    return near.select("id", "path", "title", "distance", "route", reasons.alias("reasons")).orderBy("distance", "path").limit(max(1, min(limit, 30)))

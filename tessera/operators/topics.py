@@ -123,3 +123,31 @@ def federated_stats(stats: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sources"), F.sum("records").alias("records"), F.sum("documents").alias("documents"), F.max("modified_at").alias("modified_at"),
         F.bool_or("truncated").alias("truncated"), F.max_by("status", rank).alias("status"),
     )
+
+
+def legend_order(themes: DataFrame, topics: DataFrame) -> DataFrame:
+    """(theme, topic, size, place): topics by the place of their theme (larger first, then label), then size and label.
+
+    ``themes`` has key, label and size, ``topics`` has key, parent, label and size; both are small.
+    """
+    rank = themes.select(F.col("key").alias("theme"), (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).alias("_rank"))
+    both = topics.join(F.broadcast(rank), F.col("parent") == F.col("theme"), "left").withColumn("_rank", F.coalesce("_rank", F.lit(0)))
+    place = F.row_number().over(Window.orderBy("_rank", F.desc("size"), "label"))
+    return both.select(F.col("parent").alias("theme"), F.col("key").alias("topic"), "size", place.alias("place"))
+
+
+def resolve_themes(asked: DataFrame, themes: DataFrame, topics: DataFrame) -> DataFrame:
+    """(id, theme): the theme that a value names, by its key, its label, either of them normalized, or the topic it names.
+
+    ``asked`` has id and value, ``themes`` key and label, ``topics`` key, label and theme; the two are broadcast, as a
+    manifest is small.
+    """
+    norm = lambda c: text.normalize(F.regexp_replace(c, r"[-_]+", " "))
+    steps = lambda *pairs: F.inline(F.array(*[F.struct(F.lit(k).alias("step"), c.alias("name")) for k, c in pairs]))
+    key, label = F.col("key"), F.col("label")
+    names = themes.select(key.alias("theme"), steps((0, key), (1, label), (2, norm(key)), (2, norm(label)))).unionByName(topics.select("theme", steps((3, norm(key)), (3, norm(label)))))
+    first = names.groupBy("step", "name").agg(F.min("theme").alias("theme"))
+    value = F.trim(F.col("value"))
+    tries = asked.select("id", steps((0, value), (1, value), (2, norm(value)), (3, norm(value))))
+    best = tries.join(F.broadcast(first), ["step", "name"]).groupBy("id").agg(F.min_by("theme", "step").alias("theme"))
+    return asked.select("id").join(best, "id", "left")

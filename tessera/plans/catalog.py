@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "notes", "graphs", "topics", "streams"]
+MODULES = ["retrieval", "notes", "graphs", "topics", "streams", "details"]
 
 
 def load() -> None:

@@ -123,6 +123,19 @@ def hub_choice(spark, sf_dir):
     return _hubs(edges(spark, sf_dir))
 
 
+@query("representative_hubs", f"""WITH {EDGES_SQL}, {_ASSIGN}, deg AS (SELECT node, sum(w) AS degree FROM (SELECT src AS node, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY 1),
+s AS (SELECT node, ln(1 + degree) * (1 + least(0.45, 0.045 * (node % 6 + 1))) * CASE WHEN node % 7 = 0 THEN 0.06 ELSE 1 END * CASE node % 3 WHEN 0 THEN 0.65 + 0.35 * 0.5 WHEN 1 THEN 1.0 ELSE 0.025 END AS score FROM deg)
+SELECT community, node AS hub, round(score, 6) AS score FROM assigned JOIN s USING (node) QUALIFY row_number() OVER (PARTITION BY community ORDER BY round(score, 9) DESC, node) = 1""")
+def representative_hubs(spark, sf_dir):
+    e, n = edges(spark, sf_dir), F.col("node")
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    title = F.array_join(F.slice(F.array(*map(F.lit, words)), F.lit(1), (n % 6 + 1).cast("int")), " ")
+    nodes = graph.degrees(e).select("node", title.alias("title"), (n % 7 == 0).alias("navigation"), F.when(n % 3 == 0, 0.5).when(n % 3 == 2, 0.1).alias("display_weight"))
+    scores = graph.representative_scores(e, nodes).withColumn("score", F.round("score", 9))
+    found = graph.hubs(_assigned(e), scores)
+    return found.join(scores.withColumnRenamed("node", "hub"), "hub").select("community", "hub", F.round("score", 6).alias("score"))
+
+
 def _propagation_sql(steps: int) -> str:
     out = [EDGES_SQL, _ASSIGN, _HUBS, "both_ways AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges)", "mean AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM both_ways)", "a0 AS (SELECT node, community, 1.0::DOUBLE AS a FROM assigned)"]
     for k in range(steps):
@@ -160,7 +173,15 @@ def louvain_communities(spark, sf_dir):
     return graph.communities(edges(spark, sf_dir))
 
 
-@query("label_propagation_communities")
+def _labels_sql(rounds: int) -> str:
+    out = [EDGES_SQL, "b AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges)", "l0 AS (SELECT DISTINCT src AS node, src AS community FROM b)"]
+    for k in range(rounds):
+        votes = f"SELECT b.src AS node, community, sum(w) AS v FROM b JOIN l{k} ON l{k}.node = b.dst GROUP BY 1, 2 UNION ALL SELECT node, community, 1e-9 FROM l{k}"
+        out.append(f"l{k + 1} AS (SELECT node, community FROM ({votes}) QUALIFY row_number() OVER (PARTITION BY node ORDER BY v DESC, community) = 1)")
+    return "WITH " + ", ".join(out) + f" SELECT node, community FROM l{rounds}"
+
+
+@query("label_propagation_communities", _labels_sql(4))
 def label_propagation_communities(spark, sf_dir):
     return graph.label_propagation(edges(spark, sf_dir), 4)
 

@@ -224,7 +224,10 @@ def asof_heading(spark, sf_dir):
     return markdown.active_heading(marks, o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("spot")))
 
 
-@query("topic_assignment")
+@query("topic_assignment", f"""WITH {RECORDS_SQL}, s AS (SELECT id, ' ' || regexp_replace(lower(title || ' ' || array_to_string(tags, ' ') || ' ' || content), '[^a-z0-9]', '  ', 'g') || ' ' AS s FROM records),
+m AS (SELECT * FROM (VALUES ('engineering', 'data', 'database'), ('engineering', 'data', 'index'), ('engineering', 'data', 'query'), ('engineering', 'software', 'code'), ('engineering', 'software', 'release'), ('engineering', 'software', 'test'), ('research', 'method', 'experiment'), ('research', 'method', 'method'), ('research', 'method', 'sample')) v(theme, topic, term)),
+n AS (SELECT id, theme, topic, len(regexp_extract_all(s, ' ' || term || ' ')) AS n FROM s, m), t AS (SELECT id, theme, topic, sum(1.35 * (1 + 0.35 * least(n - 1, 3))) AS score FROM n WHERE n > 0 GROUP BY 1, 2, 3 HAVING sum(1.35 * (1 + 0.35 * least(n - 1, 3))) >= 1)
+SELECT records.id, theme, topic FROM records LEFT JOIN (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, topic) = 1) b ON b.id = records.id""")
 def topic_assignment(spark, sf_dir):
     topics, _ = manifest.topics_table(spark, None)
     return manifest.assign_topics(records(spark, sf_dir), topics)

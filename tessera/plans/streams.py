@@ -30,6 +30,8 @@ def event_sessions(spark, sf_dir):
     return got.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("event_rate_windows")
+@query("event_rate_windows", """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
+w AS (SELECT user_id, min(s) AS start FROM e GROUP BY 1 UNION ALL SELECT w.user_id, min(e.s) FROM w JOIN e ON e.user_id = w.user_id AND e.s >= w.start + 3600 GROUP BY 1)
+SELECT w.user_id, to_timestamp(start) AT TIME ZONE 'UTC' AS start, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.s >= start AND e.s < start + 3600 GROUP BY 1, 2""")
 def event_rate_windows(spark, sf_dir):
-    return ingest.rate_windows(_events(spark, sf_dir), 3600, 2)
+    return ingest.rate_windows(_events(spark, sf_dir), 3600, 2).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,11 +62,15 @@ def last_seen(events: DataFrame, late: str, ts: str = "ts", key: str = "user_id"
 def rate_windows(requests: DataFrame, seconds: int = 60, most: int = 60, ts: str = "ts", key: str = "user_id") -> DataFrame:
     """(key, start, n, refused): counts per window that starts at a key's first request after the last window.
 
-    Windows depend on one another, so each key's times are folded in order; keys run in parallel and their times come
-    pre-sorted, in whole seconds with counts.
+    Windows depend on one another, so times are folded in order, in whole seconds with counts. After a pause of a
+    window's length a new window starts whatever came before, so a key's history is cut at such pauses and only what
+    lies between two of them is gathered.
     """
     second = requests.groupBy(key, F.unix_seconds(F.col(ts).cast("timestamp")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    steps = second.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("steps"))
+    order = Window.partitionBy(key).orderBy("s")
+    pause = F.coalesce(F.col("s") - F.lag("s").over(order) >= seconds, F.lit(False)).cast("int")
+    run = second.withColumn("_pause", pause).withColumn("_run", F.sum("_pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = run.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("steps"))
     kind = "array<struct<start:bigint,n:bigint>>"
 
     def fold(acc: Column, x: Column) -> Column:
