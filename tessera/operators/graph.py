@@ -230,7 +230,7 @@ def communities(edges: DataFrame, part: str | None = None, resolution: float = 1
     in_memory = lambda df: df.select(key, "src", "dst", "w").groupBy(key).applyInPandas(run, f"node {kind}, community int, part string")
     rest = grouped
     if large:
-        _own_checkpoint_dir(edges.sparkSession)
+        own_checkpoint_dir(edges.sparkSession)
         rest = grouped.join(sizes.where(F.col("count") <= LOUVAIN_EDGES).select(F.col(key).alias("_small")), F.col(key).eqNullSafe(F.col("_small")), "left_semi")
     out = in_memory(rest)
     for value in large:
@@ -310,7 +310,7 @@ def spread_level(edges: DataFrame, level: int = 0, resolution: float = 1.0, pass
 def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """(node, community) for graphs of any size: each node takes the heaviest label among its neighbours and itself."""
     spark = edges.sparkSession
-    _own_checkpoint_dir(spark)
+    own_checkpoint_dir(spark)
     both = both_ways(edges)
     label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
@@ -320,7 +320,7 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return label
 
 
-def _own_checkpoint_dir(spark: SparkSession) -> None:
+def own_checkpoint_dir(spark: SparkSession) -> None:
     import tempfile
 
     if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
@@ -386,7 +386,9 @@ def consolidate_projects(edges: DataFrame, nodes: DataFrame, most: int = 12, lea
     heaviest = lambda df, key: df.groupBy(key, "community").agg(F.sum("w").alias("w")).groupBy(key).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("joined"))
     whole = near.join(grouped.select(F.col("node").alias("src"), "project").join(ranked.select("project"), "project", "left_semi"), "src")
     placed = home.join(heaviest(whole, "project"), "project", "left").select("node", F.coalesce("community", "joined").alias("community"))
+    own_checkpoint_dir(edges.sparkSession)
     for _ in range(rounds):
+        placed = placed.checkpoint()  # each round reads the last one twice
         votes = both.join(placed.where("community is not null").select(F.col("node").alias("dst"), "community"), "dst")
         placed = placed.join(heaviest(votes, "src").withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("community", "joined").alias("community"))
     return placed.select("node", F.coalesce("community", F.lit(-1)).alias("community"))

@@ -250,3 +250,72 @@ def vector_checks(spark, sf_dir):
     summed = F.aggregate(numeric.unit(F.col("x")), F.lit(0.0), lambda a, y: a + y)
     share = F.element_at(numeric.shares(F.transform("x", lambda y: F.abs(y))), 1)
     return rows.select("vec_id", numeric.safe_vector(F.col("x"), 64, 1.5).alias("safe"), F.when(good, F.round(summed, 5)).alias("unit_sum"), F.when(good, F.round(share, 6)).alias("share"), F.when(good, numeric.clamp(F.element_at("x", 2), -0.1, 0.1)).alias("clamped"))
+
+
+_NOTE = "---\ntitle: 'Note {i}'\naliases: [n{i}, note-{m}]\ntags:\n  - kind/{m}\nstatus: draft # said\n---\nintro #inline{m} text\n# Top {i}\nsee [[Page {m}|label]] and [x](b/c{m}.md#h)\n```\n# no heading\n```\n## Sub {m} ##\nend"
+
+
+@query("parsed_notes", """WITH n AS (SELECT c_custkey AS i, c_custkey % 5 AS m FROM customer)
+SELECT i AS id, 'Note ' || i AS title, 'n' || i || ',note-' || m AS aliases, 'inline' || m || ',kind/' || m AS tags, 'Top ' || i || '@1:8|Sub ' || m || '@2:13' AS headings, 7 AS body_start, 'draft' AS status, 'Page ' || m || ',b/c' || m || '.md' AS links, FALSE AS parse_error FROM n""")
+def parsed_notes(spark, sf_dir):
+    from tessera.sources import markdown
+
+    i = F.col("c_custkey")
+    content = F.replace(F.replace(F.lit(_NOTE), F.lit("{i}"), i.cast("string")), F.lit("{m}"), (i % 5).cast("string"))
+    notes = table(spark, sf_dir, "customer").select(i.alias("id"), F.concat(F.lit("n/"), i.cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+    found = markdown.parse_notes(notes, compiled=True)
+    told = F.transform("headings", lambda h: F.concat(h["text"], F.lit("@"), h["level"].cast("string"), F.lit(":"), h["line"].cast("string")))
+    return found.select(
+        "id", "title", F.array_join("aliases", ",").alias("aliases"), F.array_join("tags", ",").alias("tags"), F.array_join(told, "|").alias("headings"), "body_start",
+        F.element_at("fields", "status")[0].alias("status"), F.array_join(markdown.links(F.col("content")), ",").alias("links"), "parse_error",
+    )
+
+
+@query("resolved_links", """WITH n AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/' ELSE '' END || 'S' || s_suppkey || '.md' AS path, CASE s_suppkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/' ELSE '' END AS folder FROM supplier),
+r AS (SELECT s_suppkey AS src, s_suppkey + 1 AS t, s_suppkey % 4 AS way FROM supplier)
+SELECT DISTINCT src, t AS dst FROM r JOIN n ON n.id = t JOIN n own ON own.id = src WHERE way IN (0, 1) OR (way = 2 AND own.folder = n.folder) OR (way = 3 AND (n.folder = 'a/' AND own.folder = '' OR n.folder = 'a/'))""")
+def resolved_links(spark, sf_dir):
+    i = F.col("s_suppkey")
+    folder = lambda k: F.when(k % 3 == 0, "a/").when(k % 3 == 1, "b/").otherwise("")
+    s = table(spark, sf_dir, "supplier").select(i)
+    notes = s.select(i.alias("id"), F.concat(folder(i), F.lit("S"), i.cast("string"), F.lit(".md")).alias("path"))
+    name = F.concat(F.lit("s"), (i + 1).cast("string"))
+    # by name, by name with extension, next to the note, and by a path from the root
+    target = F.when(i % 4 == 0, name).when(i % 4 == 1, F.concat(name, F.lit(".MD"))).when(i % 4 == 2, F.concat(F.lit("./"), F.when(folder(i) == folder(i + 1), name).otherwise("missing"))).otherwise(F.concat(F.lit("A/"), F.when((i + 1) % 3 == 0, name).otherwise("missing")))
+    return lexical.resolve_links(notes, s.select(i.alias("src"), target.alias("target")))
+
+
+@query("truncated_texts", r"""SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 50 THEN text ELSE regexp_replace(left(text, list_max(list_filter(range(0, 51), lambda k: octet_length(encode(left(text, k))) <= 50))), '\s+$', '') END AS text FROM documents""")
+def truncated_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate_bytes(F.col("text"), 50).alias("text"))
+
+
+@query("reweighted_edges", f"WITH {EDGES_SQL} SELECT src, dst, w * CASE WHEN src % 2 = 0 THEN 0.5 ELSE 0 END AS w FROM edges WHERE src % 2 = 0")
+def reweighted_edges(spark, sf_dir):
+    return graph.reweight(edges(spark, sf_dir), F.col("w") * F.when(F.col("src") % 2 == 0, 0.5).otherwise(0.0))
+
+
+@query("rolled_postings", "SELECT l_orderkey AS id, l_shipdate::DATE::VARCHAR AS term, CAST(sum(CAST(l_quantity AS INTEGER)) AS INTEGER) AS tf FROM lineitem GROUP BY 1, 2")
+def rolled_postings(spark, sf_dir):
+    from tessera.operators import postings
+
+    li = table(spark, sf_dir, "lineitem")
+    return postings.roll_up(li.select(F.col("l_orderkey").alias("id"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd").alias("term"), F.col("l_quantity").cast("int").alias("tf")), "id")
+
+
+@query("generation_faults", """WITH c AS (SELECT c_custkey AS k, c_custkey % 9 = 0 AS dead, c_custkey % 10 > 0 AS doc FROM customer)
+SELECT * FROM (SELECT 'duplicate ordinal' AS "check", count(*) AS n FROM (SELECT k // 2 FROM c WHERE k < 4 GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'active entry without document', count(*) FILTER (WHERE NOT dead AND NOT doc AND k >= 4) FROM c UNION ALL SELECT 'document without active entry', count(*) FILTER (WHERE dead AND doc AND k >= 4) FROM c
+UNION ALL SELECT 'content differs', count(*) FILTER (WHERE NOT dead AND doc AND k >= 4 AND k % 7 = 0) FROM c UNION ALL SELECT 'chunk without document', count(*) FROM orders JOIN c ON k = o_custkey WHERE NOT doc AND k >= 4
+UNION ALL SELECT 'temporal differs', count(*) FILTER (WHERE NOT doc AND k >= 4) FROM c UNION ALL SELECT 'posting without document', count(*) FILTER (WHERE NOT doc AND k >= 4 AND k % 4 = 0) FROM c) WHERE n > 0""")
+def generation_faults(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k)
+    late = c.where(k >= 4)
+    twice = c.where(k < 4).select(F.floor(k / 2).alias("ordinal"), k.alias("path"))
+    entries = late.select(k.alias("ordinal"), k.alias("path")).unionByName(twice)
+    cat = entries.select("ordinal", F.col("path").cast("string").alias("path"), F.lit("h").alias("content_sha256"), F.when((F.col("path") % 9 == 0) | (F.col("path") < 4), F.current_timestamp()).alias("tombstone_at"), F.lit(None).cast("string").alias("duplicate_of"), F.lit("default").alias("retrieval_scope"))
+    docs = late.where(k % 10 > 0).select(k.alias("ordinal"), F.when(k % 7 == 0, "other").otherwise("h").alias("content_sha256"))
+    o = table(spark, sf_dir, "orders").where("o_custkey >= 4")
+    tables = {"catalog": cat, "documents": docs, "chunks": o.select(F.col("o_custkey").alias("ordinal")), "temporal": late.select(k.alias("ordinal")), "hierarchy": docs.select("ordinal"), "postings": late.where(k % 4 == 0).select(k.alias("id"))}
+    return catalog.faults(tables)

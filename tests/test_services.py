@@ -288,3 +288,27 @@ def test_overview_and_faults_of_counts(spark):
     got = {(r["kind"], r["value"]): r["n"] for r in catalog.overview(rows).collect()}
     assert got == {("notes", "discovered"): 3, ("notes", "indexed"): 2, ("notes", "excluded"): 1, ("notes", "duplicate"): 1, ("notes", "chunks"): 4, ("corpus", "core"): 2, ("scope", "default"): 2, ("excluded", "generated type"): 1}
     assert catalog.overview(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("by_project", [True, False])
+def test_analysis_from_documents_to_legend(spark, by_project):
+    from tessera.operators import analysis
+
+    table, _ = manifest.topics_table(spark, None)
+    body = {"d": "database index query storage", "s": "code release test pipeline", "m": "experiment method sample result"}
+    rows = [(f"{g}{i}", f"area-{g}/n{i}.md", f"{g} note {i}", [], [g], [f"About {g}"], f"{t} entry {i} of the {t} series", False, None) for g, t in body.items() for i in range(5)]
+    rows += [("x1", "tmp/gone.md", "Gone", [], [], [], "text", False, None), ("x2", "area-d/copy.md", "Copy", [], [], [], rows[0][6], False, None), ("x3", "area-d/out.md", "Out", [], [], [], "y", True, "by hand")]
+    docs = spark.createDataFrame(rows, "id string, path string, title string, aliases array<string>, tags array<string>, headings array<string>, content string, graph_exclude boolean, graph_exclude_reason string")
+    links = spark.createDataFrame([(f"{g}{i}", f"{g}{(i + 1) % 5}") for g in body for i in range(5)] + [("d0", "x1")], "src string, dst string")
+    got = analysis.analyse(docs, links, table, most=5, priority=["storage"], by_project=by_project)
+    reasons = {r["id"]: r["reason"] for r in got.documents.collect()}
+    # of two equal documents the one with the lesser id stays
+    assert reasons["x1"] and reasons["x2"].startswith("duplicate of") and reasons["x3"] == "by hand" and reasons["d1"] is None
+    home = {r["node"]: r["community"] for r in got.communities.collect()}
+    assert set(home) == {f"{g}{i}" for g in body for i in range(5)}
+    assert all(len({home[f"{g}{i}"] for i in range(5)}) == 1 for g in body) and len(set(home.values())) == 3
+    hubs = {r["community"]: r["hub"] for r in got.hubs.collect()}
+    assert all(home[h] == c for c, h in hubs.items()) and len(hubs) == 3
+    assert {r["node"] for r in got.colors.where("color rlike '^#[0-9a-f]{6}$'").collect()} == set(home)
+    assert sorted(r["size"] for r in got.legend.where("topic is null").collect()) == [5, 10]
+    assert got.labels.count() == 3 and got.recommended.count() >= 1 and sum(r["size"] for r in got.clusters.collect()) == 15
