@@ -39,8 +39,10 @@ def close_pairs(df: DataFrame, id_col: str, tokens: Column, at_least: float = 0.
     once, as (least id of the set, other id), and as class pairs.
     """
     sets = df.select(F.col(id_col).alias("id"), F.sort_array(F.transform(text.shingles(tokens, width), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
-    classes = sets.groupBy("s").agg(F.min("id").alias("id"))
-    copies = sets.join(classes.withColumnRenamed("id", "first"), "s").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    # one shuffle of the sets, which all that follows reads
+    seen = sets.select("id", "s", F.min("id").over(Window.partitionBy(F.xxhash64("s"), "s")).alias("first"))
+    classes = seen.where("id = first").select("id", "s")
+    copies = seen.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     n = F.size("s")
     front = classes.select("id", n.alias("n"), "s", F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(F.lit(at_least) * n) + 1).cast("int"))).alias("pos", "h"))
     # sizes of close sets lie in neighbouring bands, so a frequent hash is shared by a band's records at most
