@@ -25,14 +25,19 @@ def _digits(c: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(c), 1, n), 16, 10).cast("long")
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of ``key``: 0 to ``len(weights) - 1``; the lower number wins a tie."""
+def best_shard(key: Column, weights: Sequence[float], first: int = 0) -> Column:
+    """STRUCT<s, k>: the best score of ``key`` among shards ``first`` and on, and minus its shard; the lower number wins a tie."""
     if not weights or any(not w > 0 for w in weights):
         raise ValueError("weights must be positive")
     text = F.coalesce(key.cast("string"), F.lit("null"))
     u = lambda k: (_digits(F.concat_ws(":", text, F.lit(str(k))), 13) + F.lit(0.5)) / F.lit(_SPAN)
-    scores = [F.struct((F.lit(-float(w)) / F.log(u(k))).alias("s"), F.lit(-k).alias("k")) for k, w in enumerate(weights)]
-    return (-F.greatest(*scores)["k"] if len(scores) > 1 else F.lit(0)).cast("int")
+    scores = [F.struct((F.lit(-float(w)) / F.log(u(k))).alias("s"), F.lit(-k).alias("k")) for k, w in enumerate(weights, first)]
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard of ``key``: 0 to ``len(weights) - 1``."""
+    return (-best_shard(key, weights)["k"]).cast("int")
 
 
 def with_slots(df: DataFrame, shard: str, bucket: Column, order: Sequence[Column], slot: str) -> DataFrame:
@@ -57,15 +62,19 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[f
     The text never moves: only its size and checksum go through the shuffle.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    joins = len(grown) > len(weights) and list(grown[: len(weights)]) == list(weights)
     raw = F.coalesce(F.encode(text, "utf-8"), F.lit("").cast("binary"))
     rows = docs.select(
         key.alias("doc_id"),
         (F.octet_length(raw) + 16).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, grown).alias("grown_shard"),
+        best_shard(key, weights).alias("_best"),
+        # shards that only join need no second look at the others
+        (best_shard(key, grown[len(weights) :], len(weights)) if joins else best_shard(key, grown)).alias("_grown"),
     )
+    grown_shard = F.when(F.col("_grown.s") > F.col("_best.s"), -F.col("_grown.k")).otherwise(-F.col("_best.k")) if joins else -F.col("_grown.k")
+    rows = rows.select("doc_id", "size", "text_crc32", "law", (-F.col("_best.k")).cast("int").alias("shard"), grown_shard.cast("int").alias("grown_shard"))
     salt = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string"))
     bucket = F.pmod(_digits(salt, 8), F.lit(SLOT_BUCKETS)).cast("int")
     placed = with_slots(rows, "shard", bucket, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
