@@ -65,6 +65,21 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _MADE.pop())
 
 
+#: Plan nodes under which the rows of a source keep their order and partitions.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range"}
+
+
+def stored(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` if every read of it numbers its rows alike (a plain read of stored data), else a stored copy."""
+
+    def steady(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() in _STEADY and all(steady(children.apply(i)) for i in range(children.size()))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if plan.deterministic() and steady(plan) else scratch.save(df, "input")
+
+
 def trim() -> None:
     """Gives memory that this worker no longer uses back to the system."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,8 @@ pairs within a component cannot change it.
 Defined cases: fewer words than a shingle has make the whole sequence the only element; a null or empty text, or one
 of white space, has an empty set, size 0, and links with nothing; a null doc_id takes part, and a component's id is
 its least doc_id that is not null; repeated rows are rows of their own; an empty table gives an empty table. Other
-columns are ignored. The source must be stored data, since its rows are numbered as they are read.
+columns are ignored. Rows are numbered as they are read, so input that is not a plain read of stored data is stored
+first; :func:`keep_one` must be given the same stored data.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, lean, mix, per_row, slices, split_by_part, squeeze, text_column, text_parts, with_row
+from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, lean, mix, per_row, pick, slices, split_by_part, squeeze, stored, text_column, text_parts, with_row
 from tessera.llm.components import components
 
 RARE = 8
@@ -398,7 +399,9 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratc
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, row, n_shingles, component_id (least doc_id of its component) and kept (one row of each)."""
     spark = docs.sparkSession
-    scratch, n = Scratch(spark, "jaccard"), text_parts(docs, text_col, PART_BYTES)
+    scratch = Scratch(spark, "jaccard")
+    docs = stored(pick(docs, id_col, text_col), scratch)
+    n = text_parts(docs, text_col, PART_BYTES)
     rows = with_row(docs, id_col, text_col)
     frequent = frequent_cells(rows, scratch, words, n)
     signed = scratch.save(rows.mapInArrow(lean(_sign(words, percent, n, frequent)), _SIGNED), "signed")

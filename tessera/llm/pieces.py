@@ -23,7 +23,8 @@ that groups the edges, with equal results. Characters without a piece become the
 
 Defined cases: null and empty texts have no words and no ids; a null doc_id is kept; repeated rows are rows of their
 own; an empty table gives an empty table. Other columns are ignored. Blocks are told by the number of their first row,
-as it is read, so the source must be stored data; a block whose words are not those it asked for raises an error.
+as it is read, so input that is not a plain read of stored data is stored first; a block whose words are not those it
+asked for raises an error.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_codes, expand, mix, split_by_part, squeeze, text_parts, trim
+from tessera.llm.common import Scratch, byte_codes, expand, mix, pick, split_by_part, squeeze, stored, text_parts, trim
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
@@ -621,6 +622,7 @@ def _answer(vocabulary: Vocabulary, digest: bool):
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    docs = stored(pick(docs, id_col, text_col), Scratch(docs.sparkSession, "pieces"))
     n = text_parts(docs, text_col, PART_BYTES)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
     splitter, sizes = Splitter(vocabulary), (BLOCK_CHARS, CHUNK_CHARS)

@@ -8,7 +8,7 @@ as many unlabelled ones, chosen by a hash of doc_id; the risk is a mean over row
 with an error that depends on the sample's size alone, not on the corpus. Every document is scored over its whole text.
 
 Defined cases: a null text counts as empty, and an empty text gets the score of no evidence (the calibrated bias);
-labels that are null or given for absent documents are ignored; repeated or contradicting labels all count; with no
+labels that are null or given for absent documents are ignored; a repeated label counts once, contradicting ones both; with no
 labels of a class in the training folds every score is the prior (0.5 without any labels); rows whose doc_id is null
 are scored and held out (no checksum); an empty table gives an empty table. Other columns are ignored.
 """
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     training folds, its label unseen).
     """
     key = F.col(f"`{id_col}`").cast("long")
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & ~held_out(F.col("_id")))
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     totals = {r["_q"]: r["count"] for r in known.groupBy("_q").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:

@@ -24,8 +24,8 @@ so on for up to ``LEVELS`` orders, one after the other. Equal windows stay toget
 Tasks are sized by the bytes of text: about ``PART_BYTES`` each.
 
 Defined cases: a null or empty text has 0 bytes; a null doc_id counts as smaller than all others; rows with equal
-doc_ids are ordered as they are stored, so the source must be stored data; an empty table gives an empty table.
-Other columns are ignored unless named in ``carry`` (as strings).
+doc_ids are ordered as they are stored (input that is not a plain read of stored data is stored first); an empty table
+gives an empty table. Other columns are ignored unless named in ``carry`` (as strings).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ODD as _ODD
 from tessera.llm.common import ODD2 as _ODD2
-from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, lean, mix, slices, split_by_part, squeeze, text_column, text_parts
+from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, lean, mix, pick, slices, split_by_part, squeeze, stored, text_column, text_parts
 
 GRAM = 32
 STEP = 5
@@ -523,7 +523,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     """
     if width % STEP or width < 2 * GRAM:
         raise ValueError(f"width must be a multiple of {STEP} and at least {2 * GRAM}")
-    scratch, n = Scratch(docs.sparkSession, "suffixes"), text_parts(docs, text_col, PART_BYTES)
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    docs = stored(pick(docs, *dict.fromkeys([id_col, text_col, *carry])), scratch)
+    n = text_parts(docs, text_col, PART_BYTES)
     ids = _ids(docs, id_col, text_col)
     by_doc = lambda df: df.groupBy("dpart")
     runs, repeated, pieces = _run_blocks(ids, n, width), [], []

@@ -12,8 +12,8 @@ Equal vectors of a label are one node with a count, so copies make no pairs. Cel
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label,
 link with nothing and are their own components; so are vectors of different lengths to each other; a null vec_id takes
 part, and a component's id is its least vec_id that is not null; repeated rows are rows of their own; an empty table
-gives an empty table. Other columns are ignored. The source must be stored data, since its rows are numbered as they
-are read.
+gives an empty table. Other columns are ignored. Rows are numbered as they are read, so input that is not a plain read
+of stored data is stored first.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ODD, Scratch, mix
+from tessera.llm.common import ODD, Scratch, mix, pick, stored
 from tessera.llm.components import components
 from tessera.llm.vectors import matrix, numbered
 
@@ -141,7 +141,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         raise ValueError("threshold must lie in (0, 1]")
     spark = df.sparkSession
     scratch = Scratch(spark, "vectors")
-    own = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("vector"), F.col(f"`{label_col}`").alias("label"))
+    own = stored(pick(df, id_col, vec_col, label_col), scratch).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("vector"), F.col(f"`{label_col}`").alias("label"))
     rows = numbered(own, "id", "vector", "label")
     linked = F.col("v").isNotNull() & F.col("label").isNotNull()
     digest = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
