@@ -1,8 +1,9 @@
 """Quality scores by positive-unlabelled learning.
 
 A linear model over character-shape pairs is fitted by stochastic descent on the non-negative unbiased risk (Kiryo et
-al., 2017): trusted positives, a sample of unlabelled web text, and a class prior estimated from the labelled rows of
-the training folds. A one-dimensional logistic curve then turns the model's margin into a probability, fitted on
+al., 2017): trusted positives, a sample of unlabelled web text, and a class prior. The prior starts as the share of
+positives among the labelled rows of the training folds and is then estimated from the unlabelled rows' margins; if it
+moved by more than ``MOVED``, the model is fitted again with it. A one-dimensional logistic curve then turns the model's margin into a probability, fitted on
 labelled training rows. The fit uses about ``FIT_ROWS`` labelled rows of each class at most, and ``UNLABELLED`` times
 as many unlabelled ones, chosen by a hash of doc_id; the risk is a mean over rows, so a uniform sample estimates it
 with an error that depends on the sample's size alone, not on the corpus. Every document is scored over its whole text.
@@ -31,8 +32,9 @@ FIT_ROWS = 4_000
 UNLABELLED = 4
 FOLDS = 5
 THRESHOLD = 0.3
+MOVED = 0.02
 _CLASSES = 38
-_EXTRA = 16
+_EXTRA = 9
 #: Frequencies in texts of about so many bytes count half: a short text says little.
 _DAMP = 40
 #: Odd multipliers by place in a word.
@@ -93,9 +95,7 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
         letters = np.count_nonzero(c <= 8)
         x[3] = np.count_nonzero(c == 8) / (letters + 1)
         x[4] = np.count_nonzero(c >= 15) / n
-        x[5] = n < 40
-        x[6] = n < 120
-        x[7] = 1
+        x[5] = 1
         gap = np.flatnonzero((c == 10) | (c == 11))
         begin = np.concatenate([[0], gap + 1])
         stop = np.concatenate([gap, [n]])
@@ -107,15 +107,10 @@ def featurize(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
             value = (raw.astype(np.uint64) + np.uint64(1)) * _PLACE[np.minimum(at, 63)]
             value[gap] = 0
             word = np.add.reduceat(value, begin)
-            x[8] = np.count_nonzero(word[1:] == word[:-1]) / len(word)
+            x[6] = np.count_nonzero(word[1:] == word[:-1]) / len(word)
             seen = np.sort(word)
-            x[9] = (1 + np.count_nonzero(seen[1:] != seen[:-1])) / len(word)
-            x[10] = x[8] > 0.05
-            x[11] = x[8] > 0.3
-            x[12] = x[1] < 0.25
-            x[13] = x[1] < 0.6
-            x[14] = x[1] < 0.9
-            x[15] = x[9] * np.log1p(len(word)) / 5
+            x[7] = (1 + np.count_nonzero(seen[1:] != seen[:-1])) / len(word)
+            x[8] = x[7] * np.log1p(len(word)) / 5
     return out
 
 
@@ -192,6 +187,24 @@ def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(a), float(c)
 
 
+def estimate_prior(positive: np.ndarray, negative: np.ndarray, free: np.ndarray, start: float, rounds: int = 200) -> float:
+    """The share of positives among unlabelled rows, from margins (Saerens et al., 2002).
+
+    Labels need not be a fair sample of both classes, only of each: the classes' likelihood ratio at a margin comes
+    from a curve fitted with equal weights, and expectation maximisation finds the share that explains the margins.
+    """
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
+    weight = np.concatenate([np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / len(negative))]) * len(y)
+    a, c = calibrate(np.concatenate([positive, negative]), y, weight)
+    ratio, share = np.exp(np.clip(a * free + c, -30, 30)), start
+    for _ in range(rounds):
+        before, share = share, float((share * ratio / (share * ratio + 1 - share)).mean())
+        share = min(0.98, max(0.02, share))
+        if abs(share - before) < 1e-6:
+            break
+    return share
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is never learned from: the checksum of its id as text falls into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
@@ -235,8 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = {k: every[kind == k] for k in (0, 1, 2)}
     if not all(map(len, x.values())):
         return float(n_pos / (n_pos + n_neg))
-    prior = min(0.98, max(0.02, n_pos / (n_pos + n_neg)))
-    w, b = fit_pu(x[1], x[2], prior)
+    share = min(0.98, max(0.02, n_pos / (n_pos + n_neg)))
+    w, b = fit_pu(x[1], x[2], share)
+    prior = estimate_prior(margins(x[1], w, b), margins(x[0], w, b), margins(x[2], w, b), share)
+    if abs(prior - share) > MOVED:
+        w, b = fit_pu(x[1], x[2], prior)
     m1, m0 = margins(x[1], w, b), margins(x[0], w, b)
     shares = np.concatenate([np.full(len(m1), prior / len(m1)), np.full(len(m0), (1 - prior) / len(m0))]) * (len(m1) + len(m0))
     a, c = calibrate(np.concatenate([m1, m0]), np.concatenate([np.ones(len(m1)), np.zeros(len(m0))]), shares)

@@ -128,6 +128,14 @@ def test_pu_step_is_the_gradient_of_the_risk(shift):
     assert np.allclose(quality.pu_step(p, u, w, b, prior, decay), want, atol=1e-6)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.35, 0.8])
+def test_prior_from_unlabelled_margins(share):
+    rng = np.random.default_rng(3)
+    free = np.where(rng.random(20_000) < share, rng.normal(1.5, 1, 20_000), rng.normal(-1.5, 1, 20_000))
+    got = quality.estimate_prior(rng.normal(1.5, 1, 3000), rng.normal(-1.5, 1, 500), free, 3000 / 3500)
+    assert abs(got - share) < 0.03
+
+
 def test_quality_without_a_class(spark):
     rows, labels = corpus(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
