@@ -191,9 +191,11 @@ def federate(results: Mapping[str, DataFrame | Exception], limit: int = 8) -> tu
         union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
     if union is None:
         return None, failed
-    has = lambda c, default: F.coalesce(F.col(c), default) if c in union.columns else default
-    graph = has("graph_score", F.lit(0.0))
-    order = [F.desc(F.col("score") * (1 + 0.12 * graph)), F.desc(has("confidence", F.lit(0))), F.desc("score"), F.desc(graph), F.col("source_id"), F.col("path"), has("span_id", F.lit("")), F.col("id")]
+    told = set(union.columns)
+    graph = F.coalesce(F.col("graph_score"), F.lit(0.0)) if "graph_score" in told else F.lit(0.0)
+    order = [F.desc(F.col("score") * (1 + 0.12 * graph)), *[F.desc_nulls_last(c) for c in ("confidence",) if c in told], F.desc("score")]
+    order += [F.desc(graph)] if "graph_score" in told else []
+    order += [F.col(c) for c in ("source_id", "path", "span_id", "id") if c in told]
     return union.orderBy(*order).limit(limit), failed
 
 
