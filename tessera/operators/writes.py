@@ -224,3 +224,19 @@ class Writer:
             raise RuntimeError("the document changed since the commit")
         self._put(receipt["path"], receipt["before"])
         self.ledger.append({"kind": "rollback", "proposal": receipt["proposal"], "path": receipt["path"]})
+
+
+@dataclass
+class HostWriter(Writer):
+    """Commits through a host application instead of a folder: ``host`` has read(path), write(path, text) and delete(path)."""
+
+    host: object = None
+
+    def read(self, path: str) -> str | None:
+        return self.host.read(path)
+
+    def _put(self, path: str, text: str | None) -> None:
+        if text is None:
+            self.host.delete(path)
+        else:
+            self.host.write(path, text)

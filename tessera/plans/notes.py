@@ -173,13 +173,14 @@ def cdc_changes(spark, sf_dir):
     return dedup.changes(old, new)
 
 
-@query("stable_ordinals", """WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id * 2 AS ordinal FROM documents WHERE doc_id % 3 = 0),
-n AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 3 = 1)
-SELECT path, (SELECT max(ordinal) FROM p) + row_number() OVER (ORDER BY path) AS ordinal FROM n UNION ALL SELECT path, ordinal FROM p WHERE CAST(path AS BIGINT) % 2 = 0""")
+@query("stable_ordinals", """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 3 AS m, doc_id * 2 AS ordinal FROM documents),
+top AS (SELECT max(CASE m WHEN 0 THEN ordinal WHEN 1 THEN ordinal + 1 END) AS top FROM d)
+SELECT path, top + row_number() OVER (ORDER BY path) AS ordinal FROM d, top WHERE m > 0 UNION ALL SELECT path, ordinal FROM d WHERE m = 0""")
 def stable_ordinals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
-    old = d.where("doc_id % 3 = 0").select("path", (F.col("doc_id") * 2).alias("ordinal"))
-    return dedup.stable_ordinals(d.where("doc_id % 3 = 1 or (doc_id % 3 = 0 and doc_id % 2 = 0)").select("path"), old)
+    # all documents are there now; before, there were some of them, and some notes that are gone
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 3).alias("m"), (F.col("doc_id") * 2).alias("ordinal"))
+    gone = d.where("m = 1").select(F.concat(F.lit("gone/"), "path").alias("path"), (F.col("ordinal") + 1).alias("ordinal"))
+    return dedup.stable_ordinals(d.select("path"), d.where("m = 0").select("path", "ordinal").unionByName(gone))
 
 
 @query("hash_chain_verify", """WITH c AS (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS own, CASE WHEN o_orderkey % 50 = 0 THEN 'broken' ELSE coalesce(lag(md5(CAST(o_orderkey AS VARCHAR))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '') END AS previous, o_custkey FROM orders)

@@ -335,3 +335,14 @@ def active_heading(marks: DataFrame, spots: DataFrame) -> DataFrame:
     open_ones = F.filter(there, lambda x: ~F.exists(there, lambda y: (y["level"] < x["level"]) & (y["line"] > x["line"])))
     path = F.when(F.col("id").isNotNull() & (F.size(open_ones) > 0), F.array_join(F.transform(open_ones, lambda x: x["text"]), " › "))
     return found.select("id", F.col("at").alias("spot"), path.alias("path"))
+
+
+def graph_documents(notes: DataFrame) -> DataFrame:
+    """Documents for the graph analysis from notes (path, content): parsed, with what their frontmatter says of the graph."""
+    first = lambda key: F.get(F.element_at("fields", key), F.lit(0))
+    parsed = parse_notes(notes)
+    return parsed.select(
+        F.col("path").alias("id"), "path", "title", "aliases", "tags", F.transform("headings", lambda h: h["text"]).alias("headings"), "content",
+        F.coalesce(F.lower(F.trim(first("graph_exclude"))).isin("true", "yes", "on", "1"), F.lit(False)).alias("graph_exclude"), first("graph_exclude_reason").alias("graph_exclude_reason"),
+        first("graph_primary_topic").alias("primary"), first("graph_primary_theme").alias("theme"), F.element_at("fields", "graph_secondary_topics").alias("others"),
+    )

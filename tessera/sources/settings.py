@@ -141,3 +141,12 @@ def audited_text(name: str, raw: bytes) -> str:
     if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", text):
         raise ValueError(f"{name} has control characters")
     return text
+
+
+def checked_counts(value: object, names: Sequence[str]) -> dict[str, int]:
+    """Saved counts by name: all there, no others, whole numbers that are not negative."""
+    if not isinstance(value, Mapping) or set(value) != set(names):
+        raise ValueError("the counts are not those expected")
+    if any(isinstance(v, bool) or not isinstance(v, int) or v < 0 for v in value.values()):
+        raise ValueError("a count is no whole number")
+    return {n: value[n] for n in names}

@@ -312,3 +312,35 @@ def test_analysis_from_documents_to_legend(spark, by_project):
     assert {r["node"] for r in got.colors.where("color rlike '^#[0-9a-f]{6}$'").collect()} == set(home)
     assert sorted(r["size"] for r in got.legend.where("topic is null").collect()) == [5, 10]
     assert got.labels.count() == 3 and got.recommended.count() >= 1 and sum(r["size"] for r in got.clusters.collect()) == 15
+
+
+def test_graph_documents_from_notes(spark):
+    from tessera.sources import markdown
+
+    text = "---\ntitle: T\ngraph_exclude: true\ngraph_exclude_reason: by hand\ngraph_primary_topic: Data\ngraph_secondary_topics: [a, b]\n---\n# Head\nbody"
+    rows = {r["id"]: r for r in markdown.graph_documents(spark.createDataFrame([("a/x.md", text), ("y.md", None)], "path string, content string")).collect()}
+    x, y = rows["a/x.md"], rows["y.md"]
+    assert (x["title"], x["headings"], x["graph_exclude"], x["graph_exclude_reason"], x["primary"], x["others"]) == ("T", ["Head"], True, "by hand", "Data", ["a", "b"])
+    assert y["title"] == "y" and not y["graph_exclude"] and y["primary"] is None
+
+
+def test_host_writer_and_counts():
+    class Host(dict):
+        read = dict.get
+
+        def write(self, path, text):
+            self[path] = text
+
+        delete = dict.pop
+
+    host = Host({"a.md": "old\n"})
+    w = writes.HostWriter(None, writes.Approvals(b"k"), host=host)
+    p = writes.propose("a.md", "old\n", None, "gone", 0.0)
+    receipt = w.commit(p, w.approvals.grant(p, 0.0), now=1.0)
+    assert "a.md" not in host
+    w.rollback(receipt)
+    assert host["a.md"] == "old\n"
+    assert settings.checked_counts({"a": 1, "b": 0}, ["a", "b"]) == {"a": 1, "b": 0}
+    for bad in ({"a": 1}, {"a": -1, "b": 0}, {"a": True, "b": 0}, [1]):
+        with pytest.raises(ValueError):
+            settings.checked_counts(bad, ["a", "b"])
