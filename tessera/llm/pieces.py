@@ -50,7 +50,7 @@ LONG_WORD = 128
 #: Characters that a block of texts, and a part of it that is split at a time, holds about.
 BLOCK_CHARS = 1 << 23
 CHUNK_CHARS = 1 << 19
-#: Questions for one word, and answers to blocks, that are held at a time.
+#: Questions for one word that are held in one row.
 ASKED = 1 << 16
 #: Bytes of text whose words' questions are answered together, and how many such parts a task has.
 PART_BYTES, TASK_PARTS = 4 << 20, 4
@@ -526,47 +526,6 @@ def _asks(rows: pa.Table) -> pa.Table:
     return pa.table([word.dictionary.take(pa.array(code[cut])).cast(pa.string()), *lists], names=["word", "blocks", "places"])
 
 
-_TOLD = "block long, places binary, sizes binary, ids binary"
-
-
-def _told(vocabulary: Vocabulary):
-    """What each block asked for: places (as steps), how many ids the word at each has, and these."""
-    kind = "<u2" if max([*vocabulary.ids, (vocabulary.byte_base or 0) + 255]) < 1 << 16 else "<u4"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, waiting = [], 0
-        for batch in batches:
-            some.append(batch)
-            waiting += len(batch.column(0).flatten())
-            if waiting >= ASKED:
-                yield pack(some)
-                some, waiting = [], 0
-        if waiting:
-            yield pack(some)
-        trim()
-
-    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        blocks, places, ids = (pa.concat_arrays([b.column(c) for b in batches]) for c in range(3))
-        asks = blocks.value_lengths().to_numpy(zero_copy_only=False)
-        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        word = np.repeat(np.arange(len(asks)), asks)
-        block, place = (x.flatten().to_numpy(zero_copy_only=False) for x in (blocks, places))
-        order = np.lexsort((place, block))
-        block, place, word = block[order], place[order], word[order]
-        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        step = np.diff(place, prepend=0)
-        step[cut] = place[cut]
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
-        start, own = np.cumsum(size) - size, size[word]
-        reach = np.cumsum(own)
-        told = flat[np.repeat(start[word] - (reach - own), own) + np.arange(int(own.sum()))]
-        stop = np.append(cut, len(block))
-        column = lambda x, at: pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(block[cut]), column(step.astype("<u4"), stop), column(own.astype("<u4"), stop), column(told, np.append(0, reach)[stop])], names=["block", "places", "sizes", "ids"])
-
-    return run
-
-
 _DIGESTS = "doc_id long, row long, n_words long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean"
 _SEQUENCES = "doc_id long, row long, ids array<int>"
 
@@ -574,14 +533,14 @@ _SEQUENCES = "doc_id long, row long, ids array<int>"
 def _answer(vocabulary: Vocabulary, digest: bool):
     """Per block: its texts' ids, from the ids of its words; or what :func:`digests` tells of them."""
     spelling = _spelling(vocabulary) if digest else []
-    kind = "<u2" if max([*vocabulary.ids, (vocabulary.byte_base or 0) + 255]) < 1 << 16 else "<u4"
 
     def run(coded: pa.Table, told: pa.Table) -> pa.Table:
         found = []
         spelt = pa.array(spelling, pa.large_binary())
-        column = lambda c, k: [np.frombuffer(x, k).astype(np.int64) for x in told.column(c).to_pylist()] or [np.zeros(0, np.int64)]
-        place = np.concatenate([np.cumsum(x) for x in column("places", "<u4")])
-        own, flat = np.concatenate(column("sizes", "<u4")), np.concatenate(column("ids", kind)).astype(np.int32)
+        place = told.column("place").to_numpy()
+        lists = told.column("ids").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        own, flat = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
         order = np.argsort(place, kind="stable")
         size, start = own[order], (np.cumsum(own) - own)[order]
         for data in coded.column("data").to_pylist():
@@ -628,7 +587,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str
     splitter, sizes = Splitter(vocabulary), (BLOCK_CHARS, CHUNK_CHARS)
     asked = rows.mapInArrow(_asked(splitter, sizes, n), "part int, data binary").repartition(-(-n // TASK_PARTS), "part")
     distinct = asked.groupBy("part").applyInArrow(_asks, _ASKS)
-    told = encode_words(distinct, vocabulary, "blocks", "places").select("blocks", "places", "ids").mapInArrow(_told(vocabulary), _TOLD)
+    told = encode_words(distinct, vocabulary, "blocks", "places").select("ids", F.inline(F.arrays_zip(F.col("blocks").alias("block"), F.col("places").alias("place"))))
     coded = rows.mapInArrow(_coded(splitter, sizes), "block long, data binary")
     return coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answer(vocabulary, digest), _DIGESTS if digest else _SEQUENCES)
 
