@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, jaccard, packing, pieces, quality, sharding, suffix_dedup, url_filter, vector_dedup
+from tessera.llm import ann, chat, jaccard, negatives, packing, pieces, quality, sharding, suffix_dedup, url_filter, vector_dedup
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -134,6 +134,31 @@ SELECT doc_id, size, text_crc32, law, shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
 FROM placed"""
 
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id, b.r AS b, a.label = b.label AS same,
+         CAST(list_sum(list_transform(range(1, 1 + least(len(a.v), len(b.v))), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS s
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positive AS (
+  SELECT a, anchor_id, vec_id AS positive_id, b, s AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.s AS negative_score
+FROM positive p JOIN scored n ON p.a = n.a AND NOT n.same AND 80 * p.positive_score <= 100 * n.s AND 100 * n.s <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.vec_id) <= 5"""
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
@@ -145,6 +170,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_jaccard": (op8_jaccard, None),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
 
 

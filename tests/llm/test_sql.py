@@ -11,7 +11,7 @@ from tessera.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         at = f"{sf}/{table}.parquet"
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{at + '/*.parquet' if os.path.isdir(at) else at}'")
     df, rel = queries.queries()[name](spark, sf), con.sql(queries.oracle_sql()[name])
