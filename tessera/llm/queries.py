@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, jaccard, negatives, packing, pieces, quality, sharding, suffix_dedup, url_filter, vector_dedup
+from tessera.llm import ann, chat, divergence, jaccard, negatives, packing, pieces, quality, sharding, suffix_dedup, url_filter, vector_dedup
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -135,6 +135,43 @@ SELECT doc_id, size, text_crc32, law, shard,
 FROM placed"""
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT d) AS docs FROM (SELECT d, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL HAVING sum(docs) >= 3),
+held AS (SELECT lang, source, term, n, total FROM counts JOIN kept USING (lang, term)),
+whole AS (SELECT lang, sum(total)::HUGEINT + count(*) AS w FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sized AS (
+  SELECT g.lang, g.source, coalesce(s.n, 0)::HUGEINT + coalesce(v.v, 0) AS w
+  FROM groups g LEFT JOIN (SELECT lang, source, sum(n) AS n FROM held GROUP BY ALL) s ON g.lang = s.lang AND g.source = s.source
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) v ON g.lang = v.lang),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(h.n, 0) + 1) // g.w AS p,
+         1 + 1000000000::HUGEINT * (k.total + 1) // whole.w AS q
+  FROM sized g JOIN kept k ON g.lang = k.lang JOIN whole ON whole.lang = g.lang LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+UNION ALL
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM term
+QUALIFY rank <= 200"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -170,6 +207,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_jaccard": (op8_jaccard, None),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op12_source_divergence": (op12_source_divergence, OP12_SQL),
     "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
 
