@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, divergence, jaccard, negatives, packing, pieces, quality, sharding, suffix_dedup, url_filter, vector_dedup
+from tessera.llm import ann, chat, divergence, jaccard, negatives, packing, pieces, quality, sharding, suffix_dedup, token_counts, url_filter, vector_dedup
 from tessera.session import table
 
 #: Rules of op2: host, path, verdict.
@@ -48,7 +48,7 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 
 #: The tokenizer of op3, by its name among the public vocabulary files.
 PACKING_VOCABULARY = "word_bpe_49k.json"
-#: The vocabulary of op10.
+#: The vocabulary of op10 and op11.
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
@@ -135,6 +135,10 @@ SELECT doc_id, size, text_crc32, law, shard,
 FROM placed"""
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -207,6 +211,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_jaccard": (op8_jaccard, None),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op11_token_counts": (op11_token_counts, None),
     "op12_source_divergence": (op12_source_divergence, OP12_SQL),
     "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
