@@ -16,7 +16,7 @@ Defined cases: vectors that are null, empty, zero or hold null or non-finite com
 candidates; nor do vectors whose length is not the most frequent one (ties: the shorter); a query's own row is no
 candidate, but a repeated row of the same vec_id is; equal distances are ordered by vec_id, then by place; null
 vec_ids are candidates only and come first in ties; an empty table gives an empty table. Other columns are ignored.
-Rows are numbered as they are read, so input that is not a plain read of stored data is stored first.
+Rows are numbered when they are first read, and stored with their numbers.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, pick, stored
+from tessera.llm.common import Scratch, pick
 from tessera.llm.vectors import matrix, numbered
 
 SAMPLE = 20_000
@@ -239,7 +239,7 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest rows found of each row whose id ``every`` divides."""
     spark = df.sparkSession
     scratch = Scratch(spark, "lists")
-    rows = numbered(stored(pick(df, id_col, vec_col), scratch), id_col, vec_col).where("v is not null").withColumn("dims", F.size("v"))
+    rows = scratch.save(numbered(pick(df, id_col, vec_col), id_col, vec_col).where("v is not null"), "rows").withColumn("dims", F.size("v"))
     sizes = {r["dims"]: r["count"] for r in rows.groupBy("dims").count().collect()}  # one row per length
     dims = min((d for d in sizes if sizes[d] == max(sizes.values())), default=1)
     rows, total = rows.where(F.col("dims") == dims), sizes.get(dims, 0)

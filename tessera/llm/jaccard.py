@@ -16,8 +16,7 @@ pairs within a component cannot change it.
 Defined cases: fewer words than a shingle has make the whole sequence the only element; a null or empty text, or one
 of white space, has an empty set, size 0, and links with nothing; a null doc_id takes part, and a component's id is
 its least doc_id that is not null; repeated rows are rows of their own; an empty table gives an empty table. Other
-columns are ignored. Rows are numbered as they are read, so input that is not a plain read of stored data is stored
-first; :func:`keep_one` must be given the same stored data.
+columns are ignored. Rows are numbered when they are first read, and stored with their numbers.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, lean, mix, per_row, pick, slices, split_by_part, squeeze, stored, text_column, text_parts, with_row
+from tessera.llm.common import ODD, ODD2, RollingHash, Scratch, expand, lean, mix, per_row, pick, slices, split_by_part, squeeze, text_column, text_parts, with_row
 from tessera.llm.components import components
 
 RARE = 8
@@ -396,13 +395,19 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratc
     return scratch.save(sets.groupBy("part").cogroup(left.groupBy("part")).applyInPandas(lean(compare), "a long, b long"), f"{label}-links")
 
 
+def _stored(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """doc, row, text and carried columns, numbered and stored once, as numbers made anew follow the splits of their job."""
+    return scratch.save(with_row(pick(docs, *dict.fromkeys([id_col, text_col, *carry])), id_col, text_col, carry), "rows")
+
+
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, row, n_shingles, component_id (least doc_id of its component) and kept (one row of each)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = stored(pick(docs, id_col, text_col), scratch)
-    n = text_parts(docs, text_col, PART_BYTES)
-    rows = with_row(docs, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    return _link(_stored(docs, id_col, text_col, (), scratch), scratch, words, percent)
+
+
+def _link(rows: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    n = text_parts(rows, "text", PART_BYTES)
     frequent = frequent_cells(rows, scratch, words, n)
     signed = scratch.save(rows.mapInArrow(lean(_sign(words, percent, n, frequent)), _SIGNED), "signed")
     members = signed.where("part < 0").select("doc", "row", "n", "common", "gid", "f1", "f2", "bits")
@@ -454,9 +459,12 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     )
 
 
-def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and carried columns (as strings) of the rows that :func:`link_documents` kept of ``docs``."""
-    n = text_parts(docs, text_col, PART_BYTES)
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and carried columns (as strings) of one row of each component of :func:`link_documents`."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = _stored(docs, id_col, text_col, carry, scratch)
+    linked = _link(rows.select("doc", "row", "text"), scratch, words, percent)
+    n = text_parts(rows, "text", PART_BYTES)
     names = ["doc_id", "text", *[f"carry_{k}" for k in range(len(carry))]]
 
     def run(texts: Iterator[tuple], own: pd.DataFrame) -> pd.DataFrame:
@@ -467,5 +475,5 @@ def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_co
         return out
 
     schema = "doc_id long, text string" + "".join(f", carry_{k} string" for k in range(len(carry)))
-    kept = per_row(with_row(docs, id_col, text_col, carry), linked.where("kept").select("row"), run, schema, n)
+    kept = per_row(rows, linked.where("kept").select("row"), run, schema, n)
     return kept.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})

@@ -24,8 +24,8 @@ so on for up to ``LEVELS`` orders, one after the other. Equal windows stay toget
 Tasks are sized by the bytes of text: about ``PART_BYTES`` each.
 
 Defined cases: a null or empty text has 0 bytes; a null doc_id counts as smaller than all others; rows with equal
-doc_ids are ordered as they are stored (input that is not a plain read of stored data is stored first); an empty table
-gives an empty table. Other columns are ignored unless named in ``carry`` (as strings).
+doc_ids are ordered as they are first read, when they are numbered and stored once; an empty table gives an empty
+table. Other columns are ignored unless named in ``carry`` (as strings).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ODD as _ODD
 from tessera.llm.common import ODD2 as _ODD2
-from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, lean, mix, pick, slices, split_by_part, squeeze, stored, text_column, text_parts
+from tessera.llm.common import RollingHash, Scratch, byte_codes, expand, lean, mix, pick, slices, split_by_part, squeeze, text_column, text_parts
 
 GRAM = 32
 STEP = 5
@@ -524,9 +524,10 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     if width % STEP or width < 2 * GRAM:
         raise ValueError(f"width must be a multiple of {STEP} and at least {2 * GRAM}")
     scratch = Scratch(docs.sparkSession, "suffixes")
-    docs = stored(pick(docs, *dict.fromkeys([id_col, text_col, *carry])), scratch)
-    n = text_parts(docs, text_col, PART_BYTES)
-    ids = _ids(docs, id_col, text_col)
+    # numbered and stored once: numbers made anew in each job follow its splits, which change with the executors
+    rows = scratch.save(_ids(pick(docs, *dict.fromkeys([id_col, text_col, *carry])), id_col, text_col, carry), "rows")
+    n = text_parts(rows, "text", PART_BYTES)
+    ids = rows.select("doc", "row", "text")
     by_doc = lambda df: df.groupBy("dpart")
     runs, repeated, pieces = _run_blocks(ids, n, width), [], []
     for level in range(1, LEVELS + 1):
@@ -543,6 +544,5 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     repeated = union([*repeated, compared])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", text string" * keep_text + "".join(f", carry_{k} string" for k in range(len(carry)))
-    frames = _text_frames(_ids(docs, id_col, text_col, carry), n)
-    out = by_doc(frames).cogroup(by_doc(repeated)).applyInPandas(lean(_finish(width, keep_text, len(carry))), schema)
+    out = by_doc(_text_frames(rows, n)).cogroup(by_doc(repeated)).applyInPandas(lean(_finish(width, keep_text, len(carry))), schema)
     return out.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
