@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least doc_id, of each component of near duplicates."""
-    kept = jaccard.keep_one(docs, jaccard.link_documents(docs), carry=("lang", "source", "n_chars"))
+    kept = jaccard.keep_one(docs, carry=("lang", "source", "n_chars"))
     return kept.withColumn("n_chars", F.col("n_chars").cast("long")).select(*COLUMNS)
 
 
