@@ -361,13 +361,77 @@ def consolidate(edges: DataFrame, assigned: DataFrame, most: int = 12, least: in
     return assigned.join(placed.select("community", F.coalesce("final", "by_project", "tied", F.lit(-1)).alias("final")), "community", "left").select("node", F.coalesce("final", F.lit(-1)).cast("int").alias("community"))
 
 
-def consolidate_projects(edges: DataFrame, nodes: DataFrame, most: int = 12, least: int = 2, rounds: int = 4) -> DataFrame:
+#: Edges and items that one task settles, at most.
+SETTLED = 1_000_000
+
+
+def settled(todo: DataFrame, votes: DataFrame, near: DataFrame, rounds: int = 2) -> DataFrame:
+    """(item, community) as if items chose one after the other, in the order of ``turn``; -1 where nothing speaks for one.
+
+    An item joins the community that is tied to it most: by ``votes`` (item, community, w) that are there from the
+    start, and by its ``near`` (item, other, w) items that chose before it. So it can choose once no earlier one near it
+    is open, and all such items choose at once: each round settles one layer of this dependency. After ``rounds``, when
+    what is left fits a task, that task goes on in order; the result is the same.
+    """
+    own_checkpoint_dir(todo.sparkSession)
+    turn = todo.select(F.col("item").alias("other"), F.col("turn").alias("_then"))
+    waits = near.groupBy("item", "other").agg(F.sum("w").alias("w")).join(todo.select("item", "turn"), "item").join(turn, "other")
+    waits = waits.where(F.col("_then") < F.col("turn")).select("item", "other", "w").checkpoint()
+    votes = votes.groupBy("item", "community").agg(F.sum("w").alias("w"))
+    left, out, n = todo.select("item", "turn"), None, 0
+    while True:
+        best = votes.groupBy("item").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
+        ready = left.join(waits.select("item").distinct(), "item", "left_anti")
+        done = ready.join(best, "item", "left").select("item", F.coalesce("community", F.lit(-1)).cast("int").alias("community")).checkpoint()
+        out = done if out is None else out.unionByName(done)
+        left = left.join(done.select("item"), "item", "left_anti").checkpoint()
+        if left.isEmpty():
+            return out
+        chosen = done.select(F.col("item").alias("other"), "community")
+        told = waits.join(chosen.where("community >= 0"), "other").select("item", "community", "w")
+        votes = votes.join(left.select("item"), "item", "left_semi").unionByName(told).groupBy("item", "community").agg(F.sum("w").alias("w")).checkpoint()
+        waits = waits.join(chosen.select("other"), "other", "left_anti").checkpoint()
+        n += 1
+        if n >= rounds and max(waits.count(), votes.count(), left.count()) <= SETTLED:
+            return out.unionByName(_settled_in_task(left, votes, waits))
+
+
+def _settled_in_task(left: DataFrame, votes: DataFrame, waits: DataFrame) -> DataFrame:
+    """The rest of :func:`settled`, item by item; its size was checked."""
+    placed = left.withColumn("at", F.row_number().over(Window.orderBy("turn")))
+    at, other = placed.select("item", "at"), placed.select(F.col("item").alias("other"), F.col("at").alias("to"))
+    rows = votes.join(at, "item").select("at", F.lit(None).cast("int").alias("to"), "community", "w")
+    rows = rows.unionByName(waits.join(at, "item").join(other, "other").select("at", "to", F.lit(None).cast("int").alias("community"), "w"))
+    rows = rows.unionByName(at.select("at", F.lit(None).cast("int").alias("to"), F.lit(None).cast("int").alias("community"), F.lit(0.0).alias("w")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["at"].max())
+        tied: list[dict[int, float]] = [{} for _ in range(n + 1)]
+        near: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for i, to, community, w in pdf[["at", "to", "community", "w"]].itertuples(index=False):
+            if not pd.isna(community):
+                tied[i][int(community)] = tied[i].get(int(community), 0.0) + w
+            elif not pd.isna(to):
+                near[int(to)].append((i, w))
+        out = []
+        for i in range(1, n + 1):
+            best = min(tied[i], key=lambda c: (-tied[i][c], c), default=-1)
+            out.append(best)
+            for later, w in near[i] if best >= 0 else ():
+                tied[later][best] = tied[later].get(best, 0.0) + w
+        return pd.DataFrame({"at": range(1, n + 1), "community": out})
+
+    got = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "at int, community int")
+    return got.join(at, "at").select("item", "community")
+
+
+def consolidate_projects(edges: DataFrame, nodes: DataFrame, most: int = 12, least: int = 2) -> DataFrame:
     """(node, community): communities are the largest projects; other nodes join the one they are tied to most, or -1.
 
     ``nodes`` has node, project (null: none) and weight. Projects of ``least`` nodes rank by weight, degree, size and
     name. Topic groups (``@topic:pm-``) come first, then up to max(3, 34 %) knowledge groups (``@knowledge:``), then the
-    rest. A project that is not kept joins as a whole; then single nodes join, in ``rounds`` rounds and in parallel, not
-    one after the other.
+    rest. Projects that are not kept join as wholes, one after the other in their rank; then single nodes do, in the
+    order of their ids. Each sees where those before it went.
     """
     grouped = nodes.where(F.col("project").isNotNull() & ~F.col("project").startswith("@root:"))
     sized = grouped.join(degrees(edges), "node", "left").groupBy("project").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("eff"), F.sum(F.coalesce("degree", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("n"))
@@ -380,18 +444,26 @@ def consolidate_projects(edges: DataFrame, nodes: DataFrame, most: int = 12, lea
     turn = F.when(F.col("kind") == 0, 0).when((F.col("kind") == 1) & (F.col("in_kind") <= reserve), 1).otherwise(2)
     kept = ranked.withColumn("turn", turn).orderBy("turn", *order).limit(most)
     kept = kept.select("project", (F.row_number().over(Window.orderBy("turn", *order)) - 1).cast("int").alias("community"))  # at most `most` rows
-    both = both_ways(edges)
-    home = nodes.select("node", "project").join(F.broadcast(kept), "project", "left")
-    near = both.join(home.where("community is not null").select(F.col("node").alias("dst"), "community"), "dst")
-    heaviest = lambda df, key: df.groupBy(key, "community").agg(F.sum("w").alias("w")).groupBy(key).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("joined"))
-    whole = near.join(grouped.select(F.col("node").alias("src"), "project").join(ranked.select("project"), "project", "left_semi"), "src")
-    placed = home.join(heaviest(whole, "project"), "project", "left").select("node", F.coalesce("community", "joined").alias("community"))
     own_checkpoint_dir(edges.sparkSession)
-    for _ in range(rounds):
-        placed = placed.checkpoint()  # each round reads the last one twice
-        votes = both.join(placed.where("community is not null").select(F.col("node").alias("dst"), "community"), "dst")
-        placed = placed.join(heaviest(votes, "src").withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("community", "joined").alias("community"))
-    return placed.select("node", F.coalesce("community", F.lit(-1)).alias("community"))
+    both = both_ways(edges)
+    home = nodes.select("node", "project").join(F.broadcast(kept), "project", "left").checkpoint()
+    other = home.select(F.col("node").alias("dst"), F.col("project").alias("_project"), F.col("community"))
+
+    # projects as wholes
+    open_ones = ranked.join(kept.select("project"), "project", "left_anti").select(F.col("project").alias("item"), F.struct(-F.col("eff"), -F.col("score"), -F.col("n"), "project").alias("turn")).checkpoint()
+    ends = both.join(home.select(F.col("node").alias("src"), F.col("project").alias("item")), "src").join(open_ones.select("item"), "item", "left_semi").join(other, "dst")
+    between = ends.where("community is null").join(open_ones.select(F.col("item").alias("_project")), "_project", "left_semi").select("item", F.col("_project").alias("other"), "w").where("item <> other")
+    joined = settled(open_ones, ends.where("community is not null").select("item", "community", "w"), between)
+    joined = joined.where("community >= 0").select(F.col("item").alias("project"), F.col("community").alias("joined"))
+    placed = home.join(joined, "project", "left").select("node", F.coalesce("community", "joined").alias("community")).checkpoint()
+
+    # single nodes
+    alone = placed.where("community is null").select(F.col("node").alias("item"), F.col("node").alias("turn"))
+    ties = both.where("src <> dst").select(F.col("src").alias("item"), F.col("dst").alias("other"), "w").join(alone.select("item"), "item", "left_semi")
+    ties = ties.join(placed.select(F.col("node").alias("other"), "community"), "other")
+    late = settled(alone, ties.where("community is not null").select("item", "community", "w"), ties.where("community is null").select("item", "other", "w"))
+    late = late.select(F.col("item").alias("node"), F.col("community").alias("late"))
+    return placed.join(late, "node", "left").select("node", F.coalesce("community", "late", F.lit(-1)).alias("community"))
 
 
 def representative_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -157,19 +157,37 @@ def federated_matches(spark, sf_dir):
 _PROJECT_SQL = """nodes AS (SELECT DISTINCT node, CASE WHEN node % 11 = 0 THEN NULL WHEN node % 13 = 0 THEN '@root:' || node WHEN node < 40 THEN '@topic:pm-skills:a' WHEN node % 4 = 0 THEN '@knowledge:k' || (node % 28) ELSE 'p' || (node % 30) END AS project, CASE WHEN node % 5 = 0 THEN 0.2 ELSE 1.0 END AS weight FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges))"""
 
 
-def _project_sql(rounds: int) -> str:
+def _in_order(name: str, items: str, votes: str, near: str) -> list[str]:
+    """CTEs that end in ``name`` (item, community): items (item, i from 1) choose one after the other.
+
+    ``votes`` has (item, community, w), ``near`` (item, other, w). The state of the recursion is the list of choices.
+    """
+    return [
+        f"{name}_v AS (SELECT item, list({{c: community, w: w}}) AS v FROM ({votes}) GROUP BY 1)",
+        f"{name}_n AS (SELECT x.item, list({{j: o.i, w: x.w}}) AS n FROM ({near}) x JOIN {items} o ON o.item = x.other JOIN {items} m ON m.item = x.item WHERE o.i < m.i GROUP BY 1)",
+        f"{name}_t AS (SELECT i, coalesce(v, []) AS v, coalesce(n, []) AS n FROM {items} LEFT JOIN {name}_v USING (item) LEFT JOIN {name}_n USING (item))",
+        f"""{name}_s(i, done) AS (SELECT 0::BIGINT, []::INTEGER[] UNION ALL SELECT i, list_append(done, CASE WHEN list_max(s) > 0 THEN CAST(list_position(s, list_max(s)) - 1 AS INTEGER) ELSE -1 END) FROM (
+          SELECT t.i, done, list_transform(range(12), lambda c: coalesce(list_sum(list_transform(list_filter(t.v, lambda x: x.c = c), lambda x: x.w)), 0) + coalesce(list_sum(list_transform(list_filter(t.n, lambda x: done[x.j] = c), lambda x: x.w)), 0)) AS s
+          FROM {name}_s r JOIN {name}_t t ON t.i = r.i + 1))""",
+        f"{name} AS (SELECT item, nullif(done[{items}.i], -1) AS community FROM {items}, (SELECT done FROM {name}_s ORDER BY i DESC LIMIT 1))",
+    ]
+
+
+def _project_sql() -> str:
     out = [EDGES_SQL, _PROJECT_SQL, "b AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges)", "g AS (SELECT * FROM nodes WHERE project IS NOT NULL AND NOT starts_with(project, '@root:'))"]
     out.append("z AS (SELECT project, sum(weight) AS eff, sum(coalesce(deg, 0)) AS score, count(*) AS n FROM g LEFT JOIN (SELECT src AS node, sum(w) AS deg FROM b GROUP BY 1) USING (node) GROUP BY 1 HAVING count(*) >= 2)")
     out.append("k AS (SELECT *, CASE WHEN starts_with(project, '@topic:pm-') THEN 0 WHEN starts_with(project, '@knowledge:') THEN 1 ELSE 2 END AS kind FROM z)")
     out.append("r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY eff DESC, score DESC, n DESC, project) AS i FROM k)")
     out.append("c AS (SELECT project, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 0 THEN 0 WHEN kind = 1 AND i <= 4 THEN 1 ELSE 2 END, eff DESC, score DESC, n DESC, project) - 1 AS INTEGER) AS community FROM r QUALIFY community < 12)")
     out.append("h AS (SELECT node, project, community FROM nodes LEFT JOIN c USING (project))")
-    out.append("v AS (SELECT g.project, h.community, sum(b.w) AS w FROM b JOIN g ON g.node = b.src JOIN z ON z.project = g.project JOIN h ON h.node = b.dst WHERE h.community IS NOT NULL GROUP BY 1, 2)")
-    out.append("a0 AS (SELECT h.node, coalesce(h.community, j.community) AS community FROM h LEFT JOIN (SELECT project, community FROM v QUALIFY row_number() OVER (PARTITION BY project ORDER BY w DESC, community) = 1) j USING (project))")
-    for n in range(rounds):
-        best = f"SELECT b.src AS node, a{n}.community, sum(w) AS w FROM b JOIN a{n} ON a{n}.node = b.dst WHERE a{n}.community IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY b.src ORDER BY sum(w) DESC, a{n}.community) = 1"
-        out.append(f"a{n + 1} AS (SELECT a{n}.node, coalesce(a{n}.community, j.community) AS community FROM a{n} LEFT JOIN ({best}) j USING (node))")
-    return "WITH " + ", ".join(out) + f" SELECT node, coalesce(community, -1) AS community FROM a{rounds}"
+    out.append("gi AS (SELECT project AS item, row_number() OVER (ORDER BY eff DESC, score DESC, n DESC, project) AS i FROM z WHERE project NOT IN (SELECT project FROM c))")
+    ends = "SELECT s.project AS item, d.project AS other, d.community, b.w FROM b JOIN h s ON s.node = b.src JOIN h d ON d.node = b.dst WHERE s.project IN (SELECT item FROM gi)"
+    out += _in_order("gj", "gi", f"SELECT item, community, sum(w) AS w FROM ({ends}) WHERE community IS NOT NULL GROUP BY 1, 2", f"SELECT item, other, sum(w) AS w FROM ({ends}) WHERE community IS NULL AND item <> other GROUP BY 1, 2")
+    out.append("a AS (SELECT h.node, coalesce(h.community, gj.community) AS community FROM h LEFT JOIN gj ON gj.item = h.project)")
+    out.append("ni AS (SELECT node AS item, row_number() OVER (ORDER BY node) AS i FROM a WHERE community IS NULL)")
+    ties = "SELECT b.src AS item, b.dst AS other, community, sum(w) AS w FROM b JOIN a ON a.node = b.dst WHERE src <> dst AND src IN (SELECT item FROM ni) GROUP BY 1, 2, 3"
+    out += _in_order("nj", "ni", f"SELECT item, community, sum(w) AS w FROM ({ties}) WHERE community IS NOT NULL GROUP BY 1, 2", f"SELECT item, other, w FROM ({ties}) WHERE community IS NULL")
+    return "WITH RECURSIVE " + ", ".join(out) + " SELECT a.node, coalesce(a.community, nj.community, -1) AS community FROM a LEFT JOIN nj ON nj.item = a.node"
 
 
 def _project_nodes(e):
@@ -178,7 +196,7 @@ def _project_nodes(e):
     return graph.degrees(e).select("node", name.alias("project"), F.when(n % 5 == 0, 0.2).otherwise(1.0).alias("weight"))
 
 
-@query("project_communities", _project_sql(4))
+@query("project_communities", _project_sql())
 def project_communities(spark, sf_dir):
     e = edges(spark, sf_dir)
     return graph.consolidate_projects(e, _project_nodes(e))
