@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tessera.operators import topics
 from tessera.plans.registry import query
 from tessera.session import table
-from tessera.sources import manifest
 
 
 def _docs(spark, sf_dir):
@@ -72,10 +71,13 @@ def federated_stats(spark, sf_dir):
     return topics.federated_stats(s)
 
 
-@query("topic_colors", """WITH t AS (SELECT * FROM (VALUES ('data', 0, 37, 99, 235), ('software', 1, 37, 99, 235), ('method', 0, 22, 163, 74)) v(topic, turn, r, g, b)),
+@query("topic_colors", """WITH t AS (SELECT n_name AS topic, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS turn, 37 + 20 * r_regionkey AS r, 99 + 15 * r_regionkey AS g, 235 - 30 * r_regionkey AS b, CASE WHEN n_nationkey % 7 = 0 THEN '#102030' END AS own FROM nation JOIN region ON n_regionkey = r_regionkey),
 x AS (SELECT *, greatest(r, g, b) / 255.0 AS hi, least(r, g, b) / 255.0 AS lo FROM t), y AS (SELECT *, hi - lo AS d, (hi + lo) / 2 AS l FROM x),
-h AS (SELECT topic, l, d / (1 - abs(2 * l - 1)) * least(l, 1 - l) AS a, (60 * CASE greatest(r, g, b) WHEN r THEN (g - b) / 255.0 / d WHEN g THEN (b - r) / 255.0 / d + 2 ELSE (r - g) / 255.0 / d + 4 END + 360 + 11 * turn) % 360 AS h FROM y),
-k AS (SELECT topic, l, a, h / 30 AS k0, (8 + h / 30) % 12 AS k8, (4 + h / 30) % 12 AS k4 FROM h)
-SELECT topic, printf('#%02X%02X%02X', CAST(round(255 * (l - a * greatest(-1, least(k0 - 3, 9 - k0, 1)))) AS INTEGER), CAST(round(255 * (l - a * greatest(-1, least(k8 - 3, 9 - k8, 1)))) AS INTEGER), CAST(round(255 * (l - a * greatest(-1, least(k4 - 3, 9 - k4, 1)))) AS INTEGER)) AS color FROM k""")
+h AS (SELECT topic, own, l, d / (1 - abs(2 * l - 1)) * least(l, 1 - l) AS a, (60 * CASE greatest(r, g, b) WHEN r THEN (g - b) / 255.0 / d WHEN g THEN (b - r) / 255.0 / d + 2 ELSE (r - g) / 255.0 / d + 4 END + 360 + 11 * turn) % 360 AS h FROM y),
+k AS (SELECT topic, own, l, a, h / 30 AS k0, (8 + h / 30) % 12 AS k8, (4 + h / 30) % 12 AS k4 FROM h)
+SELECT topic, coalesce(own, printf('#%02X%02X%02X', CAST(round(255 * (l - a * greatest(-1, least(k0 - 3, 9 - k0, 1)))) AS INTEGER), CAST(round(255 * (l - a * greatest(-1, least(k8 - 3, 9 - k8, 1)))) AS INTEGER), CAST(round(255 * (l - a * greatest(-1, least(k4 - 3, 9 - k4, 1)))) AS INTEGER))) AS color FROM k""")
 def topic_colors(spark, sf_dir):
-    return topics.topic_colors(manifest.topics_table(spark, None)[0])
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    k = F.col("r_regionkey").cast("int")
+    themed = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return topics.topic_colors(themed.select(F.col("n_name").alias("topic"), F.col("r_name").alias("theme"), F.format_string("#%02X%02X%02X", 37 + 20 * k, 99 + 15 * k, 235 - 30 * k).alias("theme_color"), F.when(F.col("n_nationkey") % 7 == 0, "#102030").alias("color")))
