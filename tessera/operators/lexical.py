@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import postings
 
 # fixed values: weights of the score's parts
 FIELDS = {"title": 1.4, "aliases": 1.2, "tags": 1.0, "headings": 0.65, "path": 0.35}
@@ -16,46 +18,52 @@ LEAST_SCORE = 0.2
 GRAPH_SHARE = 0.12
 
 
-def _words(values: str, array: bool):
+#: Folders that stored postings are cut into by term, and stored notes and chunks by id; some GB in one are well.
+BUCKETS = 64
+
+
+def _words(values: str, array: bool) -> Column:
     joined = F.concat_ws(" ", values) if array else F.coalesce(F.col(values), F.lit(""))
-    return F.array_distinct(text.lexical_tokens(joined))
+    return F.array_distinct(text.lexical_tokens(joined, compat=True))
 
 
-def search(notes: DataFrame, chunks: DataFrame, query: str, terms: Sequence[str] | None = None, selective: bool = True) -> DataFrame:
-    """Best chunk of each admitted note: id, path, chunk, score, matched_fields.
+def _asked(query: str, terms: Sequence[str] | None) -> tuple[list[str], str]:
+    """The distinct terms of a query, and the phrase that is looked for."""
+    whole = text.query_tokens(query)
+    terms = list(dict.fromkeys(terms if terms is not None else whole))
+    phrase = " ".join((query if terms == whole and len(terms) == len(query.split()) else " ".join(terms)).lower().split())
+    return terms, phrase
 
-    ``notes`` has id, path, title, aliases, tags, headings (texts); ``chunks`` has id, chunk, content. A note is a
-    candidate if it holds two query terms (one, if there is but one), a strong metadata term, or a selective term
-    (in at most 2 % of the notes, or 4). A chunk's score is BM25 over all chunks, plus field weights of matched terms,
-    plus a bonus for the exact phrase.
+
+def _holds(c: Column, phrase: str) -> Column:
+    return text.contains_phrase(c, phrase) if len(phrase) > 1 else F.lit(False)
+
+
+def _nothing(notes: DataFrame) -> DataFrame:
+    return notes.select("id", "path", F.lit(0).alias("chunk"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_fields")).where(F.lit(False))
+
+
+def _best(terms: Sequence[str], selective: bool, seen: DataFrame, facts: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best chunk of each admitted note.
+
+    ``seen`` has id, the matched terms m_* of each field, and b0, b1, ... (whether the term is in the note's chunks) of
+    notes that hold a term; ``facts`` is one row: notes, n and avgdl of chunks, and df0, df1, ... ``bodies`` adds to
+    admitted notes path, exact_meta and their chunks: chunk, exact_body, dl, tf0, tf1, ...
     """
-    terms = list(dict.fromkeys(terms if terms is not None else text.query_tokens(query)))
-    if not terms:
-        return notes.select("id", "path", F.lit(0).alias("chunk"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_fields")).where(F.lit(False))
-    wanted, required = F.array(*map(F.lit, terms)), min(2, len(terms))
-    phrase = " ".join((query if terms == text.query_tokens(query) and len(terms) == len(query.split()) else " ".join(terms)).lower().split())
-    kinds = dict(notes.dtypes)
-    meta = notes.select("id", "path", *[F.array_intersect(_words(f, kinds[f].startswith("array")), wanted).alias(f"m_{f}") for f in FIELDS], text.contains_phrase(F.concat_ws("\n", "title", F.array_join("aliases", "\n"), F.array_join("tags", "\n")), phrase).alias("exact_meta") if len(phrase) > 1 else F.lit(False).alias("exact_meta"))
-    body = chunks.select("id", "chunk", text.lexical_tokens(F.coalesce("content", F.lit(""))).alias("_t"), (text.contains_phrase(F.coalesce("content", F.lit("")), phrase) if len(phrase) > 1 else F.lit(False)).alias("exact_body"))
-    body = body.select("id", "chunk", "exact_body", F.size("_t").alias("dl"), *[F.size(F.filter("_t", lambda x: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
-    searchable = body.where("dl > 0")
-    totals = searchable.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    per_note = body.groupBy("id").agg(*[F.max(F.col(f"tf{i}") > 0).alias(f"b{i}") for i in range(len(terms))])
-    seen = meta.join(per_note, "id", "left")
-    has = [F.coalesce(F.col(f"b{i}"), F.lit(False)) | F.array_contains(F.concat(*[F.col(f"m_{f}") for f in FIELDS]), t) for i, t in enumerate(terms)]
-    seen = seen.select("*", *[h.alias(f"h{i}") for i, h in enumerate(has)])
-    notes_df = seen.agg(F.count(F.lit(1)).alias("notes"), *[F.sum(F.col(f"h{i}").cast("long")).alias(f"nd{i}") for i in range(len(terms))])
-    rare = [(F.lit(selective) & (F.col(f"nd{i}") <= F.greatest(F.lit(4), F.ceil(F.col("notes") * 0.02)))).alias(f"rare{i}") for i in range(len(terms))]
-    facts = totals.crossJoin(notes_df).select(*totals.columns, *rare)  # one row
+    required, each = min(2, len(terms)), range(len(terms))
+    all_meta = F.array_distinct(F.concat(*[F.col(f"m_{f}") for f in FIELDS]))
+    seen = seen.select("*", *[(F.coalesce(f"b{i}", F.lit(False)) | F.array_contains(all_meta, t)).alias(f"h{i}") for i, t in enumerate(terms)])
+    seen = seen.where(" or ".join(f"h{i}" for i in each))
+    held = seen.agg(*[F.sum(F.col(f"h{i}").cast("long")).alias(f"nd{i}") for i in each])
+    rare = [(F.lit(selective) & (F.coalesce(f"nd{i}", F.lit(0)) <= F.greatest(F.lit(4), F.ceil(F.col("notes") * 0.02)))).alias(f"rare{i}") for i in each]
+    facts = facts.crossJoin(held).select(*facts.columns, *rare)  # one row
     strong = sum((F.size(f"m_{f}") for f in STRONG), F.lit(0)) > 0
-    count = sum((F.col(f"h{i}").cast("int") for i in range(len(terms))), F.lit(0))
-    admitted = seen.where(" or ".join(f"h{i}" for i in range(len(terms)))).crossJoin(F.broadcast(facts))
+    count = sum((F.col(f"h{i}").cast("int") for i in each), F.lit(0))
     selective_hit = F.lit(False)
-    for i in range(len(terms)):
+    for i in each:
         selective_hit = selective_hit | (F.col(f"h{i}") & F.col(f"rare{i}"))
-    admitted = admitted.where((count >= required) | strong | selective_hit)
-    rows = admitted.join(body, "id")
-    all_meta = F.array_distinct(F.concat(*[F.col(f"m_{f}") for f in FIELDS]))
+    admitted = seen.crossJoin(F.broadcast(facts)).where((count >= required) | strong | selective_hit)
+    rows = bodies(admitted)
     matched, rare_match, bm = F.lit(0), F.lit(False), F.lit(0.0)
     for i, t in enumerate(terms):
         own = (F.col(f"tf{i}") > 0) | F.array_contains(all_meta, t)
@@ -66,18 +74,123 @@ def search(notes: DataFrame, chunks: DataFrame, query: str, terms: Sequence[str]
     strong_note = F.col("exact_meta") | strong | (F.size(all_meta) >= required)
     weight = sum((F.size(f"m_{f}") * w for f, w in FIELDS.items()), F.lit(0.0))
     bonus = F.when(F.col("exact_body"), 1.1).when(F.col("exact_meta"), 1.4).otherwise(0.0)
-    score = bm + weight + bonus
     fields = F.filter(F.array(*[F.when(F.size(f"m_{f}") > 0, F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())
-    scored = rows.where((matched >= required) | F.col("exact_body") | strong_note | rare_match).select("id", "path", "chunk", score.alias("score"), fields.alias("matched_fields")).where(F.col("score") >= LEAST_SCORE)
+    kept = rows.where((matched >= required) | F.col("exact_body") | strong_note | rare_match)
+    scored = kept.select("id", "path", "chunk", (bm + weight + bonus).alias("score"), fields.alias("matched_fields")).where(F.col("score") >= LEAST_SCORE)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "chunk")
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def _named(notes: DataFrame) -> Column:
+    """The text that a phrase is looked for in besides chunks: title, aliases and tags, a line each."""
+    return F.concat_ws("\n", "title", F.array_join("aliases", "\n"), F.array_join("tags", "\n"))
+
+
+def search(notes: DataFrame, chunks: DataFrame, query: str, terms: Sequence[str] | None = None, selective: bool = True) -> DataFrame:
+    """Best chunk of each admitted note: id, path, chunk, score, matched_fields.
+
+    ``notes`` has id, path, title, aliases, tags, headings (texts); ``chunks`` has id, chunk, content. A note is a
+    candidate if it holds two query terms (one, if there is but one), a strong metadata term, or a selective term
+    (in at most 2 % of the notes, or 4). A chunk's score is BM25 over all chunks, plus field weights of matched terms,
+    plus a bonus for the exact phrase. All texts are compared in NFKC. Reads everything; see :func:`index` for searches
+    that do not.
+    """
+    terms, phrase = _asked(query, terms)
+    if not terms:
+        return _nothing(notes)
+    wanted, each = F.array(*map(F.lit, terms)), range(len(terms))
+    kinds = dict(notes.dtypes)
+    meta = notes.select("id", "path", *[F.array_intersect(_words(f, kinds[f].startswith("array")), wanted).alias(f"m_{f}") for f in FIELDS], _holds(text.nfkc(_named(notes)), phrase).alias("exact_meta"))
+    plain = text.nfkc(F.coalesce("content", F.lit("")))
+    body = chunks.select("id", "chunk", plain.alias("_c")).select("id", "chunk", text.lexical_tokens(F.col("_c")).alias("_t"), _holds(F.col("_c"), phrase).alias("exact_body"))
+    body = body.select("id", "chunk", "exact_body", F.size("_t").alias("dl"), *[F.size(F.filter("_t", lambda x: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    facts = body.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in each])
+    facts = facts.na.fill(0).crossJoin(notes.agg(F.count(F.lit(1)).alias("notes")))
+    held = body.groupBy("id").agg(*[F.max(F.col(f"tf{i}") > 0).alias(f"b{i}") for i in each])
+    return _best(terms, selective, meta.join(held, "id", "left"), facts, lambda admitted: admitted.join(body, "id"))
+
+
+def _bucket(c: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def index(notes: DataFrame, chunks: DataFrame, save: Callable[[str, DataFrame, str], DataFrame], buckets: int = BUCKETS) -> dict[str, DataFrame]:
+    """Stored tables that searches start from terms with, as notes and chunks of :func:`search`.
+
+    ``save(name, table, column)`` stores a table in folders by a column and gives it back as it is read. Postings are
+    in folders by term and sorted by it, so a query reads a few row groups; notes and chunks are in folders by id, so
+    the survivors are fetched without a pass over the corpus. Texts are stored in NFKC.
+    """
+    kinds = dict(notes.dtypes)
+    by_id = lambda df: df.withColumn("bucket", _bucket(F.col("id"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "id")
+    by_term = lambda df: df.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term")
+    plain = chunks.select("id", "chunk", text.nfkc(F.coalesce("content", F.lit(""))).alias("content"))
+    held = plain.withColumn("_t", text.lexical_tokens(F.col("content")))
+    stored = {"chunks": save("chunks", by_id(held.select("id", "chunk", F.size("_t").alias("dl"), "content")), "bucket")}
+    posted = postings.postings(held, "id", F.col("_t"), "chunk")
+    stored["postings"] = save("postings", by_term(posted), "bucket")
+    named = notes.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _words(f, kinds[f].startswith("array")).alias("terms")) for f in FIELDS])).alias("x"))
+    stored["fields"] = save("fields", by_term(named.select("id", "x.field", F.explode("x.terms").alias("term"))), "bucket")
+    stored["notes"] = save("notes", by_id(notes.select("id", "path", text.nfkc(_named(notes)).alias("named"))), "bucket")
+    facts = stored["chunks"].where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl")).na.fill(0)
+    stored["facts"] = save("facts", facts.crossJoin(stored["notes"].agg(F.count(F.lit(1)).alias("notes"))).withColumn("bucket", F.lit(0)), "bucket")
+    return stored
+
+
+def stored_index(spark: SparkSession, root: str) -> Callable[[str, DataFrame, str], DataFrame]:
+    """A ``save`` for :func:`index` that writes under a folder."""
+
+    def save(name: str, df: DataFrame, column: str) -> DataFrame:
+        df.write.partitionBy(column).option("parquet.block.size", 8 << 20).parquet(f"{root}/{name}")
+        return open_index(spark, root, [name])[name]
+
+    return save
+
+
+def open_index(spark: SparkSession, root: str, names: Sequence[str] = ("chunks", "postings", "fields", "notes", "facts")) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{root}/{n}") for n in names}
+
+
+def search_index(stored: dict[str, DataFrame], query: str, terms: Sequence[str] | None = None, selective: bool = True, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of :func:`search` from stored tables: the query's postings first, then only what they admit.
+
+    ``buckets`` is that of :func:`index`.
+    """
+    terms, phrase = _asked(query, terms)
+    if not terms:
+        return _nothing(stored["notes"])
+    each = range(len(terms))
+    # hashes of constants fold, so no other folder is listed
+    there = reduce(lambda a, b: a | b, [F.col("bucket") == _bucket(F.lit(t), buckets) for t in terms])
+    of = lambda name: stored[name].where(there & F.col("term").isin(terms))
+    counts = [F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    hits = of("postings").groupBy("id", "chunk").agg(*counts)
+    facts = stored["facts"].select("n", "avgdl", "notes").crossJoin(hits.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in each]))
+    held = hits.groupBy("id").agg(*[F.max(F.col(f"tf{i}") > 0).alias(f"b{i}") for i in each])
+    none = F.array().cast("array<string>")
+    matched = lambda f: F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("term"))))
+    meta = of("fields").groupBy("id").agg(*[matched(f).alias(f"m_{f}") for f in FIELDS])
+    seen = meta.join(held, "id", "full").select("id", *[F.coalesce(f"m_{f}", none).alias(f"m_{f}") for f in FIELDS], *[f"b{i}" for i in each])
+
+    def bodies(admitted: DataFrame) -> DataFrame:
+        admitted = admitted.withColumn("bucket", _bucket(F.col("id"), buckets))
+        notes = stored["notes"].select("bucket", "id", "path", _holds(F.col("named"), phrase).alias("exact_meta"))
+        parts = stored["chunks"].select("bucket", "id", "chunk", "dl", _holds(F.col("content"), phrase).alias("exact_body"))
+        rows = admitted.join(notes, ["bucket", "id"]).join(parts, ["bucket", "id"]).join(hits, ["id", "chunk"], "left")
+        return rows.na.fill(0, [f"tf{i}" for i in each])
+
+    return _best(terms, selective, seen, facts, bodies)
+
+
+def _dropped(query: str) -> list[str]:
+    """Words of a query that were dropped as fillers and may be a note's name."""
+    terms = text.query_tokens(query)
+    return [w for w in text.plain_tokens(query) if w not in terms and w not in text.SHELL_WORDS]
+
+
 def search_or_metadata(notes: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
     """The search; if it finds nothing, notes whose title, alias or tag holds a word that was dropped as a filler."""
-    found = search(notes, chunks, query)
-    terms = text.query_tokens(query)
-    dropped = [w for w in text.plain_tokens(query) if w not in terms and w not in text.SHELL_WORDS]
+    found, dropped = search(notes, chunks, query), _dropped(query)
     if not dropped or not found.isEmpty():
         return found
     wanted, kinds = F.array(*map(F.lit, dropped)), dict(notes.dtypes)
