@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def watch(spark: SparkSession, root: str, build: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds", glob: str = "*.md") -> StreamingQuery:
@@ -59,30 +61,146 @@ def last_seen(events: DataFrame, late: str, ts: str = "ts", key: str = "user_id"
     return events.withWatermark(ts, late).groupBy(key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
+_RATES = "start long, n long"
+
+
+def _windows(steps: Iterator[tuple[int, int]], start: int | None, n: int, seconds: int) -> Iterator[tuple[int | None, int, bool]]:
+    """Folds (second, count) steps in order into windows: those that end, marked so, and last of all the open one."""
+    for s, count in steps:
+        if start is None or s >= start + seconds:
+            if start is not None:
+                yield start, n, True
+            start, n = s, 0
+        n += count
+    yield start, n, False
+
+
 def rate_windows(requests: DataFrame, seconds: int = 60, most: int = 60, ts: str = "ts", key: str = "user_id") -> DataFrame:
     """(key, start, n, refused): counts per window that starts at a key's first request after the last window.
 
-    Windows depend on one another, so times are folded in order, in whole seconds with counts. After a pause of a
-    window's length a new window starts whatever came before, so a key's history is cut at such pauses and only what
-    lies between two of them is gathered.
+    Windows depend on one another, so times are folded in order, in whole seconds with counts. A partition holds whole
+    keys in order, and is read as a stream: what is held is one window, however long a key goes on. Requests without a
+    time do not count.
+    """
+    second = requests.groupBy(F.col(key).alias("k"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("s")).agg(F.count(F.lit(1)).alias("n")).where("s is not null")
+    # a null key is one key
+    ordered = second.select("k", F.coalesce(F.col("k").cast("string"), F.lit("")).alias("name"), F.col("k").isNull().alias("none"), "s", "n")
+    ordered = ordered.repartition("name", "none").sortWithinPartitions("none", "name", "s")
+    kind = dict(second.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n, value = None, None, 0, None
+        for batch in batches:
+            own, names, none, s, counts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            at, out = 0, ([], [], [])
+            while at < len(s):
+                who = (none[at], names[at])
+                stop = at
+                while stop < len(s) and (none[stop], names[stop]) == who:
+                    stop += 1
+                if who != last and start is not None:
+                    [c.append(x) for c, x in zip(out, (value, start, n))]
+                if who != last:
+                    last, start, n, value = who, None, 0, own[at].as_py()
+                for begun, count, ended in _windows(zip(s[at:stop], counts[at:stop]), start, n, seconds):
+                    if ended:
+                        [c.append(x) for c, x in zip(out, (value, begun, count))]
+                    start, n = begun, count
+                at = stop
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], own.type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["k", "start", "n"])
+            kept = own.type
+        if start is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([value], kept), pa.array([start], pa.int64()), pa.array([n], pa.int64())], names=["k", "start", "n"])
+
+    return _rated(ordered.mapInArrow(run, f"k {kind}, {_RATES}"), key, most)
+
+
+def _rated(windows: DataFrame, key: str, most: int) -> DataFrame:
+    return windows.select(F.col("k").alias(key), F.timestamp_seconds("start").alias("start"), "n", F.greatest(F.col("n") - most, F.lit(0)).alias("refused"))
+
+
+def rate_windows_stream(requests: DataFrame, seconds: int = 60, most: int = 60, late: str = "1 minute", ts: str = "ts", key: str = "user_id") -> DataFrame:
+    """The rows of :func:`rate_windows` from a stream, each once its window has ended for good.
+
+    A key's state is its open window and the counts of the seconds that late requests may still add to, which are
+    folded in order when the watermark has passed them. A timer at the end of the window gives it out, also if the key
+    never comes again, and a key with nothing open leaves no state.
+    """
+
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, n, held, counts = state.get if state.exists else (None, 0, [], [])
+        start = None if start is None or pd.isna(start) else int(start)
+        waiting = {int(s): int(c) for s, c in zip(held, counts)}
+        for pdf in batches:
+            for s, c in pdf["s"].value_counts().items():
+                waiting[int(s)] = waiting.get(int(s), 0) + int(c)
+        mark = state.getCurrentWatermarkMs()
+        ready = sorted(s for s in waiting if (s + 1) * 1000 <= mark)
+        out = []
+        for begun, count, ended in _windows(((s, waiting.pop(s)) for s in ready), start, n, seconds):
+            if ended:
+                out.append((begun, count))
+            start, n = begun, count
+        if start is not None and (start + seconds) * 1000 <= mark:
+            out.append((start, n))
+            start, n = None, 0
+        if start is None and not waiting:
+            state.remove()
+        else:
+            held = sorted(waiting)
+            state.update((start, n, held, [waiting[s] for s in held]))
+            due = 1000 * min([s + 1 for s in held[:1]] + ([] if start is None else [start + seconds]))
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        yield pd.DataFrame({"k": [k[0]] * len(out), "start": [x[0] for x in out], "n": [x[1] for x in out]})
+
+    # a batch sends a second's requests of a key one by one: they are counted where the state is
+    rows = requests.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).select("_t", F.col(key).alias("k"), F.unix_seconds("_t").alias("s"))
+    kind = dict(rows.dtypes)["k"]
+    folded = rows.where("_t is not null").groupBy("k").applyInPandasWithState(update, f"k {kind}, {_RATES}", "start long, n long, held array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return _rated(folded, key, most)
+
+
+def presence(listings: DataFrame, grace: int, late: str = "0 seconds", at: str = "at", keys: Sequence[str] = ("source", "policy"), path: str = "path", version: str = "content_sha256") -> DataFrame:
+    """What becomes of paths in a stream of listings: (keys, path, event, version, first_seen, last_seen).
+
+    Each listing names all paths that are there, with the time ``at`` of the listing. A path comes (``came``), has new
+    contents (``changed``), or is named no more for ``grace`` seconds (``gone``, once; if it comes again it is new).
+    State is kept by source, policy and path across batches and restarts, so another policy sees all paths anew; a
+    path that is gone leaves none.
     """
-    second = requests.groupBy(key, F.unix_seconds(F.col(ts).cast("timestamp")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(key).orderBy("s")
-    pause = F.coalesce(F.col("s") - F.lag("s").over(order) >= seconds, F.lit(False)).cast("int")
-    run = second.withColumn("_pause", pause).withColumn("_run", F.sum("_pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    steps = run.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("steps"))
-    kind = "array<struct<start:bigint,n:bigint>>"
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = (F.size(acc) == 0) | (x["s"] >= F.coalesce(last["start"], F.lit(0)) + seconds)
-        new = F.struct(x["s"].alias("start"), x["n"].alias("n"))
-        more = F.struct(last["start"].alias("start"), (last["n"] + x["n"]).alias("n"))
-        kept = F.when(fresh, acc).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        return F.concat(kept, F.array(F.when(fresh, new).otherwise(more)))
-
-    folded = steps.select(key, F.explode(F.aggregate("steps", F.array().cast(kind), fold)).alias("w"))
-    return folded.select(key, F.timestamp_seconds("w.start").alias("start"), F.col("w.n").alias("n"), F.greatest(F.col("w.n") - most, F.lit(0)).alias("refused"))
+    names = [*keys, path]
+
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get if state.exists else None
+        out = []
+        told = sorted({(int(m), v) for pdf in batches for m, v in zip(pdf["ms"], pdf["v"])}, key=lambda x: (x[0], x[1] or ""))
+        for ms, v in told:
+            if known and ms - known[1] > grace * 1000:
+                out.append(("gone", known[2], known[0], known[1]))
+                known = None
+            event = "came" if known is None else "changed" if v != known[2] and ms >= known[1] else None
+            first, last = (known[0], max(known[1], ms)) if known else (ms, ms)
+            known = (first, last, v if known is None or ms >= known[1] else known[2])
+            if event:
+                out.append((event, v, first, last))
+        mark = state.getCurrentWatermarkMs()
+        if known and known[1] + grace * 1000 < mark:
+            out.append(("gone", known[2], known[0], known[1]))
+            known = None
+        if known is None:
+            state.remove()
+        else:
+            state.update(known)
+            state.setTimeoutTimestamp(max(known[1] + grace * 1000 + 1, mark + 1))
+        yield pd.DataFrame([(*k, *x) for x in out], columns=[*names, "event", "version", "first_ms", "last_ms"])
+
+    rows = listings.withColumn("_t", F.col(at).cast("timestamp")).withWatermark("_t", late)
+    rows = rows.where("_t is not null").select("_t", *names, F.unix_millis("_t").alias("ms"), F.col(version).alias("v"))
+    schema = ", ".join(f"`{c}` string" for c in names) + ", event string, version string, first_ms long, last_ms long"
+    rows = rows.select("_t", *[F.col(c).cast("string").alias(c) for c in names], "ms", "v")
+    events = rows.groupBy(*names).applyInPandasWithState(update, schema, "first_ms long, last_ms long, v string", "append", GroupStateTimeout.EventTimeTimeout)
+    stamp = lambda c: F.timestamp_millis(c)
+    return events.select(*names, "event", "version", stamp("first_ms").alias("first_seen"), stamp("last_ms").alias("last_seen"))
 
 
 def running_totals(events: DataFrame, key: str = "user_id", value: str = "value") -> DataFrame:
