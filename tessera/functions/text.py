@@ -1,7 +1,6 @@
 """Text functions as columns; Arrow functions only for Unicode normalization and byte-exact cuts.
 
-Lengths and places count code points. Texts that are already in a normal form may pass ``nfkc=False`` and stay in the
-JVM.
+Lengths and places count code points. NFKC is applied where ``compat`` asks for it, to values that are not ASCII.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -42,27 +43,36 @@ def next_catalog(units: DataFrame, previous: DataFrame, now: datetime) -> DataFr
     return current.unionByName(gone.select(*current.columns))
 
 
-def replaced_ordinals(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Ordinals (id) whose searchable content changed, came or went."""
-    active = lambda c: c.where("tombstone_at is null and duplicate_of is null and retrieval_scope <> 'never'").select(F.col("ordinal").alias("id"), "content_sha256")
+ACTIVE = "tombstone_at is null and duplicate_of is null and retrieval_scope <> 'never'"
+
+
+def replaced_ordinals(previous: DataFrame, current: DataFrame, *also: str) -> DataFrame:
+    """Ordinals (id) whose searchable content, or a column of ``also``, changed, came or went."""
+    active = lambda c: c.where(ACTIVE).select(F.col("ordinal").alias("id"), "content_sha256", *also)
     p, c = active(previous), active(current)
     return p.exceptAll(c).unionByName(c.exceptAll(p)).select("id").distinct()
 
 
-def layers(units: DataFrame, catalog: DataFrame, most: int = 800, overlap: int = 80) -> dict[str, DataFrame]:
-    """The tables of a generation: catalog, documents, chunks, postings, temporal and hierarchy."""
-    active = catalog.where("tombstone_at is null and duplicate_of is null and retrieval_scope <> 'never'").select("path", "ordinal")
+def layers(units: DataFrame, catalog: DataFrame, most: int = 800, overlap: int = 80, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """The tables of a generation: catalog, documents, chunks, postings, temporal and hierarchy.
+
+    All but catalog and temporal hold just what the units given say, which may be those of a delta. ``keep`` may store
+    a table that others are made from.
+    """
+    active = catalog.where(ACTIVE).select("path", "ordinal")
     docs = units.join(active, "path").select("path", "ordinal", "document_id", "version_id", "title", "aliases", "tags", "headings", markdown.links(F.col("content")).alias("links"), "corpus", "retrieval_scope", "content_sha256", "mtime")
+    docs = keep("documents", docs)
     parts = markdown.chunks(units.join(active, "path"), "path", "content", most, overlap, "body_start")
     chunk = parts.withColumnRenamed("id", "path").join(docs.select("path", "ordinal", "version_id"), "path")
     span = ids.span_id(F.col("version_id"), F.concat_ws(":", F.col("start_line").cast("string"), F.col("start_col").cast("string")), F.concat_ws(":", F.col("end_line").cast("string"), F.col("end_col").cast("string")))
     chunk = chunk.withColumn("span_id", span).withColumn("chunk_id", ids.chunk_id(F.col("span_id"), F.col("content")))
-    posted = postings.postings(chunk, "chunk_id", text.lexical_tokens(F.col("content"), compat=True))
-    by_doc = postings.roll_up(posted.join(chunk.select(F.col("chunk_id").alias("id"), F.col("ordinal")), "id"), "ordinal")
+    chunk = keep("chunks", chunk)
+    posted = postings.postings(chunk, "chunk_id", text.lexical_tokens(F.col("content"), compat=True), "ordinal")
+    by_doc = postings.roll_up(posted, "ordinal")
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     return {
         "catalog": catalog, "documents": docs, "chunks": chunk, "chunk_postings": posted, "postings": by_doc.withColumnRenamed("ordinal", "id"),
-        "temporal": docs.select("ordinal", F.col("mtime").alias("modified_at")),
+        "temporal": catalog.where(ACTIVE).select("ordinal", F.col("mtime").alias("modified_at")),
         "hierarchy": docs.select("ordinal", folders.alias("segments"), F.transform("headings", lambda h: h["text"]).alias("headings")),
     }
 
@@ -70,7 +80,7 @@ def layers(units: DataFrame, catalog: DataFrame, most: int = 800, overlap: int =
 def faults(tables: dict[str, DataFrame]) -> DataFrame:
     """(check, n) of the checks that fail on a generation; empty if it is sound."""
     cat, docs, chunk = tables["catalog"], tables["documents"], tables["chunks"]
-    active = cat.where("tombstone_at is null and duplicate_of is null and retrieval_scope <> 'never'")
+    active = cat.where(ACTIVE)
     out = [
         ("duplicate ordinal", cat.groupBy("ordinal").count().where("count > 1")),
         ("duplicate path", cat.groupBy("path").count().where("count > 1")),
@@ -107,7 +117,7 @@ def reusable(scanned: DataFrame, units: DataFrame, same_policy: bool) -> tuple[D
     """
     if not same_policy:
         return scanned, units.where(F.lit(False))
-    kept = units.join(scanned.select("path", "content_sha256"), ["path", "content_sha256"], "left_semi")
+    kept = units.drop("mtime").join(scanned.select("path", "content_sha256", "mtime"), ["path", "content_sha256"]).select(*units.columns)
     return scanned.join(kept.select("path"), "path", "left_anti"), kept
 
 

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def postings(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf): how often each term occurs in each row."""
-    return df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+def postings(df: DataFrame, id_col: str, tokens: Column, *carry: str) -> DataFrame:
+    """(id, *carry, term, tf): how often each term occurs in each row.
+
+    A row's tokens are sorted and counted within the row, so nothing is shuffled; repeated ids are rows of their own.
+    """
+    s = df.select(F.col(id_col).alias("id"), *carry, F.array_sort(tokens).alias("_t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    s = s.where(F.size("_t") > 0).select("id", *carry, "_t", starts.alias("_s"))
+    runs = F.transform("_s", lambda at, k: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - at).alias("tf")))
+    return s.select("id", *carry, F.inline(runs))
 
 
 def lengths(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:

@@ -19,6 +19,8 @@ from tessera.functions.text import cut_bytes
 # fixed values: frontmatter keys that decide policy
 POLICY_KEYS = {"archived", "corpus", "generated", "graph_exclude", "graph_exclude_reason", "record_role", "retrieval_scope", "role", "sensitivity", "status", "type"}
 _SWITCHES = ("archived", "generated", "graph_exclude")
+#: Paths that no pattern or escape of a file system takes otherwise.
+PLAIN = re.compile(r"[\w ./-]+")
 IGNORED = (".git", ".github", ".obsidian", ".trash", "node_modules", "__pycache__")
 
 
@@ -31,13 +33,21 @@ def excluded_folder(path: Column, folders: Sequence[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, folders: Sequence[str] = IGNORED, most_bytes: int = 8 << 20, glob: str = "*.md") -> DataFrame:
-    """Notes under a folder: path, content, hashes of bytes and of normalized text, byte_length, mtime, valid_utf8.
+def scan(spark: SparkSession, root: str, folders: Sequence[str] = IGNORED, most_bytes: int = 8 << 20, glob: str = "*.md", only: Sequence[str] | None = None) -> DataFrame:
+    """Notes under a folder: path, content, hashes of bytes and of normalized text, byte_length, mtime, valid_utf8, read_bytes.
 
     Reads any store that Spark reads. ``._`` files, excluded folders and files over ``most_bytes`` are left out;
-    contents that are not UTF-8 are null.
+    contents that are not UTF-8 are null. Where ``read_bytes`` is not ``byte_length``, a file changed while it was read.
+    ``only`` names the files to read, by path.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if only is None:
+        raw = files.option("pathGlobFilter", glob).load(root)
+    elif all(PLAIN.fullmatch(p) for p in only):
+        raw = files.load([f"{root.rstrip('/')}/{p}" for p in only] or [root])
+        raw = raw if only else raw.where(F.lit(False))
+    else:
+        raise ValueError("only plain paths can be opened by name")
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     at = F.instr("path", base) + F.lit(len(base) + 1)
     rel = F.expr("substring(path, _at)")
@@ -48,7 +58,7 @@ def scan(spark: SparkSession, root: str, folders: Sequence[str] = IGNORED, most_
     plain = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     return rows.select(
         "path", F.replace(text, F.lit("\0"), F.lit("")).alias("content"), F.sha2("content", 256).alias("content_sha256"), F.sha2(plain, 256).alias("norm_sha256"),
-        F.col("length").alias("byte_length"), F.col("modificationTime").alias("mtime"), text.isNotNull().alias("valid_utf8"),
+        F.col("length").alias("byte_length"), F.col("modificationTime").alias("mtime"), text.isNotNull().alias("valid_utf8"), F.octet_length("content").alias("read_bytes"),
     )
 
 
@@ -59,6 +69,12 @@ def same_state(a: DataFrame, b: DataFrame) -> bool:
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
+def path_digest(paths: DataFrame) -> str:
+    """A digest of a set of paths, independent of its order."""
+    r = paths.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path")).alias("x"), F.bit_xor(F.xxhash64("path", F.lit(1))).alias("y")).first()
+    return f"{r['n']}-{(r['x'] or 0) & (1 << 64) - 1:x}-{(r['y'] or 0) & (1 << 64) - 1:x}"
+
+
 def plan_hash(scanned: DataFrame) -> str:
     """A digest of what a scan found, independent of its order and of the number of tasks."""
     row = scanned.select(F.sha2(F.concat_ws("\x00", "path", "content_sha256", F.col("byte_length").cast("string"), F.unix_millis("mtime").cast("string")), 256).alias("h"))
@@ -319,21 +335,32 @@ def read_section(text: str, heading: str | None = None, most: int = 50_000) -> s
     return "\n".join(lines)[:most]
 
 
-def active_heading(marks: DataFrame, spots: DataFrame) -> DataFrame:
+def active_heading(marks: DataFrame, spots: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """As-of join: the last heading of each level that starts at or before a spot, unless a higher one came after it.
 
-    ``marks`` is (id, line, level, text) and ``spots`` (id, spot); returns (id, spot, path).
+    ``marks`` is (id, line, level, text) and ``spots`` (id, spot); returns (id, spot, path). Marks and spots are one
+    ordered stream, in which each row carries the last heading of each level. A note is cut into buckets of ``bucket``
+    lines, which are separate; what a bucket starts with is carried from the last headings of those before it. A row
+    costs the same however many headings there are. Spots without an id, or before all headings, have a null path.
     """
     kind = dict(marks.dtypes)["text"]
-    mark = marks.select("id", F.col("line").alias("at"), F.lit(0).alias("after"), "level", "text")
-    spot = spots.select("id", F.col("spot").alias("at"), F.lit(1).alias("after"), F.lit(None).cast("int").alias("level"), F.lit(None).cast(kind).alias("text"))
-    # one pass per note: every row carries the last heading of each level
-    seen = Window.partitionBy("id").orderBy("at", "after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.last(F.when(F.col("level") == n, F.struct("level", F.col("at").alias("line"), "text")), True).over(seen) for n in range(1, 7)]
-    found = mark.unionByName(spot).withColumn("s", F.array(*last)).where("after = 1")
-    there = F.filter("s", lambda x: x.isNotNull())
-    open_ones = F.filter(there, lambda x: ~F.exists(there, lambda y: (y["level"] < x["level"]) & (y["line"] > x["line"])))
-    path = F.when(F.col("id").isNotNull() & (F.size(open_ones) > 0), F.array_join(F.transform(open_ones, lambda x: x["text"]), " › "))
+    at_bucket = F.floor(F.col("at") / bucket).alias("bucket")
+    mark = marks.select("id", F.col("line").cast("long").alias("at"), F.lit(0).alias("after"), F.col("level").cast("int").alias("level"), F.col("text"))
+    spot = spots.select("id", F.col("spot").cast("long").alias("at"), F.lit(1).alias("after"), F.lit(None).cast("int").alias("level"), F.lit(None).cast(kind).alias("text"))
+    rows = mark.unionByName(spot).select("*", at_bucket)
+    here = F.struct("level", F.col("at").alias("line"), "text")
+    levels = range(1, 7)
+    ends = mark.select("id", at_bucket, "level", "at", here.alias("h")).groupBy("id", "bucket").agg(*[F.max_by(F.when(F.col("level") == n, F.col("h")), F.when(F.col("level") == n, F.col("at"))).alias(f"e{n}") for n in levels])
+    known = rows.where("after = 1").select("id", "bucket").distinct().join(ends, ["id", "bucket"], "full")
+    earlier = Window.partitionBy("id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = known.where("id is not null").select(F.col("id").alias("_id"), F.col("bucket").alias("_bucket"), *[F.last(f"e{n}", True).over(earlier).alias(f"c{n}") for n in levels])
+    seen = Window.partitionBy("id", "bucket").orderBy("at", "after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.select("id", "bucket", "at", "after", *[F.last(F.when(F.col("level") == n, here), True).over(seen).alias(f"s{n}") for n in levels]).where("after = 1")
+    found = found.join(carried, (F.col("id") == F.col("_id")) & (F.col("bucket") == F.col("_bucket")), "left")
+    there = F.filter(F.array(*[F.coalesce(f"s{n}", f"c{n}") for n in levels]), lambda x: x.isNotNull())
+    open_ones = F.filter("s", lambda x: ~F.exists("s", lambda y: (y["level"] < x["level"]) & (y["line"] > x["line"])))
+    found = found.select("id", "at", there.alias("s")).select("id", "at", open_ones.alias("s"))
+    path = F.when(F.col("id").isNotNull() & (F.size("s") > 0), F.array_join(F.transform("s", lambda x: x["text"]), " › "))
     return found.select("id", F.col("at").alias("spot"), path.alias("path"))
 
 
