@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import embedding, text
 from tessera.operators import channels, postings, selection, visibility
 
 # fixed values: limits of a request
@@ -73,12 +73,67 @@ class Pack:
     failed: list[str] = field(default_factory=list)
 
 
+class Late(RuntimeError):
+    """Work was not done when its time was up."""
+
+
+class AllFailed(RuntimeError):
+    """No source answered."""
+
+
+def within(spark: SparkSession, end: float, work: Callable[[], object]) -> object:
+    """What ``work`` gives, if it is done at the time ``end`` (of the monotonic clock); else its jobs are cancelled and it is left behind.
+
+    The work runs in a thread of its own under a tag of its own. One that does not yield cannot hold the caller, and
+    nothing that it still does is looked at.
+    """
+    tag, box = f"work-{uuid.uuid4().hex}", {}
+
+    def run() -> None:
+        spark.addTag(tag)
+        try:
+            box["value"] = work()
+        except BaseException as e:  # handed to the caller, if there still is one
+            box["error"] = e
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(max(0.0, min(end - time.monotonic(), 3600.0)))
+    if thread.is_alive() or time.monotonic() >= end:
+        if thread.is_alive():
+            threading.Thread(target=spark.interruptTag, args=(tag,), daemon=True).start()
+        raise Late
+    if "error" in box:
+        raise box["error"]
+    return box["value"]
+
+
 class Engine:
-    """Hybrid search over records and, if given, vectors (id, values) and further channels."""
+    """Hybrid search over records and, if given, vectors (id, values) and further channels.
+
+    With an ``adapter`` the engine makes a request's vector itself where there is none. Vectors of a hashing adapter
+    are gated: a record must also share a token with the query, as equal slots say little alone.
+    """
 
-    def __init__(self, records: DataFrame, vectors: DataFrame | None = None, extra: Mapping[str, Channel] | None = None, reranker: Reranker | None = None, principal: visibility.Principal | None = None):
+    def __init__(
+        self,
+        records: DataFrame,
+        vectors: DataFrame | None = None,
+        extra: Mapping[str, Channel] | None = None,
+        reranker: Reranker | None = None,
+        principal: visibility.Principal | None = None,
+        adapter: embedding.Adapter | None = None,
+    ):
         self.records, self.vectors, self.extra = records, vectors, dict(extra or {})
-        self.reranker, self.principal = reranker, principal
+        self.reranker, self.principal, self.adapter = reranker, principal, adapter
+
+    def _dense(self, seen: DataFrame, request: Request, words: Sequence[str]) -> DataFrame:
+        vector = request.vector if request.vector is not None else embedding.query_vector(request.query, self.adapter)
+        own = self.vectors.join(seen.select("id"), "id", "left_semi")
+        if self.adapter is None or self.adapter.kind != "lexical_hash":
+            return channels.dense(own, vector)
+        held = seen.select("id", text.tokens(channels.search_text(seen), compat=True).alias("tokens"))
+        return channels.dense(own, vector, words=held, terms=words)
 
     def plan(self, request: Request, scope: visibility.Scope) -> tuple[DataFrame | None, list[str]]:
         """The fused candidates with their contents as one lazy plan, and the channels that could not be planned."""
@@ -92,8 +147,8 @@ class Engine:
             "temporal": lambda: channels.temporal(seen, request.query, now, request.prefer_recent),
             "hierarchy": lambda: channels.hierarchy(seen, words, seeds),
         }
-        if self.vectors is not None and request.vector is not None:
-            made["dense"] = lambda: channels.dense(self.vectors.join(seen.select("id"), "id", "left_semi"), request.vector)
+        if self.vectors is not None and (request.vector is not None or self.adapter is not None):
+            made["dense"] = lambda: self._dense(seen, request, words)
         for name, channel in self.extra.items():
             made[name] = lambda channel=channel: channel(seen, request.query)
         hits, failed = {}, []
@@ -111,50 +166,62 @@ class Engine:
         return best.join(seen.select("id", "path", "content"), "id"), failed
 
     def query(self, request: Request, deadline: float = DEADLINE) -> Pack:
-        """Evidence within the deadline; a result that is late is not released."""
+        """Evidence within the deadline, which holds for all steps; what is late is not released and holds nobody up."""
+        end = time.monotonic() + deadline
         scope = self.principal.narrow(request.scope) if self.principal else request.scope
         if scope is None:
             return Pack("no_evidence")
         spark = self.records.sparkSession
-        tag, end = f"query-{uuid.uuid4().hex}", time.monotonic() + deadline
-        timer = threading.Timer(min(deadline, 3600.0), lambda: spark.interruptTag(tag))
-        spark.addTag(tag)
-        timer.start()
+        try:
+            found = within(spark, end, lambda: self._candidates(request, scope))
+            if found is None:
+                return Pack("source_failure", failed=["engine"])
+            rows, failed = found
+            if rows is None:
+                return Pack("source_failure", failed=failed)
+            scores = [r["fused"] for r in rows]
+            if self.reranker and rows:
+                try:
+                    given = within(spark, end, lambda: self._reranked(request.query, rows))
+                    order = sorted(range(len(rows)), key=lambda i: (-given[i], i))
+                    rows, scores = [rows[i] for i in order], [given[i] for i in order]
+                except Late:
+                    raise
+                except Exception:
+                    _LOG.exception("the reranker failed")
+                    failed = [*failed, "reranker"]
+            return within(spark, end, lambda: self._pack(request, rows, scores, failed))
+        except Late:
+            return Pack("timeout", failed=["timeout"])
+
+    def _candidates(self, request: Request, scope: visibility.Scope) -> tuple[list[dict] | None, list[str]] | None:
         try:
             plan, failed = self.plan(request, scope)
             if plan is None:
-                return Pack("source_failure", failed=failed)
-            rows = plan.collect()  # at most `candidates` rows
+                return None, failed
+            rows = [r.asDict() for r in plan.collect()]  # at most `candidates` rows
         except Exception:
-            if time.monotonic() >= end:
-                return Pack("timeout")
             _LOG.exception("the query's plan failed")
-            return Pack("source_failure", failed=["engine"])
-        finally:
-            timer.cancel()
-            spark.removeTag(tag)
-        rows = sorted((r.asDict() for r in rows), key=lambda r: (-r["fused"], -r["best_raw"], r["id"]))
-        scores = [r["fused"] for r in rows]
-        if self.reranker and rows:
-            try:
-                given = self.reranker(request.query, rows)
-                if len(given) != len(rows) or any(s != s or abs(s) == float("inf") for s in given):
-                    raise ValueError("bad scores")
-                order = sorted(range(len(rows)), key=lambda i: (-given[i], i))
-                rows, scores = [rows[i] for i in order], [given[i] for i in order]
-            except Exception:
-                _LOG.exception("the reranker failed")
-                failed = [*failed, "reranker"]
-        picked = selection.select([r["content"] for r in rows], scores, request.limit)
+            return None
+        if len({r["id"] for r in rows}) < len(rows):
+            _LOG.error("records have an id twice")
+            return None
+        return sorted(rows, key=lambda r: (-r["fused"], -r["best_raw"], r["id"])), failed
+
+    def _reranked(self, query: str, rows: list[dict]) -> list[float]:
+        given = list(self.reranker(query, [dict(r) for r in rows]))
+        if len(given) != len(rows) or any(s != s or abs(s) == float("inf") for s in given):
+            raise ValueError("bad scores")
+        return given
+
+    def _pack(self, request: Request, rows: list[dict], scores: list[float], failed: list[str]) -> Pack:
         out, left = [], request.pack_chars
-        for i in picked:
+        for i in selection.select([r["content"] for r in rows], scores, request.limit):
             if left <= 0:
                 break
             excerpt, cut = selection.compress(rows[i]["content"], request.query, min(request.item_chars, left))
             left -= len(excerpt)
             out.append(Evidence(len(out) + 1, rows[i]["id"], rows[i]["path"], rows[i]["fused"], scores[i], list(rows[i]["channels"]), excerpt, cut))
-        if time.monotonic() >= end:
-            return Pack("timeout")
         return Pack("ok" if out else "no_evidence", out, bool(failed), failed)
 
 
@@ -176,6 +243,14 @@ def context(found: Sequence[Mapping], budget: int = 2_000, per_source: int = 700
     return "\n\n".join(parts), cut
 
 
+def _seven_keys(told: set[str]) -> list[Column]:
+    """The order of federated results; keys that no source gives do not count."""
+    graph = F.coalesce(F.col("graph_score"), F.lit(0.0)) if "graph_score" in told else F.lit(0.0)
+    order = [F.desc(F.col("score") * (1 + 0.12 * graph)), *[F.desc_nulls_last(c) for c in ("confidence",) if c in told], F.desc("score")]
+    order += [F.desc(graph)] if "graph_score" in told else []
+    return order + [F.col(c) for c in ("source_id", "path", "span_id", "id") if c in told]
+
+
 def federate(results: Mapping[str, DataFrame | Exception], limit: int = 8) -> tuple[DataFrame | None, list[str]]:
     """Search results (id, path, score, ...) of several sources in one order, and the sources that failed.
 
@@ -191,12 +266,52 @@ def federate(results: Mapping[str, DataFrame | Exception], limit: int = 8) -> tu
         union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
     if union is None:
         return None, failed
-    told = set(union.columns)
-    graph = F.coalesce(F.col("graph_score"), F.lit(0.0)) if "graph_score" in told else F.lit(0.0)
-    order = [F.desc(F.col("score") * (1 + 0.12 * graph)), *[F.desc_nulls_last(c) for c in ("confidence",) if c in told], F.desc("score")]
-    order += [F.desc(graph)] if "graph_score" in told else []
-    order += [F.col(c) for c in ("source_id", "path", "span_id", "id") if c in told]
-    return union.orderBy(*order).limit(limit), failed
+    return union.orderBy(*_seven_keys(set(union.columns))).limit(limit), failed
+
+
+@dataclass(frozen=True)
+class Gathered:
+    """Rows of all sources that answered, in one order, and a failure (source, operation, code) for each of the others."""
+
+    rows: list[dict]
+    failures: list[dict]
+
+
+def gather(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], limit: int = 8, deadline: float = DEADLINE, operation: str = "search") -> Gathered:
+    """Search all sources at once under one deadline.
+
+    Each source plans and runs in a thread of its own and gives its best ``limit`` rows, which are put in the order of
+    :func:`federate`. One that fails or is late is told among the failures, without what it said, and leaves the
+    others; its jobs are cancelled. If all fail, that is an error.
+    """
+    end, got, failures = time.monotonic() + deadline, {}, {}
+
+    def ask(name: str, make: Callable[[], DataFrame]) -> None:
+        try:
+            got[name] = within(spark, end, lambda: (lambda df: df.orderBy(*_seven_keys(set(df.columns))).limit(limit).collect())(make()))
+        except Late:
+            failures[name] = "timeout"
+        except Exception:
+            _LOG.exception("source %s failed", name)
+            failures[name] = "source_unavailable"
+
+    threads = [threading.Thread(target=ask, args=x, daemon=True) for x in sources.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()  # each ends with the deadline
+    told = [{"source_id": n, "operation": operation, "code": failures[n]} for n in sorted(failures)]
+    if sources and len(failures) == len(sources):
+        raise AllFailed(f"all sources failed during {operation}: {', '.join(sorted(failures))}")
+    rows = [r.asDict() | {"source_id": n} for n, found in got.items() for r in found]
+    known = {k for r in rows for k in r}
+
+    def key(r: dict) -> tuple:
+        graph, sure = r.get("graph_score") or 0.0, r.get("confidence")
+        last = tuple((r.get(k) is not None, r.get(k)) for k in ("source_id", "path", "span_id", "id") if k in known)
+        return (-r["score"] * (1 + 0.12 * graph), sure is None, -(sure or 0.0), -r["score"], -graph, *last)
+
+    return Gathered(sorted(rows, key=key)[:limit], told)
 
 
 def union_records(sources: Mapping[str, DataFrame]) -> DataFrame:
