@@ -25,13 +25,13 @@ def timed(f):
 
 
 def test_a_slow_reranker_cannot_hold_the_caller(records):
-    engine = search.Engine(records, reranker=lambda q, rows: time.sleep(30) or [0.0] * len(rows))
+    engine = search.Engine(records, reranker=lambda q, rows: time.sleep(600) or [0.0] * len(rows))
     pack, took = timed(lambda: engine.query(search.Request("item33", SCOPE), deadline=0.02))
     assert pack.status == "timeout" and pack.evidence == [] and took < 0.5
     quick = search.Engine(records)
     _, whole = timed(lambda: quick.query(search.Request("item33", SCOPE), deadline=120))
-    pack, took = timed(lambda: engine.query(search.Request("item33", SCOPE), deadline=2 * whole + 2))
-    assert pack.status == "timeout" and pack.evidence == [] and took < 2 * whole + 2.5
+    pack, took = timed(lambda: engine.query(search.Request("item33", SCOPE), deadline=whole + 2))
+    assert pack.status == "timeout" and pack.evidence == [] and took < whole + 3
 
 
 def test_a_late_reranker_is_no_failed_one(records):
