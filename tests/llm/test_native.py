@@ -146,7 +146,7 @@ def test_quality_without_a_class(spark):
 
 def test_sql_of_the_operators(spark, sf):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents"):
+    for t in ("pages", "conversations", "documents", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df, rel = queries.queries()[name](spark, sf), con.sql(sql)
