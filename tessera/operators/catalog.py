@@ -117,7 +117,8 @@ def reusable(scanned: DataFrame, units: DataFrame, same_policy: bool) -> tuple[D
     """
     if not same_policy:
         return scanned, units.where(F.lit(False))
-    kept = units.drop("mtime").join(scanned.select("path", "content_sha256", "mtime"), ["path", "content_sha256"]).select(*units.columns)
+    now = [c for c in ("mtime",) if c in units.columns and c in scanned.columns]  # a file may be touched only
+    kept = units.drop(*now).join(scanned.select("path", "content_sha256", *now), ["path", "content_sha256"]).select(*units.columns)
     return scanned.join(kept.select("path"), "path", "left_anti"), kept
 
 
