@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, numeric, policy, text
-from tessera.operators import catalog, channels, graph, lexical, topics
+from tessera.operators import catalog, channels, graph, lexical, segments, topics
 from tessera.plans import search
 from tessera.plans.inputs import EDGES_SQL, LINKS_SQL, RECORDS_SQL, edges, links, records
 from tessera.plans.registry import query
@@ -154,6 +154,18 @@ def federated_matches(spark, sf_dir):
     return best.select("source_id", "id", "path", "span_id")
 
 
+@query("merged_segments", """WITH old AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q FROM lineitem),
+one AS (SELECT k, n, q * 2 AS q FROM old WHERE k % 7 = 0), two AS (SELECT k, n, q + 1 AS q FROM old WHERE k % 11 = 0 AND k % 3 > 0)
+SELECT k, n, q FROM old WHERE k % 7 > 0 AND k % 11 > 0 UNION ALL SELECT k, n, q FROM one WHERE k % 11 > 0 UNION ALL SELECT k, n, q FROM two""")
+def merged_segments(spark, sf_dir):
+    """Orders kept as a base and two deltas: the first changes some, the second changes some and removes others."""
+    k, q = F.col("k"), F.col("q")
+    old = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
+    keys = old.select("k").distinct()
+    one, two = old.where(k % 7 == 0).withColumn("q", q * 2), old.where((k % 11 == 0) & (k % 3 > 0)).withColumn("q", q + 1)
+    return segments.merged([(old, None), (one, keys.where(k % 7 == 0)), (two, keys.where(k % 11 == 0))], "k")
+
+
 _PROJECT_SQL = """nodes AS (SELECT DISTINCT node, CASE WHEN node % 11 = 0 THEN NULL WHEN node % 13 = 0 THEN '@root:' || node WHEN node < 40 THEN '@topic:pm-skills:a' WHEN node % 4 = 0 THEN '@knowledge:k' || (node % 28) ELSE 'p' || (node % 30) END AS project, CASE WHEN node % 5 = 0 THEN 0.2 ELSE 1.0 END AS weight FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges))"""
 
 
