@@ -141,11 +141,11 @@ def contains_phrase(value: Column, query: str) -> Column:
 
 
 def occurrences(text: Column, term: Column, most: int = 4) -> Column:
-    """How often a term occurs, at word bounds if it is ASCII; at most ``most``."""
+    """How often a term occurs, at word bounds if it is ASCII; at most ``most``, 0 in a null text."""
     quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), term, F.lit(r"\E(?![a-z0-9])"))
     bare = F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
     pattern = F.when(term.rlike("^[\\x00-\\x7f]+$"), quoted).otherwise(bare)
-    return F.least(F.regexp_count(F.lower(text), pattern), F.lit(most))
+    return F.least(F.coalesce(F.regexp_count(F.lower(text), pattern), F.lit(0)), F.lit(most))
 
 
 def term_weight(text: Column, term: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "notes", "graphs", "topics", "streams", "details"]
+MODULES = ["retrieval", "notes", "graphs", "topics", "streams", "details", "profiles"]
 
 
 def load() -> None:

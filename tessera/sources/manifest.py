@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used where a manifest is missing or wrong.
@@ -42,7 +42,7 @@ def check_manifest(value: object) -> str | None:
 
 
 def topics_table(spark: SparkSession, text: str | None) -> tuple[DataFrame, str | None]:
-    """(theme, theme_label, theme_color, topic, label, color, terms) of a manifest's text, and a warning if defaults stand in."""
+    """(theme, theme_label, theme_color, topic, label, color, terms, context_only) of a manifest's text, and a warning if defaults stand in."""
     warning = None
     try:
         value = json.loads(text) if text else None
@@ -51,30 +51,35 @@ def topics_table(spark: SparkSession, text: str | None) -> tuple[DataFrame, str
         warning = f"not JSON: {e}"
     value = DEFAULT_MANIFEST if warning else value
     rows = [
-        (t["key"], t["label"], t["color"].upper(), p["key"], p["label"], (p.get("color") or "").upper() or None, [str(x).lower() for x in p.get("terms") or []])
+        (t["key"], t["label"], t["color"].upper(), p["key"], p["label"], (p.get("color") or "").upper() or None, [str(x).lower() for x in p.get("terms") or []], p.get("context_only") is True)
         for t in value["themes"] for p in t.get("topics") or []
     ]
-    schema = "theme string, theme_label string, theme_color string, topic string, label string, color string, terms array<string>"
+    schema = "theme string, theme_label string, theme_color string, topic string, label string, color string, terms array<string>, context_only boolean"
     return spark.createDataFrame(rows, schema), warning
 
 
 def topic_scores(docs: DataFrame, topics: DataFrame) -> DataFrame:
     """(id, theme, topic, score) of topics with a score of 1 or more; a tag named after the topic adds 12.
 
-    The topic table comes from a manifest; its terms become literals, so documents are scanned once and never multiplied.
+    The topic table comes from a manifest: all its terms are compiled into one matcher, which reads each document once.
+    Topics that are ``context_only`` take no part.
     """
-    from tessera.functions import text
-
-    searchable = F.concat_ws(" ", "title", F.array_join("tags", " "), "content")
-    entries = []
-    for t in topics.collect():  # a manifest's topics
-        score = F.lit(0.0)
-        for term in t["terms"]:
-            score = score + text.term_weight(searchable, F.lit(term))
-        tagged = F.exists("tags", lambda x: text.normalize(F.replace(x, F.lit("-"), F.lit(" "))) == f"knowledge point {t['topic']}".replace("-", " "))
-        entries.append(F.struct(F.lit(t["theme"]).alias("theme"), F.lit(t["topic"]).alias("topic"), (score + F.when(tagged, 12.0).otherwise(0.0)).alias("score")))
-    scored = docs.select("id", F.inline(F.filter(F.array(*entries), lambda e: e["score"] >= 1)))
-    return scored
+    from tessera.functions import terms, text
+
+    searchable = F.lower(F.concat_ws(" ", "title", F.array_join("tags", " "), "content"))
+    side = F.coalesce("context_only", F.lit(False)) if "context_only" in topics.columns else F.lit(False)
+    table = topics.where(~side).select("theme", "topic", "terms").collect()  # a manifest's topics
+    told = [F.struct(F.lit(t["theme"]).alias("theme"), F.lit(t["topic"]).alias("topic"), F.lit(f"knowledge point {t['topic']}".replace("-", " ")).alias("tag")) for t in table]
+    named = F.transform("tags", lambda x: text.normalize(F.replace(x, F.lit("-"), F.lit(" "))))
+    rows = docs.select("id", named.alias("_tags"), terms.weighed(searchable, F.lit(""), [t["terms"] or [] for t in table], 0).alias("_w"))
+    kind = "array<struct<theme:string,topic:string,tag:string>>"
+
+    def entry(t: Column, i: Column) -> Column:
+        score = F.get("_w.scores", i) + F.when(F.array_contains("_tags", t["tag"]), 12.0).otherwise(0.0)
+        return F.struct(t["theme"].alias("theme"), t["topic"].alias("topic"), score.alias("score"))
+
+    scored = F.filter(F.transform(F.array(*told).cast(kind), entry), lambda e: e["score"] >= 1)
+    return rows.select("id", F.inline(scored))
 
 
 def assign_topics(docs: DataFrame, topics: DataFrame) -> DataFrame:
