@@ -25,6 +25,24 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, p, md5(b[p + 1:p + 100]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+starts AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (
+  SELECT doc_id, min(p) AS s, max(p) + 100 AS e
+  FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts) GROUP BY doc_id, run),
+parts AS (
+  SELECT doc_id, s AS pos, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f, s AS t FROM runs
+  UNION ALL SELECT doc_id, octet_length(b), coalesce(e, 0), octet_length(b) FROM d LEFT JOIN (SELECT doc_id, max(e) AS e FROM runs GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(hex(b[f + 1:t]), '' ORDER BY pos) AS kept FROM parts JOIN d USING (doc_id) WHERE f < t GROUP BY 1),
+cut AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)"""
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_rules(spark, URL_RULES))
 
@@ -101,10 +119,36 @@ def op7_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 END),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY 1), counts AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept
+FROM embeddings LEFT JOIN least_of ON least_of.x = vec_id LEFT JOIN counts ON counts.x = vec_id"""
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY 1) ON x = w.doc_id"""
+
+
 def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
 
@@ -201,14 +245,14 @@ FROM positive p JOIN scored n ON p.a = n.a AND NOT n.same AND 80 * p.positive_sc
 QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.vec_id) <= 5"""
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "op1_suffix_dedup": (op1_suffix_dedup, None),
+    "op1_suffix_dedup": (op1_suffix_dedup, OP1_SQL),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_posting_lists": (op4_posting_lists, None),
     "op5_quality": (op5_quality, None),
     "op6_chat_rotation": (op6_chat_rotation, OP6_SQL),
-    "op7_subspace_join": (op7_subspace_join, None),
-    "op8_jaccard": (op8_jaccard, None),
+    "op7_subspace_join": (op7_subspace_join, OP7_SQL),
+    "op8_jaccard": (op8_jaccard, OP8_SQL),
     "op9_rendezvous": (op9_rendezvous, OP9_SQL),
     "op10_sentencepiece": (op10_sentencepiece, None),
     "op11_token_counts": (op11_token_counts, None),
