@@ -78,6 +78,6 @@ def analyse(docs: DataFrame, links: DataFrame, topic_rows: DataFrame, most: int
     legend = graph.legend(assigned.select(F.coalesce("parent", F.lit("@theme:unclassified")).alias("theme"), F.col("label").alias("topic")))
     themes = legend.where((F.col("topic").isNull()) & (F.col("theme") != "@theme:unclassified")).select(F.col("theme").alias("key"), "size", "percentage")
     return Analysis(
-        judged, edges, assigned, communities, hubs, affinity, topics.distinct_labels(topics.community_labels(members, terms)),
+        judged, edges, assigned, communities, hubs, affinity, topics.distinct_labels(topics.community_labels(members, terms, order=[p.lower() for p in priority], by_project=by_project)),
         graph.colorize(edges, affinity, palette, colored), legend, graph.natural_break(themes), graph.cluster_summary(communities, edges, facts.select("node", "display_weight")),
     )

@@ -214,7 +214,8 @@ def communities(edges: DataFrame, part: str | None = None, resolution: float = 1
     """(node, community) by Louvain within each value of ``part`` (a connected part; the whole graph if none).
 
     A part of at most ``LOUVAIN_EDGES`` edges is clustered in one task. A larger one, one at a time, is contracted by
-    :func:`spread_level` until it is that small or no move gains. Communities are numbered from 0 within a part.
+    :func:`spread_level` until it is that small or no move gains, then refined: nodes move once more between the
+    communities found, on the whole graph. Communities are numbered from 0 within a part.
     """
     grouped = edges if part else edges.withColumn("_part", F.lit(0))
     key = part or "_part"
@@ -239,34 +240,49 @@ def communities(edges: DataFrame, part: str | None = None, resolution: float = 1
     return out if part else out.drop("part")
 
 
-def _contracted(edges: DataFrame, resolution: float, in_memory: Callable[[DataFrame], DataFrame], levels: int = 10) -> DataFrame:
+def _contracted(edges: DataFrame, resolution: float, in_memory: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, community) of one graph with too many edges for a task."""
-    owner = None
-    now = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")).checkpoint()
-    for level in range(levels):
-        if now.count() <= LOUVAIN_EDGES:
-            break
+    owner, level = None, 0
+    whole = now = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w")).checkpoint()
+    while now.count() > LOUVAIN_EDGES:  # a level that moves nothing ends it; any other leaves fewer nodes
         label = spread_level(now, level, resolution)
         if label is None:
             break
+        level += 1
         step = label.select(F.col("node").alias("_owner"), F.col("community").alias("_next"))
         owner = (label if owner is None else owner.join(step, F.col("community") == F.col("_owner")).select("node", F.col("_next").alias("community"))).checkpoint()
         now = induced(now, label).checkpoint()
     if now.count() <= LOUVAIN_EDGES:
         final = in_memory(now).select(F.col("node").alias("_owner"), F.col("community").alias("_final"))
     else:  # no move gains any more: number what there is
-        ends = both_ways(now).select("src").distinct().orderBy("src")
-        final = ends.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"_owner {dict(now.dtypes)['src']}, _final long").withColumn("_final", F.col("_final").cast("int"))
+        ends = both_ways(now).select(F.col("src").alias("_owner")).distinct()
+        final = _numbered(ends, "_owner").select("_owner", F.col("n").cast("int").alias("_final"))
     if owner is None:
         return final.select(F.col("_owner").alias("node"), F.col("_final").alias("community"))
-    return owner.join(final, F.col("community") == F.col("_owner")).select("node", F.col("_final").alias("community"))
+    placed = owner.join(final, F.col("community") == F.col("_owner")).select("node", F.col("_final").alias("community")).checkpoint()
+    refined = spread_level(whole, level, resolution, passes=8, start=placed)
+    if refined is None:
+        return placed
+    place = _numbered(refined.select("community").distinct(), "community").withColumnRenamed("n", "_n")  # some may have lost all their nodes
+    return refined.join(place, "community").select("node", F.col("_n").cast("int").alias("community"))
+
 
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) with n from 0 in the order of a key without repeats, by counts per range of a stored copy."""
+    ranged = df.repartitionByRange(key).withColumn("_r", F.spark_partition_id()).checkpoint()
+    before = F.sum("c").over(Window.orderBy("_r")) - F.col("c")  # one row per range
+    offset = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("c")).select("_r", before.alias("o"))
+    return ranged.join(F.broadcast(offset), "_r").select(key, (F.col("o") + F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1).alias("n"))
 
-def spread_level(edges: DataFrame, level: int = 0, resolution: float = 1.0, passes: int = 20) -> DataFrame | None:
-    """(node, community) after one Louvain level of moves in parallel; null if none gains. Communities bear a node's name.
+
+def spread_level(edges: DataFrame, level: int = 0, resolution: float = 1.0, passes: int = 20, start: DataFrame | None = None) -> DataFrame | None:
+    """(node, community) after one Louvain level of moves in parallel; null if none gains.
+
+    Communities bear a node's name, or those of ``start`` (node, community), from which the moves then set out.
 
     In each pass a coin of every community says whether its nodes may leave or others may join, so no two swap. Nodes
     that join together may be too many: a pass that lowers the modularity is undone, and fewer nodes move in the next.
+    Passes end when five were undone, or when in five together nothing moved or the modularity rose by less than 1e-4.
     """
     both = both_ways(edges)
     near = both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")).checkpoint()
@@ -280,8 +296,8 @@ def spread_level(edges: DataFrame, level: int = 0, resolution: float = 1.0, pass
         held = label.groupBy("community").agg(F.sum("k").alias("h")).agg(F.sum(F.col("h") * F.col("h"))).first()[0]
         return (inner + 2 * loops) / total - resolution * held / total**2
 
-    label = degree.select("node", F.col("node").alias("community"), "k")
-    now, moved, failed = quality(label), False, 0
+    label = degree.select("node", F.col("node").alias("community"), "k") if start is None else degree.join(start, "node").select("node", "community", "k").checkpoint()
+    now, moved, failed, idle = quality(label), False, 0, 0
     for p in range(passes):
         votes = near.join(label.select(F.col("node").alias("dst"), F.col("community").alias("c")), "dst").select(F.col("src").alias("node"), "c", "w")
         votes = votes.unionByName(label.select("node", F.col("community").alias("c"), F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("v"))
@@ -296,14 +312,19 @@ def spread_level(edges: DataFrame, level: int = 0, resolution: float = 1.0, pass
             F.first("community").alias("community"), F.first("k").alias("k"), F.max(F.when(own, F.col("g"))).alias("stay"),
             F.max(F.when(joins, F.col("g"))).alias("top"), F.min_by("c", F.when(joins, F.struct(-F.col("g"), F.col("c")))).alias("to"),
         )
-        new = best.select("node", F.when(F.col("top") > F.col("stay") + 1e-12, F.col("to")).otherwise(F.col("community")).alias("community"), "k").checkpoint()
-        q = quality(new)
-        if q > now + 1e-12:
-            label, now, moved, failed = new, q, True, 0
+        shifts = F.coalesce(F.col("top") > F.col("stay") + 1e-12, F.lit(False))
+        new = best.select("node", F.when(shifts, F.col("to")).otherwise(F.col("community")).alias("community"), "k", shifts.alias("shifts")).checkpoint()
+        if new.where("shifts").isEmpty():
+            idle += 1
         else:
-            failed += 1
-            if failed == 5:
-                break
+            q = quality(new)
+            if q > now + 1e-12:
+                idle = idle + 1 if q < now + 1e-4 else 0
+                label, now, moved, failed = new.drop("shifts"), q, True, 0
+            else:
+                failed += 1
+        if idle == 5 or failed == 5:
+            break
     return label.select("node", "community") if moved else None
 
 
@@ -556,6 +577,19 @@ def cluster_summary(assigned: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     return rows.where("community >= 0").groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.sum(seen.cast("long")).alias("visible"), F.sum(F.coalesce("degree", F.lit(0.0))).alias("degree"))
 
 
+def cluster_parents(assigned: DataFrame, parents: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(parent, size, visible, communities): clusters rolled up by the parent that over half of their nodes have.
+
+    ``parents`` has node and parent (null: none); ``clusters`` is :func:`cluster_summary`'s. Clusters without such a
+    parent are left out.
+    """
+    held = assigned.where("community >= 0").join(parents, "node", "left").groupBy("community", "parent").agg(F.count(F.lit(1)).alias("n"))
+    whole = held.groupBy("community").agg(F.sum("n").alias("all"), F.max(F.struct("n", "parent")).alias("m"))
+    own = whole.where((F.col("m.n") * 2 > F.col("all")) & F.col("m.parent").isNotNull()).select("community", "m.parent")
+    rolled = clusters.join(own, "community").groupBy("parent")
+    return rolled.agg(F.sum("size").alias("size"), F.sum("visible").alias("visible"), F.array_sort(F.collect_list("community")).alias("communities"))
+
+
 def modularity(src: Iterable, dst: Iterable, w: Iterable[float], group: dict, resolution: float = 1.0) -> float:
     """Quality of a partition, for tests and reports on graphs in memory."""
     inner, degree, total = 0.0, {}, 0.0

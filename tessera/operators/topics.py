@@ -59,21 +59,25 @@ def visibility_weights(docs: DataFrame) -> DataFrame:
     return both.select("id", pick(0).alias("display_weight"), pick(1).alias("community_weight"), F.when(~F.col("supporting") & later, F.col("first")).alias("duplicate_of"))
 
 
-def community_labels(members: DataFrame, terms: DataFrame, most: int = 4) -> DataFrame:
+def community_labels(members: DataFrame, terms: DataFrame, most: int = 4, order: Sequence[str] = (), by_project: bool = True) -> DataFrame:
     """(community, label, keywords): the project of 15 % of a community's members (two at least), else its best term.
 
     ``members`` has community, node, project (null: none) and priority (an array of matched priority keywords);
-    ``terms`` has node, term, w. A priority keyword of 25 % of the members goes before the best term.
+    ``terms`` has node, term, w. A priority keyword of 25 % of the members (two at least) goes before the best term, and
+    before the project, too, unless ``by_project``. Keywords rank as in ``order``, others after them by members. (Only
+    the first keyword is ever tried, so a second bound of 55 % for it would decide nothing.)
     """
     sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
     least = lambda share: F.greatest(F.lit(2), F.ceil(F.col("n") * share))
-    by_score = lambda s: Window.partitionBy("community").orderBy(F.desc(s), "term")
+    place = F.array_position(F.array(*map(F.lit, order)).cast("array<string>"), F.col("term"))
+    first = F.when((F.col("kind") == 2) & (place > 0), place).otherwise(len(order) + 1)
+    by_score = Window.partitionBy("community").orderBy(first, F.desc("s"), "term")
     project = members.where("project is not null").groupBy("community", F.col("project").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("s"))
     prior = members.select("community", F.explode("priority").alias("term")).groupBy("community", "term").agg(F.count(F.lit(1)).cast("double").alias("s"))
     words = members.select("community", "node").join(terms, "node").groupBy("community", "term").agg(F.sum("w").alias("s"))
     ranked = None
     for kind, df in ((0, project), (1, words), (2, prior)):
-        part = df.withColumn("r", F.row_number().over(by_score("s"))).where(F.col("r") <= most + 1).withColumn("kind", F.lit(kind))
+        part = df.withColumn("kind", F.lit(kind)).withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= most + 1)
         ranked = part if ranked is None else ranked.unionByName(part)
     best = ranked.join(sizes, "community")
     chosen = best.where("r = 1").groupBy("community").agg(
@@ -81,7 +85,7 @@ def community_labels(members: DataFrame, terms: DataFrame, most: int = 4) -> Dat
         F.max(F.when((F.col("kind") == 2) & (F.col("s") >= least(0.25)), F.col("term"))).alias("b"),
         F.max(F.when(F.col("kind") == 1, F.col("term"))).alias("c"),
     )
-    label = F.coalesce("a", "b", "c", F.lit("Community"))
+    label = F.coalesce(*("ab" if by_project else "ba"), "c", F.lit("Community"))
     words_of = ranked.groupBy("community").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("kind", "r", "term"))), lambda x: x["term"])).alias("all"))
     return sizes.select("community").join(chosen, "community", "left").join(words_of, "community", "left").select("community", label.alias("label"), F.slice(F.filter(F.coalesce("all", F.array().cast("array<string>")), lambda t: t != label), 1, most).alias("keywords"))
 

@@ -158,6 +158,18 @@ def community_summary(spark, sf_dir):
     return graph.cluster_summary(a, e, a.select("node", (F.col("node") % 10 / 10.0).alias("display_weight")))
 
 
+@query("cluster_parents", f"""WITH {EDGES_SQL}, {_ASSIGN}, c AS (SELECT community, count(*) AS size, count(*) FILTER (node % 10 / 10.0 >= 0.2) AS visible FROM assigned GROUP BY 1),
+h AS (SELECT community, CASE WHEN node % 5 <= community % 5 THEN 't' || (community % 3) END AS parent, count(*) AS n FROM assigned GROUP BY 1, 2)
+SELECT parent, sum(size) AS size, sum(visible) AS visible, array_to_string(list(community ORDER BY community), ',') AS communities FROM h JOIN c USING (community) WHERE parent IS NOT NULL AND n * 2 > size GROUP BY 1""")
+def cluster_parents(spark, sf_dir):
+    e, n, c = edges(spark, sf_dir), F.col("node"), F.col("community")
+    a = _assigned(e)
+    summary = graph.cluster_summary(a, e, a.select("node", (n % 10 / 10.0).alias("display_weight")))
+    parents = a.select("node", F.when(n % 5 <= c % 5, F.concat(F.lit("t"), (c % 3).cast("string"))).alias("parent"))
+    got = graph.cluster_parents(a, parents, summary)
+    return got.select("parent", "size", "visible", F.array_join(F.col("communities").cast("array<string>"), ",").alias("communities"))
+
+
 @query("consolidated_communities", f"""WITH {EDGES_SQL}, assigned AS (SELECT DISTINCT node, CAST(node % 30 AS INTEGER) AS community FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)), {_HUBS},
 sized AS (SELECT community, sum(degree) AS score, count(*) AS n FROM assigned JOIN deg USING (node) GROUP BY 1), kept AS (SELECT community, row_number() OVER (ORDER BY score DESC, n DESC, community) - 1 AS final FROM sized WHERE n >= 2 QUALIFY final < 12),
 ties AS (SELECT a.community, k.final, sum(w) AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges) e JOIN assigned a ON a.node = src JOIN assigned b ON b.node = dst JOIN kept k ON k.community = b.community WHERE a.community <> b.community GROUP BY 1, 2),

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import terms, text
+from tessera.operators import graph, topics
 from tessera.sources import manifest, taxonomy
 
 
@@ -65,3 +66,19 @@ def test_a_manifest_of_many_topics_is_one_pass(spark):
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 3 and "RegExpCount" not in plan
     assert [x["key"] for x in p.first()["points"]] == ["k599", "k7"]
+
+
+def test_labels_follow_the_order_of_keywords_and_projects(spark):
+    members = spark.createDataFrame([(0, n, "p" if n < 2 else None, ["often", "told"] if n < 6 else ["often"]) for n in range(8)], "community int, node int, project string, priority array<string>")
+    none = spark.createDataFrame([], "node int, term string, w double")
+    label = lambda **k: topics.community_labels(members, none, **k).first()["label"]
+    assert label() == "p" and label(by_project=False) == "often" and label(by_project=False, order=["told"]) == "told"
+    assert topics.community_labels(members.where("node = 0"), none).first()["label"] == "Community"
+
+
+def test_parents_need_more_than_half(spark):
+    assigned = spark.createDataFrame([(n, n // 4) for n in range(12)] + [(99, -1)], "node int, community int")
+    parents = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (4, "a"), (5, "a"), (8, "a"), (9, "a"), (10, "a"), (11, "a")], "node int, parent string")
+    clusters = graph.cluster_summary(assigned, spark.createDataFrame([(0, 1, 1.0)], "src int, dst int, w double"), spark.createDataFrame([(3, 0.1)], "node int, display_weight double"))
+    got = graph.cluster_parents(assigned, parents, clusters).collect()
+    assert [(r["parent"], r["size"], r["visible"], r["communities"]) for r in got] == [("a", 8, 7, [0, 2])]
