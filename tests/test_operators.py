@@ -158,7 +158,12 @@ def test_louvain_above_the_bound_of_a_task(spark, monkeypatch):
     want = graph.modularity(*zip(*edges), graph.louvain(*zip(*edges)))
     df = spark.createDataFrame([("p", *e) for e in edges] + [("q", 100, 101, 1.0)], "part string, src long, dst long, w double")
     monkeypatch.setattr(graph, "LOUVAIN_EDGES", len(edges) // 2)
-    rows = graph.communities(df, "part").collect()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # many small jobs
+    try:
+        rows = graph.communities(df, "part").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     got = {r["node"]: r["community"] for r in rows if r["part"] == "p"}
     assert len(rows) == len({r["node"] for r in rows}) == len(got) + 2 and set(got.values()) == set(range(len(set(got.values()))))
     assert graph.modularity(*zip(*edges), got) >= 0.98 * want
