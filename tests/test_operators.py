@@ -180,6 +180,18 @@ def test_refinement_moves_a_node_that_was_placed_wrong(spark):
     assert graph.spread_level(df, start=right) is None
 
 
+def test_moves_of_a_block_are_weighed_in_arrays():
+    import pandas as pd
+
+    # a and b are tied to each other's community by 3 and to c's by 1; c's is not open, d is not free
+    told = [("a", "A", 4.0, 4.0, False, True), ("b", "B", 4.0, 4.0, True, True), ("c", "C", 2.0, 2.0, False, True), ("d", "D", 1.0, 1.0, False, False)]
+    rows = [(*t, False) for t in told] + [(*t, True) for t in told if t[0] in "ad"]
+    told = pd.DataFrame(rows, columns=["node", "community", "k", "held", "open", "free", "own"])
+    ends = pd.DataFrame([("a", "b", 1.0), ("a", "b", 2.0), ("a", "c", 1.0), ("d", "b", 1.0)], columns=["src", "dst", "w"])
+    got = graph._moves(ends, told, 1.0, 10.0).set_index("node")
+    assert got["community"].to_dict() == {"a": "B", "d": "D"} and got["shifts"].to_dict() == {"a": True, "d": False} and got["v"].to_dict() == {"a": 0.0, "d": 0.0}
+
+
 def test_ring_and_affinity(spark):
     ring = graph.ring_edges(spark.createDataFrame([("g", i) for i in range(5)] + [("h", 9)], "grp string, node long")).collect()
     assert len(ring) == 10 and all(r["src"] < r["dst"] for r in ring)
