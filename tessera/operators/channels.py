@@ -107,12 +107,12 @@ def dense(vectors: DataFrame, query: Sequence[float], floor: float = DENSE_FLOOR
 def hashed_vectors(df: DataFrame, id_col: str, tokens: Column, dims: int = 384) -> DataFrame:
     """(id, slot, value): unit feature-hash vectors as sparse rows, ``sum of sign * (1 + ln tf)`` over terms.
 
-    Terms are hashed once per distinct term.
+    Terms are hashed once per distinct term. Sums by slot and norms share one shuffle by id.
     """
     tf = df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     slot, sign = ids.feature_slot(F.col("term"), dims)
     coded = tf.select("term").distinct().select("term", slot.alias("slot"), sign.alias("sign"))
-    rows = tf.join(coded, "term").groupBy("id", "slot").agg(F.sum(F.col("sign") * (1 + F.log("tf"))).alias("value")).where("value <> 0")
+    rows = tf.join(coded, "term").select("id", "slot", "sign", "tf").repartition("id").groupBy("id", "slot").agg(F.sum(F.col("sign") * (1 + F.log("tf"))).alias("value")).where("value <> 0")
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id")))
     return rows.select("id", "slot", (F.col("value") / norm).alias("value"))
 

@@ -253,3 +253,14 @@ def test_streams(spark, sf, tmp_path):
     assert got == [5]
     rate = spark.createDataFrame([(1, 0), (1, 30), (1, 59), (1, 70), (2, 5)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
     assert sorted((r["user_id"], r["n"], r["refused"]) for r in ingest.rate_windows(rate, 60, 2).collect()) == [(1, 1, 0), (1, 3, 1), (2, 1, 0)]
+
+
+def test_hashed_vectors_share_a_shuffle_for_slots_and_norms(spark):
+    from tessera.operators import channels
+
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["b"]), (2, ["c"])], "id long, t array<string>")
+    got = channels.hashed_vectors(df, "id", F.col("t"), 64)
+    rows = got.collect()
+    assert {r["id"] for r in rows} == {1, 2} and all(abs(sum(r["value"] ** 2 for r in rows if r["id"] == i) - 1) < 1e-12 for i in (1, 2))
+    shuffles = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert any("hashpartitioning(id#" in x for x in shuffles) and not any("slot#" in x.split("hashpartitioning")[1] for x in shuffles)
