@@ -32,30 +32,58 @@ def quarantine(df: DataFrame, control: DataFrame, hashes: Sequence[str]) -> Data
     return out
 
 
+def _bands(n: Column, at_least: float) -> Column:
+    """Bands of sizes, such that the sizes of two sets that are ``at_least`` as similar lie in one band or in neighbours."""
+    return F.floor(F.log(n) / F.lit(_band_width(at_least))).cast("long")
+
+
+def _band_width(at_least: float) -> float:
+    return max(-math.log(at_least) * (1 + 1e-9), 1e-9)
+
+
+def _signatures(s: Column, band: Column, at_least: float) -> Column:
+    """Hashes of the buckets of a sorted set of 64-bit hashes, in a number of buckets that is fixed by the band.
+
+    Where the smaller of two similar sets lies in the band, fewer elements than there are buckets are in only one of
+    them, so the two agree in a bucket. An empty bucket counts, too.
+    """
+    apart = (1 - at_least) / at_least * F.exp(F.lit(_band_width(at_least)) * (band + 1))
+
+    def of(v: Column) -> Column:
+        m, s = v["m"], v["s"]
+        bucket = lambda h: F.shiftright((F.shiftright(h, 33) + (1 << 30)) * m, 31)
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (bucket(F.get(s, i - 1)) != bucket(F.get(s, F.greatest(i - 2, F.lit(0))))))
+        full = lambda at: F.transform(at, lambda p, j: F.xxhash64(v["band"], F.slice(s, p, F.coalesce(F.get(at, j + 1), F.size(s) + 1) - p)))
+        held = F.transform(starts, lambda p: bucket(F.get(s, p - 1)))
+        empty = F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), m - 1), held), lambda b: F.xxhash64(v["band"], m, b))
+        return F.concat(text.let(starts, full), empty)
+
+    return text.let(F.struct(s.alias("s"), band.alias("band"), (F.floor(apart + 1e-6) + 1).cast("long").alias("m")), of)
+
+
+def close_candidates(classes: DataFrame, at_least: float) -> DataFrame:
+    """(x_id, y_id), among them all pairs of sets (id, s: sorted 64-bit hashes) that are at least so similar."""
+    band = _bands(F.size("s"), at_least)
+    # explode_outer, as the filter that Spark infers from explode would reach below the shuffle and make it another one
+    slim = classes.select("id", F.size("s").alias("n"), F.explode_outer(F.concat(_signatures(F.col("s"), band, at_least), _signatures(F.col("s"), band - 1, at_least))).alias("h"))
+    x, y = (slim.select(*[F.col(c).alias(f"{p}_{c}") for c in slim.columns]) for p in "xy")
+    near = (F.col("x_id") < F.col("y_id")) & (F.least("x_n", "y_n") >= at_least * F.greatest("x_n", "y_n") - 1e-9)
+    return x.join(y, (F.col("x_h") == F.col("y_h")) & near).select("x_id", "y_id").distinct()
+
+
 def close_pairs(df: DataFrame, id_col: str, tokens: Column, at_least: float = 0.92, width: int = 3) -> DataFrame:
     """(a, b, similarity) of records whose word-shingle sets are at least so similar.
 
-    Sets are hashed; two such sets share one of their first few hashes, and records with equal sets are compared
-    once, as (least id of the set, other id), and as class pairs.
+    Sets are hashed and cut into so many buckets that two such sets agree in one (after PartEnum, Arasu et al., 2006).
+    A bucket holds about ``at_least / (1 - at_least)`` shingles, so a passage that many records share brings together
+    only those that hold little else. Records with equal sets are compared once, as (least id of the set, other id), and as class pairs.
     """
     sets = df.select(F.col(id_col).alias("id"), F.sort_array(F.transform(text.shingles(tokens, width), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
     # one shuffle of the sets, which all that follows reads
     seen = sets.select("id", "s", F.min("id").over(Window.partitionBy(F.xxhash64("s"), "s")).alias("first"))
     classes = seen.where("id = first").select("id", "s")
     copies = seen.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    n = F.size("s")
-    front = classes.select("id", n.alias("n"), "s", F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(F.lit(at_least) * n) + 1).cast("int"))).alias("pos", "h"))
-    # sizes of close sets lie in neighbouring bands, so a frequent hash is shared by a band's records at most
-    band = F.floor(F.log("n") / F.lit(-math.log(at_least) if at_least < 1 else 1e-9)).cast("long")
-    slim = front.select("id", "n", "pos", "h", band.alias("band"))
-    x, y = (slim.select(*[F.col(c).alias(f"{p}_{c}") for c in slim.columns]) for p in "xy")
-    y = y.withColumn("y_band", F.explode(F.array(F.col("y_band") - 1, F.col("y_band"), F.col("y_band") + 1)))
-    overlap = F.lit(at_least / (1 + at_least)) * (F.col("x_n") + F.col("y_n"))
-    room = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
-    near = (F.col("x_id") < F.col("y_id")) & (F.least("x_n", "y_n") >= at_least * F.greatest("x_n", "y_n") - 1e-9)
-    # a pair is counted at every shared front hash; the first one bounds what the sets can share
-    pairs = x.join(y, (F.col("x_h") == F.col("y_h")) & (F.col("x_band") == F.col("y_band")) & near).groupBy("x_id", "y_id").agg(F.max(room).alias("room"), F.min(overlap).alias("need"), F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.where(F.col("room") + 1e-9 >= F.col("need")).select("x_id", "y_id")
+    pairs = close_candidates(classes, at_least)
     full = lambda c: classes.select(F.col("id").alias(f"{c}_id"), F.col("s").alias(f"{c}_s"))
     both = pairs.join(full("x"), "x_id").join(full("y"), "y_id")
     scored = both.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), text.jaccard(F.col("x_s"), F.col("y_s")).alias("similarity")).where(F.col("similarity") >= at_least)

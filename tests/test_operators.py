@@ -133,6 +133,18 @@ def test_close_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_close_candidates_of_a_common_passage(spark):
+    # 1,000 shingles that all hold, 2,000 of their own: similarity 0.2; some near copies of the first record
+    common, own = list(range(1000)), lambda i: [10_000 * (i + 1) + j for j in range(2000)]
+    rows = [(i, common + own(i)) for i in range(60)] + [(100 + i, (common + own(0))[i * 30 :]) for i in range(1, 7)]
+    sets = spark.createDataFrame(rows, "id long, s array<long>").select("id", F.sort_array(F.transform("s", lambda h: F.xxhash64(h))).alias("s"))
+    got = {tuple(r) for r in dedup.close_candidates(sets, 0.92).collect()}
+    held = {i: set(s) for i, s in rows}
+    close = {(i, j) for i in held for j in held if i < j and len(held[i] & held[j]) / len(held[i] | held[j]) >= 0.92}
+    assert len(close) >= 15 and close <= got
+    assert len(got) < 150  # of 2,145 pairs
+
+
 def clique(nodes, w=1.0):
     return [(a, b, w) for i, a in enumerate(nodes) for b in nodes[:i]]
 
