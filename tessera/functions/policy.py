@@ -48,6 +48,7 @@ SUPPORT_NAMES = ["history", "changelog", "contributing", "code_of_conduct", "pri
 _GRAPH_REASON = r"(?i)generated|system|duplicate|navigation|empty|index|自动生成|生成|系统|重复|副本|导航|空|索引"
 _NAV_NAME = r"(?i)readme|index|dashboard|homepage|overview|contents|目录|索引|导航|首页|总览|概览"
 _KEPT = r"[^0-9A-Za-z㐀-鿿]+"
+_LETTER = r"[0-9A-Za-z㐀-鿿]"
 
 
 def scalar(front: Column, key: str) -> Column:
@@ -82,7 +83,7 @@ def priority(scope: Column) -> Column:
 
 
 def has_body(body: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", " "), _KEPT, "")) > 0
+    return F.regexp_replace(body, r"(?s)<!--.*?-->", " ").rlike(_LETTER)
 
 
 def link_count(body: Column) -> Column:
@@ -98,10 +99,10 @@ def prose_length(body: Column) -> Column:
 
 
 def is_link_list(body: Column) -> Column:
-    """Links with hardly any prose."""
-    facts = F.struct(link_count(body).alias("links"), prose_length(body).alias("prose"), F.greatest(F.length(F.regexp_replace(body, _KEPT, "")), F.lit(1)).alias("whole"))
-    few = lambda x: (x["prose"] < 16) | ((x["links"] >= 3) & ((x["prose"] < 180) | (x["prose"] / x["whole"] < 0.16)))
-    return let(facts, lambda x: (x["links"] > 0) & few(x))
+    """Links with hardly any prose; the prose of a text without links is not measured."""
+    whole = F.greatest(F.length(F.regexp_replace(body, _KEPT, "")), F.lit(1))
+    few = lambda n: let(prose_length(body), lambda prose: (prose < 16) | ((n >= 3) & ((prose < 180) | (prose / whole < 0.16))))
+    return let(link_count(body), lambda n: F.when(n > 0, few(n)).otherwise(n > 0))
 
 
 def is_navigation(path: Column, title: Column, tags: Column, kind: Column, body: Column) -> Column:

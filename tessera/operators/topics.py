@@ -38,12 +38,12 @@ def effective(docs: DataFrame) -> DataFrame:
 
     ``docs`` has id, path, content, graph_exclude and graph_exclude_reason.
     """
-    from tessera.operators.dedup import duplicates
-
     judged = docs.select("id", F.sha2(text.canonical_content(F.col("content")), 256).alias("key"), exclusion_reason(F.col("path"), F.col("content"), F.col("graph_exclude"), F.col("graph_exclude_reason")).alias("reason"))
-    copies = duplicates(judged.where("reason is null"), F.col("key"), [], "id")
-    out = judged.join(copies, "id", "left")
-    return out.select("id", F.coalesce("reason", F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate of "), F.col("duplicate_of").cast("string")))).alias("reason"))
+    # each text is judged once; excluded documents are spread by their ids
+    key = F.when(F.col("reason").isNull(), F.col("key"))
+    first = F.min_by("id", F.struct("id")).over(Window.partitionBy(key, F.when(key.isNull(), F.col("id"))))
+    copy = F.when(first != F.col("id"), F.concat(F.lit("duplicate of "), first.cast("string")))
+    return judged.select("id", F.coalesce("reason", copy).alias("reason"))
 
 
 def visibility_weights(docs: DataFrame) -> DataFrame:

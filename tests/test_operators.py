@@ -145,6 +145,16 @@ def test_close_candidates_of_a_common_passage(spark):
     assert len(got) < 150  # of 2,145 pairs
 
 
+def test_effective_documents_are_judged_once(spark):
+    from tessera.operators import topics
+
+    rows = [(2, "c/a.md", "same text"), (1, "c/b.md", "same text \n"), (1, "c/d.md", "same text"), (3, "c/README.md", "same text"), (4, "c/e.md", " -- "), (5, "c/f.md", "[a](b) ok"), (None, "c/g.md", "of its own")]
+    df = spark.createDataFrame([(*r, False, None) for r in rows], "id long, path string, content string, graph_exclude boolean, graph_exclude_reason string")
+    out = topics.effective(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, None), (1, None), (2, "duplicate of 1"), (3, "README document"), (4, "empty document"), (5, "link-only navigation document"), (None, None)], key=str)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def clique(nodes, w=1.0):
     return [(a, b, w) for i, a in enumerate(nodes) for b in nodes[:i]]
 
