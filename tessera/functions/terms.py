@@ -6,10 +6,12 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import in_slices
+
 MOST = 4  # occurrences of a term that count
 EVIDENCE = 8
 WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -83,10 +85,15 @@ def weighed(text: Column, whole: Column, groups: Sequence[Sequence[str]], lists:
     """
     fixed = tuple(tuple(g) for g in groups)
 
-    @F.pandas_udf(_SHAPE)
-    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_SHAPE)
+    def f(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m = _matcher(fixed)
         for s, w in batches:
-            yield pd.DataFrame({"scores": [m.scores(x or "") for x in s], "evidence": [m.evidence(x or "", lists) for x in w]})
+            parts = []
+            for at in in_slices(len(s)):
+                scores = pa.array([m.scores(x or "") for x in s[at].to_pylist()], pa.list_(pa.float64()))
+                evidence = pa.array([m.evidence(x or "", lists) for x in w[at].to_pylist()], pa.list_(pa.list_(pa.string())))
+                parts.append(pa.StructArray.from_arrays([scores, evidence], ["scores", "evidence"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct({"scores": pa.list_(pa.float64()), "evidence": pa.list_(pa.list_(pa.string()))}))
 
     return f(text, whole)

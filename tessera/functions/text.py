@@ -6,8 +6,10 @@ Lengths and places count code points. NFKC is applied where ``compat`` asks for
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,19 @@ SHELL_WORDS = ["about", "find", "locate", "lookup", "please", "show", "tell"]
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
+#: Texts of an Arrow batch that are Python values at a time; a batch has as many rows as the session says, however long.
+AT_ONCE = 64
+
+
+def in_slices(rows: int) -> Iterator[slice]:
+    return (slice(at, at + AT_ONCE) for at in range(0, rows, AT_ONCE))
+
+
 def _normal(form: str):
-    @F.pandas_udf("string")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+    @F.arrow_udf("string")
+    def f(s: pa.Array) -> pa.Array:
+        parts = [pa.array([None if x is None else unicodedata.normalize(form, x) for x in s[at].to_pylist()], pa.string()) for at in in_slices(len(s))]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return f
 

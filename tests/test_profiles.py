@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,16 @@ def test_scores_equal_the_column_of_each_term(spark):
         assert row["w"]["scores"] == [row["e0"], row["e1"], row["e2"]] and len(row["w"]["evidence"]) == 1
 
 
+def test_few_texts_are_python_values_at_a_time(spark):
+    texts = [None if i % 50 == 3 else "ﬁrst ﾃｽﾄ " * (i % 7) + ("alpha " * (i % 5)) for i in range(3 * text.AT_ONCE + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = df.select("i", text.nfkc(F.col("t")).alias("n"), terms.weighed(F.col("t"), F.col("t"), [["alpha"]], 1).alias("w")).orderBy("i").collect()
+    m = terms.Matcher([["alpha"]])
+    assert [r["n"] for r in got] == [x and unicodedata.normalize("NFKC", x) for x in texts]
+    assert [(r["w"]["scores"], r["w"]["evidence"]) for r in got] == [(m.scores(x or ""), m.evidence(x or "", 1)) for x in texts]
+    assert max(s.stop - s.start for s in text.in_slices(len(texts))) == text.AT_ONCE and not list(text.in_slices(0))
+
+
 def test_context_only_topics_and_evidence(spark):
     themes = [{"key": "t", "label": "T", "color": "#000000", "topics": [
         {"key": "side", "label": "Side", "terms": ["kept aside"], "context_only": True}, {"key": "main", "label": "Main", "terms": ["chief", "first", "leading"]},
