@@ -7,7 +7,9 @@ are found by best-first search over an in-memory neighbour graph of at most ``MO
 that is sent to all tasks. A query reads the lists whose centroid lies within a ratio of its least distance. The ratio
 is fitted on the sample: it reaches a list of ``TARGET`` of the true neighbours of ``PROBED`` sample vectors among
 the sample. If the lists read hold fewer than ``LEAST`` vectors, further lists are read in order of distance, to the last one if need be,
-so that a query gets ``k`` neighbours wherever there are so many.
+so that a query gets ``k`` neighbours wherever there are so many. Lists are read in rounds, each some times the lists
+before it: a list of a later round returns no vector that is farther than the ``k`` nearest found so far, so that what
+a query's lists return hardly grows with their number.
 
 Lists are cut into pieces of at most ``PIECE_ROWS`` vectors, so that neither a common vector nor a dense region is one
 task. Distances are computed on the original vectors in double precision.
@@ -46,6 +48,8 @@ QUERY_ROWS = 1024
 DEGREE = 24
 #: Lists that a query's search asks for at first.
 FIRST_LISTS = 32
+#: Rounds of reading: a query's nearest so many lists, then up to so many; later ones return only what is near enough.
+ROUNDS = (16, 256)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,7 +184,7 @@ def _assign(graph: CentroidGraph):
 
 
 def _probe(graph: CentroidGraph, held: np.ndarray, ratio: float):
-    """(list, query_id, query_row, q) for each list that a query reads; ``held`` counts the vectors at home in a list."""
+    """(list, round, query_id, query_row, q) for each list that a query reads; ``held`` counts the vectors at home in a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,31 +200,33 @@ def _probe(graph: CentroidGraph, held: np.ndarray, ratio: float):
                     ready = ~read[:, -1] | (width >= len(graph.centroids))
                     r, j = np.nonzero(read & ready[:, None])
                     take = pa.array(todo[r])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), part.column(1).take(take), part.column(2).take(take), part.column(3).take(take)], names=["list", "query_id", "query_row", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), pa.array(np.searchsorted(ROUNDS, j, side="right").astype(np.int32)), *[part.column(c).take(take) for c in (1, 2, 3)]], names=["list", "round", "query_id", "query_row", "q"])
                     todo, width = todo[~ready], width * 4
 
     return run
 
 
 def _scan(k: int):
-    """The nearest ``k`` of a piece of a list for each of its queries."""
+    """The nearest ``k`` of a piece of a list for each of its queries, none farther than the query's bound."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         which, chosen, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(queries) and len(rows):
             y, row = matrix(rows["v"]), rows["row"].to_numpy()
             known, ids = rows["known"].to_numpy(), rows["vec_id"].to_numpy()
-            x, own = matrix(queries["q"]), queries["query_row"].to_numpy()
+            x, own, bound = matrix(queries["q"]), queries["query_row"].to_numpy(), queries["bound"].to_numpy()
             last = min(k, len(y) - 1)
             for at in range(0, len(x), 256):
                 # one product ranks the piece; what may be among the nearest is measured again, exactly
                 near = (x[at : at + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[at : at + 256] @ y.T
                 near[own[at : at + 256][:, None] == row] = np.inf
                 slack = 1e-9 * (1 + (x[at : at + 256] ** 2).sum(1) + (y**2).sum(1).max())
-                q, c = np.nonzero(near <= (np.partition(near, last, axis=1)[:, last] + slack)[:, None])
+                q, c = np.nonzero(near <= (np.minimum(np.partition(near, last, axis=1)[:, last], bound[at : at + 256] ** 2) + slack)[:, None])
                 mine = own[at + q] != row[c]
                 q, c = q[mine] + at, c[mine]
                 d = np.concatenate([np.sqrt(((x[q[i : i + 8192]] - y[c[i : i + 8192]]) ** 2).sum(1)) for i in range(0, len(q), 8192)] or [np.zeros(0)])
+                within = d <= bound[q]
+                q, c, d = q[within], c[within], d[within]
                 order = np.lexsort((row[c], ids[c], known[c], d, q))
                 q, c, d = q[order], c[order], d[order]
                 first = np.searchsorted(q, q)  # each query's best k
@@ -255,18 +261,32 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     for r in count.collect():  # at most MOST_LISTS rows
         held[r["list"]] = r["home"]
     queries = numbers.where(F.col("known") & (F.col("vec_id") % every == 0))
-    probes = scratch.save(queries.mapInArrow(_probe(graph, held, fit_ratio(graph, x, k)), f"list int, query_id long, query_row long, q {df.schema[vec_col].dataType.simpleString()}"), "probes")
+    probes = scratch.save(queries.mapInArrow(_probe(graph, held, fit_ratio(graph, x, k)), f"list int, round int, query_id long, query_row long, q {df.schema[vec_col].dataType.simpleString()}"), "probes")
     pieces = count.select("list", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
+    best = None
+    for turn in range((probes.agg(F.max("round")).first()[0] or 0) + 1):
+        best = scratch.save(_read(posted, probes.where(F.col("round") == turn), pieces, best, k), f"best{turn}")
+    return best.select("query_id", "rank", F.when(F.col("known"), F.col("vec_id")).alias("vec_id"), "score")
+
+
+def _read(posted: DataFrame, probes: DataFrame, pieces: DataFrame, best: DataFrame | None, k: int) -> DataFrame:
+    """The best ``k`` of each query after one more round of lists."""
+    if best is None:
+        probes = probes.withColumn("bound", F.lit(float("inf")))
+    else:
+        bounds = best.where(F.col("rank") == k).select("query_row", F.col("score").alias("bound"))
+        probes = probes.join(bounds, "query_row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     asked = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("groups"))
     plan = pieces.join(asked, "list")
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = probes.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), cell("query_row", "groups").alias("g"), "query_id", "query_row", "q")
+    left = probes.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), cell("query_row", "groups").alias("g"), "query_id", "query_row", "q", "bound")
     right = posted.join(plan, "list").select("list", cell("row", "pieces").alias("p"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "known", "vec_id", "row", "v")
     key = ["list", "p", "g"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(k), "query_id long, query_row long, known boolean, vec_id long, row long, score double")
-    best = found.dropDuplicates(["query_row", "row"])
+    if best is not None:
+        found = found.unionByName(best.drop("rank"))
     w = Window.partitionBy("query_row").orderBy("score", "known", "vec_id", "row")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("known"), F.col("vec_id")).alias("vec_id"), "score")
+    return found.dropDuplicates(["query_row", "row"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def rows_schema(df: DataFrame, vec_col: str) -> str:

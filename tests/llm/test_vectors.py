@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm import ann, vector_dedup
@@ -137,3 +138,18 @@ def test_graph_search_finds_the_nearest_centroid():
     true = ann.distances(x, c)
     assert (true.argmin(1) == ids[:, 0]).mean() > 0.97
     assert np.allclose(np.take_along_axis(true, ids, 1), dist)
+
+
+def test_later_rounds_return_only_what_is_near_enough(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((2000, 8)))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "LIST_ROWS", 50)
+    told = []
+    for rounds in ((10_000,), (2, 8)):
+        monkeypatch.setattr(ann, "ROUNDS", rounds)
+        told.append(sorted(map(tuple, ann.nearest(df, 10, 100).collect())))
+    assert len(told[0]) == 200 and told[0] == told[1]
+    rows = pd.DataFrame({"known": True, "vec_id": range(100), "row": range(100), "v": [[float(i)] for i in range(100)]})
+    asked = pd.DataFrame({"query_id": [0, 1], "query_row": [500, 501], "q": [[-0.5], [50.0]], "bound": [2.5, np.inf]})
+    found = ann._scan(10)(asked, rows)
+    assert found[found["query_id"] == 0]["vec_id"].tolist() == [0, 1, 2] and len(found[found["query_id"] == 1]) == 10
