@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import own_checkpoint_dir
+
 
 def postings(df: DataFrame, id_col: str, tokens: Column, *carry: str) -> DataFrame:
     """(id, *carry, term, tf): how often each term occurs in each row.
@@ -67,11 +69,15 @@ def bm25(df: DataFrame, id_col: str, tokens: Column, query: Sequence[str], k1: f
 
 
 def bm25_postings(posted: DataFrame, dl: DataFrame, visible: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The same score from stored postings: query terms meet ``posted`` first, then only visible ids are kept."""
+    """The same score from stored postings: query terms meet ``posted`` first, then only visible ids are kept.
+
+    Lengths of visible ids and their postings of query terms are kept apart, so each table is read once.
+    """
     terms = list(dict.fromkeys(query))
-    seen = dl.join(visible.select("id"), "id", "left_semi")
+    own_checkpoint_dir(dl.sparkSession)
+    seen = dl.join(visible.select("id"), "id", "left_semi").checkpoint()
     totals = seen.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    hits = posted.where(F.col("term").isin(terms)).join(seen, "id")
+    hits = posted.where(F.col("term").isin(terms)).join(seen, "id").checkpoint()
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per query term
     full = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

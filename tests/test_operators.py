@@ -155,6 +155,15 @@ def test_effective_documents_are_judged_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_bm25_of_postings_reads_each_table_once(spark):
+    df = spark.range(40).select("id", F.concat_ws(" ", F.array_repeat(F.lit("alpha"), (F.col("id") % 3).cast("int")), F.lit("beta")).alias("t"))
+    tokens = F.split("t", " ")
+    out = postings.bm25_postings(postings.postings(df, "id", tokens), postings.lengths(df, "id", tokens), df.where("id < 30"), ["alpha", "none"])
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["id"]: (round(r["score"], 9), r["matched"]) for r in postings.bm25(df.where("id < 30"), "id", tokens, ["alpha", "none"]).where("matched > 0").collect()}
+    assert len(want) == 20 and {r["id"]: (round(r["score"], 9), r["matched"]) for r in out.collect()} == want
+
+
 def clique(nodes, w=1.0):
     return [(a, b, w) for i, a in enumerate(nodes) for b in nodes[:i]]
 
