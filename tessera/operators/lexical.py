@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import postings
+from tessera.operators.graph import own_checkpoint_dir
 
 # fixed values: weights of the score's parts
 FIELDS = {"title": 1.4, "aliases": 1.2, "tags": 1.0, "headings": 0.65, "path": 0.35}
@@ -104,6 +105,8 @@ def search(notes: DataFrame, chunks: DataFrame, query: str, terms: Sequence[str]
     plain = text.nfkc(F.coalesce("content", F.lit("")))
     body = chunks.select("id", "chunk", plain.alias("_c")).select("id", "chunk", text.lexical_tokens(F.col("_c")).alias("_t"), _holds(F.col("_c"), phrase).alias("exact_body"))
     body = body.select("id", "chunk", "exact_body", F.size("_t").alias("dl"), *[F.size(F.filter("_t", lambda x: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    own_checkpoint_dir(chunks.sparkSession)
+    body = body.checkpoint()  # numbers only; each text is read once
     facts = body.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in each])
     facts = facts.na.fill(0).crossJoin(notes.agg(F.count(F.lit(1)).alias("notes")))
     held = body.groupBy("id").agg(*[F.max(F.col(f"tf{i}") > 0).alias(f"b{i}") for i in each])

@@ -58,3 +58,11 @@ def test_whole_documents(spark, sf, tmp_path):
     stored = lexical.open_index(spark, root)
     for q in ("blewh thing ouen", "tion"):
         assert rows(lexical.search_index(stored, q, buckets=2)) == rows(lexical.search(notes, parts, q))
+
+
+def test_search_reads_each_chunk_once(spark):
+    notes = spark.createDataFrame([(i, f"{i}.md", f"note {i}", [], [], []) for i in range(6)], "id long, path string, title string, aliases array<string>, tags array<string>, headings array<string>")
+    chunks = spark.range(6).select("id", F.lit(0).alias("chunk"), F.when(F.col("id") < 3, "alpha beta").otherwise("gamma").alias("content"))
+    out = lexical.search(notes, chunks, "alpha beta")
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2]
