@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.session import table
 
 RECORDS_SQL = """records AS (
@@ -58,5 +59,6 @@ EDGES_SQL = """edges AS (
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An undirected weighted graph of part groups and suppliers by shared order lines."""
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("x"), (F.col("l_suppkey") + 1000).alias("y"))
-    return li.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    lines, x, y = table(spark, sf_dir, "lineitem"), F.col("l_partkey") % 500, F.col("l_suppkey") + 1000
+    ends = lines.select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")).repartition(graph.parts(spark, lines.count()), "src", "dst")
+    return ends.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))

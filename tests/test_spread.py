@@ -6,15 +6,16 @@ from collections import defaultdict
 import pytest
 
 from tessera.operators import graph
+from tessera.plans import registry
 
 
 def stages(spark):
-    """Stages of the session so far: id to (tasks, records written to shuffles)."""
+    """Stages of the session so far: id to (tasks, records written to shuffles, records read from tables)."""
     store = spark.sparkContext._jsc.sc().statusStore()
     lists = spark.sparkContext._jvm.java.util
     got = store.stageList(lists.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), lists.ArrayList())
     rows = [got.apply(i) for i in range(got.size())]
-    return {r.stageId(): (r.numTasks(), r.shuffleWriteRecords()) for r in rows}
+    return {r.stageId(): (r.numTasks(), r.shuffleWriteRecords(), r.inputRecords()) for r in rows}
 
 
 def neighbours(feats, k=10, floor=0.08):
@@ -52,4 +53,17 @@ def test_neighbours_are_met_where_their_rows_are(spark, monkeypatch):
     before = set(stages(spark))
     got = {(r["src"], r["dst"]): round(r["similarity"], 6) for r in graph.semantic_edges(df).collect()}
     assert got == pytest.approx(neighbours(feats), abs=2e-6)
-    assert max(n for i, (_, n) in stages(spark).items() if i not in before) < 3 * len(feats)  # a ring has eight pairs a row
+    assert max(n for i, (_, n, _) in stages(spark).items() if i not in before) < 3 * len(feats)  # a ring has eight pairs a row
+
+
+def new_stages(spark, run):
+    before = set(stages(spark))
+    rows = run().collect()
+    return rows, [x for i, x in stages(spark).items() if i not in before]
+
+
+def test_edges_are_merged_in_parts_of_bounded_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(graph, "PART_ROWS", 200, raising=False)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    _, ran = new_stages(spark, lambda: registry.queries()["edge_merge"](spark, sf))
+    assert max(tasks for tasks, _, _ in ran) >= rows // 200
