@@ -67,3 +67,18 @@ def test_edges_are_merged_in_parts_of_bounded_rows(spark, sf, monkeypatch):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     _, ran = new_stages(spark, lambda: registry.queries()["edge_merge"](spark, sf))
     assert max(tasks for tasks, _, _ in ran) >= rows // 200
+
+
+def test_labels_spread_in_parts_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_ROWS", 10, raising=False)
+    edges = [(a, b, float(1 + (a * b) % 3)) for a in range(40) for b in range(a + 1, 40) if (a * 7 + b * 11) % 5 == 0]
+    got, ran = new_stages(spark, lambda: graph.label_propagation(spark.createDataFrame(edges, "src long, dst long, w double"), 3))
+    label = {x: x for e in edges for x in e[:2]}
+    for _ in range(3):
+        votes = {x: {c: 1e-9} for x, c in label.items()}
+        for a, b, w in edges:
+            votes[a][label[b]] = votes[a].get(label[b], 0.0) + w
+            votes[b][label[a]] = votes[b].get(label[a], 0.0) + w
+        label = {x: min(v, key=lambda c: (-v[c], c)) for x, v in votes.items()}
+    assert {r["node"]: r["community"] for r in got} == label
+    assert max(tasks for tasks, _, _ in ran) >= 2 * len(edges) // 10 > 24
