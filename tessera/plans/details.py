@@ -210,7 +210,7 @@ def _project_nodes(e):
 
 @query("project_communities", _project_sql())
 def project_communities(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = graph.stored(edges(spark, sf_dir))
     return graph.consolidate_projects(e, _project_nodes(e))
 
 

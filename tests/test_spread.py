@@ -82,3 +82,9 @@ def test_labels_spread_in_parts_of_bounded_rows(spark, monkeypatch):
         label = {x: min(v, key=lambda c: (-v[c], c)) for x, v in votes.items()}
     assert {r["node"]: r["community"] for r in got} == label
     assert max(tasks for tasks, _, _ in ran) >= 2 * len(edges) // 10 > 24
+
+
+def test_projects_settle_on_stored_edges(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    _, ran = new_stages(spark, lambda: registry.queries()["project_communities"](spark, sf))
+    assert sum(read for _, _, read in ran) <= 2 * rows  # counted, then read
