@@ -37,3 +37,11 @@ def test_random_graphs(spark, seed, rounds):
 def test_nothing_to_settle(spark):
     e = lambda s: spark.createDataFrame([], s)
     assert graph.settled(e("item long, turn long"), e("item long, community int, w double"), e("item long, other long, w double")).collect() == []
+
+
+def test_projects_of_equal_weight_rank_by_degree(spark):
+    # 0.2 + 0.2 + 0.2 and 0.3 + 0.3 are equal, though not as doubles; b has the greater degree
+    nodes = spark.createDataFrame([(1, "a", 0.2), (2, "a", 0.2), (3, "a", 0.2), (4, "b", 0.3), (5, "b", 0.3)], "node long, project string, weight double")
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (4, 5, 9.0)], "src long, dst long, w double")
+    got = {r["node"]: r["community"] for r in graph.consolidate_projects(edges, nodes).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
