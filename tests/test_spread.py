@@ -88,3 +88,36 @@ def test_projects_settle_on_stored_edges(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     _, ran = new_stages(spark, lambda: registry.queries()["project_communities"](spark, sf))
     assert sum(read for _, _, read in ran) <= 2 * rows  # counted, then read
+
+
+def test_louvain_passes_shuffle_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOUVAIN_EDGES", 100)
+    monkeypatch.setattr(graph, "BLOCK_ENDS", 200)
+    edges = [(f"n{a:02}", f"n{b:02}", 1.0 + (a + b) % 3) for a in range(60) for b in range(a + 1, 60) if a // 15 == b // 15 or (a * 7 + b * 11) % 13 == 0]
+    edges += [("n00", "n00", 2.0), ("own", "own", 1.0)]
+    df = spark.createDataFrame(edges, "src string, dst string, w double").repartition(1).checkpoint()
+    got, ran = new_stages(spark, lambda: graph.communities(df))
+    part = {r["node"]: r["community"] for r in got}
+    assert len(got) == len(part) == 61 and set(part.values()) == set(range(len(set(part.values()))))
+    want = graph.modularity(*zip(*edges), graph.louvain(*zip(*edges)))
+    assert graph.modularity(*zip(*edges), part) >= 0.98 * want
+    assert sum(sent for _, sent, _ in ran) < 4 * len(edges)  # a pass used to send all labels
+
+
+def test_moves_in_arrays_are_the_moves_of_a_block():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.arange(20, dtype=np.int32), 10)
+    y, w = rng.integers(20, 60, 200).astype(np.int32), rng.integers(1, 4, 200).astype(float)
+    label, k = rng.integers(0, 12, 60), rng.integers(10, 30, 60).astype(float)
+    held, open_ = np.bincount(label, weights=k, minlength=12), np.arange(12) % 2 == 0
+    free = ~open_[label]
+    row = graph._moves_in_arrays(x, y, w, label, held, open_, free, k, 1.0, float(k.sum())).iloc[0]
+    rows = [(n, label[n], k[n], held[label[n]], open_[label[n]], free[n], n < 20) for n in [*np.unique(y), *range(20)]]
+    told = pd.DataFrame(rows, columns=["node", "community", "k", "held", "open", "free", "own"])
+    want = graph._moves(pd.DataFrame({"src": x, "dst": y, "w": w}), told, 1.0, float(k.sum())).sort_values("node")
+    assert np.frombuffer(row["own"], np.int32).tolist() == want["node"].tolist()
+    assert np.frombuffer(row["goes"], np.int32).tolist() == want["community"].tolist() and want["shifts"].any() == row["shifts"]
+    assert row["v"] == want["v"].sum()
